@@ -36,11 +36,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def _word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.token_store import stored
+
+    return stored(_table(spark, sf_dir, "documents"), _word_bpe(), end_id=1)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _word_bpe())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
+    "op7_token_store": op7_token_store,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
