@@ -49,8 +49,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables that this application has staged."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared space."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def filesystem(uri: str):

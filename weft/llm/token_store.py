@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import SLICE, Dictionary, tokenizer, word_table
-from weft.llm.shared import filesystem, scratch, slices, staged, text_bytes
+from weft.llm.shared import filesystem, remove, scratch, slices, staged, text_bytes
 
 WINDOW, SHORTEST, MEAN_BITS, LONGEST = 16, 64, 8, 2048
 DIGEST = 20
@@ -175,7 +175,7 @@ def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) ->
         pid = TaskContext.get().partitionId()
         known = writer = None
         seen: set[bytes] = set()
-        names = ["doc_id", "n_ids", "recipe", *_PLACE_NAMES]
+        names = ["doc_id", "total", "recipe", *_PLACE_NAMES]
 
         def chunk_rows():
             rows = writer.take()
@@ -215,7 +215,7 @@ def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) ->
             if writer.rows:
                 yield chunk_rows()
 
-    return texts.mapInArrow(run, f"doc_id long, n_ids long, recipe binary, {PLACE}")
+    return texts.mapInArrow(run, f"doc_id long, total long, recipe binary, {PLACE}")
 
 
 def _compact(root: str, width: int):
@@ -311,8 +311,9 @@ def write_store(docs: DataFrame, path: str, root: str, end_id: int = 1, id_col:
     index = chosen.repartition("pack").sortWithinPartitions("pack", "frame", "at").mapInArrow(_compact(root, width), PLACE)
     index.write.option("compression", "zstd").parquet(posixpath.join(root, "index"))
     spark = docs.sparkSession
+    remove(spark, posixpath.join(root, "aside"))
     index = spark.read.schema(PLACE).parquet(posixpath.join(root, "index"))
-    recipes = made.filter("recipe is not null").select("doc_id", "n_ids", "recipe")
+    recipes = made.filter("recipe is not null").select("doc_id", F.col("total").alias("n_ids"), "recipe")
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write_recipes(root), _FILE)
     _index_roots(index).unionByName(ordered).withColumn("width", F.lit(width)).write.parquet(posixpath.join(root, "manifest"))
 
