@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
 def _word_bpe() -> str:
     import public_tokenizers
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
+    "op6_sharding": op6_sharding,
     "op7_token_store": op7_token_store,
     "op9_bpe": op9_bpe,
 }
