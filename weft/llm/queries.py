@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.warc import archived
+
+    return archived(_table(spark, sf_dir, "pages"), smallest=0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.sharding import shard
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_token_store": op7_token_store,
     "op9_bpe": op9_bpe,
@@ -78,4 +85,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        q AS (
+            SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS lead, page_id = max(page_id) OVER (PARTITION BY h) AS leads,
+                   list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i::INT + 1, 5))::BIGINT) AS g
+            FROM p)
+        SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+               array_to_string(list_transform(g, lambda v: list_aggregate(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), 'string_agg', '')), '') AS payload_digest,
+               CASE WHEN leads THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN leads THEN NULL ELSE lead END AS refers_to
+        FROM q""",
 }
