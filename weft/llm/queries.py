@@ -60,6 +60,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(_table(spark, sf_dir, "documents"), _word_bpe(), end_id=1)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.bpe import round_trip
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_token_store": op7_token_store,
+    "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
 }
 
