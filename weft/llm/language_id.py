@@ -191,6 +191,31 @@ def predict(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_a_char double")
 
 
+def with_known_language(docs: DataFrame, sample: Sample, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, all columns kept;
+    a null label is filled in with the prediction."""
+
+    def run(batches):
+        for part in slices(batches, text_col, 8 << 20):
+            column = part.column(part.schema.get_field_index(text_col))
+            lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False)
+            part = part.filter(lettered)
+            if not part.num_rows:
+                continue
+            at = part.schema.get_field_index(lang_col)
+            langs = part.column(at).to_pylist()
+            if sample.languages and None in langs:
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                blank = [i for i, v in enumerate(langs) if v is None]
+                best = (phrases(sample, [texts[i] for i in blank]) * _tables(sample)[2]).argmin(1)
+                for i, b in zip(blank, best.tolist()):
+                    langs[i] = sample.languages[b]
+                part = part.set_column(at, part.schema.field(at), pa.array(langs, part.schema.field(at).type))
+            yield part
+
+    return docs.limit(0) if not sample.languages else docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The third of the documents that is never learned from; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))

@@ -72,6 +72,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _word_bpe())
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.embedding_dedup import similar_vectors
+
+    return similar_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": op7_token_store,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +112,18 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN leads THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN leads THEN NULL ELSE lead END AS refers_to
         FROM q""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM c""",
 }
