@@ -1,0 +1 @@
+"""Analytics beside the rules: mining, embeddings, weights of words, messages."""

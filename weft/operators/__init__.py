@@ -1,0 +1 @@
+"""Plans as DataFrames: evaluation, normalisation and adjoints."""

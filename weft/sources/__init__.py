@@ -1,0 +1 @@
+"""Facts, examples, stored databases and the grammar of their names."""
