@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import filesystem, lowered, ragged_binary, scratch, slices, text_bytes
+from weft.llm.shared import filesystem, lowered, mapped, ragged_binary, scratch, slices, text_bytes
 
 #: Text bytes that are split at once, and words that are encoded at once.
 SLICE, WORDS_A_CALL = 4 << 20, 8192
@@ -43,63 +43,83 @@ def tokenizer(path: str):
 
 # -- splitting -----------------------------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: 1: ASCII letter or digit, 2: ASCII mark that joins neither; the rest never gives a cut.
-_SIDE = np.zeros(256, np.uint8)
-_SIDE[48:58] = _SIDE[65:91] = _SIDE[97:123] = 1
-_SIDE[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]\\^_`{}~"]] = 2
-_rng = np.random.default_rng(20240229)
-_VALUE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-@lru_cache(maxsize=4)
-def _base_powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2**64, and of its inverse."""
-    inverse = pow(_BASE[k], -1, 1 << 64)
-    out = []
-    for base in (_BASE[k], inverse):
-        p = np.full(n, np.uint64(base), np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
-
-
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: 0: ASCII white space, 1: ASCII letter or digit, 2: ASCII mark that joins neither, 3: the rest, which gives no cut.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]\\^_`{}~"]] = 2
+#: By 16 * (a text begins here) + 4 * class before + class here: whether a word starts here, or ended before.
+_STARTS = np.array([here != 0 and (edge or before == 0 or {before, here} == {1, 2}) for edge in (0, 1) for before in range(4) for here in range(4)], np.uint8).tobytes().ljust(256, b"\0")
+_ENDS = np.array([before != 0 and (edge or here == 0 or {before, here} == {1, 2}) for edge in (0, 1) for before in range(4) for here in range(4)], np.uint8).tobytes().ljust(256, b"\0")
+_PLAIN = _CLASS.copy()
+_PLAIN[_CLASS != 0] = 3
+_CLASSES = {True: _CLASS.tobytes(), False: _PLAIN.tobytes()}
+_KEEP = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(9)], np.uint64)
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts of a slice.
 
-    Cuts are ASCII white space, the places between an ASCII letter or digit
-    and an ASCII mark, and the ends of texts.
+    Cuts are ASCII white space, the ends of texts and, with ``marks``, the
+    places between an ASCII letter or digit and an ASCII mark.
     """
-    inside = ~_SPACE[raw]
-    side = _SIDE[raw]
-    new = inside.copy()
-    new[1:] &= ~inside[:-1] | (side[1:] + side[:-1] == 3) & (side[1:] * side[:-1] == 2)
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = mapped(raw, _CLASSES[marks])
+    code = np.empty(len(raw) + 1, np.uint8)
+    code[1:-1] = kind[:-1] * np.uint8(4) + kind[1:]
+    code[0], code[-1] = kind[0], kind[-1] * 4
     edges = offsets[1:-1]
-    edges = edges[edges < len(raw)]
-    new[edges] = inside[edges]
-    starts = np.flatnonzero(new)
-    if not len(starts):
-        return starts, starts
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | new[1:]
-    return starts, np.flatnonzero(last) + 1
+    code[edges[(edges > 0) & (edges < len(raw))]] |= 16
+    return np.flatnonzero(mapped(code, _STARTS).view(bool)), np.flatnonzero(mapped(code, _ENDS).view(bool))
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each span; equal words, equal hashes."""
-    out = []
-    size = max(SLICE, 1 << max(1, len(raw) - 1).bit_length()) if len(raw) else 1
-    for k in range(2):
-        up, down = _base_powers(k, size)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUE[k][raw] * up[: len(raw)], out=total[1:])
-        h = (total[ends] - total[starts]) * down[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(h ^ (h >> np.uint64(32)))
-    return out[0], out[1]
+    whole = np.zeros(len(raw) // 8 + 2, np.uint64)
+    whole.view(np.uint8)[: len(raw)] = raw
+    left = ends - starts
+    h0 = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h1 = h0 ^ np.uint64(0xD6E8FEB86659FD93)
+    rows: np.ndarray | None = None
+    at = starts
+    while len(at):  # eight bytes of all words that still have some
+        cell, bits = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = (whole[cell] >> bits) | (whole[cell + 1] << np.uint64(1) << (np.uint64(63) - bits))
+        x &= _KEEP[np.minimum(left, 8)]
+        a, b = (h0, h1) if rows is None else (h0[rows], h1[rows])
+        a = (a ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        a ^= a >> np.uint64(29)
+        b = (b + x) * np.uint64(0x94D049BB133111EB)
+        b ^= b >> np.uint64(31)
+        if rows is None:
+            h0, h1 = a, b
+        else:
+            h0[rows], h1[rows] = a, b
+        more = np.flatnonzero(left > 8)
+        at, left, rows = at[more] + 8, left[more] - 8, more if rows is None else rows[more]
+    h0 *= np.uint64(0x9E3779B97F4A7C15)
+    h1 *= np.uint64(0xD6E8FEB86659FD93)
+    return h0 ^ (h0 >> np.uint64(32)), h1 ^ (h1 >> np.uint64(32))
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, the number of each place's value), by
+    one sort of the values' high bits with the places in the low ones.
+
+    Values that agree in their high bits count as one; whoever uses this
+    compares the whole hashes afterwards.
+    """
+    n = max(1, int(len(h)).bit_length())
+    low = np.uint64((1 << n) - 1)
+    key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    place = (key & low).astype(np.int64)
+    key >>= np.uint64(n)
+    new = np.ones(len(h), bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(len(h), np.int64)
+    number[place] = np.cumsum(new) - 1
+    return place[new], number
 
 
 def has_special(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,7 +162,7 @@ def _distinct_words(batches):
         if not len(starts):
             continue
         h, _ = word_hashes(raw, starts, ends)
-        _, first = np.unique(h, return_index=True)
+        first, _ = distinct(h)
         first = first[[x not in held for x in h[first].tolist()]]
         if len(held) + len(first) > WORDS_HELD:
             held.clear()
@@ -238,20 +258,27 @@ class Dictionary:
 
     def places(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each word; words that are missing are encoded first."""
-        h = word_hashes(raw, starts, ends)
+        h0, h1 = word_hashes(raw, starts, ends)
+        some, number = distinct(h0)
         for _ in range(2):
             if len(self.count):
-                at = np.minimum(np.searchsorted(self.hash[0], h[0]), len(self.count) - 1)
-                missing = np.flatnonzero((self.hash[0][at] != h[0]) | (self.hash[1][at] != h[1]))
+                found = np.minimum(np.searchsorted(self.hash[0], h0[some]), len(self.count) - 1)
+                at = found[number]
+                missing = np.flatnonzero((self.hash[0][at] != h0) | (self.hash[1][at] != h1))
             else:
                 at, missing = np.zeros(len(starts), np.int64), np.arange(len(starts))
             if not len(missing):
                 return at
-            _, first = np.unique(h[0][missing], return_index=True)
+            _, first = np.unique(h0[missing], return_index=True)
             new = missing[first]
+            new = new[~np.isin(h0[new], self.hash[0])]
             words = [raw[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            self._add(words, *encode_words(self.path, words))
-        raise RuntimeError("two different words share a 64-bit hash")
+            if words:
+                self._add(words, *encode_words(self.path, words))
+        at = np.searchsorted(self.hash[0], h0)  # words that share high bits
+        if ((self.hash[0][at] != h0) | (self.hash[1][at] != h1)).any():
+            raise RuntimeError("two different words share a 64-bit hash")
+        return at
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, where each text's ids end)."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import lowered, slices, text_bytes
+from weft.llm.shared import lowered, mapped, slices, text_bytes
 
 #: Phrase of words to label; these are the base labels of a scan.
 BASE_PHRASES = {
@@ -149,12 +149,13 @@ def _automaton(base: tuple, notices: tuple):
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+_IS_WORD = _WORD.tobytes()
 
 
 def normalised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words each followed by one space, offsets of the texts in that, number of words)."""
     raw = lowered(raw)
-    word = _WORD[raw]
+    word = mapped(raw, _IS_WORD).view(bool)
     before = np.zeros(len(raw), bool)
     before[1:] = word[:-1]
     starts = offsets[:-1][offsets[:-1] < len(raw)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.bpe import word_hashes
+from weft.llm.bpe import word_hashes, word_spans
 from weft.llm.components import components
 from weft.llm.shared import lowered, slices, staged, text_bytes
 
@@ -40,8 +40,6 @@ BROADCAST_ROWS = 250_000
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def rows_a_band(threshold: float) -> int:
@@ -61,16 +59,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     shingle; one without words has none.
     """
     raw = lowered(raw)
-    inside = ~_SPACE[raw]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    edges = offsets[1:-1]
-    edges = edges[edges < len(raw)]
-    starts[edges] = inside[edges]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[edges - 1] = inside[edges - 1]
-    begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    begin, end = word_spans(raw, offsets, marks=False)
     n_docs = len(offsets) - 1
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)

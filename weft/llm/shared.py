@@ -106,21 +106,14 @@ def slices(batches, column: str, most: int = 4 << 20):
             start = stop
 
 
-def lowered(raw: np.ndarray) -> np.ndarray:
-    """A-Z lower-cased, all other bytes as they are."""
-    return _LOWER[raw]
-
+def mapped(raw: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte replaced by its entry in a table of 256."""
+    return np.frombuffer(raw.tobytes().translate(table), np.uint8)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
-
-def fixed_binary(rows: np.ndarray) -> pa.Array:
-    """A 2-d array's rows as a binary column."""
-    rows = np.ascontiguousarray(rows)
-    width = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, all other bytes as they are."""
+    return np.frombuffer(raw.tobytes().lower(), np.uint8)
 
 
 def ragged_binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -67,10 +67,11 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     A chunk has SHORTEST to LONGEST ids, but for a document's last.  The
     window lies within the document because SHORTEST is over WINDOW.
     """
-    g = _gear(ids)
-    rolling = g.copy()
-    for j in range(1, WINDOW):
-        rolling[j:] += g[:-j] << np.uint64(j)
+    rolling, width = _gear(ids), 1
+    while width < WINDOW:  # a window of twice the width is two neighbouring ones
+        wider = rolling.copy()
+        wider[width:] += rolling[:-width] << np.uint64(width)
+        rolling, width = wider, 2 * width
     at = np.flatnonzero(rolling >> np.uint64(64 - MEAN_BITS) == 0) + 1
     out: list[int] = []
     counts = np.zeros(len(ends), np.int64)
