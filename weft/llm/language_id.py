@@ -76,7 +76,10 @@ class Sample:
 
 @lru_cache(maxsize=2)
 def _tables(sample: Sample):
-    """(dense transitions of all automata, the root of each, cost of a phrase, symbol of each code point)."""
+    """(dense transitions of all automata, the root of each, cost of a phrase, symbol of each code point).
+
+    The last row has no transitions: the state after a character that matches nothing.
+    """
     width = len(sample.symbols) + 2  # 0: matches nothing
     code = {ord(c): i + 1 for i, c in enumerate(sample.symbols)}
     known = np.zeros(0x110000, np.uint8)
@@ -94,7 +97,8 @@ def _tables(sample: Sample):
         roots.append(base)
         base += len(moves)
     cost = np.log2([max(2, len(t)) for t in sample.texts])
-    return np.concatenate(parts).ravel() * np.int32(1), np.array(roots, np.int32), cost, known
+    parts.append(np.zeros((1, width), np.int32))
+    return np.concatenate(parts).ravel(), np.array(roots, np.int32), cost, known
 
 
 def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
@@ -114,10 +118,10 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), len(roots)), np.int64)
     if not len(doc):
         return out
-    root = np.repeat(roots[:, None], len(doc), 1)
-    state = root.copy()
-    count = np.ones_like(state)
-    fresh = root * width
+    dead = np.int32(len(table) // width - 1)
+    fresh = np.repeat(roots[:, None] * width, len(doc), 1)
+    state = np.full_like(fresh, dead)
+    count = np.zeros_like(state)
     for step in range(int(size[0])):
         n = int(np.searchsorted(-size, -step, "left"))  # pieces longer than step
         c = symbol[first[:n] + step]
@@ -125,7 +129,7 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
         broken = to == 0  # no match goes on: a phrase ends, and the next begins with this character
         count[:, :n] += broken
         again = table[fresh[:, :n] + c]
-        state[:, :n] = np.where(broken, np.where(again == 0, root[:, :n], again), to)
+        state[:, :n] = np.where(broken, np.where(again == 0, dead, again), to)
     for k in range(len(roots)):
         out[:, k] = np.bincount(doc, count[k], len(texts))
     return out
