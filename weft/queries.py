@@ -301,16 +301,25 @@ def possible_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(o,) for o in db.possible_ops()], "op string")
 
 
+#: Relations that triples are made of, some of them inverses or compositions of others.
+_MINED = ["brand", "c_nation", "s_nation", "in_region"]
+_TRIPLES = """, t AS (
+SELECT src AS h, 'brand' AS r, dst AS t FROM brand UNION ALL SELECT src, 'label', dst FROM brand UNION ALL
+SELECT src, 'c_nation', dst FROM c_nation UNION ALL SELECT src, 's_nation', dst FROM s_nation UNION ALL SELECT dst, 'inhabited', src FROM c_nation UNION ALL
+SELECT src, 'in_region', dst FROM in_region UNION ALL SELECT a.src, 'c_region', b.dst FROM c_nation a JOIN in_region b ON a.dst = b.src UNION ALL
+SELECT a.src, 's_region', b.dst FROM s_nation a JOIN in_region b ON a.dst = b.src), c AS (SELECT r, count(*) AS c FROM t GROUP BY r)"""
+
+
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = database(spark, sf_dir, ["brand", "ptype", "supplied", "s_nation", "c_nation"])
-    parts = [db.binary(n).select(F.col("src").alias("head"), F.lit(n).alias("relation"), F.col("dst").alias("tail")) for n in ("brand", "ptype", "supplied", "s_nation", "c_nation")]
-    parts.append(db.binary("supplied").select(F.col("dst").alias("head"), F.lit("supplies").alias("relation"), F.col("src").alias("tail")))
-    parts.append(db.binary("brand").filter(F.xxhash64("src") != 0).select("src", F.lit("label").alias("relation"), "dst"))
-    return reduce(DataFrame.union, parts)
+    db = database(spark, sf_dir, _MINED)
 
+    def named(name: str, rel: DataFrame, head: str = "src", tail: str = "dst") -> DataFrame:
+        return rel.select(F.col(head).alias("head"), F.lit(name).alias("relation"), F.col(tail).alias("tail"))
 
-_TRIPLES = ", t AS (SELECT src AS h, 'brand' AS r, dst AS t FROM brand UNION ALL SELECT src, 'ptype', dst FROM ptype UNION ALL SELECT src, 'supplied', dst FROM supplied UNION ALL SELECT src, 's_nation', dst FROM s_nation UNION ALL SELECT src, 'c_nation', dst FROM c_nation UNION ALL SELECT dst, 'supplies', src FROM supplied UNION ALL SELECT src, 'label', dst FROM brand), c AS (SELECT r, count(*) AS c FROM t GROUP BY r)"
-_MINED = ["brand", "ptype", "supplied", "s_nation", "c_nation"]
+    region = db.binary("in_region").select(F.col("src").alias("n"), F.col("dst").alias("r"))
+    parts = [named(n, db.binary(n)) for n in _MINED] + [named("label", db.binary("brand")), named("inhabited", db.binary("c_nation"), "dst", "src")]
+    parts += [named(n, db.binary(of).join(region, F.col("dst") == F.col("n")), "src", "r") for n, of in (("c_region", "c_nation"), ("s_region", "s_nation"))]
+    return reduce(DataFrame.union, parts)
 
 
 @register("mine_entail", with_relations(_MINED, _TRIPLES + " SELECT p, q, n, round(ln(n / c.c), 6) AS score FROM (SELECT a.r AS p, b.r AS q, count(*) AS n FROM t a JOIN t b ON a.h = b.h AND a.t = b.t AND a.r <> b.r GROUP BY ALL) JOIN c ON c.r = q"))
