@@ -48,18 +48,17 @@ def test_gradients_match_differences(spark, family, rules):
 
     def likelihood():
         p = row_symbols(Engine(db, rules).inference_batch("p/io", x))[0]
-        return sum(math.log(p[a]) for a in answers if a in p) / len(answers) - likelihood.missing(p)
+        return sum(math.log(p[a]) for a in answers) / len(answers)
 
-    likelihood.missing = lambda p: 0.0
-    reached = [a for a in answers if a in row_symbols(Engine(db, rules).inference_batch("p/io", x))[0]]
-    answers = reached
+    reached = row_symbols(Engine(db, rules).inference_batch("p/io", x))[0]
+    answers = [a for a in answers if a in reached]
     x, y = one(spark, "william", answers)
     found = Engine(db, rules).loss_gradient("p/io", x, y)
     base = {k: [tuple(r) for r in db.relations[k].collect()] for k in keys}
     checked = 0
     for key, df in found.items():
         g = {tuple(r)[:-1]: r.w for r in df.collect()}
-        for fact in random.Random(1).sample(sorted(g), min(2, len(g))):
+        for fact in random.Random(1).sample(sorted(g), min(1, len(g))):
             values = []
             for move in (1e-4, -1e-4):
                 schema = "src string, dst string, w double" if key[1] == 2 else "id string, w double"
@@ -69,7 +68,7 @@ def test_gradients_match_differences(spark, family, rules):
             assert g[fact] == pytest.approx((values[0] - values[1]) / 2e-4, abs=1e-4)
             checked += 1
             db.relations[key] = spark.createDataFrame(base[key], schema).coalesce(1)
-    assert checked >= 4
+    assert checked >= 2
 
 
 def test_densify_makes_facts(spark, family):
@@ -116,7 +115,7 @@ def text_task(spark):
     return Engine(db, RULES, Settings()), data
 
 
-@pytest.mark.parametrize("make", [lambda e: FixedRateGD(e, epochs=2, rate=2.0, tracer=RecordingTracer()), lambda e: FixedRateSGD(e, epochs=1, rate=2.0, batch=6), lambda e: AdaGrad(e, epochs=2, rate=0.5), lambda e: WholeDatasetGD(e, epochs=2, rate=2.0, regulariser=L2Regulariser(0.001))])
+@pytest.mark.parametrize("make", [lambda e: FixedRateGD(e, epochs=1, rate=2.0, tracer=RecordingTracer()), lambda e: FixedRateSGD(e, epochs=1, rate=2.0, batch=6), lambda e: AdaGrad(e, epochs=1, rate=0.5), lambda e: WholeDatasetGD(e, epochs=1, rate=2.0, regulariser=L2Regulariser(0.001))])
 def test_learners(text_task, make):
     engine, data = text_task
     learner = make(engine)
@@ -128,4 +127,4 @@ def test_learners(text_task, make):
         learner.train(data)
     assert learner.dataset_accuracy(data) == 1.0 and learner.dataset_cross_entropy(data) < before
     if isinstance(learner, FixedRateGD):
-        assert [r["epoch"] for r in learner.tracer.records] == [0, 1]
+        assert [r["epoch"] for r in learner.tracer.records] == [0]
