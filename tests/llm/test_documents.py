@@ -198,8 +198,11 @@ def shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
-def test_near_dedup(docs, messy, words, percent):
+@pytest.mark.parametrize("words,percent,small", [(3, 85, 24), (5, 80, 24), (3, 85, 1)])
+def test_near_dedup(docs, messy, monkeypatch, words, percent, small):
+    """Also with every bucket taken as a large one of many blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_dedup, "NODES_A_BLOCK", 512 if small > 1 else 3)
     got = near_dedup.near_dedup(docs, words=words, percent=percent).collect()
     sets = [shingles(t, words) for _, t, *_ in messy]
     root = list(range(len(messy)))

@@ -7,9 +7,11 @@ that agree, corrected for chance.  Pairs whose estimate comes near the
 threshold are confirmed on their full sets.
 
 Equal sets are one node.  In each bucket all nodes are first compared with one
-pivot; what then still lies in different components is compared within the
-bucket in blocks, where the estimate is part of the join, so neither a large
-group of near copies nor a passage that many documents share gives all pairs.
+pivot, the node that meets most others.  What then still lies in different
+components is compared pair by pair: in small buckets with the estimate as part
+of the join, in large ones block by block within tasks that only give the links
+that join components.  So neither a large group of near copies nor a passage
+that many documents share gives all pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ WORDS = HASHES * BITS // 64
 MISS = 1e-6
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 5.0
-#: Members that one copy of a pivot serves, nodes in a block of a bucket.
-MEMBERS_A_SALT, NODES_A_BLOCK = 64, 256
+#: Members that one copy of a pivot serves, nodes in a block of a large bucket,
+#: and how many nodes a small one has.
+MEMBERS_A_SALT, NODES_A_BLOCK, SMALL_BUCKET = 64, 512, 24
 #: A list of wanted documents of up to so many rows (under 100 bytes each) is broadcast.
 BROADCAST_ROWS = 250_000
 
@@ -196,26 +199,138 @@ def _with_signature(pairs: DataFrame, nodes: DataFrame, column: str, prefix: str
 
 
 def _star(nodes: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
-    """(node, pivot): each node with the least node of its buckets, estimated near enough."""
-    pivot = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
+    """(node, pivot): each node with a pivot of each of its buckets, estimated
+    near enough.  The pivot is the node whose buckets are largest in all: in a
+    group of near copies, the text that most of them come from."""
+    large = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = buckets.join(large, "key")
+    weight = met.groupBy("node").agg(F.sum("n").alias("met"))
+    pivot = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("best")).select("key", F.col("best.node").alias("pivot"))
     pairs = buckets.join(pivot, "key").filter("node <> pivot").select("node", "pivot").distinct()
     pairs = _with_signature(_with_signature(pairs, nodes, "node", "a_"), nodes, "pivot", "b_")
     return pairs.filter(estimate("a_", "b_") >= least).select("node", "pivot")
 
 
-def _residual(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """(node, pivot): the pairs of a bucket in different components, estimated
-    near enough and not tested yet.  Buckets are compared block by block."""
+def _mixed(nodes: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, component, n) of buckets that still hold more than one component."""
     placed = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / NODES_A_BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = staged(_with_signature(rows, nodes, "node", ""), "mixed")
-    left = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("component").alias("a_comp"), *(F.col(s).alias("a_" + s) for s in _SIG))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("b_comp"), *(F.col(s).alias("b_" + s) for s in _SIG))
-    near = (F.col("a_comp") != F.col("b_comp")) & ((F.col("left.i") < F.col("left.j")) | (F.col("a") < F.col("b"))) & (estimate("a_", "b_") >= least)
-    met = left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key")) & (F.col("left.i") == F.col("right.i")) & (F.col("left.j") == F.col("right.j")) & near)
-    pairs = met.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("pivot")).distinct()
-    return pairs.join(tested, ["node", "pivot"], "left_anti")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
+    return placed.join(mixed, "key").select("key", "node", "component", "n")
+
+
+def _small_pairs(nodes: DataFrame, mixed: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """(node, pivot): pairs of small buckets in different components, estimated
+    near enough and not tested yet."""
+    rows = _with_signature(mixed.filter(F.col("n") <= SMALL_BUCKET), nodes, "node", "")
+    left = rows.select("key", F.col("node").alias("a"), F.col("component").alias("a_comp"), *(F.col(s).alias("a_" + s) for s in _SIG))
+    right = rows.select(F.col("key").alias("r_key"), F.col("node").alias("b"), F.col("component").alias("b_comp"), *(F.col(s).alias("b_" + s) for s in _SIG))
+    near = (F.col("a_comp") != F.col("b_comp")) & (F.col("a") < F.col("b")) & (estimate("a_", "b_") >= least)
+    met = left.join(right, (F.col("key") == F.col("r_key")) & near)
+    return met.select(F.col("b").alias("node"), F.col("a").alias("pivot")).distinct().join(tested, ["node", "pivot"], "left_anti")
+
+
+def _large_links(docs: DataFrame, nodes: DataFrame, mixed: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """(node, pivot): links found in large buckets, enough of them to join what belongs together.
+
+    A bucket's nodes are dealt into blocks, and each two blocks meet in one
+    task with their texts: pairs in different components that are estimated
+    near enough are counted on their full sets there, each pair in the first
+    bucket that holds both.  Pairs never leave the task, only links that join
+    components not joined yet.
+    """
+    large = mixed.filter(F.col("n") > SMALL_BUCKET)
+    wanted = staged(large.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "set_hash", "bands", *_SIG), "node"), "large")
+    found = F.broadcast(wanted.select("node", "w_id", "w_key")) if wanted.count() <= BROADCAST_ROWS else wanted.select("node", "w_id", "w_key")
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(found, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    full = staged(wanted.drop("w_id", "w_key").join(text, "node").dropDuplicates(["node"]), "texts")
+    # the largest component's nodes needn't meet each other: they are dealt into blocks after all others
+    shares = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    major = shares.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.first("n").alias("n"))
+    major = major.select("key", F.col("m.component").alias("major"), F.ceil((F.col("n") - F.col("m.k")) / NODES_A_BLOCK).cast("int").alias("others"), F.ceil(F.col("m.k") / NODES_A_BLOCK).cast("int").alias("majors"))
+    placed = large.drop("n").join(major, "key").withColumn("in_major", F.col("component") == F.col("major"))
+    own = F.when(F.col("in_major"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    placed = placed.withColumn("block", own.cast("int"))
+    last = F.when(F.col("in_major"), F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1)
+    meets = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    rows = placed.withColumn("meet", F.explode(meets)).join(full, "node")
+    rows = rows.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "block", "node", "component", "set_hash", F.array(*_SIG).alias("sig"), "bands", "text")
+    percent_least = (percent, least)
+
+    def run(batches):
+        task: tuple | None = None
+        held: list = []
+        for part in slices(batches, "text"):
+            sets, ends = shingle_sets(*text_bytes(part.column(9)), width)
+            cols = [part.column(c).to_pylist() for c in range(9)]
+            begin = 0
+            for k, end in enumerate(ends.tolist()):
+                own, begin = sets[begin:end], end
+                now = (cols[0][k], cols[1][k], cols[2][k])
+                if now != task:
+                    if held:
+                        yield _links(held, task, *percent_least)
+                    task, held = now, []
+                if blake2b(own.tobytes(), digest_size=16).digest() == cols[6][k]:
+                    held.append((cols[3][k], cols[4][k], cols[5][k], cols[7][k], cols[8][k], own.copy()))
+        if held:
+            yield _links(held, task, *percent_least)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "node long, pivot long").distinct()
+
+
+def _links(held: list, task: tuple, percent: int, least: float) -> pa.RecordBatch:
+    """Links between the two blocks of one task, or within its one block."""
+    key, i, j = task
+    left = [r for r in held if r[0] == i]
+    right = [r for r in held if r[0] == j]
+    bands = np.array([r[4] for r in right], np.int64).reshape(len(right), -1)
+    sig = np.array([r[3] for r in right], np.int64).reshape(len(right), WORDS).view(np.uint64)
+    comp = np.array([r[2] for r in right], np.int64)
+    node = np.array([r[1] for r in right], np.int64)
+    size = np.array([len(r[5]) for r in right], np.int64)
+    values, place = np.unique(np.concatenate([r[5] for r in held]), return_inverse=True)
+    at = np.cumsum([0] + [len(r[5]) for r in held])
+    ids = [place[at[k] : at[k + 1]] for k in range(len(held))]
+    left_ids = [ids[k] for k, r in enumerate(held) if r[0] == i]
+    all_right = np.concatenate([ids[k] for k, r in enumerate(held) if r[0] == j]) if right else np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    mask = np.uint64(sum(1 << b for b in range(0, 64, BITS)))
+    chance = 2.0**-BITS
+    out: list[tuple[int, int]] = []
+    flag = np.zeros(len(values), np.int64)
+    for k, (_, own, c, s, bd, shingles) in enumerate(left):
+        x = sig ^ np.array(s, np.int64).view(np.uint64)
+        for shift in (1 << b for b in range(BITS.bit_length() - 1)):
+            x |= x >> np.uint64(shift)
+        differ = np.bitwise_count(x & mask).sum(1)
+        near = ((1 - differ / HASHES - chance) / (1 - chance) >= least) & (comp != c)
+        if i == j:
+            near &= node > own
+        some = np.flatnonzero(near)
+        if len(some):  # only in the first bucket that both are in
+            same = bands[some] == np.array(bd, np.int64)
+            some = some[bands[some, same.argmax(1)] == key]
+        some = np.array([t for t in some.tolist() if find(int(comp[t])) != find(c)], np.int64)
+        if not len(some):
+            continue
+        flag[left_ids[k]] = 1
+        both = np.add.reduceat(flag[all_right], first) if len(all_right) else np.zeros(len(right), np.int64)
+        flag[left_ids[k]] = 0
+        linked = some[100 * both[some] >= percent * (len(shingles) + size[some] - both[some])]
+        for t in linked.tolist():
+            a, b = find(c), find(int(comp[t]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((max(own, int(node[t])), min(own, int(node[t]))))
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["node", "pivot"])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -241,10 +356,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = staged(_star(nodes, buckets, least), "star")
     links = staged(_confirm(docs, nodes, star, words, percent), "links")
     comps = staged(components(links, "node", "pivot"), "components")
-    rest = staged(_residual(nodes, buckets, comps, star, least), "residual")
+    mixed = staged(_mixed(nodes, buckets, comps), "mixed")
+    if mixed.filter(F.col("n") > SMALL_BUCKET).head(1):
+        links = links.unionByName(staged(_large_links(docs, nodes, mixed, words, percent, least), "large-links"))
+    rest = staged(_small_pairs(nodes, mixed, star, least), "residual")
     if rest.head(1):
         links = links.unionByName(_confirm(docs, nodes, rest, words, percent))
-        comps = staged(components(links, "node", "pivot"), "components")
+    comps = staged(components(links, "node", "pivot"), "components")
     named = nodes.select("node", "doc_id", "set_hash").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(ids, "component").select("set_hash", "component_id")
