@@ -15,7 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"weft-{getpass.getuser()}")
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = made.get() if made.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), f"weft-{getpass.getuser()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root if ":" in root else "file://" + os.path.abspath(root)
 
