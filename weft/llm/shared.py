@@ -6,10 +6,7 @@ the loss of any executor, and are read back like any other input.
 
 from __future__ import annotations
 
-import getpass
-import os
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,22 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, list[str]] = {}
-
+from weft.scratch import shared_folder
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), f"weft-{getpass.getuser()}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+_made: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
-    path = posixpath.join(shared_root(spark), f"weft-{name}-{uuid.uuid4().hex[:12]}")
+    path = posixpath.join(shared_folder(spark), f"weft-{name}-{uuid.uuid4().hex[:12]}")
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
