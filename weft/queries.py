@@ -16,6 +16,7 @@ from weft.catalog import Database
 from weft.engine import Engine, Settings
 from weft.functions import mining, vectors
 from weft.learn import Gradients, L2Regulariser, Learner, accuracy, cross_entropy, ranked, ranked_answers, updated
+from weft.scratch import written
 from weft.sources.examples import Dataset, from_pairs
 
 #: name: (table, left symbol, right symbol or None, condition), in SQL that both engines read.
@@ -190,9 +191,10 @@ p AS (SELECT x, y, w / sum(w) OVER (PARTITION BY x) AS w FROM e)"""
 def text_task(spark: SparkSession, sf_dir: str) -> tuple[Engine, Dataset]:
     """Documents to their quality by words, with counted weights."""
     db = database(spark, sf_dir, ["has_word", "quality"])
+    db.set_parameter("has_word", 2, written(db.binary("has_word"), "has-word"))  # used many times below
     counts = db.binary("has_word").join(db.binary("quality").select("src", F.col("dst").alias("l")), "src").groupBy("dst", "l").agg(F.sum("w").alias("w"))
     total = counts.groupBy("dst").agg(F.sum("w").alias("total"))
-    share = counts.join(total, "dst").select(F.col("dst").alias("id"), "l", (F.col("w") / F.col("total")).alias("w"))
+    share = written(counts.join(total, "dst").select(F.col("dst").alias("id"), "l", (F.col("w") / F.col("total")).alias("w")), "weights")
     engine = Engine(db, TEXT_RULES, initial_weights=False)
     for label in ("0", "1"):
         db.set_parameter(f"w{label}", 1, share.filter(F.col("l") == f"q{label}"))
