@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -87,6 +88,38 @@ def test_phrases_are_longest_matches():
             state = moves[state][ord(c)]
 
 
+def test_scripts_of_any_size(spark):
+    """Every character of the samples counts: large alphabets, and few documents beside many."""
+    rng = random.Random(8)
+    latin = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôöùûüßñ0123456789 ,.!?;:()-ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    spans = {"el": (0x3B1, 25, 3), "ja": (0x3041, 80, 3), "ko": (0xAC00, 1500, 3), "ru": (0x430, 32, 3), "uk": (0x430, 48, 3), "zh": (0x4E00, 2500, 3)}
+    letters = {"la": latin} | {k: "".join(chr(a + i) for i in range(n)) for k, (a, n, _) in spans.items()}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 5))) for _ in range(150)] for k, v in letters.items()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang]) for _ in range(n))
+
+    rows = [(i, text("la", 100), "la") for i in range(200)]
+    rows += [(1000 * k + i, text(lang, 60), lang) for k, lang in enumerate(spans, 1) for i in range(spans[lang][2])]
+    sample = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(sample.symbols) == set("".join(sample.texts)) and len(sample.symbols) > 500
+    probes = [(i, text(lang, 30)) for i, lang in enumerate(sample.languages)]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(probes, "doc_id long, text string"), sample).collect()}
+    assert [got[i].lang_pred for i, _ in probes] == list(sample.languages) and min(r.score for r in got.values()) > 0.1
+
+    def plain(probe, known):
+        n = at = 0
+        while at < len(probe):
+            k = 1
+            while at + k < len(probe) and probe[at : at + k + 1] in known:
+                k += 1
+            n, at = n + 1, at + k
+        return n
+
+    for _, probe in probes:
+        assert language_id.phrases(sample, [probe])[0].tolist() == [plain(probe, t) for t in sample.texts]
+
+
 def test_licences(spark, docs, messy, tmp_path):
     more = [
         (1, "Released under the MIT License.\nCC BY-NC 4.0; cc-by nc", None, None),

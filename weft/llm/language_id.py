@@ -6,8 +6,9 @@ such matches, the language that needs fewest phrases, normalised by its
 logarithmic cost, is the prediction: a phrase found in n characters of sample
 costs about ``log2(n)`` bits.
 
-A fitted automaton is a dense table, so all texts of an Arrow batch are parsed
-in step with array operations.  Long texts are parsed in blocks, whole.
+The transitions of all automata share one array of displaced rows, as large as
+there are transitions whatever the alphabet, so all texts of an Arrow batch are
+parsed in step with array operations.  Long texts are parsed in blocks, whole.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from weft.llm.shared import slices
 #: The fit reads at most so many documents a language, and keeps so many characters of them.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_CHARS = 30_000
-#: Characters that have a symbol of their own; rarer ones share one that matches nothing.
-SYMBOLS = 94
 #: A label set beyond this is an error, not a cut.
 MAX_LANGUAGES = 256
 #: Characters that are parsed in one piece.
@@ -67,46 +66,89 @@ def suffix_automaton(text: list[int]) -> tuple[list[dict[int, int]], list[int]]:
 
 @dataclass(frozen=True)
 class Sample:
-    """What is learned: languages, their sample texts, and the symbols kept."""
+    """What is learned: languages, their sample texts, and all characters of these."""
 
     languages: tuple[str, ...]
     texts: tuple[str, ...]
     symbols: str
 
 
+def displaced(moves: list[dict[int, int]], base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, number of each state): the move of state s by c, if any, is in cell ``s + c``.
+
+    A cell holds its state's number in the upper half and the next state's in
+    the lower.  Numbers start at ``base + 1`` and differ, so a cell of another
+    state is told by the upper half.  States with several moves are interleaved
+    in order of size; those with one fill the gaps.  A state with none gets 0.
+    """
+    width = max((max(out) for out in moves if out), default=0)
+    at = np.zeros(len(moves), np.int64)
+    taken, d = bytearray(width + 1), 0
+    for state in sorted((s for s, out in enumerate(moves) if len(out) > 1), key=lambda s: -len(moves[s])):
+        d += 1
+        taken.extend(bytes(max(0, d + 2 * width + 1 - len(taken))))
+        while any(taken[d + c] for c in moves[state]):
+            d += 1
+            if len(taken) <= d + width:
+                taken.extend(bytes(width + 1))
+        for c in moves[state]:
+            taken[d + c] = 1
+        at[state] = d
+    ones: dict[int, list[int]] = {}
+    for state, out in enumerate(moves):
+        if len(out) == 1:
+            ones.setdefault(next(iter(out)), []).append(state)
+    size = len(taken) + width + sum(map(len, ones.values())) + 1
+    free, unused = np.ones(size, bool), np.ones(size, bool)
+    free[: len(taken)] = np.frombuffer(bytes(taken), np.uint8) == 0
+    unused[at] = False  # and 0
+    for c, states in ones.items():
+        while len(found := np.flatnonzero(free[c:] & unused[: len(unused) - c])) < len(states):
+            free, unused = (np.concatenate([x, np.ones(len(states) + width, bool)]) for x in (free, unused))
+        at[states] = found[: len(states)]
+        unused[at[states]], free[at[states] + c] = False, False
+    number = np.where(at > 0, at + base, 0)
+    cells = np.zeros(int(at.max(initial=0)) + width + 1, np.int64)
+    for state, out in enumerate(moves):
+        for c, to in out.items():
+            cells[at[state] + c] = number[state] << 32 | number[to]
+    return cells, number
+
+
 @lru_cache(maxsize=2)
 def _tables(sample: Sample):
-    """(dense transitions of all automata, the root of each, cost of a phrase, symbol of each code point).
+    """(cells of all automata, state after a first character by language and symbol, cost of a phrase, symbol of each code point).
 
-    The last row has no transitions: the state after a character that matches nothing.
+    The last state has no moves: the one after a character that matches nothing.
     """
-    width = len(sample.symbols) + 2  # 0: matches nothing
-    code = {ord(c): i + 1 for i, c in enumerate(sample.symbols)}
-    known = np.zeros(0x110000, np.uint8)
-    for c, i in code.items():
-        known[c] = i
-    parts, roots, base = [], [], 0
+    code = {ord(c): i + 1 for i, c in enumerate(sample.symbols)}  # 0: in no sample
+    known = np.zeros(0x110000, np.int32)
+    known[list(code)] = list(code.values())
+    parts, firsts, base = [], [], 0
     for text in sample.texts:
-        moves, _ = suffix_automaton([code.get(ord(c), 0) or len(code) + 1 for c in text])
-        table = np.zeros((len(moves), width), np.int32)
-        for state, out in enumerate(moves):
-            for c, to in out.items():
-                if c <= len(code):
-                    table[state, c] = base + to
-        parts.append(table)
-        roots.append(base)
-        base += len(moves)
+        moves, _ = suffix_automaton([code[ord(c)] for c in text])
+        cells, number = displaced(moves, base)
+        first = np.zeros(len(code) + 1, np.int64)
+        for c, to in moves[0].items():
+            first[c] = number[to] or -1
+        parts.append(cells)
+        firsts.append(first)
+        base += len(cells)
+    dead = base + 1
+    cells = np.concatenate([*parts, np.zeros(len(code) + 2, np.int64)])
+    owner, to = cells >> 32, cells & 0xFFFFFFFF
+    cells[(owner > 0) & (to == 0)] |= dead  # the last state of an automaton
+    first = np.array(firsts, np.int64)
+    first[first <= 0] = dead
     cost = np.log2([max(2, len(t)) for t in sample.texts])
-    parts.append(np.zeros((1, width), np.int32))
-    return np.concatenate(parts).ravel(), np.array(roots, np.int32), cost, known
+    return cells, first, cost, known
 
 
 def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
     """Phrases that each language (column) needs for each text (row)."""
-    table, roots, _, known = _tables(sample)
-    width = np.int32(len(sample.symbols) + 2)
+    cells, first_state, _, known = _tables(sample)
     joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = known[joined].astype(np.int32)
+    symbol = known[joined]
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
     pieces = -(-lengths // BLOCK)
@@ -115,22 +157,21 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
     size = np.minimum(BLOCK, lengths[doc] - shift)
     order = np.argsort(-size, kind="stable")  # so that the pieces still open come first
     doc, size, first = doc[order], size[order], (starts[doc] + shift)[order]
-    out = np.zeros((len(texts), len(roots)), np.int64)
+    out = np.zeros((len(texts), len(first_state)), np.int64)
     if not len(doc):
         return out
-    dead = np.int32(len(table) // width - 1)
-    fresh = np.repeat(roots[:, None] * width, len(doc), 1)
-    state = np.full_like(fresh, dead)
-    count = np.zeros_like(state)
+    dead = len(cells) - len(sample.symbols) - 1
+    state = np.full((len(first_state), len(doc)), dead, np.int64)
+    count = np.zeros(state.shape, np.int32)
     for step in range(int(size[0])):
         n = int(np.searchsorted(-size, -step, "left"))  # pieces longer than step
         c = symbol[first[:n] + step]
-        to = table[state[:, :n] * width + c]
-        broken = to == 0  # no match goes on: a phrase ends, and the next begins with this character
+        now = state[:, :n]
+        move = cells.take(now + c)
+        broken = move >> 32 != now  # no match goes on: a phrase ends, and the next begins with this character
         count[:, :n] += broken
-        again = table[fresh[:, :n] + c]
-        state[:, :n] = np.where(broken, np.where(again == 0, dead, again), to)
-    for k in range(len(roots)):
+        state[:, :n] = np.where(broken, first_state.take(c, 1), move & 0xFFFFFFFF)
+    for k in range(len(first_state)):
         out[:, k] = np.bincount(doc, count[k], len(texts))
     return out
 
@@ -156,11 +197,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", ord
         rows = sorted((r.draw, r.piece) for r in drawn if r.lang == lang)[:sample_documents]
         texts[lang] = "\n".join(r[1] for r in rows)[:sample_chars]
     texts = {k: v for k, v in texts.items() if v}
-    seen: dict[str, int] = {}
-    for t in texts.values():
-        for c in t:
-            seen[c] = seen.get(c, 0) + 1
-    symbols = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:SYMBOLS]))
+    symbols = "".join(sorted(set().union(*texts.values())))
     return Sample(tuple(texts), tuple(texts.values()), symbols)
 
 
