@@ -26,7 +26,7 @@ WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents; those without any language go."""
+    """Learn from the labelled documents and parse all: those without any language go, the others get the language found."""
     return with_known_language(docs, fit(docs))
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from plain import ascii_lower
+from pyspark.sql import functions as F
 
 from weft.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, sharding, token_store
 
@@ -120,6 +121,21 @@ def test_scripts_of_any_size(spark):
         assert language_id.phrases(sample, [probe])[0].tolist() == [plain(probe, t) for t in sample.texts]
 
 
+def test_labels_come_from_the_texts(spark, docs, messy):
+    """Each text is parsed whatever its label, and no corpus is lost for want of labels."""
+    sample = language_id.fit(docs)
+    lettered = [r for r in messy if r[1] and any(c.isalpha() for c in r[1])]
+    want = Counter((r.doc_id, r.lang_pred) for r in language_id.predict(docs, sample).collect() if r.lang_pred != "und")
+    names = sorted({r[2] for r in lettered if r[2]})
+    for label in (None, "xx", *names):
+        table = docs.withColumn("lang", F.lit(label).cast("string"))
+        got = language_id.with_known_language(table, sample)
+        assert got.columns == docs.columns and Counter((r.doc_id, r.lang) for r in got.select("doc_id", "lang").collect()) == want
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = language_id.with_known_language(blank, language_id.fit(blank)).select("doc_id", "text", "lang").collect()
+    assert Counter(map(tuple, got)) == Counter((i, t, "und") for i, t, *_ in lettered)
+
+
 def test_licences(spark, docs, messy, tmp_path):
     more = [
         (1, "Released under the MIT License.\nCC BY-NC 4.0; cc-by nc", None, None),

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import slices
+from weft.llm.shared import give_back, slices
 
 #: The fit reads at most so many documents a language, and keeps so many characters of them.
 SAMPLE_DOCUMENTS = 400
@@ -31,6 +31,8 @@ SAMPLE_CHARS = 30_000
 MAX_LANGUAGES = 256
 #: Characters that are parsed in one piece.
 BLOCK = 2048
+#: Bytes of text that are parsed at once.
+SLICE = 2 << 20
 UNKNOWN = "und"
 
 
@@ -201,6 +203,24 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", ord
     return Sample(tuple(texts), tuple(texts.values()), symbols)
 
 
+def judged(sample: Sample, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, bits a character) of each text; see ``predict``."""
+    lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    texts = pc.fill_null(column, "").to_pylist()
+    if not sample.languages or not texts:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    cost = phrases(sample, texts) * _tables(sample)[2]
+    best = cost.argmin(1)
+    low = cost[np.arange(len(texts)), best]
+    rest = cost.copy()
+    rest[np.arange(len(texts)), best] = np.inf
+    second = rest.min(1)
+    score = np.where(lettered & (second > 0), 1 - low / np.maximum(second, 1e-9), 0.0) if cost.shape[1] > 1 else lettered.astype(float)
+    rate = low / np.maximum(1, [len(t) for t in texts])
+    pred = [sample.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())]
+    return pred, np.clip(score, 0, 1), np.where(lettered, rate, 0.0)
+
+
 def predict(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_a_char) of each row.
 
@@ -211,50 +231,33 @@ def predict(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches):
-        for part in slices(batches, "text", 8 << 20):
-            column = part.column(1)
-            lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            texts = pc.fill_null(column, "").to_pylist()
-            pred, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if sample.languages:
-                cost = phrases(sample, texts) * _tables(sample)[2]
-                best = cost.argmin(1)
-                low = cost[np.arange(len(texts)), best]
-                rest = cost.copy()
-                rest[np.arange(len(texts)), best] = np.inf
-                second = rest.min(1)
-                score = np.where(lettered & (second > 0), 1 - low / np.maximum(second, 1e-9), 0.0) if cost.shape[1] > 1 else lettered.astype(float)
-                rate = low / np.maximum(1, [len(t) for t in texts])
-                pred = [sample.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.where(lettered, rate, 0.0))], ["doc_id", "lang_pred", "score", "bits_a_char"])
+        for part in slices(batches, "text", SLICE):
+            pred, score, rate = judged(sample, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_a_char"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_a_char double")
 
 
 def with_known_language(docs: DataFrame, sample: Sample, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``, all columns kept;
-    a null label is filled in with the prediction."""
+    """``docs`` without the rows that have no letter, all columns kept.
+
+    Every whole text is parsed, and the label column holds the prediction of
+    ``predict``, whatever label the row came with.  Where nothing was learned,
+    rows with a letter stay and their label is ``und``.
+    """
 
     def run(batches):
-        for part in slices(batches, text_col, 8 << 20):
-            column = part.column(part.schema.get_field_index(text_col))
-            lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False)
-            part = part.filter(lettered)
+        for part in slices(batches, text_col, SLICE):
+            part = part.filter(pc.fill_null(pc.match_substring_regex(part.column(part.schema.get_field_index(text_col)), r"\p{L}"), False))
             if not part.num_rows:
                 continue
+            pred, _, _ = judged(sample, part.column(part.schema.get_field_index(text_col)))
             at = part.schema.get_field_index(lang_col)
-            langs = part.column(at).to_pylist()
-            if sample.languages and None in langs:
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                blank = [i for i, v in enumerate(langs) if v is None]
-                best = (phrases(sample, [texts[i] for i in blank]) * _tables(sample)[2]).argmin(1)
-                for i, b in zip(blank, best.tolist()):
-                    langs[i] = sample.languages[b]
-                part = part.set_column(at, part.schema.field(at), pa.array(langs, part.schema.field(at).type))
-            yield part
-
-    return docs.limit(0) if not sample.languages else docs.mapInArrow(run, docs.schema)
+            yield part.set_column(at, part.schema.field(at), pa.array(pred, part.schema.field(at).type))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

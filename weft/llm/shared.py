@@ -6,6 +6,7 @@ the loss of any executor, and are read back like any other input.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -95,6 +96,14 @@ def slices(batches, column: str, most: int = 4 << 20):
             start = stop
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, as the worker process goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc only
+        trim(0)
+
+
 def mapped(raw: np.ndarray, table: bytes) -> np.ndarray:
     """Each byte replaced by its entry in a table of 256."""
     return np.frombuffer(raw.tobytes().translate(table), np.uint8)
