@@ -247,6 +247,28 @@ def shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
+def test_one_near_copy_stays_whatever_the_ids(spark, tmp_path):
+    rng = random.Random(9)
+
+    def copies(n):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        return [" ".join([*base[:-1], f"end{k}"]) for k in range(n)]
+
+    nulls, some, same, apart = copies(4), copies(3), copies(2), copies(1)
+    rows = [(None, t, "nulls") for t in nulls]  # a component without ids
+    rows += [(1, some[0], "some"), (None, some[1], "some"), (2, some[2], "some")]  # a null id goes beside others
+    rows += [(2, same[0], "same"), (2, same[1], "same"), (2, same[1], "same")]  # one id, two texts, a repeated row
+    rows += [(1, apart[0], "apart"), (1, apart[0], "apart"), (None, "", "empty"), (None, None, "empty"), (5, " ", "empty"), (5, " ", "empty")]
+    path = f"file://{tmp_path}/rows"
+    spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3).write.parquet(path)
+    table = spark.read.parquet(path)
+    left = near_dedup.without_near_copies(table)
+    assert left.columns == table.columns
+    got = [tuple(r) for r in left.collect()]
+    assert Counter(n for *_, n in got) == {"nulls": 1, "some": 1, "same": 1, "apart": 1, "empty": 4}
+    assert set(got) <= set(rows) and (1, some[0], "some") in got and {i for i, _, n in got if n == "same"} == {2}
+
+
 @pytest.mark.parametrize("words,percent,small", [(3, 85, 24), (5, 80, 24), (3, 85, 1)])
 def test_near_dedup(docs, messy, monkeypatch, words, percent, small):
     """Also with every bucket taken as a large one of many blocks."""

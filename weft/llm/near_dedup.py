@@ -333,20 +333,9 @@ def _links(held: list, task: tuple, percent: int, least: float) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["node", "pivot"])
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a
-    document's set holds its distinct shingles of ``words`` words, or its whole
-    sequence where it has fewer.  Sets with ``100 * intersection >= percent *
-    union`` are linked; a component is what links reach, and its id the
-    smallest document id in it (null where it has none).  ``kept`` is whether
-    the row has that id.  Null or empty texts link with nothing.  Repeated rows
-    share their node.  An empty table gives an empty result; other columns are
-    not read.  ``docs`` is read again to confirm pairs, so it should be stored.
-    """
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of (doc_id, text), nodes with their component and least row)."""
     threshold = percent / 100
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sig = staged(signatures(docs, words, rows_a_band(threshold)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
     nodes = sig.filter("n_shingles > 0").groupBy("set_hash").agg(first, *(F.first(c).alias(c) for c in [*_SIG, "bands"]))
@@ -363,7 +352,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if rest.head(1):
         links = links.unionByName(_confirm(docs, nodes, rest, words, percent))
     comps = staged(components(links, "node", "pivot"), "components")
-    named = nodes.select("node", "doc_id", "set_hash").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "doc_id", "text_key", "set_hash").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sig, named
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a
+    document's set holds its distinct shingles of ``words`` words, or its whole
+    sequence where it has fewer.  Sets with ``100 * intersection >= percent *
+    union`` are linked; a component is what links reach, and its id the
+    smallest document id in it (null where it has none).  ``kept`` is whether
+    the row has that id.  Null or empty texts link with nothing.  Repeated rows
+    share their node.  An empty table gives an empty result; other columns are
+    not read.  ``docs`` is read again to confirm pairs, so it should be stored.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sig, named = _components(docs, words, percent)
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(ids, "component").select("set_hash", "component_id")
     linked = sig.filter("n_shingles > 0").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
@@ -372,6 +378,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
-    keep = near_dedup(docs, id_col, text_col, words, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """``docs`` with one document of each component, all columns kept.
+
+    The row with the least id stays, null ids last, and of rows that share it
+    the one with the least hash of its text; of rows that share both one stays.
+    Rows without words are in no component and all stay.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sig, named = _components(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), words, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
+    reps = named.groupBy("component").agg(least).select(F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_rep_key"), F.lit(True).alias("_worded"))
+    alone = sig.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_rep_key"), F.lit(False).alias("_worded")).distinct()
+    found = docs.withColumn("_key", F.xxhash64(text)).join(reps.union(alone), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rep_key")))
+    if sig.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").head(1):
+        found = found.filter("_worded").dropDuplicates([id_col, "_key"]).union(found.filter("not _worded"))
+    return found.select(*(found[c] for c in docs.columns))
