@@ -234,6 +234,19 @@ def test_sharding(docs, messy):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_overfull_ranges_are_cut_whatever_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "sample_keys", lambda *_: np.zeros(0, np.int64))
+    keys = [3**k for k in range(39)] + [-(3**k) for k in range(39)] + list(range(200)) + [7] * 100
+    records = spark.createDataFrame([(i, 100, 0, k) for i, k in enumerate(keys)], "doc_id long, size long, text_crc32 long, key long").coalesce(1).cache()
+    bounds, found = sharding.splitters(records, 1)
+    most = sharding.OVERFULL * 100 * len(keys) / sharding.RANGES_A_SHARD
+    inside = defaultdict(list)
+    for k in keys:
+        inside[int(np.searchsorted(bounds, k, "right"))].append(k)
+    assert {r: 100 * len(ks) for r, ks in inside.items()} == found.bytes.to_dict()
+    assert all(100 * len(ks) <= most or len(set(ks)) == 1 for ks in inside.values())
+
+
 def test_sharding_splits_what_fills_a_shard(spark, tmp_path):
     rows = [(i, "copy " * 40 if i % 3 else f"text {i} " * 20) for i in range(3000)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")

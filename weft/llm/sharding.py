@@ -29,7 +29,6 @@ OVERFULL = 4.0
 ROWS_A_PART = 4096
 #: How far above the mean shard whole groups may fill one.
 SLACK = 1.005
-ROUNDS = 8
 
 
 def sized_records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,21 +75,23 @@ def splitters(records: DataFrame, shards: int) -> tuple[np.ndarray, pd.DataFrame
     """(bounds, bytes, records and whether there is one key only, by range).
 
     Overfull ranges with more than one key are sampled again, more densely,
-    and cut at the quantiles of that sample, until none is left.
+    and cut at the quantiles of that sample and halfway between their least and
+    greatest key, until none is left; so at most 64 rounds.
     """
     total = int(records.agg(F.sum("size")).first()[0] or 0)
     ranges = shards * RANGES_A_SHARD
     bounds = quantile_bounds(sample_keys(records, total, SAMPLE_KEYS), ranges)
-    for _ in range(ROUNDS):
+    while True:
         placed = in_range(records, bounds)
-        found = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), (F.min("key") == F.max("key")).alias("one_key")).toPandas().set_index("range").sort_index()
+        found = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), (F.min("key") == F.max("key")).alias("one_key")).toPandas().set_index("range").sort_index()
         over = found[(found.bytes > OVERFULL * total / ranges) & ~found.one_key]
         if over.empty:
             break
         inside = placed.join(F.broadcast(records.sparkSession.createDataFrame([(int(r),) for r in over.index], "range int")), "range").select(*records.columns)
         denser = int(over.bytes.sum())
         parts = max(2, int(np.ceil(2 * denser / (total / ranges))))
-        bounds = np.unique(np.concatenate([bounds, quantile_bounds(sample_keys(inside, denser, max(SAMPLE_KEYS // 4, 16 * parts)), parts)]))
+        halves = np.array([(int(a) + int(b)) // 2 + 1 for a, b in zip(over.least, over.most)], np.int64)  # above the least, up to the greatest
+        bounds = np.unique(np.concatenate([bounds, halves, quantile_bounds(sample_keys(inside, denser, max(SAMPLE_KEYS // 4, 16 * parts)), parts)]))
     return bounds, found
 
 
