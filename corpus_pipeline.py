@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]
 
-#: Language, similarity and tokens have no SQL; tests hold the stages against plain versions.
+#: Language, similarity and tokens have no SQL; tests check invariants of the stages.
 ORACLE_SQL = None
 
 
