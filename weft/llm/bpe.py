@@ -1,46 +1,79 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are cut into words at places where the tokenizer never joins what stands
-on both sides.  Each partition's distinct words meet in one shuffle by word,
-where every distinct word is encoded once by the tokenizers library; the ids
-return to the partitions that asked, as one dictionary each, and a second pass
-over the texts puts them together by position.  Decoding looks each id up in
-the table of pieces, which has a fixed size.
+on both sides.  Consecutive documents form a block, whose distinct words are
+numbered; a document becomes the positions of its words in that numbering.
+The words of all blocks meet in one shuffle by word, where every distinct word
+is encoded once by the tokenizers library, and its ids are joined back to the
+blocks that hold it by (block, number), and from there to the documents by
+position.  Decoding joins each id with the relation of ids and pieces, which
+has a fixed size.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import posixpath
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import filesystem, lowered, mapped, ragged_binary, scratch, slices, text_bytes
+from weft.llm.shared import lowered, mapped, ragged_binary, slices, staged, text_bytes
 
-#: Text bytes that are split at once, and words that are encoded at once.
+#: Text bytes that are split at once (a page), and words that are encoded at once.
 SLICE, WORDS_A_CALL = 4 << 20, 8192
-#: Distinct words that a task holds before it passes them on.
-WORDS_HELD = 1 << 19
+#: Distinct words and bytes of text after which a block is closed.
+WORDS_A_BLOCK, BYTES_A_BLOCK = 1 << 19, 64 << 20
+#: Words whose ids travel back together.
+WORDS_A_PACK = 1 << 17
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The tokenizer, encoding whole texts: no truncation, no padding."""
+@lru_cache(maxsize=4)
+def tokenizer(path: str, special: bool = True):
+    """The tokenizer, encoding whole texts: no truncation, no padding.
+    Without ``special``, strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
+    if not special:
+        made.encode_special_tokens = True
     return made
 
 
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> tuple[list[bytes], np.ndarray]:
+    """(strings, ids) of the tokens that the library finds in a raw text before
+    anything else, longest first."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    for t in added:
+        if not t["special"] or any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {t['content']!r} isn't a plain special token")
+    added.sort(key=lambda t: -len(t["content"]))
+    return [t["content"].encode() for t in added], np.array([t["id"] for t in added], np.uint32)
+
+
+@lru_cache(maxsize=2)
+def check_cuts(path: str) -> None:
+    """Raise unless the tokenizer joins nothing over the cuts that are made here:
+    white space is dropped, and ASCII letters and marks stay apart."""
+    probe = "Ab cd12,x=(y);z\tIt's don't_go a.b[c]{d}e/f:g é日 本\n#h&i*j+k-l?m@n^o`p~q!r$s%t\"u"
+    raw = np.frombuffer(probe.encode(), np.uint8)
+    words = [probe.encode()[a:b] for a, b in zip(*(x.tolist() for x in word_spans(raw, np.array([0, len(raw)]))))]
+    if encode_words(path, words)[0].tolist() != tokenizer(path).encode(probe, add_special_tokens=False).ids:
+        raise ValueError(f"{path}: this tokenizer joins words over white space or marks")
+
+
 # -- splitting -----------------------------------------------------------------
 
 #: 0: ASCII white space, 1: ASCII letter or digit, 2: ASCII mark that joins neither, 3: the rest, which gives no cut.
@@ -122,18 +155,35 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[new], number
 
 
-def has_special(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that hold ``<|``, with which special tokens begin; these are encoded in one piece."""
-    out = np.zeros(len(offsets) - 1, bool)
-    if len(raw) > 1:
-        at = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
-        out[np.searchsorted(offsets, at, "right") - 1] = True
-    return out
+def cut_words(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, which special token or -1) of the words of a slice.
+
+    A special token is a word of its own wherever its string stands in one
+    text, and cuts what stands before it from what comes after.
+    """
+    low = lowered(raw)
+    spans = []
+    if special:
+        data = raw.tobytes()
+        if any(s in data for s in special):
+            for m in re.finditer(b"|".join(map(re.escape, special)), data):
+                if offsets[np.searchsorted(offsets, m.start(), "right")] >= m.end():
+                    spans.append((m.start(), m.end(), special.index(m.group())))
+    if not spans:
+        starts, ends = word_spans(low, offsets)
+        return low, starts, ends, np.full(len(starts), -1, np.int64)
+    begin, stop, which = np.array(spans, np.int64).T
+    starts, ends = word_spans(low, np.union1d(offsets, np.concatenate([begin, stop])))
+    inside = np.searchsorted(begin, starts, "right") - 1
+    outside = (inside < 0) | (stop[np.maximum(inside, 0)] <= starts)
+    starts, ends = starts[outside], ends[outside]
+    at = np.searchsorted(starts, begin)
+    return low, np.insert(starts, at, begin), np.insert(ends, at, stop), np.insert(np.full(len(starts), -1, np.int64), at, which)
 
 
 def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, number of ids of each) with one call of the library for many words."""
-    tok = tokenizer(path)
+    tok = tokenizer(path, special=False)
     ids, counts = [], []
     for i in range(0, len(words), WORDS_A_CALL):
         texts = [w.decode("utf-8", "replace") for w in words[i : i + WORDS_A_CALL]]
@@ -147,174 +197,214 @@ def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(ids), np.concatenate(counts)
 
 
-# -- the dictionary of distinct words -------------------------------------------
-
-
-def _distinct_words(batches):
-    """(partition, word) for each distinct word of this partition; a word may
-    come again when more than WORDS_HELD are met."""
-    pid = TaskContext.get().partitionId()
-    held: set[int] = set()
-    for part in slices(batches, "text", SLICE):
-        raw, offsets = text_bytes(part.column(0))
-        raw = lowered(raw)
-        starts, ends = word_spans(raw, offsets)
-        if not len(starts):
-            continue
-        h, _ = word_hashes(raw, starts, ends)
-        first, _ = distinct(h)
-        first = first[[x not in held for x in h[first].tolist()]]
-        if len(held) + len(first) > WORDS_HELD:
-            held.clear()
-        held.update(h[first].tolist())
-        view = memoryview(raw)
-        words = [bytes(view[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        for i in range(0, len(words), 50_000):
-            block = words[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), pid, np.int32)), pa.array(block, pa.binary())], ["part", "word"])
+# -- blocks and their words --------------------------------------------------------
+
+
+class _Block:
+    """Numbers for the distinct words of consecutive documents, from ``first`` on."""
+
+    def __init__(self, first: int):
+        self.name = uuid.uuid4().int >> 65  # rows of a block are written by one attempt, together
+        self.bytes, self.pages = 0, 0
+        self.sorted, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes = np.zeros((2, first), np.uint64)  # by number
+        self.twins: dict[tuple[int, int], int] = {}  # words whose first hash, or its high bits, another word has too
+
+    def place(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word; the numbers that are new, and a place of each)."""
+        h0, h1 = word_hashes(raw, starts, ends)
+        some, group = distinct(h0)
+        at = np.searchsorted(self.sorted, h0[some])
+        known = np.zeros(len(some), bool)
+        inside = at < len(self.sorted)
+        known[inside] = self.sorted[at[inside]] == h0[some[inside]]
+        of_group = np.empty(len(some), np.int64)
+        of_group[known] = self.number[at[known]]
+        new = some[~known]
+        count = self.hashes.shape[1]
+        of_group[~known] = count + np.arange(len(new))
+        self.hashes = np.concatenate([self.hashes, np.stack([h0[new], h1[new]])], 1)
+        order = np.argsort(h0[new])
+        to = at[~known][order]
+        self.sorted = np.insert(self.sorted, to, h0[new][order])
+        self.number = np.insert(self.number, to, (count + np.arange(len(new)))[order])
+        numbers = of_group[group]
+        fresh, where = (count + np.arange(len(new))).tolist(), new.tolist()
+        for i in np.flatnonzero((self.hashes[0][numbers] != h0) | (self.hashes[1][numbers] != h1)).tolist():
+            key = (int(h0[i]), int(h1[i]))
+            if key not in self.twins:
+                self.twins[key] = self.hashes.shape[1]
+                self.hashes = np.concatenate([self.hashes, np.array([[h0[i]], [h1[i]]], np.uint64)], 1)
+                fresh.append(self.twins[key])
+                where.append(i)
+            numbers[i] = self.twins[key]
+        return numbers, np.array(fresh, np.int64), np.array(where, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return self.hashes.shape[1] >= WORDS_A_BLOCK or self.bytes >= BYTES_A_BLOCK
+
+
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _split(path: str):
+    """Rows of words (block, number, word) and of pages: (block, page number,
+    the documents' ids, their numbers of words, the words' numbers)."""
+    special = special_tokens(path)[0]
+
+    def run(batches):
+        block = None
+        for part in slices(batches, "text", SLICE):
+            block = block or _Block(len(special))
+            ids, kind = part.column(0), pa.list_(part.schema.field(0).type)
+            raw, offsets = text_bytes(part.column(1))
+            low, starts, ends, which = cut_words(raw, offsets, special)
+            numbers = which.copy()
+            plain = np.flatnonzero(which < 0)
+            numbers[plain], new, at = block.place(low, starts[plain], ends[plain])
+            view = memoryview(low)
+            for i in range(0, len(new), 50_000):
+                here = plain[at[i : i + 50_000]]
+                words = [bytes(view[a:b]) for a, b in zip(starts[here].tolist(), ends[here].tolist())]
+                k = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block.name)), pa.array(new[i : i + k].astype(np.int32)), pa.array(words, pa.binary()), pa.nulls(k, kind), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], _SPLIT)
+            n_words = np.diff(np.searchsorted(starts, offsets, "left")).astype("<u4")
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([block.name]), pa.array([block.pages], pa.int32()), pa.nulls(1, pa.binary()), listed, pa.array([n_words.tobytes()], pa.binary()), pa.array([_pressed(numbers)], pa.binary())], _SPLIT)
+            block.pages += 1
+            block.bytes += len(raw)
+            if block.full:
+                block = None
+
+    return run
+
+
+_SPLIT = ["block", "number", "word", "doc_ids", "n_words", "page"]
+
+
+def _ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of ``values`` put together, where each ends)."""
+    upto = np.cumsum(counts)
+    total = int(upto[-1]) if len(upto) else 0
+    return values[np.arange(total) + np.repeat(starts - (upto - counts), counts)] if total else values[:0], upto
 
 
 def _encode_sorted(path: str):
-    """Words that come sorted are encoded once each; ids go to every partition that asked."""
+    """Words that come sorted are encoded once each; their ids go to every block that holds them."""
 
     def run(batches):
-        last, last_ids = None, b""
+        last, last_ids = None, np.zeros(0, np.uint32)
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            new, where = [], np.zeros(len(words), np.int64)
-            previous = last
-            for i, w in enumerate(words):
-                if w != previous:
-                    new.append(w)
-                    previous = w
-                where[i] = len(new)  # 0: the last word of the batch before
-            ids, counts = encode_words(path, new)
-            ends = np.cumsum(counts)
-            known = [last_ids, *(ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist()))]
-            last, last_ids = previous, known[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[k] for k in where.tolist()], pa.binary())], ["part", "word", "ids"])
+            coded = batch.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            again = bool(words) and words[0] == last  # the last word of the batch before
+            ids, counts = encode_words(path, words[1:] if again else words)
+            if again:
+                ids, counts = np.concatenate([last_ids, ids]), np.concatenate([[len(last_ids)], counts])
+            begin = np.cumsum(counts) - counts
+            if words:
+                last, last_ids = words[-1], ids[begin[-1] :]
+            at = coded.indices.to_numpy()
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), counts[at], _ragged(ids, begin[at], counts[at])[0]))
+            n += batch.num_rows
+            if n >= WORDS_A_PACK:
+                yield _packs(held)
+                held, n = [], 0
+        if n:
+            yield _packs(held)
 
     return run
 
 
-def word_table(texts: DataFrame, path: str) -> str:
-    """Write the ids of each partition's distinct words, and return where."""
-    to = scratch(texts.sparkSession, "words")
-    asked = texts.mapInArrow(_distinct_words, "part int, word binary")
-    known = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "part int, word binary, ids binary")
-    known.repartition("part").sortWithinPartitions("part").write.partitionBy("part").option("compression", "zstd").parquet(to)
-    return to
+def _packs(held: list[tuple]) -> pa.RecordBatch:
+    """One row for each block: the numbers of its words, the counts of their ids, the ids."""
+    block, number, counts, ids = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(block, kind="stable")
+    ids, upto = _ragged(ids, (np.cumsum(counts) - counts)[order], counts[order])
+    block, number, counts = block[order], number[order].astype("<u4"), counts[order].astype("<u4")
+    stops = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
+    return pa.RecordBatch.from_arrays([pa.array(block[stops - 1]), ragged_binary(number, stops), ragged_binary(counts, stops), ragged_binary(ids.astype("<u4"), upto[stops - 1])], ["block", "numbers", "counts", "ids"])
 
 
-class Dictionary:
-    """Ids by the hashes of words, from a partition's part of the word table.
+class _Words:
+    """The ids of a block's words by number, from its packs."""
 
-    What isn't there (a partition that was cut otherwise than when the table
-    was made) is encoded here.
-    """
+    def __init__(self, special_ids: np.ndarray):
+        self.parts = [(np.arange(len(special_ids)), np.ones(len(special_ids), np.int64), special_ids)]
+        self.ready = False
 
-    def __init__(self, path: str, table: str | None, pid: int):
-        self.path = path
-        words: list[bytes] = []
-        ids = [np.zeros(0, np.uint32)]
-        counts: list[np.ndarray] = []
-        if table:
-            from pyarrow import fs
-
-            files, root = filesystem(table)
-            for info in files.get_file_info(fs.FileSelector(posixpath.join(root, f"part={pid}"), allow_not_found=True)):
-                if info.path.endswith(".parquet"):
-                    t = pq.read_table(info.path, columns=["word", "ids"], filesystem=files, partitioning=None)
-                    words += t["word"].to_pylist()
-                    got = t["ids"].combine_chunks()
-                    data, at = _binary(got)
-                    ids.append(data.view(np.uint32))
-                    counts.append(np.diff(at) // 4)
-        self.hash = np.zeros((2, 0), np.uint64)
-        self.count, self.start, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        if words:
-            self._add(words, np.concatenate(ids), np.concatenate(counts))
-
-    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        lengths = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(lengths)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        hashes = [[], []]
-        cut = 0
-        while cut < len(words):  # a bounded number of bytes at once
-            base = ends[cut] - lengths[cut]
-            to = max(cut + 1, int(np.searchsorted(ends, base + SLICE, "right")))
-            h = word_hashes(raw[base : ends[to - 1]], ends[cut:to] - lengths[cut:to] - base, ends[cut:to] - base)
-            hashes[0].append(h[0])
-            hashes[1].append(h[1])
-            cut = to
-        h = np.stack([np.concatenate(x) for x in hashes])
-        start = np.cumsum(counts) - counts + len(self.ids)
-        h = np.concatenate([self.hash, h], 1)
-        count, start = np.concatenate([self.count, counts]), np.concatenate([self.start, start])
-        _, order = np.unique(h[0], return_index=True)
-        self.hash, self.count, self.start = h[:, order], count[order], start[order]
-        self.ids = np.concatenate([self.ids, ids])
-
-    def places(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each word; words that are missing are encoded first."""
-        h0, h1 = word_hashes(raw, starts, ends)
-        some, number = distinct(h0)
-        for _ in range(2):
-            if len(self.count):
-                found = np.minimum(np.searchsorted(self.hash[0], h0[some]), len(self.count) - 1)
-                at = found[number]
-                missing = np.flatnonzero((self.hash[0][at] != h0) | (self.hash[1][at] != h1))
-            else:
-                at, missing = np.zeros(len(starts), np.int64), np.arange(len(starts))
-            if not len(missing):
-                return at
-            _, first = np.unique(h0[missing], return_index=True)
-            new = missing[first]
-            new = new[~np.isin(h0[new], self.hash[0])]
-            words = [raw[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            if words:
-                self._add(words, *encode_words(self.path, words))
-        at = np.searchsorted(self.hash[0], h0)  # words that share high bits
-        if ((self.hash[0][at] != h0) | (self.hash[1][at] != h1)).any():
-            raise RuntimeError("two different words share a 64-bit hash")
-        return at
-
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts of a slice, where each text's ids end)."""
-        special = has_special(raw, offsets)
-        low = lowered(raw)
-        starts, ends = word_spans(low, offsets)
-        at = self.places(low, starts, ends) if len(starts) else np.zeros(0, np.int64)
-        n = self.count[at]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.start[at] - upto[:-1], n)] if len(at) else np.zeros(0, np.uint32)
-        stop = upto[np.searchsorted(starts, offsets[1:], "left")]
-        if special.any():
-            begin = np.concatenate([[0], stop[:-1]])
-            parts = [np.array(tokenizer(self.path).encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) if s else ids[begin[i] : stop[i]] for i, s in enumerate(special)]
-            ids, stop = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        return ids, stop
+    def add(self, numbers: bytes, counts: bytes, ids: bytes) -> None:
+        self.parts.append((np.frombuffer(numbers, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")))
 
+    def prepare(self) -> None:
+        number, counts, self.ids = (np.concatenate(x) for x in zip(*self.parts))
+        self.count, self.start = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
+        self.count[number], self.start[number] = counts, np.cumsum(counts) - counts
+        if (self.count < 0).any():
+            raise ValueError("a block's word came twice and another is missing")
+        self.parts, self.ready = [], True
+
+    def page(self, numbers: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a page's documents, where each document's end)."""
+        ids, upto = _ragged(self.ids, self.start[numbers], self.count[numbers])
+        return ids, np.concatenate([[0], upto])[np.cumsum(n_words)]
 
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets from 0) of a binary column without nulls."""
-    return text_bytes(column.cast(pa.binary()).view(pa.string()) if not pa.types.is_binary(column.type) else pa.Array.from_buffers(pa.string(), len(column), column.buffers(), offset=column.offset))
 
+Page = tuple[pa.Array, np.ndarray, np.ndarray]
 
-def map_encoded(docs: DataFrame, path: str, build, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``build(id column, ids, ends) -> RecordBatch`` over the encoded texts of
-    each slice, in the order of the rows.  Null text counts as empty."""
+
+def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``build`` over the pages (id column, ids, ends) of the encoded texts of each task.
+
+    Every row of ``docs`` is in one page; null text counts as empty.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = word_table(texts.select("text"), path)
+    check_cuts(path)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    split = staged(texts.mapInArrow(_split(path), f"block long, number int, word binary, doc_ids array<{kind}>, n_words binary, page binary"), "split")
+    words = split.filter("word is not null").select("block", "number", "word")
+    known = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block long, numbers binary, counts binary, ids binary")
+    pages = split.filter("page is not null").select("block", "number", "doc_ids", "n_words", "page")
+    rows = known.select("block", F.lit(-1).alias("number"), "numbers", "counts", "ids", F.lit(None).cast(f"array<{kind}>").alias("doc_ids")).union(
+        pages.select("block", "number", F.col("page").alias("numbers"), F.col("n_words").alias("counts"), F.lit(None).cast("binary").alias("ids"), "doc_ids")
+    )
+    special_ids = special_tokens(path)[1]
+
+    def encoded(batches) -> Iterator[Page]:
+        block = words = None
+        for batch in batches:
+            cols = [batch.column(i) for i in range(6)]
+            for i in range(batch.num_rows):
+                if cols[0][i].as_py() != block:
+                    block, words = cols[0][i].as_py(), _Words(special_ids)
+                numbers, counts = cols[2][i].as_py(), cols[3][i].as_py()
+                if cols[1][i].as_py() < 0:
+                    words.add(numbers, counts, cols[4][i].as_py())
+                    continue
+                if not words.ready:
+                    words.prepare()
+                yield cols[5].slice(i, 1).flatten(), *words.page(_unpressed(numbers), np.frombuffer(counts, "<u4").astype(np.int64))
 
     def run(batches):
-        known = None
-        for part in slices(batches, "text", SLICE):
-            known = known or Dictionary(path, table, TaskContext.get().partitionId())
-            yield build(part.column(0), *known.encode(*text_bytes(part.column(1))))
+        yield from build(encoded(batches))
 
-    return texts.mapInArrow(run, schema)
+    return rows.repartition("block").sortWithinPartitions("block", "number").mapInArrow(run, schema)
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of a binary column without nulls."""
+    return text_bytes(pa.Array.from_buffers(pa.string(), len(column), column.buffers(), offset=column.offset))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,8 +414,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     every row; null text as empty; repeated rows give repeated results.
     """
 
-    def build(ids_col, ids, ends):
-        return pa.RecordBatch.from_arrays([ids_col, pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()), ragged_binary(ids.astype("<u4"), ends)], ["doc_id", "n_tokens", "ids"])
+    def build(pages):
+        for ids_col, ids, ends in pages:
+            yield pa.RecordBatch.from_arrays([ids_col, pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()), ragged_binary(ids.astype("<u4"), ends)], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_encoded(docs, path, build, f"doc_id {kind}, n_tokens long, ids binary", id_col, text_col)
@@ -384,16 +475,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: the digests
+    of its ids and of the text that they decode to.
+
+    Null and empty text have no ids and decode to the empty text; repeated rows
+    and ids give repeated results, null ids stay null; an empty table gives an
+    empty result; other columns are not read.
+    """
     from hashlib import sha256
 
-    def build(ids_col, ids, ends):
-        ids = ids.astype("<u4")
-        begin = np.concatenate([[0], ends[:-1]])
-        view = memoryview(ids.view(np.uint8))
-        of_ids = [sha256(view[4 * a : 4 * b]).hexdigest() for a, b in zip(begin.tolist(), ends.tolist())]
-        of_text = [sha256(t).hexdigest() for t in decode_slice(path, ids, ends)]
-        return pa.RecordBatch.from_arrays([ids_col, pa.array(ends - begin, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def build(pages):
+        for ids_col, ids, ends in pages:
+            ids = ids.astype("<u4")
+            begin = np.concatenate([[0], ends[:-1]])
+            view = memoryview(ids.view(np.uint8))
+            of_ids = [sha256(view[4 * a : 4 * b]).hexdigest() for a, b in zip(begin.tolist(), ends.tolist())]
+            of_text = [sha256(t).hexdigest() for t in decode_slice(path, ids, ends)]
+            yield pa.RecordBatch.from_arrays([ids_col, pa.array(ends - begin, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_encoded(docs, path, build, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)

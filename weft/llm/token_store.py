@@ -30,15 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.bpe import SLICE, Dictionary, tokenizer, word_table
-from weft.llm.shared import filesystem, remove, scratch, slices, staged, text_bytes
+from weft.llm.bpe import map_encoded, tokenizer
+from weft.llm.shared import filesystem, remove, scratch, staged
 
 WINDOW, SHORTEST, MEAN_BITS, LONGEST = 16, 64, 8, 2048
 DIGEST = 20
 FRAME_BYTES = 1 << 17
 #: Digests of chunks that a writing task remembers, and frames that a reading task keeps.
 DIGESTS_HELD, FRAMES_HELD = 1 << 19, 96
-BLOCK_DOCS = 512
+#: Documents of a recipe block, and chunks that are checked together.
+BLOCK_DOCS, CHUNKS_AT_ONCE = 512, 256
 NULL_ID = -(1 << 63)
 
 
@@ -169,24 +170,20 @@ def _places(rows: list[tuple]) -> list[pa.Array]:
 def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) -> DataFrame:
     """Encode, cut and put aside: a row for each document, and one for each
     chunk that its task met first, with the place in the task's own pack."""
-    table = word_table(texts.select("text"), path)
     kind = f"<u{width}"
+    names = ["doc_id", "total", "recipe", *_PLACE_NAMES]
 
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        known = writer = None
+    def run(pages):
+        writer = None
         seen: set[bytes] = set()
-        names = ["doc_id", "total", "recipe", *_PLACE_NAMES]
 
         def chunk_rows():
             rows = writer.take()
             n = len(rows)
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *_places(rows)], names)
 
-        for part in slices(batches, "text", SLICE):
-            known = known or Dictionary(path, table, pid)
-            writer = writer or _PackWriter(posixpath.join(root, "aside"), str(pid))
-            ids, ends = known.encode(*text_bytes(part.column(1)))
+        for doc_ids, ids, ends in pages:
+            writer = writer or _PackWriter(posixpath.join(root, "aside"), str(TaskContext.get().partitionId()))
             ends = ends + np.arange(1, len(ends) + 1)
             all_ids = np.full(ends[-1], end_id, np.uint32)
             keep = np.ones(len(all_ids), bool)
@@ -208,7 +205,7 @@ def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) ->
             upto = np.concatenate([[0], np.cumsum(counts)]).tolist()
             recipes = [b"".join(digests[a:b]) for a, b in zip(upto[:-1], upto[1:])]
             n = len(recipes)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()), pa.array(recipes, pa.binary()), *[pa.nulls(n, t) for t in _PLACE_TYPES]], names)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()), pa.array(recipes, pa.binary()), *[pa.nulls(n, t) for t in _PLACE_TYPES]], names)
             if writer.rows:
                 yield chunk_rows()
         if writer:
@@ -216,7 +213,7 @@ def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) ->
             if writer.rows:
                 yield chunk_rows()
 
-    return texts.mapInArrow(run, f"doc_id long, total long, recipe binary, {PLACE}")
+    return map_encoded(texts, path, run, f"doc_id long, total long, recipe binary, {PLACE}")
 
 
 def _compact(root: str, width: int):
@@ -351,7 +348,7 @@ def _assemble(root: str, width: int):
 
     def run(batches):
         reader = _PackReader(posixpath.join(root, "packs"))
-        rows, now, crc, n = [], None, 0, 0
+        rows, held, crc, n = [], [], 0, 0
         for batch in batches:
             for part, row, doc, start, n_ids, seq, k, name, pack, frame, size, at, count in zip(*(c.to_pylist() for c in batch.columns)):
                 if pack is None:
@@ -360,9 +357,12 @@ def _assemble(root: str, width: int):
                 if digest(chunk) != name:
                     raise ValueError(f"a chunk of document {doc} doesn't match its digest")
                 if seq == 0:
-                    crc, n = 0, 0
-                crc = zlib.crc32(np.frombuffer(chunk, f"<u{width}").astype("<u4").tobytes(), crc)
+                    held, crc, n = [], 0, 0
+                held.append(chunk)
                 n += count
+                if seq == k - 1 or len(held) >= CHUNKS_AT_ONCE:
+                    crc = zlib.crc32(np.frombuffer(b"".join(held), f"<u{width}").astype("<u4").tobytes(), crc)
+                    held = []
                 if seq == k - 1:
                     if n != n_ids:
                         raise ValueError(f"document {doc} has {n} ids, not {n_ids}")
