@@ -24,15 +24,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.shared import lowered, mapped, ragged_binary, slices, staged, text_bytes
+from weft.llm.shared import lowered, mapped, ragged_binary, scratch, slices, text_bytes
 
 #: Text bytes that are split at once (a page), and words that are encoded at once.
 SLICE, WORDS_A_CALL = 4 << 20, 8192
 #: Distinct words and bytes of text after which a block is closed.
 WORDS_A_BLOCK, BYTES_A_BLOCK = 1 << 19, 64 << 20
-#: Words whose ids travel back together.
-WORDS_A_PACK = 1 << 17
+#: Words whose ids travel back together, and buckets of pages at most.
+WORDS_A_PACK, MOST_BUCKETS = 1 << 17, 100_000
 
 
 @lru_cache(maxsize=4)
@@ -210,8 +211,8 @@ class _Block:
         self.hashes = np.zeros((2, first), np.uint64)  # by number
         self.twins: dict[tuple[int, int], int] = {}  # words whose first hash, or its high bits, another word has too
 
-    def place(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of each word; the numbers that are new, and a place of each)."""
+    def place(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word; a place of each word that got a new number, in the order of numbers)."""
         h0, h1 = word_hashes(raw, starts, ends)
         some, group = distinct(h0)
         at = np.searchsorted(self.sorted, h0[some])
@@ -229,16 +230,15 @@ class _Block:
         self.sorted = np.insert(self.sorted, to, h0[new][order])
         self.number = np.insert(self.number, to, (count + np.arange(len(new)))[order])
         numbers = of_group[group]
-        fresh, where = (count + np.arange(len(new))).tolist(), new.tolist()
+        where = new.tolist()
         for i in np.flatnonzero((self.hashes[0][numbers] != h0) | (self.hashes[1][numbers] != h1)).tolist():
             key = (int(h0[i]), int(h1[i]))
             if key not in self.twins:
                 self.twins[key] = self.hashes.shape[1]
                 self.hashes = np.concatenate([self.hashes, np.array([[h0[i]], [h1[i]]], np.uint64)], 1)
-                fresh.append(self.twins[key])
                 where.append(i)
             numbers[i] = self.twins[key]
-        return numbers, np.array(fresh, np.int64), np.array(where, np.int64)
+        return numbers, np.array(where, np.int64)
 
     @property
     def full(self) -> bool:
@@ -246,19 +246,19 @@ class _Block:
 
 
 def _pressed(numbers: np.ndarray) -> bytes:
-    """Numbers by planes of their bytes, compressed."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    """32-bit numbers by planes of their bytes, compressed where that pays."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(planes) if len(numbers) > 32 else b"\0" + planes
 
 
 def _unpressed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _split(path: str):
-    """Rows of words (block, number, word) and of pages: (block, page number,
-    the documents' ids, their numbers of words, the words' numbers)."""
+    """A row for each page: (block, page, the documents' ids, their numbers of
+    words, the words' numbers, the first number that is new, the new words)."""
     special = special_tokens(path)[0]
 
     def run(batches):
@@ -268,18 +268,18 @@ def _split(path: str):
             ids, kind = part.column(0), pa.list_(part.schema.field(0).type)
             raw, offsets = text_bytes(part.column(1))
             low, starts, ends, which = cut_words(raw, offsets, special)
-            numbers = which.copy()
+            numbers, first = which.copy(), block.hashes.shape[1]
             plain = np.flatnonzero(which < 0)
-            numbers[plain], new, at = block.place(low, starts[plain], ends[plain])
-            view = memoryview(low)
-            for i in range(0, len(new), 50_000):
-                here = plain[at[i : i + 50_000]]
-                words = [bytes(view[a:b]) for a, b in zip(starts[here].tolist(), ends[here].tolist())]
-                k = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block.name)), pa.array(new[i : i + k].astype(np.int32)), pa.array(words, pa.binary()), pa.nulls(k, kind), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], _SPLIT)
-            n_words = np.diff(np.searchsorted(starts, offsets, "left")).astype("<u4")
+            numbers[plain], at = block.place(low, starts[plain], ends[plain])
+            at = plain[at]
+            lengths = ends[at] - starts[at]
+            new = zstandard.ZstdCompressor(level=1).compress(lengths.astype("<u4").tobytes() + _ragged(low, starts[at], lengths)[0].tobytes())
+            n_words = np.diff(np.searchsorted(starts, offsets, "left"))
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(kind)
-            yield pa.RecordBatch.from_arrays([pa.array([block.name]), pa.array([block.pages], pa.int32()), pa.nulls(1, pa.binary()), listed, pa.array([n_words.tobytes()], pa.binary()), pa.array([_pressed(numbers)], pa.binary())], _SPLIT)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.name]), pa.array([block.pages], pa.int32()), listed, *(pa.array([x], pa.binary()) for x in (_pressed(n_words), _pressed(numbers))), pa.array([first], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([new], pa.binary())],
+                ["block", "page", "doc_ids", "n_words", "numbers", "first_new", "n_new", "new"],
+            )
             block.pages += 1
             block.bytes += len(raw)
             if block.full:
@@ -288,7 +288,16 @@ def _split(path: str):
     return run
 
 
-_SPLIT = ["block", "number", "word", "doc_ids", "n_words", "page"]
+def _new_words(batches):
+    """(block, number, word) of the words that each page met first."""
+    for batch in batches:
+        for block, first, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+            ends = np.cumsum(data[: 4 * n].view("<u4"), dtype=np.int64)
+            words = ragged_binary(data[4 * n :], ends)
+            for i in range(0, n, 50_000):
+                k = min(n, i + 50_000) - i
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(first + i, first + i + k, dtype=np.int32)), words.slice(i, k)], ["block", "number", "word"])
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,32 +337,29 @@ def _encode_sorted(path: str):
 
 
 def _packs(held: list[tuple]) -> pa.RecordBatch:
-    """One row for each block: the numbers of its words, the counts of their ids, the ids."""
+    """One row for each block: the numbers of its words, ascending, as steps; the counts of their ids; the ids."""
     block, number, counts, ids = (np.concatenate(x) for x in zip(*held))
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((number, block))
     ids, upto = _ragged(ids, (np.cumsum(counts) - counts)[order], counts[order])
-    block, number, counts = block[order], number[order].astype("<u4"), counts[order].astype("<u4")
-    stops = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))
-    return pa.RecordBatch.from_arrays([pa.array(block[stops - 1]), ragged_binary(number, stops), ragged_binary(counts, stops), ragged_binary(ids.astype("<u4"), upto[stops - 1])], ["block", "numbers", "counts", "ids"])
+    block, number, counts = block[order], number[order].astype(np.int64), counts[order]
+    stops = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)).tolist()
+    rows = [(_pressed(np.diff(number[a:b], prepend=0)), _pressed(counts[a:b]), _pressed(ids[upto[a] - counts[a] : upto[b - 1]])) for a, b in zip([0, *stops[:-1]], stops)]
+    return pa.RecordBatch.from_arrays([pa.array(block[np.array(stops) - 1]), *(pa.array(x, pa.binary()) for x in zip(*rows))], ["block", "steps", "counts", "ids"])
 
 
 class _Words:
     """The ids of a block's words by number, from its packs."""
 
-    def __init__(self, special_ids: np.ndarray):
-        self.parts = [(np.arange(len(special_ids)), np.ones(len(special_ids), np.int64), special_ids)]
-        self.ready = False
-
-    def add(self, numbers: bytes, counts: bytes, ids: bytes) -> None:
-        self.parts.append((np.frombuffer(numbers, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")))
-
-    def prepare(self) -> None:
-        number, counts, self.ids = (np.concatenate(x) for x in zip(*self.parts))
+    def __init__(self, special_ids: np.ndarray, packs: pa.Table):
+        parts = [(np.arange(len(special_ids)), np.ones(len(special_ids), np.int64), special_ids.astype(np.int64))]
+        for steps, counts, ids in zip(*(packs.column(c).to_pylist() for c in ("steps", "counts", "ids"))):
+            parts.append((np.cumsum(_unpressed(steps)), _unpressed(counts), _unpressed(ids)))
+        number, counts, ids = (np.concatenate(x) for x in zip(*parts))
+        self.ids = ids.astype(np.uint32)
         self.count, self.start = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
         self.count[number], self.start[number] = counts, np.cumsum(counts) - counts
         if (self.count < 0).any():
             raise ValueError("a block's word came twice and another is missing")
-        self.parts, self.ready = [], True
 
     def page(self, numbers: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of a page's documents, where each document's end)."""
@@ -361,45 +367,51 @@ class _Words:
         return ids, np.concatenate([[0], upto])[np.cumsum(n_words)]
 
 
+def _bucketed(pages: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``pages`` written in buckets by block, so that what is joined to them by
+    block comes to them, and the same rows without regard to buckets."""
+    spark, path = pages.sparkSession, scratch(pages.sparkSession, "pages")
+    name = f"spark_catalog.default.weft_pages_{uuid.uuid4().hex}"
+    pages.write.bucketBy(buckets, "block").option("compression", "uncompressed").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are the scratch folder's
+    return table, spark.read.schema(pages.schema).parquet(path)
+
+
 Page = tuple[pa.Array, np.ndarray, np.ndarray]
 
 
 def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``build`` over the pages (id column, ids, ends) of the encoded texts of each task.
+    """``build`` over the pages (id column, ids, ends) of the encoded texts of each block.
 
     Every row of ``docs`` is in one page; null text counts as empty.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     check_cuts(path)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    split = staged(texts.mapInArrow(_split(path), f"block long, number int, word binary, doc_ids array<{kind}>, n_words binary, page binary"), "split")
-    words = split.filter("word is not null").select("block", "number", "word")
-    known = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block long, numbers binary, counts binary, ids binary")
-    pages = split.filter("page is not null").select("block", "number", "doc_ids", "n_words", "page")
-    rows = known.select("block", F.lit(-1).alias("number"), "numbers", "counts", "ids", F.lit(None).cast(f"array<{kind}>").alias("doc_ids")).union(
-        pages.select("block", "number", F.col("page").alias("numbers"), F.col("n_words").alias("counts"), F.lit(None).cast("binary").alias("ids"), "doc_ids")
-    )
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, 4 * size // BYTES_A_BLOCK))
+    pages, rows = _bucketed(texts.mapInArrow(_split(path), f"block long, page int, doc_ids array<{kind}>, n_words binary, numbers binary, first_new int, n_new int, new binary"), buckets)
+    words = rows.filter("n_new > 0").select("block", "first_new", "n_new", "new").mapInArrow(_new_words, "block long, number int, word binary")
+    known = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block long, steps binary, counts binary, ids binary")
     special_ids = special_tokens(path)[1]
+    to = T.StructType.fromDDL(schema)
+    names = to.fieldNames()
 
-    def encoded(batches) -> Iterator[Page]:
-        block = words = None
-        for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
-            for i in range(batch.num_rows):
-                if cols[0][i].as_py() != block:
-                    block, words = cols[0][i].as_py(), _Words(special_ids)
-                numbers, counts = cols[2][i].as_py(), cols[3][i].as_py()
-                if cols[1][i].as_py() < 0:
-                    words.add(numbers, counts, cols[4][i].as_py())
-                    continue
-                if not words.ready:
-                    words.prepare()
-                yield cols[5].slice(i, 1).flatten(), *words.page(_unpressed(numbers), np.frombuffer(counts, "<u4").astype(np.int64))
+    def joined(packs: pa.Table, held: pa.Table) -> pa.Table:
+        words = _Words(special_ids, packs)
 
-    def run(batches):
-        yield from build(encoded(batches))
+        def encoded() -> Iterator[Page]:
+            for batch in held.sort_by("page").to_batches():
+                for i in range(batch.num_rows):
+                    n_words, numbers = (_unpressed(batch.column(c)[i].as_py()) for c in (2, 3))
+                    yield batch.column(1).slice(i, 1).flatten(), *words.page(numbers, n_words)
+
+        return pa.Table.from_batches(list(build(encoded()))).select(names)
 
-    return rows.repartition("block").sortWithinPartitions("block", "number").mapInArrow(run, schema)
+    kept = pages.select("block", "doc_ids", "n_words", "numbers", "page")
+    return known.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(joined, to)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
