@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.shared import staged
+from weft.llm.shared import clear_scratch, hot_keys, keyed_join, staged, staged_so_far
 
 #: Dimensions of a block, home vectors of a task, vectors in the sample that fixes slabs.
 BLOCK_DIMS, HOME_ROWS, SAMPLE_VECTORS = 8, 8192, 20_000
@@ -255,12 +255,13 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     vectors of different lengths.  Repeated rows link with each other.  An
     empty table gives an empty result; other columns are not read.
     """
-    limit = 2 - 2 * cosine
+    limit, spark = 2 - 2 * cosine, vectors.sparkSession
+    since = staged_so_far(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     usable = staged(_nodes(rows), "vectors")
     nodes = usable.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("times"), F.first("dims").alias("dims"), F.first("data").alias("data"))
     nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "times", "dims", "data", "key", "vec_id"), "vector-nodes")
-    sizes = {r["dims"]: r["count"] for r in nodes.groupBy("dims").count().limit(1000).collect()}
+    sizes = {r["dims"]: r["count"] for r in nodes.groupBy("dims").count().collect()}  # as many rows as there are lengths
     cuts = {d: _slabs(nodes, d, n) for d, n in sizes.items()}
     kind = "dims int, block int, slab int, role int, home int, node long, times long, data binary"
     placed = staged(nodes.select("node", "times", "dims", "data").mapInArrow(_placed(cuts, limit), kind), "placed")
@@ -273,10 +274,12 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     found = staged(tasks.mapInArrow(_joined(limit, cosine), "node long, other long, links long"), "vector-links")
     comps = components(found.filter("other is not null"), "node", "other")
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+    clear_scratch(spark, since, [usable, nodes, found, comps])
     named = nodes.select("node", "key", "times", "vec_id").join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    named = named.join(ids, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    linked = usable.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
+    named = keyed_join(named, ids, ["component"], hot_keys(named.groupBy("component").agg(F.count(F.lit(1)).alias("n")), ["component"]))
+    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    linked = keyed_join(usable.select("vec_id", "key"), named, ["key"], hot_keys(nodes.select("key", F.col("times").alias("n")), ["key"])).select("vec_id", "n_links", "component_id")
     odd = F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.forall("embedding", lambda v: v == 0)
     alone = rows.filter(F.coalesce(odd, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

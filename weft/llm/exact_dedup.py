@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import lowered, slices, staged, text_bytes
+from weft.llm.shared import hot_keys, keyed_join, lowered, slices, staged, text_bytes
 
 #: Primes below 2**31, so that products of two residues fit 64 bits, and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 905432189))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Members compared by one task with one copy of the representative.
 MEMBERS_A_SALT = 64
+#: Bytes of one text that are hashed at once.
+WINDOW = 4 << 20
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -62,6 +64,9 @@ class _Hasher:
         self.powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(MODULI)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        if len(offsets) == 2 and len(raw) > WINDOW:  # one huge text: windows of it, combined
+            windows = [(self(raw[a : a + WINDOW], np.array([0, len(raw[a : a + WINDOW])])), len(raw[a : a + WINDOW])) for a in range(0, len(raw), WINDOW)]
+            return [np.array([combine([(int(h[k][0]), n) for h, n in windows], base, prime)[0]]) for k, (prime, base) in enumerate(MODULI)]
         lengths = np.diff(offsets)
         pieces = np.maximum(1, -(-lengths // self.chunk))
         doc = np.repeat(np.arange(len(lengths)), pieces)
@@ -105,29 +110,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp1 long, fp2 long, n_bytes long, text_sha256 string")
 
 
-def differing(docs: DataFrame, prints: DataFrame, chunk_chars: int = 32768) -> DataFrame:
+def differing(docs: DataFrame, prints: DataFrame, hot: DataFrame | None = None, chunk_bytes: int = 65536) -> DataFrame:
     """The fingerprints (fp1, fp2, n_bytes) that texts with different content share.
 
     Candidates and one representative for each salt of a fingerprint meet
     chunk by chunk; a salt takes MEMBERS_A_SALT members, so no task gathers a
     group.  A candidate without an id can't be looked up: its fingerprint is
-    reported as differing, which sends it to the SHA-256 grouping.
+    reported as differing, which sends it to the SHA-256 grouping.  ``hot`` are
+    the fingerprints that very many rows share.
     """
     key = ["fp1", "fp2", "n_bytes"]
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("rep"), F.count("doc_id").alias("known")).filter("n > 1 and n_bytes > 0")
     unknown = groups.filter("known < n").select(*key)
     groups = groups.filter("known = n").withColumn("salts", F.ceil(F.col("n") / MEMBERS_A_SALT).cast("int"))
-    member = prints.join(groups, key).select(*key, "doc_id", F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("salt"), F.lit(1).alias("role"))
+    member = keyed_join(prints, groups, key, hot).select(*key, "doc_id", F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("salt"), F.lit(1).alias("role"))
     rep = groups.select(*key, F.col("rep").alias("doc_id"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
     wanted = member.dropDuplicates([*key, "doc_id"]).unionByName(rep)
-    text = docs.select("doc_id", F.translate(F.col("text").cast("string"), UPPER, LOWER).alias("text"))
-    n_chunks = F.ceil(F.length("text") / chunk_chars).cast("int")
+    text = docs.select("doc_id", F.translate(F.col("text").cast("string"), UPPER, LOWER).cast("binary").alias("text"))
+    n_chunks = F.ceil(F.octet_length("text") / chunk_bytes).cast("int")
     chunks = (
         text.join(wanted, "doc_id")
-        .filter(F.length("text") > 0)
+        .filter(F.octet_length("text") > 0)
         .withColumn("salt", F.explode("salt"))
         .select(*key, "salt", "role", "text", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
-        .select(*key, "salt", "chunk", "role", F.substring(F.col("text"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars)).alias("piece"))
+        .select(*key, "salt", "chunk", "role", F.substring(F.col("text"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("piece"))
     )
     together = Window.partitionBy(*key, "salt", "chunk").orderBy("role")
     return chunks.withColumn("of_rep", F.first("piece").over(together)).filter("piece != of_rep").select(*key).union(unknown).distinct()
@@ -145,11 +151,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = staged(fingerprints(docs, chunk_bytes=chunk_bytes, moduli_bits=moduli_bits).withColumn("uid", F.monotonically_increasing_id()), "prints")
     key = ["fp1", "fp2", "n_bytes"]
-    bad = staged(differing(docs, prints), "differing").withColumn("bad", F.lit(True))
-    prints = prints.join(bad, key, "left").withColumn("tag", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad")
+    hot = hot_keys(prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
+    bad = staged(differing(docs, prints, hot), "differing")
+    if bad.head(1):
+        prints = keyed_join(prints, bad.withColumn("bad", F.lit(True)), key, hot, "left").withColumn("tag", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad")
+    else:
+        prints = prints.withColumn("tag", F.lit(""))
     key.append("tag")
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("keep"))
-    return prints.join(groups, key).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256")
+    hot = hot and hot_keys(groups, key, "group_size")
+    return keyed_join(prints, groups, key, hot).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import word_hashes, word_spans
 from weft.llm.components import components
-from weft.llm.shared import lowered, slices, staged, text_bytes
+from weft.llm.shared import clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, slices, staged, staged_so_far, text_bytes
 
 HASHES, BITS = 128, 4
 WORDS = HASHES * BITS // 64
@@ -35,9 +35,9 @@ MISS = 1e-6
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 5.0
 #: Members that one copy of a pivot serves, nodes in a block of a large bucket,
-#: and how many nodes a small one has.
-MEMBERS_A_SALT, NODES_A_BLOCK, SMALL_BUCKET = 64, 512, 24
-#: A list of wanted documents of up to so many rows (under 100 bytes each) is broadcast.
+#: shingles in it, and how many nodes a small one has.
+MEMBERS_A_SALT, NODES_A_BLOCK, SHINGLES_A_BLOCK, SMALL_BUCKET = 64, 512, 1 << 20, 24
+#: A list of wanted documents of up to so many rows is broadcast, if it has few bytes too.
 BROADCAST_ROWS = 250_000
 
 _rng = np.random.default_rng(77)
@@ -163,7 +163,7 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     members = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
     pivots = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("node"))
     wanted = staged(members.union(pivots).join(nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "set_hash"), "node"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
+    if fits_broadcast(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
     text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     rows = text.join(wanted, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("pivot", "salt", "role", "node", "set_hash", "text")
@@ -203,10 +203,11 @@ def _star(nodes: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
     near enough.  The pivot is the node whose buckets are largest in all: in a
     group of near copies, the text that most of them come from."""
     large = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = buckets.join(large, "key")
+    hot = hot_keys(large, ["key"])
+    met = staged(keyed_join(buckets, large, ["key"], hot), "met")
     weight = met.groupBy("node").agg(F.sum("n").alias("met"))
     pivot = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("best")).select("key", F.col("best.node").alias("pivot"))
-    pairs = buckets.join(pivot, "key").filter("node <> pivot").select("node", "pivot").distinct()
+    pairs = keyed_join(met.select("key", "node"), pivot, ["key"], hot).filter("node <> pivot").select("node", "pivot").distinct()
     pairs = _with_signature(_with_signature(pairs, nodes, "node", "a_"), nodes, "pivot", "b_")
     return pairs.filter(estimate("a_", "b_") >= least).select("node", "pivot")
 
@@ -215,7 +216,7 @@ def _mixed(nodes: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, node, component, n) of buckets that still hold more than one component."""
     placed = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
-    return placed.join(mixed, "key").select("key", "node", "component", "n")
+    return keyed_join(placed, mixed, ["key"], hot_keys(mixed, ["key"])).select("key", "node", "component", "n")
 
 
 def _small_pairs(nodes: DataFrame, mixed: DataFrame, tested: DataFrame, least: float) -> DataFrame:
@@ -239,15 +240,20 @@ def _large_links(docs: DataFrame, nodes: DataFrame, mixed: DataFrame, width: int
     components not joined yet.
     """
     large = mixed.filter(F.col("n") > SMALL_BUCKET)
-    wanted = staged(large.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "set_hash", "bands", *_SIG), "node"), "large")
-    found = F.broadcast(wanted.select("node", "w_id", "w_key")) if wanted.count() <= BROADCAST_ROWS else wanted.select("node", "w_id", "w_key")
+    wanted = staged(large.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "set_hash", "n_shingles", "bands", *_SIG), "node"), "large")
+    found = F.broadcast(wanted.select("node", "w_id", "w_key")) if fits_broadcast(wanted, BROADCAST_ROWS) else wanted.select("node", "w_id", "w_key")
     text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(found, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    full = staged(wanted.drop("w_id", "w_key").join(text, "node").dropDuplicates(["node"]), "texts")
+    full = staged(wanted.drop("w_id", "w_key", "n_shingles").join(text, "node").dropDuplicates(["node"]), "texts")
     # the largest component's nodes needn't meet each other: they are dealt into blocks after all others
-    shares = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    major = shares.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.first("n").alias("n"))
-    major = major.select("key", F.col("m.component").alias("major"), F.ceil((F.col("n") - F.col("m.k")) / NODES_A_BLOCK).cast("int").alias("others"), F.ceil(F.col("m.k") / NODES_A_BLOCK).cast("int").alias("majors"))
-    placed = large.drop("n").join(major, "key").withColumn("in_major", F.col("component") == F.col("major"))
+    sized = large.join(wanted.select("node", "n_shingles"), "node")
+    shares = sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s"), F.first("n").alias("n"))
+    major = shares.groupBy("key").agg(F.max(F.struct("k", "component", "s")).alias("m"), F.first("n").alias("n"), F.sum("s").alias("s"))
+
+    def blocks(nodes_in, shingles_in):
+        return F.ceil(F.greatest(nodes_in / NODES_A_BLOCK, shingles_in / SHINGLES_A_BLOCK)).cast("int")
+
+    major = major.select("key", F.col("m.component").alias("major"), blocks(F.col("n") - F.col("m.k"), F.col("s") - F.col("m.s")).alias("others"), blocks(F.col("m.k"), F.col("m.s")).alias("majors"))
+    placed = large.drop("n").join(F.broadcast(major) if fits_broadcast(major, BROADCAST_ROWS) else major, "key").withColumn("in_major", F.col("component") == F.col("major"))
     own = F.when(F.col("in_major"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
     placed = placed.withColumn("block", own.cast("int"))
     last = F.when(F.col("in_major"), F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1)
@@ -335,11 +341,11 @@ def _links(held: list, task: tuple, percent: int, least: float) -> pa.RecordBatc
 
 def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(signatures of (doc_id, text), nodes with their component and least row)."""
-    threshold = percent / 100
+    threshold, since = percent / 100, staged_so_far(docs.sparkSession)
     sig = staged(signatures(docs, words, rows_a_band(threshold)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
-    nodes = sig.filter("n_shingles > 0").groupBy("set_hash").agg(first, *(F.first(c).alias(c) for c in [*_SIG, "bands"]))
-    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "set_hash", *_SIG, "bands"), "nodes")
+    nodes = sig.filter("n_shingles > 0").groupBy("set_hash").agg(first, *(F.first(c).alias(c) for c in ["n_shingles", *_SIG, "bands"]), F.count(F.lit(1)).alias("n_rows"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "set_hash", "n_shingles", "n_rows", *_SIG, "bands"), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     least = lowest_estimate(threshold)
     star = staged(_star(nodes, buckets, least), "star")
@@ -352,7 +358,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     if rest.head(1):
         links = links.unionByName(_confirm(docs, nodes, rest, words, percent))
     comps = staged(components(links, "node", "pivot"), "components")
-    named = nodes.select("node", "doc_id", "text_key", "set_hash").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    clear_scratch(docs.sparkSession, since, [sig, nodes, comps])
+    named = nodes.select("node", "doc_id", "text_key", "set_hash", "n_rows").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return sig, named
 
 
@@ -370,9 +377,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sig, named = _components(docs, words, percent)
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(ids, "component").select("set_hash", "component_id")
-    linked = sig.filter("n_shingles > 0").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
+    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(named.select("set_hash", F.col("n_rows").alias("n")), ["set_hash"])
+    named = keyed_join(named, ids, ["component"], hot_keys(ids, ["component"])).select("set_hash", "component_id")
+    linked = keyed_join(sig.filter("n_shingles > 0"), named, ["set_hash"], hot).select("doc_id", "n_shingles", "component_id")
     alone = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -9,17 +9,23 @@ from __future__ import annotations
 import ctypes
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.scratch import shared_folder
 
 _made: dict[str, list[str]] = {}
 
+#: A key is hot when it has over so many rows and is among so many with most.
+HOT_ROWS, HOT_KEYS = 2_000, 1_000
+#: Bytes of a list that is broadcast, as its columns' values count.
+BROADCAST_BYTES = 32 << 20
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
@@ -33,13 +39,49 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    """How many paths this application has asked for; see :func:`clear_scratch`."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Delete what this application has staged since ``since`` paths, but for
+    the tables in ``keep``, which later plans still read."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    kept = {df.staged_at for df in keep}
+    for path in made[since:]:
+        if path not in kept:
+            remove(spark, path)
+    made[since:] = [p for p in made[since:] if p in kept]
+
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Whether a staged table has at most ``rows`` rows and BROADCAST_BYTES bytes."""
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema), F.lit(16))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return n <= rows and (total or 0) <= BROADCAST_BYTES
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this application has staged."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        remove(spark, path)
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame | None:
+    """The keys that most rows share, at most HOT_KEYS whatever the data, of a
+    table of keys and their rows; None if there is none."""
+    rows = counts.filter(F.col(n) > HOT_ROWS).select(*on, n).orderBy(F.col(n).desc()).limit(HOT_KEYS).collect()
+    return counts.sparkSession.createDataFrame([r[:-1] for r in rows], counts.select(*on).schema) if rows else None
+
+
+def keyed_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row a key: rows with a hot key
+    stay where they are and get its row by broadcast, the others are shuffled."""
+    if hot is None:
+        return many.join(one, on, how)
+    hot = F.broadcast(hot)
+    cold = many.join(hot, on, "left_anti").join(one, on, how)
+    return cold.unionByName(many.join(hot, on, "left_semi").join(F.broadcast(one.join(hot, on, "left_semi")), on, how))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -48,24 +90,20 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a URI: local, HDFS or object stores alike."""
-    from pyarrow import fs
+#: Spark's names of stores, and the file system library's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
 
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of a URI as Spark names it: local files, HDFS and object stores."""
+    from pyarrow import fs
 
-def publish(files, path: str, data) -> None:
-    """Write under a name of this attempt's own, then rename: retries and
-    speculative twins of a task leave one complete file."""
-    files.create_dir(posixpath.dirname(path), recursive=True)
-    mine = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with files.open_output_stream(mine) as out:
-        for block in data if isinstance(data, (list, Iterator)) else [data]:
-            out.write(block)
-    files.move(mine, path)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted on every machine
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}" if rest else uri)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
