@@ -189,6 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 places, all_labels, base_labels, tags, evidence = [], set(), set(), False, 0
                 line = " " + words[a:b].tobytes().decode("utf-8", "replace") + " "
+                spaces = None  # where words end, once a place asks for it
                 for end, (size, label, is_base) in auto.iter(line):
                     if label is None:
                         tags = True
@@ -197,7 +198,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                     all_labels.add(label)
                     if is_base:
                         base_labels.add(label)
-                        places.append(line.count(" ", 0, end - size + 1))
+                        if spaces is None:
+                            spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+                        places.append(int(np.searchsorted(spaces, end - size + 1)))
                 good = bad = 0
                 permissive = None
                 if tags:
