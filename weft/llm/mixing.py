@@ -5,7 +5,7 @@ than ``max_repeats`` times what it has, and the excess goes to the others.
 Within a source, documents are counted by exact length.  Whole copies of the
 source come first; the remaining budget is met by a number of documents of
 each length, found by a proportional share, a greedy step and a bounded
-knapsack over the last words.  Which documents of a length are taken is decided
+knapsack over the last words; see ``fit_source`` for what then is left over.  Which documents of a length are taken is decided
 by a seeded hash.
 """
 
@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.llm.shared import staged
+
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source names and totals are small, and fit the driver up to this many.
@@ -57,18 +59,20 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
             parts.append((int(lengths[i]) * k, int(i), k))
             n -= k
             step *= 2
-    reach, mask, took = 1, (1 << (budget + 1)) - 1, []
-    for weight, _, _ in parts:
-        grown = reach | (reach << weight) & mask
-        took.append(grown ^ reach)
-        reach = grown
-        if reach >> budget & 1:
+    # the part that first reaches each sum: sums come in the order of parts, so one number a sum is enough
+    first = np.full(budget + 1, -1, np.int64)
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    for j, (weight, _, _) in enumerate(parts):
+        new = np.flatnonzero(reach[: budget + 1 - weight] & ~reach[weight:]) + weight
+        reach[new], first[new] = True, j
+        if reach[budget]:
             break
-    at, out = reach.bit_length() - 1, np.zeros(len(lengths), np.int64)
-    for j in range(len(took) - 1, -1, -1):  # a sum's first part is the one that made it reachable
-        if at and took[j] >> at & 1:
-            out[parts[j][1]] += parts[j][2]
-            at -= parts[j][0]
+    at, out = int(np.flatnonzero(reach)[-1]), np.zeros(len(lengths), np.int64)
+    while at:
+        weight, i, k = parts[first[at]]
+        out[i] += k
+        at -= weight
     return out
 
 
@@ -91,6 +95,32 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take + bounded_knapsack(lengths, counts - take, left)
 
 
+def fit_source(lengths: np.ndarray, counts: np.ndarray, words: int, target: float, max_repeats: int) -> tuple[int, np.ndarray]:
+    """(whole copies of a source, copies of documents of each length besides).
+
+    Each document comes at most ``max_repeats`` times.  Second copies are used
+    only where single ones leave words to fill, and where documents are too
+    long for what is left, one of them is taken if that comes nearer.
+    """
+    whole = int(target // words) if words else 0
+    none = np.zeros(len(lengths), np.int64)
+    if not words:
+        return 0, none
+    budget, room = int(round(target - whole * words)), counts * (max_repeats - whole)
+    below = fit_budget(lengths, np.minimum(counts, room), budget)
+    gap = budget - int((below * lengths).sum())
+    if gap:
+        below = below + fit_budget(lengths, room - below, gap)
+    choices = [below]
+    some = np.flatnonzero((lengths > 0) & (below < room))
+    if len(some):
+        choices.append(below + (np.arange(len(lengths)) == some[lengths[some].argmin()]))
+    longer = np.flatnonzero((lengths > budget) & (room > 0))
+    if len(longer):
+        choices.append((np.arange(len(lengths)) == longer[lengths[longer].argmin()]).astype(np.int64))
+    return whole, min(choices, key=lambda c: abs(budget - int((c * lengths).sum())))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeats: int) -> list[tuple]:
     """(source, source_size, target) in code point order, null last."""
     rows = sizes.groupBy("source").agg(F.sum("n_words").alias("words")).limit(MAX_SOURCES + 1).collect()
@@ -109,25 +139,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the document and ``taken`` its words in all.  Sources rank by code point,
     null last; ``weights`` repeat over them.  Ties of the seeded hash go to the
     smaller id, and repeated rows share copies in no fixed order but with equal
-    results.  Documents without words come with every whole copy only.  An
+    results.  Documents without words cost nothing: they come with every whole
+    copy, and with the last one in their length's proportion.  An
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    from weft.llm.shared import staged
-
     sized = staged(sized, "sizes")
     by_length = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     targets = source_targets(by_length.select("source", (F.col("size") * F.col("n")).alias("n_words")), weights, share, max_repeats)
 
     def fit(pdf):
-        words, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
-        whole = int(target // words) if words else 0
         pdf = pdf.sort_values("size")
-        extra = fit_budget(pdf["size"].to_numpy(np.int64), pdf.n.to_numpy(np.int64), int(round(target - whole * words)) if words else 0)
-        return pdf.assign(whole=whole, extra=extra)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
+        n = pdf.n.to_numpy(np.int64)
+        whole, extra = fit_source(pdf["size"].to_numpy(np.int64), n, int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0]), max_repeats)
+        return pdf.assign(whole=whole + extra // n, extra=extra % n)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
 
-    plan_schema = "source string, size long, n long, source_size long, target double, whole int, extra long"
+    plan_schema = "source string, size long, n long, source_size long, target double, whole long, extra long"
     per_source = F.broadcast(spark.createDataFrame(targets, "t_source string, source_size long, target double"))
     by_length = by_length.join(per_source, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     plan = staged(by_length.groupBy("source").applyInPandas(fit, plan_schema), "mix-plan").withColumn("buckets", F.ceil(F.col("n") / ROWS_A_BUCKET).cast("int"))
@@ -145,10 +173,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plain = rows.filter(~cut).withColumn("more", (F.col("extra") > 0).cast("int"))
     cols = ["doc_id", "size", "source_size", "target", "whole", "more"]
     out = plain.select(*cols).unionByName(ordered.select(*cols)).withColumn("copies", F.col("whole") + F.col("more"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
+    """The mix itself: each row of ``docs`` as often as it is taken, all columns kept.
+
+    Rows that share an id come as often as the one of them that is taken most;
+    rows with a null id are one such group.  An empty table stays empty.
+    """
     counts = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     return docs.join(counts.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
