@@ -29,7 +29,6 @@ import re
 import struct
 import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
@@ -40,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.shared import filesystem, scratch, staged
+from weft.llm.shared import filesystem, hot_keys, keyed_join, scratch, staged
 
 #: Runs that one task merges, and entries of a block of a run.
 FAN_IN, BLOCK_ENTRIES = 64, 512
 #: Entries that a merging task is meant to read.
 ENTRIES_A_TASK = 1 << 17
-#: Captures are dated by this and their id, where no date column is given.
+#: Captures are dated by this and as many seconds as their id says.
 EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
 
@@ -257,10 +256,11 @@ def roles(pages: DataFrame, smallest: int) -> DataFrame:
     largest page_id, then url, leads; the others refer to its page.
     """
     signed = staged(pages.mapInArrow(_signatures, "page_id long, url string, content binary, length long"), "signed")
-    rows = signed.groupBy("content", "page_id", "url").agg(F.count(F.lit(1)).alias("n_rows"), F.first("length").alias("length"))
-    keep = rows.filter(F.col("length") >= smallest).groupBy("content").agg(F.max(F.struct("page_id", "url")).alias("keep"))
+    rows = staged(signed.groupBy("content", "page_id", "url").agg(F.count(F.lit(1)).alias("n_rows"), F.first("length").alias("length")), "distinct-pages")
+    keep = rows.filter(F.col("length") >= smallest).groupBy("content").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(keep, ["content"])  # such as the empty payload
     lead = F.col("page_id").eqNullSafe(F.col("keep.page_id")) & F.col("url").eqNullSafe(F.col("keep.url"))
-    return rows.join(keep, "content", "left").select("page_id", "url", "content", "n_rows", F.col("keep").isNotNull().alias("grouped"), F.col("keep.page_id").alias("refers_to"), (F.col("keep").isNotNull() & lead).alias("lead"))
+    return keyed_join(rows, keep, ["content"], hot, "left").select("page_id", "url", "content", "n_rows", F.col("keep").isNotNull().alias("grouped"), F.col("keep.page_id").alias("refers_to"), (F.col("keep").isNotNull() & lead).alias("lead"))
 
 
 def _write_archive(root: str):
@@ -327,33 +327,54 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 # -- reading -----------------------------------------------------------------------
 
 
+#: Bytes of an archive that one task reads.
+STRETCH = 64 << 20
+
+
+def _read_index(batches):
+    """(part, row, key, date, archive, stretch, place, length) of the entries of index files."""
+    names = ["part", "row", "url_key", "date", "archive", "stretch", "place", "length"]
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in batches:
+        for part, source, name in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for row, (key, date, _, archive, place, length) in enumerate(read_run(source, name)):
+                rows.append((part, row, key, date, archive, place // STRETCH, place, length))
+                if len(rows) >= 8192:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def _read_records(root: str, with_payload: bool):
+    """Captures from entries sorted by archive and place: each archive is read from front to back."""
+
     def run(batches):
         files, folder = filesystem(posixpath.join(root, "data"))
-        handles: OrderedDict = OrderedDict()
+        now, handle, rows, size = None, None, [], 0
         for batch in batches:
-            for part, source, name in zip(*(c.to_pylist() for c in batch.columns)):
-                rows, size = [], 0
-                for row, (key, date, _, archive, place, length) in enumerate(read_run(source, name)):
-                    if archive not in handles:
-                        if len(handles) >= 64:
-                            handles.popitem(last=False)[1].close()
-                        handles[archive] = files.open_input_file(posixpath.join(folder, archive))
-                    handles.move_to_end(archive)
-                    handles[archive].seek(place)
-                    headers, payload = parse_record(handles[archive].read(length))
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    full = int(headers["x-payload-length"])
-                    if kind == "response" and (payload_digest(payload) != digest or len(payload) != full):
-                        raise ValueError(f"a payload in {archive} doesn't match its digest")
-                    refers = json.loads(headers["x-refers-to-page"]) if kind == "revisit" else None
-                    rows.append((part, row, key, date, json.loads(headers["x-page-id"]), full, digest, kind, refers, payload if with_payload else None))
-                    size += len(payload)
-                    if len(rows) >= 4096 or with_payload and size > 1 << 22:
-                        yield _captures(rows)
-                        rows, size = [], 0
-                if rows:
+            for part, row, key, date, archive, _, place, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if archive != now:
+                    if handle:
+                        handle.close()
+                    now, handle = archive, files.open_input_file(posixpath.join(folder, archive))
+                handle.seek(place)
+                headers, payload = parse_record(handle.read(length))
+                digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+                full = int(headers["x-payload-length"])
+                if kind == "response" and (payload_digest(payload) != digest or len(payload) != full):
+                    raise ValueError(f"a payload in {archive} doesn't match its digest")
+                refers = json.loads(headers["x-refers-to-page"]) if kind == "revisit" else None
+                rows.append((part, row, key, date, json.loads(headers["x-page-id"]), full, digest, kind, refers, payload if with_payload else None))
+                size += len(payload)
+                if len(rows) >= 4096 or with_payload and size > 1 << 22:
                     yield _captures(rows)
+                    rows, size = [], 0
+        if handle:
+            handle.close()
+        if rows:
+            yield _captures(rows)
 
     return run
 
@@ -367,13 +388,24 @@ def _captures(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(index: DataFrame, root: str, with_payload: bool = False) -> DataFrame:
-    """All captures through the merged index; (part, row) is their global order."""
+    """All captures through the merged index; (part, row) is their global order.
+
+    The index is dealt by archive, in stretches, so that archives are read in
+    their own order; sort by (part, row) for histories.
+    """
     n = max(1, index.count())
-    return index.repartition(n, "part").mapInArrow(_read_records(root, with_payload), _CAPTURE)
+    entries = index.repartition(n, "part").mapInArrow(_read_index, "part int, row long, url_key string, date string, archive string, stretch long, place long, length long")
+    return entries.repartition("archive", "stretch").sortWithinPartitions("archive", "place").mapInArrow(_read_records(root, with_payload), _CAPTURE)
 
 
 def archived(pages: DataFrame, root: str | None = None, smallest: int = 0) -> DataFrame:
-    """Write the archives, read them back: a row for each record."""
+    """Write the archives, read them back: a row for each record.
+
+    page_id, payload_bytes, payload_digest, record_type, refers_to.  A null
+    payload is empty; rows that are equal in all give as many records, one of
+    which may lead; of equal payloads with null ids and others the largest id
+    leads.  An empty table gives an empty result; other columns are not read.
+    """
     root = root or scratch(pages.sparkSession, "warc")
     index = write_archives(pages, root, smallest=smallest)
     return read_archives(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
