@@ -8,7 +8,8 @@ costs about ``log2(n)`` bits.
 
 The transitions of all automata share one array of displaced rows, as large as
 there are transitions whatever the alphabet, so all texts of an Arrow batch are
-parsed in step with array operations.  Long texts are parsed in blocks, whole.
+parsed in step with array operations.  Long texts are parsed whole, in pieces
+that are put right where a phrase spans two of them.
 """
 
 from __future__ import annotations
@@ -147,7 +148,12 @@ def _tables(sample: Sample):
 
 
 def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
-    """Phrases that each language (column) needs for each text (row)."""
+    """Phrases that each language (column) needs for each text (row), whole.
+
+    Long texts are parsed in pieces, all of them in step.  A piece is first
+    parsed as if a phrase began with it, and then again from the state in which
+    the piece before it really ended, until both parses agree.
+    """
     cells, first_state, _, known = _tables(sample)
     joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbol = known[joined]
@@ -155,24 +161,51 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
     starts = np.cumsum(lengths) - lengths
     pieces = -(-lengths // BLOCK)
     doc = np.repeat(np.arange(len(texts)), pieces)
-    shift = (np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]) * BLOCK
-    size = np.minimum(BLOCK, lengths[doc] - shift)
-    order = np.argsort(-size, kind="stable")  # so that the pieces still open come first
-    doc, size, first = doc[order], size[order], (starts[doc] + shift)[order]
+    number = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]  # of the piece in its text
+    size = np.minimum(BLOCK, lengths[doc] - number * BLOCK)
+    begin = starts[doc] + number * BLOCK
     out = np.zeros((len(texts), len(first_state)), np.int64)
     if not len(doc):
         return out
     dead = len(cells) - len(sample.symbols) - 1
-    state = np.full((len(first_state), len(doc)), dead, np.int64)
-    count = np.zeros(state.shape, np.int32)
-    for step in range(int(size[0])):
-        n = int(np.searchsorted(-size, -step, "left"))  # pieces longer than step
-        c = symbol[first[:n] + step]
-        now = state[:, :n]
+
+    def moved(lang, now, c):
+        """(states after the characters, whether a phrase began with them)."""
         move = cells.take(now + c)
         broken = move >> 32 != now  # no match goes on: a phrase ends, and the next begins with this character
+        return np.where(broken, first_state[lang, c], move & 0xFFFFFFFF), broken
+
+    order = np.argsort(-size, kind="stable")  # so that the pieces still open come first
+    lang = np.arange(len(first_state))[:, None]
+    state = np.full((len(first_state), len(doc)), dead, np.int64)
+    count = np.zeros(state.shape, np.int32)
+    for step in range(int(size.max())):
+        n = int(np.searchsorted(-size[order], -step, "left"))  # pieces longer than step
+        state[:, :n], broken = moved(lang, state[:, :n], symbol[begin[order[:n]] + step])
         count[:, :n] += broken
-        state[:, :n] = np.where(broken, first_state.take(c, 1), move & 0xFFFFFFFF)
+    back = np.argsort(order)
+    state, count = state[:, back], count[:, back]
+    entry = np.full(state.shape, dead, np.int64)  # the state that a piece was parsed from
+    while True:
+        k, p = np.nonzero((number[1:] > 0) & (entry[:, 1:] != state[:, :-1]))
+        if not len(k):
+            break
+        p += 1
+        was, now = entry[k, p], state[k, p - 1]
+        entry[k, p] = now
+        open_ = np.ones(len(k), bool)
+        for step in range(BLOCK):
+            here = np.flatnonzero(open_)
+            if not len(here):
+                break
+            c = symbol[begin[p[here]] + step]
+            was[here], old = moved(k[here], was[here], c)
+            now[here], new = moved(k[here], now[here], c)
+            count[k[here], p[here]] += new.astype(np.int32) - old
+            ended = size[p[here]] == step + 1
+            last = here[ended]
+            state[k[last], p[last]] = now[last]
+            open_[here] = ~ended & (was[here] != now[here])
     for k in range(len(first_state)):
         out[:, k] = np.bincount(doc, count[k], len(texts))
     return out
@@ -182,10 +215,13 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", ord
     """Learn from a bounded, hash-drawn sample of the rows that have a label and text.
 
     Documents are drawn by hash of their id, ties by text; each gives at most
-    ``4 * sample_chars / sample_documents`` characters of the sample.
+    ``4 * sample_chars / sample_documents`` characters of the sample, from a
+    place anywhere in it that a hash of its id and text draws.
     """
     each = max(1, 4 * sample_chars // sample_documents)
-    known = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(order_col)).alias("draw"), F.substring(F.col(text_col).cast("string"), 1, each).alias("piece")).filter("lang is not null and piece is not null and length(piece) > 0")
+    text = F.col(text_col).cast("string")
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col(order_col), text), F.greatest(F.lit(1), F.length(text) - each + 1)).cast("int") + 1
+    known = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(order_col)).alias("draw"), F.substring(text, place, F.lit(each)).alias("piece"))
     # of one language, the smallest draws: found by threshold from its count, so that no task orders a language
     totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
