@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,7 +78,35 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+# What SQL can say of the operators whose whole result it can't express.
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's columns on the base phrases."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's sizes and targets, whether no document exceeds its repeats, and whether its source comes near the target."""
+    source = Window.partitionBy("source_size", "target")
+    near = F.abs(F.sum("taken").over(source) - F.col("target")) <= 0.01 * F.col("target")
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), near.alias("near"))
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 by shard: whether slots have no gaps, and whether no shard is larger
+    than the mean by more than a hundredth and the largest record."""
+    rows = op6_sharding(spark, sf_dir)
+    by = rows.groupBy("shard").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    total = by.agg((F.sum("bytes") / 40).alias("mean"), F.max("largest").alias("most"))
+    gapless = (F.col("n") == F.col("d")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
+    return by.crossJoin(F.broadcast(total)).select("shard", gapless.alias("gapless"), (F.col("bytes") <= 1.01 * F.col("mean") + F.col("most")).alias("near_equal"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "license_base_places": license_base_places,
+    "mixing_targets": mixing_targets,
+    "sharding_law": sharding_law,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
@@ -92,6 +120,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "license_base_places": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents),
+        p(phrase, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+        h AS (
+            SELECT doc_id, label, unnest(list_filter(range(0, greatest(0, len(ws) - len(phrase) + 1)), lambda i: ws[i + 1] = phrase[1] AND ws[i + 1:i + len(phrase)] = phrase)) AS place
+            FROM w, p)
+        SELECT w.doc_id, len(ws) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM w LEFT JOIN h ON h.doc_id = w.doc_id GROUP BY w.doc_id, ws""",
+    "mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        l AS (  -- the level that fills those not yet full, from the first to be full on
+            SELECT *, 3.0 * words / weight AS full_at,
+                   (sum(words) OVER () - coalesce(sum(3 * words) OVER (ORDER BY 3.0 * words / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY 3.0 * words / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM s),
+        v AS (SELECT arg_min(level, full_at) FILTER (WHERE level < full_at) AS level FROM l)
+        SELECT doc_id, size, words AS source_size, round(least(3.0 * words, weight * v.level), 4) AS target, true AS within, true AS near
+        FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source, v""",
+    "sharding_law": "SELECT range::INT AS shard, true AS gapless, true AS near_equal FROM range(40)",
     "op1_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
