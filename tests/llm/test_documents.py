@@ -2,17 +2,20 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
-from plain import ascii_lower
+from plain import ascii_lower, plain_phrases
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, sharding, token_store
+from weft.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, sharding, shared, token_store
 
 
 def groups(messy):
@@ -47,6 +50,26 @@ def test_fingerprints_combine():
         assert whole == (value, 10_000)
 
 
+def test_windows_of_a_huge_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    raw = rng.integers(0, 256, 100_003).astype(np.uint8)
+    hasher = exact_dedup._Hasher(1000)
+    whole = [int(h[0]) for h in hasher(raw, np.array([0, len(raw)]))]
+    for window in (999, 4096, 100_002):
+        monkeypatch.setattr(exact_dedup, "WINDOW", window)
+        assert [int(h[0]) for h in hasher(raw, np.array([0, len(raw)]))] == whole
+
+
+def test_hot_keys_stay_in_place(spark):
+    many = spark.range(9000).selectExpr("if(id < 4000, 0, if(id < 6500, 1, id)) k", "id v")
+    one = many.groupBy("k").count().withColumnRenamed("count", "n").filter("k <> 1 and k <> 7000")
+    hot = shared.hot_keys(many.groupBy("k").agg({"v": "count"}).toDF("k", "n"), ["k"])
+    assert sorted(r.k for r in hot.collect()) == [0, 1]
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, many.join(one, ["k"], how).collect()))
+        assert Counter(map(tuple, shared.keyed_join(many, one, ["k"], hot, how).collect())) == want
+
+
 def test_deduplicated(docs, messy):
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns
@@ -89,6 +112,40 @@ def test_phrases_are_longest_matches():
             state = moves[state][ord(c)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 17, 64])
+def test_pieces_of_a_text_make_no_difference(monkeypatch, block):
+    """Phrases span pieces, also several, and pieces of many texts are put right together."""
+    rng = random.Random(block)
+    samples = ("".join(rng.choice("ab") for _ in range(400)), "abcabcabdab" * 30, "the cat sat on the mat and the rat ate the hat")
+    sample = language_id.Sample(("a", "b", "c"), samples, "".join(sorted(set("".join(samples)))))
+    probes = [samples[0][50:250], samples[1][3:200] + "zz" + samples[1][:90], "the mat and the rat " * 9, "", "q" * 40, "x", samples[0][:33] + samples[2]]
+    probes += ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 150))) for _ in range(30)]
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    assert language_id.phrases(sample, probes).tolist() == [[plain_phrases(p, t) for t in samples] for p in probes]
+
+
+def test_identify_equals_a_plain_parse(docs, messy):
+    sample = language_id.fit(docs.filter(~language_id.held_out()))
+    got = defaultdict(list)
+    for r in language_id.identify(docs).collect():
+        got[r.doc_id].append(r)
+    for doc_id, text, *_ in messy:
+        if doc_id is None or text is None or len(text) > 5_000:
+            continue
+        cost = [plain_phrases(text, t) * math.log2(len(t)) for t in sample.texts]
+        lettered = any(c.isalpha() for c in text)
+        want = sample.languages[cost.index(min(cost))] if lettered else "und"
+        score = 1 - sorted(cost)[0] / sorted(cost)[1] if lettered else 0
+        assert all(r.lang_pred == want and r.score == pytest.approx(score) for r in got[doc_id])
+
+
+def test_samples_come_from_anywhere(spark):
+    rows = [(i, "".join(chr(0x4E00 + (97 * i + k) % 5000) for k in range(3000)), "zh") for i in range(60)]
+    sample = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    at = [t.index(piece[:50]) for piece in sample.texts[0].split("\n") for _, t, _ in rows if piece[:50] in t and len(piece) >= 50]
+    assert len(at) >= 50 and min(at) < 500 and max(at) > 2200
+
+
 def test_scripts_of_any_size(spark):
     """Every character of the samples counts: large alphabets, and few documents beside many."""
     rng = random.Random(8)
@@ -161,6 +218,27 @@ def test_licences(spark, docs, messy, tmp_path):
     assert last[110].labels == "" and last[110].first_word is None
 
 
+def test_base_places_equal_a_plain_scan(spark):
+    """Texts full of whole, broken, overlapping and repeated phrases."""
+    rng = random.Random(12)
+    bits = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "MIT", "é", "licensé", "x1"] + list(license_scan.BASE_PHRASES)
+    marks = [" ", "\n", ", ", "-", ".", "\t(", "\x7f", "  "]
+    texts = ["".join(rng.choice(bits) + rng.choice(marks) for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    texts += ["under the mit license " * 5_000, "cc by nc", "", None, "cc by ncx cc by nc"]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+        places, labels = [], set()
+        for phrase, label in license_scan.BASE_PHRASES.items():
+            p = phrase.split(" ")
+            here = [k for k in range(len(words) - len(p) + 1) if words[k] == p[0] and words[k : k + len(p)] == p]
+            places += here
+            labels |= {label} if here else set()
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(","))
+
+
 @pytest.mark.parametrize("text,ids,permissive", [("MIT", {"mit"}, True), ("GPL-3.0-only OR MIT", {"gpl-3.0-only", "mit"}, True), ("GPL-3.0-only AND MIT", {"gpl-3.0-only", "mit"}, False), ("A OR B AND C", {"a", "b", "c"}, False), ("(MIT OR X) AND Apache-2.0", {"mit", "x", "apache-2.0"}, True)])
 def test_expressions(text, ids, permissive):
     assert license_scan.evaluate(license_scan.to_postfix(text)) == (ids, permissive)
@@ -196,8 +274,8 @@ def test_mixing(docs, messy):
         assert r.source_size == by_source[s] and r.target == pytest.approx(targets[names.index(s)])
         taken[s] += r.taken
     assert size[None] == 0
-    for s, t in zip(names, targets):
-        assert abs(taken[s] - t) <= 130 or s == "s3"  # s3 has one text that is most of it
+    for s, t in zip(names, targets):  # s3 has one text that is most of it, and longer than the target
+        assert abs(taken[s] - t) <= (1 if s != "s3" else 15_000)
     again = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
@@ -219,6 +297,19 @@ def test_knapsack_is_exact():
         assert (take <= counts).all() and int((take * lengths).sum()) == best
 
 
+def test_sources_come_as_near_as_documents_allow():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        lengths = np.sort(rng.choice(np.arange(1, 60), 4, replace=False))
+        counts = rng.integers(1, 4, 4)
+        words = int((lengths * counts).sum())
+        target = float(rng.uniform(0, 3 * words))
+        whole, extra = mixing.fit_source(lengths, counts, words, target, 3)
+        copies = whole * counts + extra
+        assert (copies >= 0).all() and (copies <= 3 * counts).all()
+        assert abs(int((copies * lengths).sum()) - target) <= lengths.max() / 2 + 1
+
+
 def test_sharding(docs, messy):
     got = sharding.shard(docs, shards=6).collect()
     assert len(got) == len(messy)
@@ -320,6 +411,48 @@ def test_estimates_follow_similarity():
         assert abs((agree - 1 / 16) / (1 - 1 / 16) - (4000 - k) / (4000 + k)) < 0.17
 
 
+def in_process(texts, path):
+    """(ids of each text) through the steps of the distinct-word table, without Spark; and the encoded words."""
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    pages = list(bpe._split(path)(iter([rows])))
+    met = pa.Table.from_batches(pages).select(["block", "first_new", "n_new", "new"]).filter(pc.greater(pc.field("n_new"), 0)).to_batches()
+    words = pa.Table.from_batches(list(bpe._new_words(met))).sort_by("word")
+    packs = pa.Table.from_batches(list(bpe._encode_sorted(path)(iter(words.to_batches(max_chunksize=7)))))
+    out = {}
+    for p in pages:
+        known = bpe._Words(bpe.special_tokens(path)[1], packs.filter(pc.equal(packs["block"], p.column(0)[0])))
+        ids, ends = known.page(bpe._unpressed(p.column(4)[0].as_py()), bpe._unpressed(p.column(3)[0].as_py()))
+        for doc, a, b in zip(p.column(2)[0].as_py(), [0, *ends[:-1]], ends):
+            out[doc] = ids[a:b].tolist()
+    return [out[i] for i in range(len(texts))], words
+
+
+@pytest.mark.parametrize("case", ["plain", "small blocks", "equal hashes", "equal high bits"])
+def test_words_of_any_block(messy, word_bpe, monkeypatch, case):
+    """Blocks that close early, and different words with one hash."""
+    whole = bpe.word_hashes
+    if case == "small blocks":
+        for name, value in (("SLICE", 300), ("WORDS_A_BLOCK", 40), ("BYTES_A_BLOCK", 2000), ("WORDS_A_PACK", 11)):
+            monkeypatch.setattr(bpe, name, value)
+    if case == "equal hashes":
+        monkeypatch.setattr(bpe, "word_hashes", lambda *a: ((h := whole(*a))[0] % np.uint64(5), h[1]))
+    if case == "equal high bits":
+        monkeypatch.setattr(bpe, "word_hashes", lambda *a: ((h := whole(*a))[0] & np.uint64(0xF000_0000_0000_000F), h[1]))
+    texts = [t for _, t, *_ in messy if not t or len(t) < 5000]
+    texts += ["<|endoftext|>", "a<|startoftext|>b<|ENDOFTEXT|> <|endoftext|><|endoftext|>é", "<|endof", "text|>", "<|startoftext|", "|><|endoftext|>\u0301x", "İ<|endoftext|>'s don't"]
+    tok = bpe.tokenizer(word_bpe)
+    got, words = in_process(texts, word_bpe)
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    if case == "plain":
+        assert len(words) == len(set(words["word"].to_pylist()))
+
+
+def test_only_tokenizers_that_can_be_cut(word_bpe):
+    bpe.check_cuts(word_bpe)
+    with pytest.raises(ValueError):
+        bpe.check_cuts(word_bpe.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_bpe_equals_the_library(docs, messy, word_bpe):
     tok = bpe.tokenizer(word_bpe)
     want = Counter()
