@@ -367,10 +367,10 @@ class _Words:
         return ids, np.concatenate([[0], upto])[np.cumsum(n_words)]
 
 
-def _bucketed(pages: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _bucketed(pages: DataFrame, buckets: int, path: str) -> tuple[DataFrame, DataFrame]:
     """``pages`` written in buckets by block, so that what is joined to them by
     block comes to them, and the same rows without regard to buckets."""
-    spark, path = pages.sparkSession, scratch(pages.sparkSession, "pages")
+    spark = pages.sparkSession
     name = f"spark_catalog.default.weft_pages_{uuid.uuid4().hex}"
     pages.write.bucketBy(buckets, "block").option("compression", "uncompressed").option("path", path).saveAsTable(name)
     table = spark.table(name)
@@ -381,10 +381,11 @@ def _bucketed(pages: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 Page = tuple[pa.Array, np.ndarray, np.ndarray]
 
 
-def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """``build`` over the pages (id column, ids, ends) of the encoded texts of each block.
 
-    Every row of ``docs`` is in one page; null text counts as empty.
+    Every row of ``docs`` is in one page; null text counts as empty.  The pages
+    are in ``folder``, which may go when the result has been written.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -392,7 +393,7 @@ def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], It
     kind = texts.schema["doc_id"].dataType.simpleString()
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, 4 * size // BYTES_A_BLOCK))
-    pages, rows = _bucketed(texts.mapInArrow(_split(path), f"block long, page int, doc_ids array<{kind}>, n_words binary, numbers binary, first_new int, n_new int, new binary"), buckets)
+    pages, rows = _bucketed(texts.mapInArrow(_split(path), f"block long, page int, doc_ids array<{kind}>, n_words binary, numbers binary, first_new int, n_new int, new binary"), buckets, folder or scratch(spark, "pages"))
     words = rows.filter("n_new > 0").select("block", "first_new", "n_new", "new").mapInArrow(_new_words, "block long, number int, word binary")
     known = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block long, steps binary, counts binary, ids binary")
     special_ids = special_tokens(path)[1]

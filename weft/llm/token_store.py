@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import map_encoded, tokenizer
-from weft.llm.shared import filesystem, remove, scratch, staged
+from weft.llm.shared import filesystem, hot_keys, keyed_join, remove, scratch, staged
 
 WINDOW, SHORTEST, MEAN_BITS, LONGEST = 16, 64, 8, 2048
 DIGEST = 20
@@ -213,7 +213,7 @@ def _chunked(texts: DataFrame, path: str, root: str, width: int, end_id: int) ->
             if writer.rows:
                 yield chunk_rows()
 
-    return map_encoded(texts, path, run, f"doc_id long, total long, recipe binary, {PLACE}")
+    return map_encoded(texts, path, run, f"doc_id long, total long, recipe binary, {PLACE}", folder=posixpath.join(root, "pages"))
 
 
 def _compact(root: str, width: int):
@@ -303,12 +303,13 @@ def write_store(docs: DataFrame, path: str, root: str, end_id: int = 1, id_col:
     """
     width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
     made = staged(_chunked(texts, path, root, width, end_id), "chunked")
+    remove(spark, posixpath.join(root, "pages"))
     place = [F.col(c) for c in _PLACE_NAMES[1:]]
     chosen = made.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(*place)).alias("p")).select("digest", "p.*")
     index = chosen.repartition("pack").sortWithinPartitions("pack", "frame", "at").mapInArrow(_compact(root, width), PLACE)
     index.write.option("compression", "zstd").parquet(posixpath.join(root, "index"))
-    spark = docs.sparkSession
     remove(spark, posixpath.join(root, "aside"))
     index = spark.read.schema(PLACE).parquet(posixpath.join(root, "index"))
     recipes = made.filter("recipe is not null").select("doc_id", F.col("total").alias("n_ids"), "recipe")
@@ -401,12 +402,19 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
         start += f.n_ids
     named = spark.createDataFrame(rows, "file string, part int, start long, root binary").repartition(max(1, len(rows)), "part")
     items = named.mapInArrow(_items(root), "part int, row long, doc_id long, start long, n_ids long, seq int, n_chunks int, digest binary")
-    placed = items.join(index.withColumnRenamed("n_ids", "count"), "digest", "left").select("part", "row", "doc_id", "start", "n_ids", "seq", "n_chunks", "digest", "pack", "frame", "frame_bytes", "at", "count")
+    items = staged(items, "items")
+    common = hot_keys(items.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), ["digest"])
+    placed = keyed_join(items, index.withColumnRenamed("n_ids", "count"), ["digest"], common, "left").select("part", "row", "doc_id", "start", "n_ids", "seq", "n_chunks", "digest", "pack", "frame", "frame_bytes", "at", "count")
     return placed.repartition("part", F.floor(F.col("row") / 1024)).sortWithinPartitions("part", "row", "seq").mapInArrow(_assemble(root, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, path: str, end_id: int = 1, root: str | None = None) -> DataFrame:
-    """Write the store and read it back."""
+    """Write the store and read it back: doc_id, start, n_tokens, ids_crc32 of each row.
+
+    Null text has the end id alone.  Null ids come first, and rows that share
+    an id stand together in no fixed order.  An empty table gives an empty
+    result; other columns are not read.
+    """
     root = root or scratch(docs.sparkSession, "store")
     write_store(docs, path, root, end_id)
     return read_store(docs.sparkSession, root)
