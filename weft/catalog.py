@@ -9,6 +9,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.messages import numbered
+from weft.plans.order import Size
 from weft.plans.terms import Goal, TypeDecl
 
 log = logging.getLogger(__name__)
@@ -30,6 +32,9 @@ class Database:
     types: dict[tuple[str, int], tuple[str, ...]] = field(default_factory=dict)
     parameters: set[tuple[str, int]] = field(default_factory=set)
     typed: bool = False
+    #: facts as they were added, before equal ones are summed; sizes are counted on these
+    _facts: dict[tuple[str, int], tuple[DataFrame, DataFrame]] = field(default_factory=dict, repr=False)
+    _counted: dict[tuple[str, int], tuple[DataFrame, Size]] = field(default_factory=dict, repr=False)
 
     # -- filling ------------------------------------------------------------
 
@@ -44,6 +49,7 @@ class Database:
         w = F.col("w").cast("double") if "w" in facts.columns else F.lit(1.0)
         rows = facts.select(*(F.col(c).cast("string").alias(c) for c in cols), w.alias("w")).dropna()
         self.relations[key] = rows.groupBy(*cols).agg(F.sum("w").alias("w"))
+        self._facts[key] = (self.relations[key], rows)
         return self
 
     def declare(self, functor: str, *types: str) -> None:
@@ -85,10 +91,49 @@ class Database:
                     out = out.union(rel.select(F.col(col).alias("id")))
         return out.distinct()
 
+    def numbers(self, type_name: str | None = None) -> DataFrame:
+        """(id, number): the symbols of a type numbered from 0 without gaps, in
+        an order that depends on the symbols alone."""
+        return numbered(self.symbols(type_name), "number", "id")
+
+    def number_of(self, symbols: DataFrame, type_name: str | None = None) -> DataFrame:
+        """``symbols`` (id) with their number, -1 where it is unknown."""
+        found = symbols.join(self.numbers(type_name), "id", "left")
+        return found.withColumn("number", F.coalesce("number", F.lit(-1).cast("long")))
+
+    def symbol_of(self, numbers: DataFrame, type_name: str | None = None) -> DataFrame:
+        """``numbers`` (number) with their symbol, null where there is none."""
+        return numbers.join(self.numbers(type_name), "number", "left")
+
     def dimension(self, type_name: str | None = None) -> int:
         """Vocabulary size and one."""
         return self.symbols(type_name).count() + 1
 
+    def statistics(self, names: set[tuple[str, int]], batch: DataFrame | None = None) -> dict[tuple[str, int], Size]:
+        """About how large relations, and a batch under the name ("", 0), are;
+        counted in one job, and once for each relation until it is replaced."""
+        out, parts = {}, []
+        for key in sorted(names):
+            rel = self.relations[key]
+            if key in self._counted and self._counted[key][0] is rel:
+                out[key] = self._counted[key][1]
+                continue
+            ends = ("src", "dst") if key[1] == 2 else ("id", "id")
+            added, facts = self._facts.get(key, (rel, rel))
+            parts.append((key, rel, facts if added is rel else rel, ends))
+        if batch is not None:
+            parts.append((("", 0), batch, batch, ("qid", "id")))
+        rows = None
+        for i, (_, _, facts, ends) in enumerate(parts):
+            one = facts.agg(F.count(F.lit(1)).alias("rows"), *(F.approx_count_distinct(e).alias(n) for e, n in zip(ends, ("near", "far")))).withColumn("i", F.lit(i))
+            rows = one if rows is None else rows.unionByName(one)
+        for r in rows.collect() if rows is not None else ():
+            key, rel, _, _ = parts[r.i]
+            out[key] = Size(float(min(r["rows"], r.near * r.far) if key[1] == 2 else r["rows"]), float(r.near), float(r.far))
+            if key[1]:
+                self._counted[key] = (rel, out[key])
+        return out
+
     # -- constructors of messages -------------------------------------------
 
     def onehot(self, symbols: list[str] | str, type_name: str | None = None, strict: bool = True, unknown_as_oov: bool = False) -> DataFrame:
@@ -135,7 +180,7 @@ class Database:
 
     def partner(self) -> Database:
         """A database with the same schema and relations of its own."""
-        return replace(self, relations=dict(self.relations), types=dict(self.types), parameters=set(self.parameters))
+        return replace(self, relations=dict(self.relations), types=dict(self.types), parameters=set(self.parameters), _facts=dict(self._facts), _counted=dict(self._counted))
 
     # -- listing ------------------------------------------------------------
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from weft.plans.parse import parse_rule_files, parse_rules
 from weft.plans.planner import Program
 from weft.plans.terms import Mode, RuleSet
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -86,20 +89,20 @@ class Engine:
             return self.db.onehot(list(inputs), strict=strict)
         if "qid" in inputs.columns:
             return inputs.select("qid", "id", "w")
-        return inputs.select(F.xxhash64("x").alias("qid"), F.col("x").alias("id"), F.lit(1.0).alias("w")).distinct()
+        return inputs.select(F.col("x").alias("qid"), F.col("x").alias("id"), F.lit(1.0).alias("w")).distinct()
 
     def evaluation(self, inputs: DataFrame | Iterable[str]) -> Evaluation:
         return Evaluation(self.db, self.batch(inputs), self.plugin_calls)
 
     def proof_count_batch(self, mode: str | Mode, batch: DataFrame) -> DataFrame:
         """(qid, id, w): sums over proofs of products of weights."""
-        ev = Evaluation(self.db, batch, self.plugin_calls)
-        return ev.scores(self.program.plan(mode))
+        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program)
+        return ev.scores(self.program.plan(mode, calls=True))
 
     def inference_batch(self, mode: str | Mode, batch: DataFrame) -> DataFrame:
         """(qid, id, w), normalised as set."""
-        ev = Evaluation(self.db, batch, self.plugin_calls)
-        return normalised(ev.scores(self.program.plan(mode)), ev.queries, self.normalise)
+        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program)
+        return normalised(ev.scores(self.program.plan(mode, calls=True)), ev.queries, self.normalise)
 
     def _answers(self, mode, inputs, ask) -> DataFrame:
         if isinstance(inputs, DataFrame) and "qid" not in inputs.columns:
@@ -136,8 +139,14 @@ class Engine:
 
     # -- looking ------------------------------------------------------------
 
-    def explain(self, mode: str | Mode) -> str:
-        return f"{mode}: {self.normalise}\n{explain(self.program.plan(mode))}"
+    def explain(self, mode: str | Mode, inputs: DataFrame | Iterable[str] | None = None) -> str:
+        """The plan, and for given inputs the orders that are chosen for them."""
+        text = f"{mode}: {self.normalise}\n{explain(self.program.plan(mode))}"
+        if inputs is None:
+            return text
+        ev = Evaluation(self.db, self.batch(inputs), self.plugin_calls, program=self.program)
+        ev.scores(self.program.plan(mode, calls=True))
+        return "\n".join([text, *ev.choices])
 
     def show_messages(self, mode: str | Mode, inputs: Iterable[str], rows: int = 5) -> str:
         """Each node of the plan with some of its message."""
@@ -150,6 +159,19 @@ class Engine:
             out.append(f"#{node.number} {node.label()}: " + "; ".join(" ".join(map(str, r)) for r in got.select(*cols).sort(F.col("w").desc(), "id").limit(rows).collect()))
         return "\n".join(out)
 
+    def show_deltas(self, mode: str | Mode, x: DataFrame, y: DataFrame, rows: int = 5) -> str:
+        """Each node of the plan, from the answers back, with some of the
+        derivative of the log-likelihood by its message."""
+        from weft.learn import Learner
+
+        seen: list = []
+        Learner(self).gradient(mode, x, y, seen)
+        out = []
+        for node, delta in seen:
+            cols = [c for c in ("qid", "id", "w") if c in delta.columns]
+            out.append(f"#{node.number} {node.label()}: " + "; ".join(" ".join(map(str, r)) for r in delta.select(*cols).sort(F.abs("w").desc(), "id").limit(rows).collect()))
+        return "\n".join(out)
+
     def check_numbers(self, mode: str | Mode, inputs: DataFrame | Iterable[str]) -> int:
         """How many weights of any message are not a number; for debugging."""
         ev = self.evaluation(inputs)
@@ -170,6 +192,8 @@ class Engine:
     def save(self, path: str) -> None:
         from weft.sources.store import save_program
 
+        if self.plugin_calls:
+            log.warning("plugins are not saved: %s", ", ".join(sorted(self.plugin_calls)))
         save_program(self.source_rules, self.db, path)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.scratch import written
+
 
 def _score(n: str, of: str):
     return F.log(F.col(n) / F.col(of))
@@ -33,14 +35,34 @@ def _scored(n: DataFrame, triples: DataFrame) -> DataFrame:
 
 def chains(triples: DataFrame) -> DataFrame:
     """(p, q, r, n, score): p(X,Y) where q(X,Z) and r(Z,Y); distinct (X,Y)
-    against all paths of q and r."""
+    against all paths of q and r.
+
+    Paths are counted from degrees, never made.  Which p a pair of q and r can
+    close is told by common heads and tails; the pairs of p are then followed
+    along q or back along r, whichever makes fewer rows for the three.
+    """
+    triples = written(triples.select("head", "relation", "tail"), "triples")
+    heads = triples.groupBy("head", "relation").agg(F.count(F.lit(1)).alias("k"))
+    tails = triples.groupBy("tail", "relation").agg(F.count(F.lit(1)).alias("k"))
+
+    def meeting(a: DataFrame, b: DataFrame, on: str, to: str, first: str, second: str, cost: str) -> DataFrame:
+        """(first, second, cost): relations that meet, and in how many rows."""
+        a = a.select(F.col(on).alias("at"), F.col("relation").alias(first), "k")
+        b = b.select(F.col(to).alias("at"), F.col("relation").alias(second), F.col("k").alias("k2"))
+        return a.join(b, "at").groupBy(first, second).agg(F.sum(F.col("k") * F.col("k2")).alias(cost))
+
+    of = written(meeting(tails, heads, "tail", "head", "q", "r", "of"), "paths")
+    along = meeting(heads, heads, "head", "head", "p", "q", "along")
+    back = meeting(tails, tails, "tail", "tail", "p", "r", "back")
+    can = written(of.join(along, "q").join(back, ["p", "r"]).select("p", "q", "r", "along", "back"), "closing")
+    pairs = triples.select(F.col("head").alias("x"), F.col("tail").alias("y"), F.col("relation").alias("p")).distinct()
     q = triples.select(F.col("head").alias("x"), F.col("relation").alias("q"), F.col("tail").alias("z"))
     r = triples.select(F.col("head").alias("z"), F.col("relation").alias("r"), F.col("tail").alias("y"))
-    # paths are counted before they meet p: pairs with their number of middles
-    paths = q.join(r, "z").groupBy("q", "r", "x", "y").agg(F.count(F.lit(1)).alias("paths"))
-    p = triples.select(F.col("head").alias("x"), F.col("tail").alias("y"), F.col("relation").alias("p")).distinct()
-    n = paths.join(p, ["x", "y"]).groupBy("p", "q", "r").agg(F.count(F.lit(1)).alias("n"))
-    of = paths.groupBy("q", "r").agg(F.sum("paths").alias("of"))
+    chosen = can.filter("along <= back").select("p", "q", "r")
+    found = pairs.join(chosen.select("p", "q").distinct(), "p").join(q, ["x", "q"]).join(r, ["z", "y"]).join(chosen, ["p", "q", "r"], "left_semi").select("p", "q", "r", "x", "y")
+    chosen = can.filter("along > back").select("p", "q", "r")
+    found = found.union(pairs.join(chosen.select("p", "r").distinct(), "p").join(r, ["y", "r"]).join(q, ["x", "z"]).join(chosen, ["p", "q", "r"], "left_semi").select("p", "q", "r", "x", "y"))
+    n = found.distinct().groupBy("p", "q", "r").agg(F.count(F.lit(1)).alias("n"))
     return n.join(of, ["q", "r"]).select("p", "q", "r", "n", _score("n", "of").alias("score"))
 
 

@@ -74,7 +74,7 @@ def softplus(relation: DataFrame) -> DataFrame:
 
 
 def softplus_inverse(relation: DataFrame) -> DataFrame:
-    return relation.withColumn("w", F.when(F.col("w") > 30, F.col("w")).otherwise(F.log(F.expm1("w"))))
+    return relation.withColumn("w", F.when(F.col("w") > 30, F.col("w")).otherwise(F.log(F.greatest(F.expm1("w"), F.lit(1e-12)))))
 
 
 # -- gradients and updates ------------------------------------------------------
@@ -114,6 +114,18 @@ def updated(parameter: DataFrame, gradient: DataFrame, rate: float, n: int, clip
     return moved.select(*cols, F.greatest(F.lit(0.0), F.least(F.lit(LARGEST), new)).alias("w"))
 
 
+def updated_free(parameter: DataFrame, gradient: DataFrame, rate: float, n: int, clip: float | None = CLIP) -> DataFrame:
+    """As :func:`updated`, with weights ``softplus(v)`` and the step taken in v:
+    the gradient by v is the one by the weight times ``1 - exp(-weight)``.
+    Weights are positive; a fact that isn't there isn't made."""
+    cols = [c for c in ("src", "dst", "id") if c in parameter.columns]
+    mean = F.col("g") * (1 - F.exp(-F.col("w"))) / max(1, n)
+    if clip is not None:
+        mean = F.greatest(F.lit(-clip), F.least(F.lit(clip), mean))
+    moved = softplus_inverse(parameter).withColumnRenamed("w", "v").join(parameter, cols).join(gradient.withColumnRenamed("w", "g"), cols, "left")
+    return softplus(moved.select(*cols, (F.col("v") + F.coalesce(mean * rate, F.lit(0.0))).alias("w"))).select(*cols, "w")
+
+
 class NoRegulariser:
     def applied(self, relation: DataFrame) -> DataFrame:
         return relation
@@ -146,15 +158,46 @@ def logging_tracer(record: dict) -> None:
     log.info("%s", record)
 
 
+def cheap_tracer(record: dict) -> None:
+    """Logs what costs nothing to know: the epoch and the time; see ``Learner._trace``."""
+    log.info("epoch %s after %.1f s", record["epoch"], record["seconds"])
+
+
 @dataclass
 class RecordingTracer:
-    """Keeps every record, and logs it."""
+    """Keeps every record, logs it, and passes it on to another tracer."""
 
     records: list[dict] = field(default_factory=list)
+    then: Tracer = logging_tracer
 
     def __call__(self, record: dict) -> None:
         self.records.append(record)
-        log.info("%s", record)
+        self.then(record)
+
+
+@dataclass
+class TestTracer(RecordingTracer):
+    """Also measures accuracy and cross-entropy on other data after each epoch."""
+
+    __test__ = False
+    learner: object = None
+    data: Dataset | None = None
+
+    def __call__(self, record: dict) -> None:
+        p = written(self.learner.dataset_predict(self.data), "prediction")
+        super().__call__(record | {"test_accuracy": self.learner.dataset_accuracy(self.data, p), "test_cross_entropy": self.learner.dataset_cross_entropy(self.data, p)})
+
+
+@dataclass
+class EveryEpochs:
+    """Passes every n-th record on."""
+
+    n: int
+    then: Tracer
+
+    def __call__(self, record: dict) -> None:
+        if record["epoch"] % self.n == 0:
+            self.then(record)
 
 
 @dataclass
@@ -172,6 +215,8 @@ class Learner:
     tracer: Tracer = silent
     densify: bool = False
     clip: float | None = CLIP
+    #: whether weights are trained as softplus of free ones, so that they stay positive without being cut at zero
+    positive: bool = False
 
     def predict(self, mode: str | Mode, x: DataFrame) -> DataFrame:
         return self.engine.inference_batch(mode, x)
@@ -197,8 +242,9 @@ class Learner:
         rows = [cross_entropy(data.labels(m), p.filter(F.col("mode") == m).select("qid", "id", "w"), data.queries(m).select("qid").distinct()).first() for m in data.modes()]
         return sum(r.cross_entropy for r in rows if r.n)
 
-    def gradient(self, mode: str | Mode, x: DataFrame, y: DataFrame) -> Gradients:
-        """Sums over the examples of the ascent direction of the log-likelihood."""
+    def gradient(self, mode: str | Mode, x: DataFrame, y: DataFrame, seen: list | None = None) -> Gradients:
+        """Sums over the examples of the ascent direction of the log-likelihood;
+        ``seen`` takes the deltas by node."""
         engine = self.engine
         if engine.normalise != "softmax":
             raise ValueError("gradients need softmax")
@@ -207,19 +253,21 @@ class Learner:
         p = softmax(ev.scores(root), ev.queries)
         cols = ["qid", "id", "w"]
         delta = y.select(*cols).unionByName(p.select("qid", "id", (-F.col("w")).alias("w"))).groupBy("qid", "id").agg(F.sum("w").alias("w")).filter("w <> 0")
-        found = gradients(ev, root, written(delta, "delta"), engine.db.parameters, self.densify)
+        found = gradients(ev, root, written(delta, "delta"), engine.db.parameters, self.densify, seen)
         return Gradients(found, ev.queries.count())
 
     def apply(self, grads: Gradients, n: int | None = None, rate: float | None = None) -> None:
         """Decay, move, and write every parameter that has a gradient."""
         db = self.engine.db
         for key, g in grads.by_parameter.items():
-            new = updated(self.regulariser.applied(db.relations[key]), g, rate or self.rate, n or grads.n, self.clip)
+            old = self.regulariser.applied(db.relations[key])
+            move = updated_free if self.positive else updated
+            new = move(old, g, rate or self.rate, n or grads.n, self.clip)
             db.relations[key] = written(new, "parameter")
 
     def _trace(self, data: Dataset, epoch: int, began: float) -> None:
         record = {"epoch": epoch, "seconds": time.time() - began}
-        if self.tracer is not silent:
+        if self.tracer not in (silent, cheap_tracer):
             p = written(self.dataset_predict(data), "prediction")
             record |= {"cross_entropy": self.dataset_cross_entropy(data, p), "accuracy": self.dataset_accuracy(data, p)}
             record["regularised"] = record["cross_entropy"] + sum(self.regulariser.cost(self.engine.db.relations[k]) for k in self.engine.db.parameters if k in self.engine.db.relations)

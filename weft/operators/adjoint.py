@@ -42,10 +42,11 @@ def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bo
     return both.groupBy("src", "dst").agg(F.sum(F.col("mw") * F.col("dw")).alias("w"))
 
 
-def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tuple[str, int]], densify: bool = False) -> dict[tuple[str, int], DataFrame]:
+def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tuple[str, int]], densify: bool = False, seen: list[tuple[Node, DataFrame]] | None = None) -> dict[tuple[str, int], DataFrame]:
     """For each parameter that the plan uses, the sum of its gradients over all queries.
 
     ``delta`` is (qid, id, w), the loss's derivative by the root's value.
+    ``seen`` takes each node that the walk reaches, with its delta.
     """
     order = list(in_order(root))
     deltas: dict[int, list[DataFrame]] = {id(root): [delta]}
@@ -61,6 +62,8 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
             continue
         d = added(deltas[id(node)], ev.queries)
         r = ev.relations
+        if seen is not None:
+            seen.append((node, d))
         match node.kind:
             case "step":
                 functor, forward = node.detail[0], node.detail[1] == "forward"

@@ -1,13 +1,15 @@
 """A logical plan as lazy DataFrames.
 
 A message is (qid, id, w), unique on (qid, id); one that doesn't depend on the
-query is (id, w).  Relations are (src, dst, w) and (id, w).  Nothing runs here,
-but for very deep plans, whose levels are written out every CUT steps so that
-no level recomputes the ones below it.
+query is (id, w).  Relations are (src, dst, w) and (id, w).  What runs here: a
+count of rows and symbols where an order is to be chosen, tables of called
+predicates, and very deep plans, whose levels are written out every CUT steps
+so that no level recomputes the ones below it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from typing import Protocol
 
@@ -15,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.nodes import Node, in_order
+from weft.plans.order import TABLE_GAIN, Size, Tree, best_order, joined, shown
+from weft.plans.planner import Program
+from weft.plans.terms import Mode
 from weft.scratch import written
 
 #: Steps of a recursive plan that stay lazy.
@@ -35,6 +40,8 @@ class Relations(Protocol):
 
     def symbols(self, type_name: str | None) -> DataFrame: ...
 
+    def statistics(self, names: set[tuple[str, int]], batch: DataFrame | None) -> dict[tuple[str, int], Size]: ...
+
 
 def keys_of(df: DataFrame) -> list[str]:
     return [c for c in ("qid", "id") if c in df.columns]
@@ -48,6 +55,12 @@ def step(message: DataFrame, relation: DataFrame, forward: bool) -> DataFrame:
     return message.join(rel, "id").groupBy(*by, "to").agg(F.sum(F.col("w") * F.col("rw")).alias("w")).withColumnRenamed("to", "id").select(*by, "id", "w")
 
 
+def composed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two relations as one: joined where a ends and b begins, summed by the outer ends."""
+    b = b.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("bw"))
+    return a.join(b, "dst").groupBy("src", "to").agg(F.sum(F.col("w") * F.col("bw")).alias("w")).withColumnRenamed("to", "dst")
+
+
 def product(left: DataFrame, right: DataFrame) -> DataFrame:
     """Weights multiplied where symbols, and queries if both have them, agree."""
     on = [c for c in keys_of(left) if c in right.columns]
@@ -114,23 +127,134 @@ def normalised(scores: DataFrame, queries: DataFrame, how: str) -> DataFrame:
 class Evaluation:
     """Messages of all nodes of a plan, for one batch of queries.
 
-    ``batch`` is (qid, id, w), unique on (qid, id).
+    ``batch`` is (qid, id, w), unique on (qid, id).  With a ``program``, plans
+    may hold calls, and runs of steps are bracketed by estimated size; without,
+    every node of a plan has its message.
     """
 
-    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False):
-        self.relations, self.batch, self.plugins, self.keep = relations, batch, plugins or {}, keep
+    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False, program: Program | None = None):
+        self.relations, self.batch, self.plugins, self.keep, self.program = relations, batch, plugins or {}, keep, program
         self.queries = batch.select("qid").distinct()
         self.made: dict[int, DataFrame] = {}
+        self.tables: dict[tuple[Mode, int], DataFrame] = {}
+        self.choices: list[str] = []
+        self._sizes: dict[tuple[str, int], Size] = {}
 
     def of(self, root: Node) -> DataFrame:
-        for node in in_order(root):
-            if id(node) not in self.made:
-                out = self._one(node)
+        order = list(in_order(root))
+        inner = self._inner_steps(order) if self.program else set()
+        for node in order:
+            if id(node) not in self.made and id(node) not in inner:
+                out = self._run_of_steps(node, inner) if node.kind == "step" and inner else self._one(node)
                 if node.kind in ("sum", "step") and node.steps >= CUT and node.steps % CUT == 0 and self._deep(root):
                     out = written(out, "level")
                 self.made[id(node)] = out.persist() if self.keep and node.kind in ("step", "sum") else out
         return self.made[id(root)]
 
+    # -- choosing by size -----------------------------------------------------
+
+    @staticmethod
+    def _inner_steps(order: list[Node]) -> set[int]:
+        """Steps whose message nothing but the next step uses."""
+        users = Counter(id(i) for n in order for i in n.inputs)
+        return {id(n.inputs[0]) for n in order if n.kind == "step" and n.inputs[0].kind == "step" and users[id(n.inputs[0])] == 1}
+
+    def _known(self, names: set[tuple[str, int]]) -> None:
+        """Sizes of relations, and of the batch under the name ("", 0)."""
+        missing = names - set(self._sizes)
+        if missing:
+            self._sizes |= self.relations.statistics({n for n in missing if n[1]}, self.batch if ("", 0) in missing else None)
+
+    def size(self, node: Node) -> Size:
+        """An estimate of a message."""
+        stored = {(n.detail[0], 1 if n.kind == "unary" else 2) for n in in_order(node) if n.kind in ("unary", "preimage", "step")}
+        self._known(stored | {("", 0)})
+        got: dict[int, Size] = {}
+        for n in in_order(node):
+            parts = [got[id(i)] for i in n.inputs]
+            match n.kind:
+                case "input":
+                    out = self._sizes[("", 0)]
+                case "unary":
+                    out = Size(self._sizes[(n.detail[0], 1)].rows, 1, self._sizes[(n.detail[0], 1)].rows)
+                case "preimage":
+                    end = self._ends(n)
+                    out = Size(end.near, 1, end.near)
+                case "step":
+                    out = joined(parts[0], self._ends(n))[1]
+                case "product":
+                    rows, far = min(p.rows for p in parts), min(p.far for p in parts)
+                    near = max(p.near for p in parts)
+                    out = Size(min(max(p.rows for p in parts), max(rows, near)), near, far)
+                case "scale" | "plugin" | "call" if parts:
+                    out = parts[0]
+                case "sum":
+                    near, far = max(p.near for p in parts), max(p.far for p in parts)
+                    out = Size(min(sum(p.rows for p in parts), near * far), near, far)
+                case _:
+                    out = Size(1, 1, 1)
+            got[id(n)] = out
+        return got[id(node)]
+
+    def _ends(self, node: Node) -> Size:
+        s = self._sizes[(node.detail[0], 2)]
+        return s if node.detail[1] == "forward" else Size(s.rows, s.far, s.near)
+
+    def _run_of_steps(self, last: Node, inner: set[int]) -> DataFrame:
+        """A run of steps in the order that makes fewest rows."""
+        run = [last]
+        while id(run[0].inputs[0]) in inner:
+            run.insert(0, run[0].inputs[0])
+        message = self.made[id(run[0].inputs[0])]
+        if len(run) == 1:
+            return self._one(last)
+        self._known({(n.detail[0], 2) for n in run})
+        sizes = [self.size(run[0].inputs[0]), *(self._ends(n) for n in run)]
+        cost, tree, _ = best_order(sizes)
+        self.choices.append(f"{shown(tree, ['queries', *(n.detail[0] for n in run)])}: about {cost:.3g} rows")
+
+        def relation(k: int) -> DataFrame:
+            r = self.relations.binary(run[k - 1].detail[0])
+            return r if run[k - 1].detail[1] == "forward" else r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+
+        def built(tree: Tree) -> DataFrame:
+            if isinstance(tree, int):
+                return message if tree == 0 else relation(tree)
+            left, right = tree
+            first = left
+            while not isinstance(first, int):
+                first = first[0]
+            return step(built(left), built(right), True) if first == 0 else composed(built(left), built(right))
+
+        return built(tree)
+
+    def _called(self, node: Node, message: DataFrame) -> DataFrame:
+        """A call: from a table of all its inputs, where the message has many more rows than there are inputs."""
+        mode, depth = node.detail
+        domain = self.program.domain(mode) if node.per_query else None
+        if domain:
+            self._known({(f, n) for f, n, _ in domain})
+            inputs = sum(self._sizes[(f, n)].far if c == "dst" else self._sizes[(f, n)].near for f, n, c in domain)
+            rows = self.size(node.inputs[0]).rows
+            if rows > TABLE_GAIN * inputs:
+                if (mode, depth) not in self.tables:
+                    self.choices.append(f"{mode} from a table: about {inputs:.3g} inputs for {rows:.3g} rows")
+                    self.tables[(mode, depth)] = self._table(mode, depth, domain)
+                return step(message, self.tables[(mode, depth)], True)
+        return self.of(self.program.expanded(mode, depth, node.inputs[0]))
+
+    def _table(self, mode: Mode, depth: int, domain: set[tuple[str, int, str]]) -> DataFrame:
+        """A called predicate as a relation: every input is a query."""
+        ends = [(self.relations.unary(f) if n == 1 else self.relations.binary(f)).select(F.col(c).alias("id")) for f, n, c in sorted(domain)]
+        ids = ends[0]
+        for e in ends[1:]:
+            ids = ids.union(e)
+        ev = Evaluation(self.relations, ids.distinct().select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("w")), self.plugins, program=self.program)
+        ev.tables, ev.choices = self.tables, self.choices
+        ev._sizes = {k: s for k, s in self._sizes.items() if k[1]}
+        answers = ev.scores(self.program.expanded(mode, depth))
+        return written(answers.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "w"), "table")
+
     @staticmethod
     def _deep(root: Node) -> bool:
         """Whether the plan is recursive deeply enough for levels to be written."""
@@ -172,6 +296,8 @@ class Evaluation:
                 return added(got, self.queries)
             case "plugin":
                 return self.plugins[f"{node.detail[0]}/{len(node.detail[1])}"](*got)
+            case "call":
+                return self._called(node, got[0])
             case "empty":
                 return self.batch.limit(0)
         raise AssertionError(node.kind)

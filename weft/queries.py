@@ -38,7 +38,7 @@ RELATIONS: dict[str, tuple[str, str, str | None, str]] = {
 }
 _WORDS = "SELECT concat('d', doc_id) AS src, word AS dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY ALL"
 #: Brands that share a part type, as a stored relation, unweighted.
-_CO = "SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst, 1.0::DOUBLE AS w FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand <> b.p_brand AND a.p_size < 4"
+_CO = "SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst, 1.0::DOUBLE AS w FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand <> b.p_brand"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,9 @@ def database(spark: SparkSession, sf_dir: str, names: list[str]) -> Database:
             docs = _table(spark, sf_dir, "documents")
             rel = docs.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.explode(F.split(F.lower("text"), " ", -1)).alias("dst")).filter("dst <> ''")
         elif name == "co":
-            part = _table(spark, sf_dir, "part").filter("p_size < 4").select("p_type", "p_size", "p_brand").distinct()
+            part = _table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
             a, b = part.withColumnRenamed("p_brand", "src"), part.withColumnRenamed("p_brand", "dst")
-            rel = a.join(b, ["p_type", "p_size"]).filter("src <> dst").select("src", "dst").distinct()
+            rel = a.join(b, "p_type").filter("src <> dst").select("src", "dst").distinct()
         else:
             table, left, right, where = RELATIONS[name]
             rel = _table(spark, sf_dir, table).filter(where)
@@ -233,10 +233,12 @@ def _text_gradient(spark: SparkSession, sf_dir: str, **options) -> tuple[Learner
     return learner, learner.gradient("predict/io", data.queries("predict/io"), data.labels("predict/io"))
 
 
-@register("grad_unary", with_relations(["has_word", "quality"], _TEXT + _DELTA + _GRAD_W1 + " SELECT id, round(w, 5) AS w FROM g WHERE abs(w) > 0.0001"))
+@register("grad_unary", with_relations(["has_word", "quality"], _TEXT + _DELTA + _GRAD_W1 + " SELECT t.f AS id, round(coalesce(g.w, 0), 5) + 0.0 AS w FROM t LEFT JOIN g ON g.id = t.f WHERE t.l = 'q1'"))
 def grad_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, g = _text_gradient(spark, sf_dir)
-    return g.by_parameter[("w1", 1)].filter("abs(w) > 0.0001").select("id", F.round("w", 5).alias("w"))
+    """The gradient of every parameter, those that no example moves included."""
+    learner, g = _text_gradient(spark, sf_dir)
+    every = learner.engine.db.unary("w1").select("id").join(g.by_parameter[("w1", 1)], "id", "left")
+    return every.select("id", (F.round(F.coalesce("w", F.lit(0.0)), 5) + F.lit(0.0)).alias("w"))  # -0.0 as 0.0
 
 
 _MOVED = "greatest(0.0, {old} + 0.1 * greatest(-100.0, least(100.0, coalesce(g.w, 0) / (SELECT count(DISTINCT x) FROM d))))"
@@ -256,7 +258,7 @@ def l2_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("grad_binary", with_relations(["did", "quality"], """, s AS (SELECT src AS x, dst AS y, w FROM did), q AS (SELECT DISTINCT src AS x FROM did)""" + _P + """,
 y AS (SELECT src AS x, arg_max(dst, (w, dst)) AS y FROM did GROUP BY src)
-SELECT did.src, did.dst, round(CASE WHEN y.y = did.dst THEN 1.0 ELSE 0.0 END - p.w, 6) AS w
+SELECT did.src, did.dst, round(CASE WHEN y.y = did.dst THEN 1.0 ELSE 0.0 END - p.w, 6) + 0.0 AS w
 FROM did JOIN y ON y.x = did.src JOIN p ON p.x = did.src AND p.y = did.dst"""))
 def grad_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gradient of a whole relation; the label is each user's commonest event."""
@@ -266,7 +268,7 @@ def grad_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = db.binary("did").groupBy("src").agg(F.max(F.struct("w", "dst")).alias("b"))
     x = best.select(F.col("src").alias("qid"), F.col("src").alias("id"), F.lit(1.0).alias("w"))
     y = best.select(F.col("src").alias("qid"), F.col("b.dst").alias("id"), F.lit(1.0).alias("w"))
-    return engine.loss_gradient("r/io", x, y)[("did", 2)].select("src", "dst", F.round("w", 6).alias("w"))
+    return engine.loss_gradient("r/io", x, y)[("did", 2)].select("src", "dst", (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
 @register("topk", with_relations(["supplied"], "SELECT dst AS x, row_number() OVER (PARTITION BY dst ORDER BY w DESC, src DESC) AS rank, src AS y, w FROM supplied QUALIFY rank <= 10"))
@@ -304,9 +306,10 @@ def possible_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Relations that triples are made of, some of them inverses or compositions of others.
-_MINED = ["brand", "c_nation", "s_nation", "in_region"]
+_MINED = ["brand", "ptype", "supplied", "c_nation", "s_nation", "in_region"]
 _TRIPLES = """, t AS (
-SELECT src AS h, 'brand' AS r, dst AS t FROM brand UNION ALL SELECT src, 'label', dst FROM brand UNION ALL
+SELECT src AS h, 'brand' AS r, dst AS t FROM brand UNION ALL SELECT src, 'label', dst FROM brand UNION ALL SELECT src, 'ptype', dst FROM ptype UNION ALL
+SELECT src, 'supplied', dst FROM supplied UNION ALL SELECT dst, 'supplies', src FROM supplied UNION ALL
 SELECT src, 'c_nation', dst FROM c_nation UNION ALL SELECT src, 's_nation', dst FROM s_nation UNION ALL SELECT dst, 'inhabited', src FROM c_nation UNION ALL
 SELECT src, 'in_region', dst FROM in_region UNION ALL SELECT a.src, 'c_region', b.dst FROM c_nation a JOIN in_region b ON a.dst = b.src UNION ALL
 SELECT a.src, 's_region', b.dst FROM s_nation a JOIN in_region b ON a.dst = b.src), c AS (SELECT r, count(*) AS c FROM t GROUP BY r)"""
@@ -319,7 +322,7 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rel.select(F.col(head).alias("head"), F.lit(name).alias("relation"), F.col(tail).alias("tail"))
 
     region = db.binary("in_region").select(F.col("src").alias("n"), F.col("dst").alias("r"))
-    parts = [named(n, db.binary(n)) for n in _MINED] + [named("label", db.binary("brand")), named("inhabited", db.binary("c_nation"), "dst", "src")]
+    parts = [named(n, db.binary(n)) for n in _MINED] + [named("label", db.binary("brand")), named("inhabited", db.binary("c_nation"), "dst", "src"), named("supplies", db.binary("supplied"), "dst", "src")]
     parts += [named(n, db.binary(of).join(region, F.col("dst") == F.col("n")), "src", "r") for n, of in (("c_region", "c_nation"), ("s_region", "s_nation"))]
     return reduce(DataFrame.union, parts)
 
@@ -356,19 +359,25 @@ def plugin_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.proof_count("r/io", _inputs(engine.db, "placed"))
 
 
-@register("minibatches", None)
+@register("minibatches", "SELECT concat('d', doc_id) AS id, concat('q', quality) AS y, 1 AS batches, true AS full FROM labels")
 def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(batch, qid): every example once, in batches of 64."""
-    data = from_pairs(_quality_pairs(spark, sf_dir)).shuffled(seed=3)
-    return data.x.select(F.floor(F.col("qid") / 64).alias("batch"), "qid", "id")
+    """Every example and its answer, in how many batches it came, and whether
+    all batches but the last hold 64."""
+    parts = list(from_pairs(_quality_pairs(spark, sf_dir)).batches(64, seed=3))
+    rows = [p.x.select("qid", "id", F.lit(i).alias("part")).join(p.y.select("qid", F.col("id").alias("y")), "qid") for i, (_, p) in enumerate(parts)]
+    rows = reduce(DataFrame.union, rows)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg((F.sum((F.col("n") != 64).cast("int")) <= 1).alias("full"))
+    return rows.groupBy("id", "y").agg(F.count(F.lit(1)).cast("int").alias("batches")).crossJoin(sizes)
 
 
-@register("hashed_embedding", None)
+@register("hashed_embedding", with_relations(["did"], "SELECT src AS x, dst AS y, true AS bounded FROM did"))
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events through hashed cells and back: never less than what went in."""
+    """Users' events through hashed cells and back: none is lost, none becomes less."""
     did = database(spark, sf_dir, ["did"]).binary("did")
     message = did.select(F.col("src").alias("qid"), F.col("dst").alias("id"), "w")
-    return vectors.unembed(vectors.embed(message, columns=128), did.select(F.col("dst").alias("id")).distinct(), columns=128)
+    back = vectors.unembed(vectors.embed(message, columns=128), did.select(F.col("dst").alias("id")).distinct(), columns=128)
+    both = did.select(F.col("src").alias("qid"), F.col("dst").alias("id"), F.col("w").alias("was")).join(back, ["qid", "id"])
+    return both.select(F.col("qid").alias("x"), F.col("id").alias("y"), (F.col("w") >= F.col("was")).alias("bounded"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

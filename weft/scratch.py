@@ -5,6 +5,7 @@ from __future__ import annotations
 import getpass
 import os
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -12,17 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where it is unset."""
+    """``spark.checkpoint.dir``, on the file system that it names or else the
+    session's own; a local folder only where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = made.get() if made.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), f"weft-{getpass.getuser()}")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root if ":" in root else "file://" + os.path.abspath(root)
+    if "://" in root:
+        return root
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full[5:] if full.startswith("file:/") else full
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a folder of its own and read back."""
+def paths_of(spec: str) -> list[str]:
+    """The paths of a list with ``:`` between them; schemes keep theirs."""
+    return re.split(r":(?!//)(?<!\bfile:)(?<!\bdbfs:)", spec)
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to a folder of its own, in parts by some columns if
+    wanted, and read back."""
     path = posixpath.join(shared_folder(df.sparkSession), f"weft-{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

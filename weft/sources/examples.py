@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.catalog import OOV, Database
+from weft.functions.messages import numbered
 from weft.plans.terms import Mode
 
 
+class BadExample(ValueError):
+    """A line that is no example."""
+
+
 @dataclass
 class Dataset:
     """x: (mode, qid, id, w), one entry a query; y: (mode, qid, id, w), the
@@ -40,8 +45,7 @@ class Dataset:
 
     def shuffled(self, seed: int = 0) -> Dataset:
         """New numbers in the order of a seeded hash, the same for x and y."""
-        order = self.x.select("mode", "qid").distinct().withColumn("h", F.xxhash64(F.lit(seed), "mode", "qid"))
-        new = order.withColumn("new", F.row_number().over(Window.partitionBy("mode").orderBy("h", "qid")) - 1).select("mode", "qid", F.col("new").cast("long").alias("new"))
+        new = numbered(self.x.select("mode", "qid").distinct(), "new", "qid", within=("mode",), seed=seed)
 
         def renumber(df: DataFrame) -> DataFrame:
             return df.join(new, ["mode", "qid"]).select("mode", F.col("new").alias("qid"), "id", "w")
@@ -82,18 +86,26 @@ def from_pairs(rows: DataFrame, db: Database | None = None, normalise: bool = Tr
 
 
 def load_examples(db: Database, path: str, normalise: bool = True) -> Dataset:
-    """``.exam``: ``pred⇥x⇥y1…yk``; ``.examples``: ``p(x,Y)⇥+p(x,y)⇥-p(x,y2)``."""
+    """``.exam``: ``pred⇥x⇥y1…yk``; ``.examples``: ``p(x,Y)⇥+p(x,y)⇥-p(x,y2)``.
+
+    In the second form a line that isn't a query and signed answers to it, of
+    its own predicate and input, raises :class:`BadExample`.
+    """
     lines = db.spark.read.text(path).filter(F.trim("value") != "").withColumn("qid", F.monotonically_increasing_id())
     if path.endswith(".examples"):
         goal = r"^\s*(\w+)\((\w+),(\w+)\)"
-        rows = lines.select("qid", F.split("value", "\t").alias("f")).filter(F.get("f", F.lit(0)).rlike(goal))
-        first = F.get("f", F.lit(0))
-        pos = F.filter(F.slice("f", 2, 1 << 20), lambda g: g.rlike(r"^\+\w+\(\w+,\w+\)"))
-        ys = F.transform(pos, lambda g: F.regexp_extract(g, r"^\+\w+\(\w+,(\w+)\)", 1))
+        rows = lines.select("qid", "value", F.transform(F.split(F.rtrim("value"), "\t"), F.trim).alias("f"))
+        first, answer = F.get("f", F.lit(0)), r"^[+-](\w+)\((\w+),(\w+)\)\.?$"
+        answers = F.filter(F.slice("f", F.lit(2), F.size("f")), lambda g: g != "")
+        own = F.forall(answers, lambda g: g.rlike(answer) & (F.regexp_extract(g, answer, 1) == F.regexp_extract(first, goal, 1)) & (F.regexp_extract(g, answer, 2) == F.regexp_extract(first, goal, 2)))
+        bad = rows.filter(~(first.rlike(goal) & own)).head(1)
+        if bad:
+            raise BadExample(f"not an example: {bad[0].value!r}")
+        ys = F.transform(F.filter(answers, lambda g: g.startswith("+")), lambda g: F.regexp_extract(g, answer, 3))
         rows = rows.select("qid", F.concat(F.regexp_extract(first, goal, 1), F.lit("/io")).alias("mode"), F.regexp_extract(first, goal, 2).alias("x"), F.explode_outer(ys).alias("y"))
     else:
         f = F.split(F.rtrim("value"), "\t")
-        rows = lines.select("qid", F.concat(F.get(f, F.lit(0)), F.lit("/io")).alias("mode"), F.get(f, F.lit(1)).alias("x"), F.explode_outer(F.slice(f, 3, 1 << 20)).alias("y"))
+        rows = lines.select("qid", F.concat(F.get(f, F.lit(0)), F.lit("/io")).alias("mode"), F.get(f, F.lit(1)).alias("x"), F.explode_outer(F.slice(f, F.lit(3), F.size(f))).alias("y"))
     return from_pairs(rows, db, normalise)
 
 
@@ -103,9 +115,9 @@ def from_relation(db: Database, mode: str | Mode, functor: str, normalise: bool
     mode = Mode.parse(mode)
     near, far = ("src", "dst") if mode.pattern == "io" else ("dst", "src")
     rel = db.binary(functor).select(F.col(near).alias("x"), F.col(far).alias("y"), "w")
-    numbered = rel.select("x", F.xxhash64("x", "y").alias("qid"))
-    x = numbered.select(F.lit(str(mode)).alias("mode"), "qid", F.col("x").alias("id"), F.lit(1.0).alias("w"))
-    y = numbered.join(rel, "x").select(F.lit(str(mode)).alias("mode"), "qid", F.col("y").alias("id"), "w")
+    facts = rel.select("x", F.concat(F.length("x").cast("string"), F.lit(":"), "x", "y").alias("qid"))  # tells any two facts apart
+    x = facts.select(F.lit(str(mode)).alias("mode"), "qid", F.col("x").alias("id"), F.lit(1.0).alias("w"))
+    y = facts.join(rel, "x").select(F.lit(str(mode)).alias("mode"), "qid", F.col("y").alias("id"), "w")
     return Dataset(x, normalise_labels(y) if normalise else y)
 
 

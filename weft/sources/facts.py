@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog import Database, log
 from weft.plans.parse import NoRule, parse_goal
+from weft.scratch import paths_of, written
 
 NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
@@ -64,9 +65,12 @@ def parsed(lines: DataFrame, db: Database, weighted_tuples: bool = True) -> Data
     return rows.drop("n")
 
 
-def _load(db: Database, lines: DataFrame, weighted_tuples: bool) -> Database:
-    _directives((r.value for r in lines.filter(F.col("value").startswith("#")).select("value").collect()), db)
+def _load(db: Database, lines: DataFrame, weighted_tuples: bool, split: bool = False) -> Database:
+    # directives are as many as there are predicates; other comments stay where they are
+    _directives((r.value for r in lines.filter(F.col("value").rlike(r"^#\s*:-")).select("value").collect()), db)
     rows = parsed(lines, db, weighted_tuples)
+    if split:  # the text is read once, and each relation then reads its own facts
+        rows = written(rows, "facts", by=["functor", "arity"])
     for r in rows.groupBy("functor", "arity").count().sort("functor", "arity").collect():
         key = (r.functor, r.arity)
         if db.typed and key not in db.types:
@@ -80,8 +84,8 @@ def _load(db: Database, lines: DataFrame, weighted_tuples: bool) -> Database:
 def load_files(spark: SparkSession, spec: str | list[str], db: Database | None = None, weighted_tuples: bool = True) -> Database:
     """Facts of a ``:``-separated list of files, or of several paths; all files
     of a predicate are loaded together."""
-    paths = spec if isinstance(spec, list) else re.split(r":(?!//)", spec)
-    return _load(db or Database(spark), spark.read.text(paths), weighted_tuples)
+    paths = spec if isinstance(spec, list) else paths_of(spec)
+    return _load(db or Database(spark), spark.read.text(paths), weighted_tuples, split=True)
 
 
 def load_lines(spark: SparkSession, lines: Iterable[str], db: Database | None = None, weighted_tuples: bool = True) -> Database:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from weft.catalog import BINARY, UNARY, Database
 from weft.plans.parse import parse_rules
 from weft.plans.terms import RuleSet
+from weft.scratch import paths_of
 from weft.sources.facts import load_files
 
 
@@ -32,31 +34,69 @@ def save_database(db: Database, path: str, which: str = "all") -> None:
     _write_text(db.spark, posixpath.join(path, "schema"), json.dumps(meta))
 
 
-def load_database(spark: SparkSession, path: str, into: Database | None = None) -> Database:
-    """A saved database; its relations are merged into ``into`` where one is given."""
-    db = into or Database(spark)
-    meta = json.loads(_read_text(spark, posixpath.join(path, "schema")))
-    for functor, arity in meta["relations"]:
-        schema = BINARY if arity == 2 else UNARY
-        db.relations[(functor, arity)] = spark.read.schema(schema).parquet(posixpath.join(path, "relations", f"{functor.encode().hex()}-{arity}"))
-    db.types |= {(f, len(t)): tuple(t) for f, t in meta["types"]}
-    db.parameters |= {(f, n) for f, n in meta["parameters"]}
+def _schema(spark: SparkSession, path: str) -> dict:
+    return json.loads(_read_text(spark, posixpath.join(path, "schema")))
+
+
+def stored_relations(spark: SparkSession, path: str, only: Iterable[tuple[str, int]] | None = None) -> dict[tuple[str, int], DataFrame]:
+    """Relations of a saved database by (name, arity), without making a
+    database of them: all, or ``only`` those named, which must be there."""
+    there = {(f, n) for f, n in _schema(spark, path)["relations"]}
+    wanted = there if only is None else set(only)
+    if wanted - there:
+        raise KeyError(f"{path} has no {sorted(wanted - there)}")
+    return {(f, n): spark.read.schema(BINARY if n == 2 else UNARY).parquet(posixpath.join(path, "relations", f"{f.encode().hex()}-{n}")) for f, n in sorted(wanted)}
+
+
+def load_database(spark: SparkSession, path: str, into: Database | None = None, only: Iterable[tuple[str, int]] | None = None) -> Database:
+    """A saved database, or ``only`` some of its relations; merged into
+    ``into`` where one is given, whose relations of the same name are replaced."""
+    db, meta = into or Database(spark), _schema(spark, path)
+    found = stored_relations(spark, path, only)
+    db.relations |= found
+    db.types |= {(f, len(t)): tuple(t) for f, t in meta["types"] if only is None or (f, len(t)) in found}
+    db.parameters |= {(f, n) for f, n in meta["parameters"] if only is None or (f, n) in found}
     db.typed = db.typed or meta["typed"]
     return db
 
 
 def cached_database(spark: SparkSession, cache: str, sources: str) -> Database:
     """The cache, made again when it is missing or a source is newer."""
-    if not fresh(cache, sources):
+    if not fresh(spark, cache, sources):
         save_database(load_files(spark, sources), cache)
     return load_database(spark, cache)
 
 
-def fresh(cache: str, sources: str) -> bool:
-    if not os.path.exists(cache):
-        return False
-    newest = max(os.path.getmtime(s) for s in sources.split(":"))
-    return os.path.getmtime(cache) >= newest
+def _written_at(spark: SparkSession, path: str) -> int | None:
+    """When a file, or the newest file below a folder, was written, in
+    milliseconds; None if there is nothing.  On any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    below, newest = files.listFiles(where, True), files.getFileStatus(where).getModificationTime()
+    while below.hasNext():
+        newest = max(newest, below.next().getModificationTime())
+    return newest
+
+
+def fresh(spark: SparkSession, cache: str, sources: str) -> bool:
+    """Whether a cache is there and no source was written after it."""
+    made = _written_at(spark, cache)
+    times = [_written_at(spark, s) for s in paths_of(sources)]
+    if None in times:
+        raise FileNotFoundError(sources)
+    return made is not None and made >= max(times)
+
+
+def cached_relation_dataset(db: Database, cache: str, mode: str, functor: str, sources: str | None = None):
+    """The examples of a stored relation from a cache, made when it is missing
+    or older than ``sources``, the files that the relation came from."""
+    from weft.sources.examples import from_relation
+
+    if (_written_at(db.spark, cache) is None) if sources is None else not fresh(db.spark, cache, sources):
+        save_dataset(from_relation(db, mode, functor), cache)
+    return load_dataset(db.spark, cache)
 
 
 def save_program(rules: RuleSet, db: Database, path: str) -> None:
@@ -92,7 +132,7 @@ def open_dataset(spark: SparkSession, spec: str, db: Database):
 
     if "|" in spec:
         cache, source = spec.split("|", 1)
-        if not fresh(cache, source):
+        if not fresh(spark, cache, source):
             save_dataset(load_examples(db, source), cache)
         return load_dataset(spark, cache)
     return load_dataset(spark, spec) if spec.endswith(".dset") else load_examples(db, spec)
