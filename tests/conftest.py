@@ -23,9 +23,9 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def family(spark):
-    """The family's database, its relations held in memory."""
-    from family import lines
+def library(spark):
+    """The libraries' database, its relations held in memory."""
+    from library import lines
 
     from weft.catalog import BINARY, UNARY
     from weft.sources.facts import load_lines

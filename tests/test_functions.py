@@ -1,8 +1,12 @@
 """Mining, hashed embeddings, word weights and message utilities."""
 
+import itertools
 import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.functions import messages, mining, vectors
 
@@ -22,6 +26,35 @@ def test_mining(triples):
     assert "p(X,Y):-q(X,Y) {if_p_q}.\t#score -0.693" in text and "t(X,Y):-p(X,Z),s(Z,Y) {chain_t_p_s}.\t#score 0.000" in text
 
 
+def test_chains_equal_all_paths(spark):
+    """Over many-to-many relations with hubs, some of them closing chains of others."""
+    rng = random.Random(3)
+    rows = {(f"a{rng.randint(0, 9) ** 2 // 9}", "p", f"b{rng.randint(0, 5)}") for _ in range(60)} | {(f"b{rng.randint(0, 5)}", "q", f"c{rng.randint(0, 9)}") for _ in range(40)}
+    rows |= {(f"a{rng.randint(0, 9)}", "s", f"c{rng.randint(0, 9)}") for _ in range(50)} | {(f"c{rng.randint(0, 9)}", "t", f"c{rng.randint(0, 9)}") for _ in range(30)}
+    rows |= {(t, "back", h) for h, r, t in rows if r == "p"}
+    paths, pairs = Counter(), defaultdict(set)
+    for (x, q, z), (z2, r, y) in itertools.product(rows, rows):
+        if z == z2:
+            paths[(q, r)] += 1
+            pairs[(q, r)].add((x, y))
+    want = {}
+    for (q, r), found in pairs.items():
+        for p in {row[1] for row in rows}:
+            n = sum((x, p, y) in rows for x, y in found)
+            if n:
+                want[(p, q, r)] = (n, round(math.log(n / paths[(q, r)]), 9))
+    got = mining.chains(spark.createDataFrame(sorted(rows), "head string, relation string, tail string")).collect()
+    assert {(r.p, r.q, r.r): (r.n, round(r.score, 9)) for r in got} == want and len(want) >= 5
+
+
+def test_numbers_without_gaps(spark):
+    rows = spark.range(500).selectExpr("id % 3 AS mode", "id")
+    got = messages.numbered(rows, "n", "id", within=("mode",), seed=2).collect()
+    for mode in range(3):
+        own = sorted((r.n, r.id) for r in got if r["mode"] == mode)
+        assert [n for n, _ in own] == list(range(len(own))) and [i for _, i in own] != sorted(i for _, i in own)
+
+
 def test_embeddings_never_lose(spark):
     m = spark.createDataFrame([(0, f"s{i}", float(i + 1)) for i in range(5)], "qid long, id string, w double")
     symbols = spark.createDataFrame([(f"s{i}",) for i in range(40)], "id string")
@@ -47,4 +80,6 @@ def test_messages(spark):
     assert messages.repeat(m.filter("qid = 0").drop("qid"), 3).count() == 6
     assert {r.qid for r in messages.shuffled(m, 5).collect()} == {0, 1}
     assert tuple(messages.summary(m).first()) == (2, 2, 3, 3.0)
+    assert {(r.qid, r.id): r.w for r in messages.altered(m, lambda w, row: w / F.sum(w).over(row)).collect()} == {(0, "a"): 1 / 3, (0, "b"): 2 / 3, (1, "a"): 1.0}
+    assert {r.id: (r.entries, r.total, r.largest) for r in messages.columns(m).collect()} == {"a": (2, 4.0, 3.0), "b": (1, 2.0, 2.0)}
     assert messages.map_weights(m, lambda w: w * 2).agg({"w": "sum"}).first()[0] == 12

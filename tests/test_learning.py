@@ -4,80 +4,66 @@ import math
 import random
 
 import pytest
+from library import FACTS, Prover
 
-from weft.catalog import row_symbols
 from weft.engine import Engine, Settings
-from weft.learn import AdaGrad, Experiment, FixedRateGD, FixedRateSGD, L2Regulariser, Learner, RecordingTracer, WholeDatasetGD, accuracy, cross_entropy, sigmoid, softplus, softplus_inverse, updated
+from weft.learn import AdaGrad, EveryEpochs, Experiment, FixedRateGD, FixedRateSGD, L2Regulariser, Learner, RecordingTracer, TestTracer, WholeDatasetGD, accuracy, cheap_tracer, cross_entropy, sigmoid, softplus, softplus_inverse, updated, updated_free
 from weft.sources.examples import from_pairs
 from weft.sources.facts import load_lines
 
-SIGNS = [
-    ("p(X,Y):-sister(X,Y).", ["sister"], "william", ["rachel", "sarah"], {("sister", "william", "rachel"), ("sister", "william", "sarah")}, {("sister", "william", "lottie")}),
-    ("p(X,Y):-parent(Y,X).", ["parent"], "lottie", ["charlotte"], {("parent", "charlotte", "lottie")}, {("parent", "lucas", "lottie")}),
-    ("p(X,Z):-sister(X,Y),child(Y,Z).", ["sister", "child"], "william", ["caroline", "elizabeth"], {("sister", "william", "rachel"), ("child", "rachel", "elizabeth")}, {("sister", "william", "lottie"), ("child", "lottie", "lucas")}),
-    ("p(X,Y):-q(X,Y). q(X,Y):-r(X,Y). r(X,Y):-sister(X,Y).", ["sister"], "william", ["rachel", "sarah"], {("sister", "william", "rachel")}, {("sister", "william", "lottie")}),
-    ("p(X,Y):-sister(X,Y),child(Y,Z),young(Z).", ["child", "sister"], "william", ["lottie"], {("child", "lottie", "lucas"), ("child", "lottie", "charlotte"), ("sister", "william", "lottie")}, {("child", "sarah", "poppy"), ("sister", "william", "sarah")}),
-    ("p(X,Y):-child(X,Y). p(X,Y):-sister(X,Y).", ["sister", "child"], "william", ["charlie", "rachel"], {("sister", "william", "rachel"), ("child", "william", "charlie")}, {("sister", "william", "sarah"), ("child", "william", "josh")}),
-]
-
-
 def one(spark, symbol, answers):
     x = spark.createDataFrame([(0, symbol, 1.0)], "qid long, id string, w double")
     return x, spark.createDataFrame([(0, a, 1.0 / len(answers)) for a in answers], "qid long, id string, w double")
 
 
-@pytest.mark.parametrize("rules,parameters,symbol,answers,up,down", SIGNS)
-def test_signs(spark, family, rules, parameters, symbol, answers, up, down):
-    db = family.partner()
-    for p in parameters:
-        db.mark_parameter(p, 2)
-    found = Engine(db, rules).loss_gradient("p/io", *one(spark, symbol, answers))
-    g = {(f, r.src, r.dst): r.w for (f, _), df in found.items() for r in df.collect()}
-    assert all(g[k] > 0 for k in up) and all(g[k] < 0 for k in down)
+#: Rules, a query and its right answers.
+TASKS = [
+    ("r(B,K) :- lends(B,K).", "r/io", "north", ["atlas"]),
+    ("r(B,K) :- lends(B,K).", "r/oi", "saga", ["south"]),
+    ("r(B,L) :- lends(B,K), cites(K,L).", "r/io", "north", ["herbal", "atlas"]),
+    ("r(B,K) :- lends(B,K), old(K), cites(K,L).", "r/io", "quay", ["ledger"]),
+    ("r(B,C) :- twin(B,C), lends(B,K), cites(K,L). r(B,K) :- lends(B,K).", "r/io", "north", ["saga", "quay"]),
+    ("g(K,L) :- cites(K,L). r(K,M) :- g(K,L), g(L,M). r(K,L) :- g(K,L).", "r/io", "saga", ["ledger", "atlas"]),
+    ("r(B,V) :- assign(V,yes), lends(B,K), rare(V). r(B,L) :- lends(B,K), cites(K,L), old(L).", "r/io", "north", ["yes", "herbal"]),
+]
 
 
-@pytest.mark.parametrize("rules", ["p(X,Y):-sister(X,Y),child(Y,Z).", "p(X,Y):-spouse(X,Y),sister(X,Z),child(Z,W). p(X,Y):-child(X,Y).", "p(X,S):-assign(S,a),sister(X,Y),feat2(S). p(X,Z):-sister(X,Y),child(Y,Z),young(Z)."])
-def test_gradients_match_differences(spark, family, rules):
-    """Every adjoint against finite differences of the likelihood."""
-    db = family.partner()
-    db.add("feat2", spark.createDataFrame([("a", 0.7)], "id string, w double"))
-    keys = [("sister", 2), ("child", 2), ("young", 1), ("feat2", 1)]
-    db.parameters = set(keys)
-    answers = ["sarah", "susan", "josh", "a", "poppy"]
-    x, y = one(spark, "william", answers)
+@pytest.mark.parametrize("rules,mode,symbol,answers", TASKS)
+def test_gradients_match_differences(spark, library, rules, mode, symbol, answers):
+    """The gradient of every fact against differences of the likelihood, which the prover computes."""
+    facts = {f: dict(w) for f, w in FACTS.items()} | {"rare": {("yes",): 0.7}}
+    db = library.partner()
+    db.add("rare", spark.createDataFrame([("yes", 0.7)], "id string, w double"))
+    db.parameters = set(db.relations)
 
     def likelihood():
-        p = row_symbols(Engine(db, rules).inference_batch("p/io", x))[0]
-        return sum(math.log(p[a]) for a in answers) / len(answers)
-
-    reached = row_symbols(Engine(db, rules).inference_batch("p/io", x))[0]
-    answers = [a for a in answers if a in reached]
-    x, y = one(spark, "william", answers)
-    found = Engine(db, rules).loss_gradient("p/io", x, y)
-    base = {k: [tuple(r) for r in db.relations[k].collect()] for k in keys}
-    checked = 0
-    for key, df in found.items():
-        g = {tuple(r)[:-1]: r.w for r in df.collect()}
-        for fact in random.Random(1).sample(sorted(g), min(1, len(g))):
-            values = []
-            for move in (1e-4, -1e-4):
-                schema = "src string, dst string, w double" if key[1] == 2 else "id string, w double"
-                db.relations[key] = spark.createDataFrame([(*r[:-1], r[-1] + (move if r[:-1] == fact else 0)) for r in base[key]], schema).coalesce(1)
-                values.append(likelihood())
-            db.relations[key] = family.relations.get(key, db.relations[key])
-            assert g[fact] == pytest.approx((values[0] - values[1]) / 2e-4, abs=1e-4)
-            checked += 1
-            db.relations[key] = spark.createDataFrame(base[key], schema).coalesce(1)
-    assert checked >= 2
-
-
-def test_densify_makes_facts(spark, family):
-    db = family.partner()
-    db.mark_parameter("sister", 2)
-    x, y = one(spark, "william", ["susan"])
-    learner = Learner(Engine(db, "p(X,Y):-sister(X,Y)."), densify=True, rate=1.0)
-    learner.apply(learner.gradient("p/io", x, y))
-    assert db.relations[("sister", 2)].filter("dst = 'susan' and w > 0").count() == 1
+        scores = Prover(rules, facts).answers(mode, symbol)
+        z = sum(map(math.exp, scores.values())) + math.exp(-10)
+        return sum(scores[a] - math.log(z) for a in answers) / len(answers)
+
+    found = Engine(db, rules).loss_gradient(mode, *one(spark, symbol, answers))
+    got = {(f, *tuple(r)[:-1]): r.w for (f, _), df in found.items() for r in df.collect()}
+    moved = 0
+    for f, weights in facts.items():
+        for args, w in list(weights.items()):
+            ends = []
+            for step in (1e-5, -1e-5):
+                weights[args] = w + step
+                ends.append(likelihood())
+            weights[args] = w
+            slope = (ends[0] - ends[1]) / 2e-5
+            assert got.get((f, *args), 0.0) == pytest.approx(slope, abs=1e-6)
+            moved += abs(slope) > 1e-3
+    assert moved >= 2
+
+
+def test_densify_makes_facts(spark, library):
+    db = library.partner()
+    db.mark_parameter("lends", 2)
+    x, y = one(spark, "south", ["ledger"])
+    learner = Learner(Engine(db, "r(B,K) :- lends(B,K)."), densify=True, rate=1.0)
+    learner.apply(learner.gradient("r/io", x, y))
+    assert db.relations[("lends", 2)].filter("src = 'south' and dst = 'ledger' and w > 0").count() == 1
 
 
 def test_updates(spark):
@@ -90,6 +76,28 @@ def test_updates(spark):
     assert [round(r.w, 6) for r in sigmoid(p, 1.0, -1.0).collect()][0] == 0.5
 
 
+def test_softplus_steps(spark):
+    p = spark.createDataFrame([("a", 2.0), ("b", 0.5), ("c", 40.0)], "id string, w double")
+    g = spark.createDataFrame([("a", 3.0), ("b", -9.0), ("new", 5.0)], "id string, w double")
+    got = {r.id: r.w for r in updated_free(p, g, 0.5, 2).collect()}
+    want = {k: math.log1p(math.exp(math.log(math.expm1(w)) + 0.25 * gk * (1 - math.exp(-w)))) for k, w, gk in (("a", 2.0, 3.0), ("b", 0.5, -9.0))}
+    assert got == pytest.approx(want | {"c": 40.0})
+
+
+def test_tracers(text_task):
+    engine, data = text_task
+    seen = []
+    test = TestTracer(learner=Learner(engine), data=data, then=seen.append)
+    learner = FixedRateGD(engine, epochs=3, rate=1.0, tracer=EveryEpochs(2, test))
+    learner.train(data)
+    assert [r["epoch"] for r in seen] == [0, 2] and seen == test.records
+    assert seen[1]["test_cross_entropy"] < seen[0]["test_cross_entropy"] and seen[1]["test_cross_entropy"] == pytest.approx(seen[1]["cross_entropy"])
+    times = []
+    FixedRateGD(engine, epochs=1, tracer=cheap_tracer)._trace(data, 0, 0.0)
+    FixedRateGD(engine, epochs=1, tracer=RecordingTracer(then=times.append))._trace(data, 0, 0.0)
+    assert times[0].keys() == {"epoch", "seconds", "cross_entropy", "accuracy", "regularised"}
+
+
 def test_metrics(spark):
     schema = "qid long, id string, w double"
     y = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.5), (1, "a", 1.0), (2, "z", 1.0)], schema)

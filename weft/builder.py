@@ -1,13 +1,13 @@
 """Rules as Python expressions.
 
     b = Builder(spark)
-    X, Y, Z = b.variables("X Y Z")
-    aunt, parent, sister = b.predicates("aunt parent sister")
-    b += aunt(X, Y) <= parent(X, Z) & sister(Z, Y)
-    b += aunt(X, Y) <= parent(X, Z) & sister(Z, Y) // b.rule_id("rule_t", "r1")
-    b += aunt(X, Y) <= parent(X, Z) // (weight(F) | feature(X, F))
-    b.schema += parent(person_t, person_t)
-    b.db += "family.cfacts"
+    B, C, K, T = b.variables("B C K T")
+    offers, lends, twin, liking, about = b.predicates("offers lends twin liking about")
+    b += offers(B, K) <= twin(B, C) & lends(C, K)
+    b += offers(B, K) <= lends(B, K) // b.rule_id("rules", "own")
+    b += offers(B, K) <= lends(B, K) // (liking(T) | about(K, T))
+    b.schema += lends("branch", "book")
+    b.db += "libraries.cfacts"
 """
 
 from __future__ import annotations

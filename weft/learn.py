@@ -119,11 +119,11 @@ def updated_free(parameter: DataFrame, gradient: DataFrame, rate: float, n: int,
     the gradient by v is the one by the weight times ``1 - exp(-weight)``.
     Weights are positive; a fact that isn't there isn't made."""
     cols = [c for c in ("src", "dst", "id") if c in parameter.columns]
-    mean = F.col("g") * (1 - F.exp(-F.col("w"))) / max(1, n)
+    mean = F.coalesce("g", F.lit(0.0)) * (1 - F.exp(-F.col("w"))) / max(1, n)
     if clip is not None:
         mean = F.greatest(F.lit(-clip), F.least(F.lit(clip), mean))
     moved = softplus_inverse(parameter).withColumnRenamed("w", "v").join(parameter, cols).join(gradient.withColumnRenamed("w", "g"), cols, "left")
-    return softplus(moved.select(*cols, (F.col("v") + F.coalesce(mean * rate, F.lit(0.0))).alias("w"))).select(*cols, "w")
+    return softplus(moved.select(*cols, (F.col("v") + mean * rate).alias("w"))).select(*cols, "w")
 
 
 class NoRegulariser:

@@ -28,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def paths_of(spec: str) -> list[str]:
-    """The paths of a list with ``:`` between them; schemes keep theirs."""
-    return re.split(r":(?!//)(?<!\bfile:)(?<!\bdbfs:)", spec)
+    """The paths of a list with ``:`` between them; schemes and ports keep theirs."""
+    return re.split(r":(?!//)(?!\d+/)(?<!\bfile:)(?<!\bdbfs:)", spec)
 
 
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

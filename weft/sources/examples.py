@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog import OOV, Database
@@ -85,13 +85,14 @@ def from_pairs(rows: DataFrame, db: Database | None = None, normalise: bool = Tr
     return Dataset(x, normalise_labels(y) if normalise else y)
 
 
-def load_examples(db: Database, path: str, normalise: bool = True) -> Dataset:
+def load_examples(db: Database | None, path: str, normalise: bool = True, spark: SparkSession | None = None) -> Dataset:
     """``.exam``: ``pred⇥x⇥y1…yk``; ``.examples``: ``p(x,Y)⇥+p(x,y)⇥-p(x,y2)``.
 
-    In the second form a line that isn't a query and signed answers to it, of
+    Without a database any symbol is known, and ``spark`` reads the file.  In
+    the second form a line that isn't a query and signed answers to it, of
     its own predicate and input, raises :class:`BadExample`.
     """
-    lines = db.spark.read.text(path).filter(F.trim("value") != "").withColumn("qid", F.monotonically_increasing_id())
+    lines = (spark or db.spark).read.text(path).filter(F.trim("value") != "").withColumn("qid", F.monotonically_increasing_id())
     if path.endswith(".examples"):
         goal = r"^\s*(\w+)\((\w+),(\w+)\)"
         rows = lines.select("qid", "value", F.transform(F.split(F.rtrim("value"), "\t"), F.trim).alias("f"))
@@ -102,11 +103,12 @@ def load_examples(db: Database, path: str, normalise: bool = True) -> Dataset:
         if bad:
             raise BadExample(f"not an example: {bad[0].value!r}")
         ys = F.transform(F.filter(answers, lambda g: g.startswith("+")), lambda g: F.regexp_extract(g, answer, 3))
-        rows = rows.select("qid", F.concat(F.regexp_extract(first, goal, 1), F.lit("/io")).alias("mode"), F.regexp_extract(first, goal, 2).alias("x"), F.explode_outer(ys).alias("y"))
+        rows = rows.select("qid", F.concat(F.regexp_extract(first, goal, 1), F.lit("/io")).alias("mode"), F.regexp_extract(first, goal, 2).alias("x"), ys.alias("ys"))
     else:
         f = F.split(F.rtrim("value"), "\t")
-        rows = lines.select("qid", F.concat(F.get(f, F.lit(0)), F.lit("/io")).alias("mode"), F.get(f, F.lit(1)).alias("x"), F.explode_outer(F.slice(f, F.lit(3), F.size(f))).alias("y"))
-    return from_pairs(rows, db, normalise)
+        rows = lines.select("qid", F.concat(F.get(f, F.lit(0)), F.lit("/io")).alias("mode"), F.get(f, F.lit(1)).alias("x"), F.slice(f, F.lit(3), F.size(f)).alias("ys"))
+    # answers come apart after all else is read from the line, not once for each of them
+    return from_pairs(rows.select("qid", "mode", "x", F.explode_outer("ys").alias("y")), db, normalise)
 
 
 def from_relation(db: Database, mode: str | Mode, functor: str, normalise: bool = True) -> Dataset:
