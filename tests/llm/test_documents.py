@@ -70,6 +70,13 @@ def test_hot_keys_stay_in_place(spark):
         assert Counter(map(tuple, shared.keyed_join(many, one, ["k"], hot, how).collect())) == want
 
 
+def test_copies_of_a_representative(spark):
+    """Neither they nor what one of them serves grow as the group does."""
+    for n, want in ((1, 1), (64, 1), (65, 2), (4096, 64), (10_000, 100), (10**10, 10**5)):
+        got = spark.range(1).select(shared.salts(F.lit(n))).first()[0]
+        assert got == want
+
+
 def test_deduplicated(docs, messy):
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns

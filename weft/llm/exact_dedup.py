@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import hot_keys, keyed_join, lowered, slices, staged, text_bytes
+from weft.llm.shared import hot_keys, keyed_join, lowered, salts, slices, staged, text_bytes
 
 #: Primes below 2**31, so that products of two residues fit 64 bits, and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 905432189))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Members compared by one task with one copy of the representative.
-MEMBERS_A_SALT = 64
 #: Bytes of one text that are hashed at once.
 WINDOW = 4 << 20
 
@@ -114,15 +112,15 @@ def differing(docs: DataFrame, prints: DataFrame, hot: DataFrame | None = None,
     """The fingerprints (fp1, fp2, n_bytes) that texts with different content share.
 
     Candidates and one representative for each salt of a fingerprint meet
-    chunk by chunk; a salt takes MEMBERS_A_SALT members, so no task gathers a
-    group.  A candidate without an id can't be looked up: its fingerprint is
+    chunk by chunk; a group has as many salts as :func:`salts` says, so no task
+    gathers it or repeats its representative for all of it.  A candidate without an id can't be looked up: its fingerprint is
     reported as differing, which sends it to the SHA-256 grouping.  ``hot`` are
     the fingerprints that very many rows share.
     """
     key = ["fp1", "fp2", "n_bytes"]
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("rep"), F.count("doc_id").alias("known")).filter("n > 1 and n_bytes > 0")
     unknown = groups.filter("known < n").select(*key)
-    groups = groups.filter("known = n").withColumn("salts", F.ceil(F.col("n") / MEMBERS_A_SALT).cast("int"))
+    groups = groups.filter("known = n").withColumn("salts", salts(F.col("n")))
     member = keyed_join(prints, groups, key, hot).select(*key, "doc_id", F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("salt"), F.lit(1).alias("role"))
     rep = groups.select(*key, F.col("rep").alias("doc_id"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
     wanted = member.dropDuplicates([*key, "doc_id"]).unionByName(rep)

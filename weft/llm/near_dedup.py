@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import word_hashes, word_spans
 from weft.llm.components import components
-from weft.llm.shared import clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, slices, staged, staged_so_far, text_bytes
+from weft.llm.shared import clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, salts, slices, staged, staged_so_far, text_bytes
 
 HASHES, BITS = 128, 4
 WORDS = HASHES * BITS // 64
@@ -34,9 +34,8 @@ WORDS = HASHES * BITS // 64
 MISS = 1e-6
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 5.0
-#: Members that one copy of a pivot serves, nodes in a block of a large bucket,
-#: shingles in it, and how many nodes a small one has.
-MEMBERS_A_SALT, NODES_A_BLOCK, SHINGLES_A_BLOCK, SMALL_BUCKET = 64, 512, 1 << 20, 24
+#: Nodes in a block of a large bucket, shingles in it, and how many nodes a small one has.
+NODES_A_BLOCK, SHINGLES_A_BLOCK, SMALL_BUCKET = 512, 1 << 20, 24
 #: A list of wanted documents of up to so many rows is broadcast, if it has few bytes too.
 BROADCAST_ROWS = 250_000
 
@@ -157,11 +156,12 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     """The pairs (node, pivot) whose full sets have a similarity of ``percent`` at least.
 
     A pivot and the nodes to be compared with it meet in one stream, pivot
-    first; a pivot with many nodes is repeated for each MEMBERS_A_SALT of them.
+    first; a pivot with many nodes is repeated as :func:`salts` says.
     """
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
-    pivots = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("node"))
+    counts = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    pivots = counts.select("pivot", salts(F.col("n")).alias("salts"))
+    members = keyed_join(pairs, pivots, ["pivot"], hot_keys(counts, ["pivot"])).select("pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
+    pivots = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("node"))
     wanted = staged(members.union(pivots).join(nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "set_hash"), "node"), "wanted")
     if fits_broadcast(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
@@ -193,9 +193,9 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     return ordered.mapInArrow(run, "node long, pivot long")
 
 
-def _with_signature(pairs: DataFrame, nodes: DataFrame, column: str, prefix: str) -> DataFrame:
+def _with_signature(pairs: DataFrame, nodes: DataFrame, column: str, prefix: str, hot: DataFrame | None = None) -> DataFrame:
     sig = nodes.select(F.col("node").alias(column), *(F.col(s).alias(prefix + s) for s in _SIG))
-    return pairs.join(sig, column)
+    return keyed_join(pairs, sig, [column], hot)
 
 
 def _star(nodes: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
@@ -207,8 +207,9 @@ def _star(nodes: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
     met = staged(keyed_join(buckets, large, ["key"], hot), "met")
     weight = met.groupBy("node").agg(F.sum("n").alias("met"))
     pivot = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("best")).select("key", F.col("best.node").alias("pivot"))
-    pairs = keyed_join(met.select("key", "node"), pivot, ["key"], hot).filter("node <> pivot").select("node", "pivot").distinct()
-    pairs = _with_signature(_with_signature(pairs, nodes, "node", "a_"), nodes, "pivot", "b_")
+    pairs = staged(keyed_join(met.select("key", "node"), pivot, ["key"], hot).filter("node <> pivot").select("node", "pivot").distinct(), "met-pivots")
+    hot = hot_keys(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), ["pivot"])
+    pairs = _with_signature(_with_signature(pairs, nodes, "pivot", "b_", hot), nodes, "node", "a_")
     return pairs.filter(estimate("a_", "b_") >= least).select("node", "pivot")
 
 

@@ -23,6 +23,8 @@ _made: dict[str, list[str]] = {}
 
 #: A key is hot when it has over so many rows and is among so many with most.
 HOT_ROWS, HOT_KEYS = 2_000, 1_000
+#: Members of a small group that one copy of its representative serves.
+MEMBERS_A_SALT = 64
 #: Bytes of a list that is broadcast, as its columns' values count.
 BROADCAST_BYTES = 32 << 20
 
@@ -84,6 +86,13 @@ def keyed_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame |
     return cold.unionByName(many.join(hot, on, "left_semi").join(F.broadcast(one.join(hot, on, "left_semi")), on, how))
 
 
+def salts(n):
+    """Copies of its representative that serve a group of ``n`` members: one for
+    each MEMBERS_A_SALT, and beyond the square of that one for each root of n,
+    so that neither the copies nor a copy's members grow as the group does."""
+    return F.ceil(n / F.greatest(F.lit(float(MEMBERS_A_SALT)), F.sqrt(n))).cast("int")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared space."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
