@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.shared import lowered, mapped, ragged_binary, scratch, slices, text_bytes
+from weft.llm.shared import arrow_map, lowered, mapped, ragged_binary, scratch, slices, text_bytes
 
 #: Text bytes that are split at once (a page), and words that are encoded at once.
 SLICE, WORDS_A_CALL = 4 << 20, 8192
@@ -34,6 +34,8 @@ SLICE, WORDS_A_CALL = 4 << 20, 8192
 WORDS_A_BLOCK, BYTES_A_BLOCK = 1 << 19, 64 << 20
 #: Words whose ids travel back together, and buckets of pages at most.
 WORDS_A_PACK, MOST_BUCKETS = 1 << 17, 100_000
+#: Words or ids whose bytes are put together at once.
+RUNS_AT_ONCE = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -303,8 +305,13 @@ def _new_words(batches):
 def _ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(runs of ``values`` put together, where each ends)."""
     upto = np.cumsum(counts)
-    total = int(upto[-1]) if len(upto) else 0
-    return values[np.arange(total) + np.repeat(starts - (upto - counts), counts)] if total else values[:0], upto
+    out = np.empty(int(upto[-1]) if len(upto) else 0, values.dtype)
+    for a in range(0, len(upto), RUNS_AT_ONCE):
+        n = counts[a : a + RUNS_AT_ONCE]
+        stop = upto[a : a + RUNS_AT_ONCE]
+        low, high = int(stop[0] - n[0]), int(stop[-1])
+        out[low:high] = values[np.arange(low, high) + np.repeat(starts[a : a + RUNS_AT_ONCE] - (stop - n), n)]
+    return out, upto
 
 
 def _encode_sorted(path: str):
@@ -393,9 +400,9 @@ def map_encoded(docs: DataFrame, path: str, build: Callable[[Iterator[Page]], It
     kind = texts.schema["doc_id"].dataType.simpleString()
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, 4 * size // BYTES_A_BLOCK))
-    pages, rows = _bucketed(texts.mapInArrow(_split(path), f"block long, page int, doc_ids array<{kind}>, n_words binary, numbers binary, first_new int, n_new int, new binary"), buckets, folder or scratch(spark, "pages"))
-    words = rows.filter("n_new > 0").select("block", "first_new", "n_new", "new").mapInArrow(_new_words, "block long, number int, word binary")
-    known = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block long, steps binary, counts binary, ids binary")
+    pages, rows = _bucketed(texts.transform(arrow_map, _split(path), f"block long, page int, doc_ids array<{kind}>, n_words binary, numbers binary, first_new int, n_new int, new binary"), buckets, folder or scratch(spark, "pages"))
+    words = rows.filter("n_new > 0").select("block", "first_new", "n_new", "new").transform(arrow_map, _new_words, "block long, number int, word binary")
+    known = words.repartition("word").sortWithinPartitions("word").transform(arrow_map, _encode_sorted(path), "block long, steps binary, counts binary, ids binary")
     special_ids = special_tokens(path)[1]
     to = T.StructType.fromDDL(schema)
     names = to.fieldNames()
@@ -459,10 +466,8 @@ def decode_slice(path: str, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         tok, begin = tokenizer(path), np.concatenate([[0], ends[:-1]])
         return [tok.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in zip(begin.tolist(), ends.tolist())]
     data, at = _spaced(path)
-    n = at[ids + np.int64(1)] - at[ids]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    text = data[np.arange(upto[-1]) + np.repeat(at[ids] - upto[:-1], n)]
-    stop = upto[ends]
+    text, upto = _ragged(data, at[ids], at[ids + np.int64(1)] - at[ids])
+    stop = np.concatenate([[0], upto])[ends]
     return [text[a : max(a, b - 1)].tobytes() for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
 
 
@@ -484,7 +489,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").transform(arrow_map, run, f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.shared import clear_scratch, hot_keys, keyed_join, staged, staged_so_far
+from weft.llm.shared import arrow_map, clear_scratch, hot_keys, keyed_join, staged, staged_so_far
 
 #: Dimensions of a block, home vectors of a task, vectors in the sample that fixes slabs.
 BLOCK_DIMS, HOME_ROWS, SAMPLE_VECTORS = 8, 8192, 20_000
@@ -68,7 +68,7 @@ def _nodes(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "key", "dims", "data"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"vec_id {kind}, key binary, dims int, data binary")
+    return vectors.transform(arrow_map, run, f"vec_id {kind}, key binary, dims int, data binary")
 
 
 def _rotated(data: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,14 +264,14 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     sizes = {r["dims"]: r["count"] for r in nodes.groupBy("dims").count().collect()}  # as many rows as there are lengths
     cuts = {d: _slabs(nodes, d, n) for d, n in sizes.items()}
     kind = "dims int, block int, slab int, role int, home int, node long, times long, data binary"
-    placed = staged(nodes.select("node", "times", "dims", "data").mapInArrow(_placed(cuts, limit), kind), "placed")
+    placed = staged(nodes.select("node", "times", "dims", "data").transform(arrow_map, _placed(cuts, limit), kind), "placed")
     # a slab with many home vectors is shared out; its visitors go to every share
     shares = placed.filter("role = 0").groupBy("dims", "block", "slab").agg(F.ceil(F.count(F.lit(1)) / (2 * HOME_ROWS)).cast("int").alias("shares"))
     placed = placed.join(F.broadcast(shares) if len(sizes) * max(sizes.values(), default=0) < 10_000_000 else shares, ["dims", "block", "slab"])
     chunk = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
     placed = placed.withColumn("chunk", F.explode(chunk)).select("dims", "block", "slab", "role", "home", "chunk", "node", "times", "data")
     tasks = placed.repartition("dims", "block", "slab", "chunk").sortWithinPartitions("dims", "block", "slab", "chunk", "role")
-    found = staged(tasks.mapInArrow(_joined(limit, cosine), "node long, other long, links long"), "vector-links")
+    found = staged(tasks.transform(arrow_map, _joined(limit, cosine), "node long, other long, links long"), "vector-links")
     comps = components(found.filter("other is not null"), "node", "other")
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     clear_scratch(spark, since, [usable, nodes, found, comps])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import hot_keys, keyed_join, lowered, salts, slices, staged, text_bytes
+from weft.llm.shared import arrow_map, hot_keys, keyed_join, lowered, salts, slices, staged, text_bytes
 
 #: Primes below 2**31, so that products of two residues fit 64 bits, and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 905432189))
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(offsets)), pa.array(sha, pa.string())], ["doc_id", "fp1", "fp2", "n_bytes", "text_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp1 long, fp2 long, n_bytes long, text_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, f"doc_id {kind}, fp1 long, fp2 long, n_bytes long, text_sha256 string")
 
 
 def differing(docs: DataFrame, prints: DataFrame, hot: DataFrame | None = None, chunk_bytes: int = 65536) -> DataFrame:

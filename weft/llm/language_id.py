@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import give_back, slices
+from weft.llm.shared import arrow_map, slices
 
 #: The fit reads at most so many documents a language, and keeps so many characters of them.
 SAMPLE_DOCUMENTS = 400
@@ -272,7 +272,7 @@ def predict(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_a_char"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_a_char double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, f"doc_id {kind}, lang_pred string, score double, bits_a_char double")
 
 
 def with_known_language(docs: DataFrame, sample: Sample, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -291,9 +291,8 @@ def with_known_language(docs: DataFrame, sample: Sample, text_col: str = "text",
             pred, _, _ = judged(sample, part.column(part.schema.get_field_index(text_col)))
             at = part.schema.get_field_index(lang_col)
             yield part.set_column(at, part.schema.field(at), pa.array(pred, part.schema.field(at).type))
-        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

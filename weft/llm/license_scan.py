@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import lowered, mapped, slices, text_bytes
+from weft.llm.shared import arrow_map, lowered, mapped, slices, text_bytes
 
 #: Phrase of words to label; these are the base labels of a scan.
 BASE_PHRASES = {
@@ -213,4 +213,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), *columns], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, f"doc_id {kind}, {SCHEMA}")

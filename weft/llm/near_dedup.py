@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import word_hashes, word_spans
 from weft.llm.components import components
-from weft.llm.shared import clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, salts, slices, staged, staged_so_far, text_bytes
+from weft.llm.shared import arrow_map, clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, salts, slices, staged, staged_so_far, text_bytes
 
 HASHES, BITS = 128, 4
 WORDS = HASHES * BITS // 64
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key long, n_shingles long, set_hash binary, {', '.join(f'{s} long' for s in _SIG)}, bands array<long>"
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").transform(arrow_map, run, schema)
 
 
 def estimate(left: str, right: str):
@@ -190,7 +190,7 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
             yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_pivot, pa.int64())], ["node", "pivot"])
 
     ordered = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return ordered.mapInArrow(run, "node long, pivot long")
+    return ordered.transform(arrow_map, run, "node long, pivot long")
 
 
 def _with_signature(pairs: DataFrame, nodes: DataFrame, column: str, prefix: str, hot: DataFrame | None = None) -> DataFrame:
@@ -282,7 +282,7 @@ def _large_links(docs: DataFrame, nodes: DataFrame, mixed: DataFrame, width: int
         if held:
             yield _links(held, task, *percent_least)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "node long, pivot long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").transform(arrow_map, run, "node long, pivot long").distinct()
 
 
 def _links(held: list, task: tuple, percent: int, least: float) -> pa.RecordBatch:

@@ -9,13 +9,14 @@ from __future__ import annotations
 import ctypes
 import posixpath
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weft.scratch import shared_folder
 
@@ -23,6 +24,9 @@ _made: dict[str, list[str]] = {}
 
 #: A key is hot when it has over so many rows and is among so many with most.
 HOT_ROWS, HOT_KEYS = 2_000, 1_000
+#: Bytes of rows that go to a Python worker in one Arrow batch, and rows, whole
+#: documents often, that a scan holds in one batch.
+BATCH_BYTES, SCAN_ROWS = 4 << 20, 512
 #: Members of a small group that one copy of its representative serves.
 MEMBERS_A_SALT = 64
 #: Bytes of a list that is broadcast, as its columns' values count.
@@ -39,6 +43,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -151,6 +156,28 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what scans and Python workers hold at once: rows are whole documents."""
+    arrow, scan = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(arrow)) > BATCH_BYTES:
+        spark.conf.set(arrow, f"{BATCH_BYTES}b")
+    if int(spark.conf.get(scan)) > SCAN_ROWS:
+        spark.conf.set(scan, str(SCAN_ROWS))
+
+
+def arrow_map(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of at most BATCH_BYTES, a
+    longer row in one of its own; what a task has freed goes back to the system
+    at its end."""
+    small_batches(rows.sparkSession)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(whole, schema)
+
+
 def mapped(raw: np.ndarray, table: bytes) -> np.ndarray:
     """Each byte replaced by its entry in a table of 256."""
     return np.frombuffer(raw.tobytes().translate(table), np.uint8)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import map_encoded, tokenizer
-from weft.llm.shared import filesystem, hot_keys, keyed_join, remove, scratch, staged
+from weft.llm.shared import arrow_map, filesystem, hot_keys, keyed_join, remove, scratch, staged
 
 WINDOW, SHORTEST, MEAN_BITS, LONGEST = 16, 64, 8, 2048
 DIGEST = 20
@@ -291,7 +291,7 @@ def _pack_roots(batches):
 
 
 def _index_roots(index: DataFrame) -> DataFrame:
-    return index.repartition("pack").sortWithinPartitions("pack", "frame", "at").mapInArrow(_pack_roots, _FILE)
+    return index.repartition("pack").sortWithinPartitions("pack", "frame", "at").transform(arrow_map, _pack_roots, _FILE)
 
 
 def write_store(docs: DataFrame, path: str, root: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -308,12 +308,12 @@ def write_store(docs: DataFrame, path: str, root: str, end_id: int = 1, id_col:
     remove(spark, posixpath.join(root, "pages"))
     place = [F.col(c) for c in _PLACE_NAMES[1:]]
     chosen = made.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(*place)).alias("p")).select("digest", "p.*")
-    index = chosen.repartition("pack").sortWithinPartitions("pack", "frame", "at").mapInArrow(_compact(root, width), PLACE)
+    index = chosen.repartition("pack").sortWithinPartitions("pack", "frame", "at").transform(arrow_map, _compact(root, width), PLACE)
     index.write.option("compression", "zstd").parquet(posixpath.join(root, "index"))
     remove(spark, posixpath.join(root, "aside"))
     index = spark.read.schema(PLACE).parquet(posixpath.join(root, "index"))
     recipes = made.filter("recipe is not null").select("doc_id", F.col("total").alias("n_ids"), "recipe")
-    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write_recipes(root), _FILE)
+    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").transform(arrow_map, _write_recipes(root), _FILE)
     _index_roots(index).unionByName(ordered).withColumn("width", F.lit(width)).write.parquet(posixpath.join(root, "manifest"))
 
 
@@ -401,11 +401,11 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
         rows.append((f.file, f.part, start, bytearray(f.root)))
         start += f.n_ids
     named = spark.createDataFrame(rows, "file string, part int, start long, root binary").repartition(max(1, len(rows)), "part")
-    items = named.mapInArrow(_items(root), "part int, row long, doc_id long, start long, n_ids long, seq int, n_chunks int, digest binary")
+    items = named.transform(arrow_map, _items(root), "part int, row long, doc_id long, start long, n_ids long, seq int, n_chunks int, digest binary")
     items = staged(items, "items")
     common = hot_keys(items.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), ["digest"])
     placed = keyed_join(items, index.withColumnRenamed("n_ids", "count"), ["digest"], common, "left").select("part", "row", "doc_id", "start", "n_ids", "seq", "n_chunks", "digest", "pack", "frame", "frame_bytes", "at", "count")
-    return placed.repartition("part", F.floor(F.col("row") / 1024)).sortWithinPartitions("part", "row", "seq").mapInArrow(_assemble(root, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition("part", F.floor(F.col("row") / 1024)).sortWithinPartitions("part", "row", "seq").transform(arrow_map, _assemble(root, width), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, path: str, end_id: int = 1, root: str | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.shared import filesystem, hot_keys, keyed_join, scratch, staged
+from weft.llm.shared import arrow_map, filesystem, hot_keys, keyed_join, scratch, staged
 
 #: Runs that one task merges, and entries of a block of a run.
 FAN_IN, BLOCK_ENTRIES = 64, 512
@@ -228,7 +228,7 @@ def merge_runs(spark: SparkSession, root: str, runs: list[tuple[str, int]], spli
 
     def merged(tasks, source, target):
         plan = spark.createDataFrame(tasks, _TASK).repartition(len(tasks), "part")
-        return sorted((r.part, r.name) for r in staged(plan.mapInArrow(_merge_tasks(source, target), "part int, name string, n long"), "merged").collect())
+        return sorted((r.part, r.name) for r in staged(plan.transform(arrow_map, _merge_tasks(source, target), "part int, name string, n long"), "merged").collect())
 
     while len(names) > fan_in:
         level += 1
@@ -255,7 +255,7 @@ def roles(pages: DataFrame, smallest: int) -> DataFrame:
     Of rows with equal payload of at least ``smallest`` bytes, the one with the
     largest page_id, then url, leads; the others refer to its page.
     """
-    signed = staged(pages.mapInArrow(_signatures, "page_id long, url string, content binary, length long"), "signed")
+    signed = staged(pages.transform(arrow_map, _signatures, "page_id long, url string, content binary, length long"), "signed")
     rows = staged(signed.groupBy("content", "page_id", "url").agg(F.count(F.lit(1)).alias("n_rows"), F.first("length").alias("length")), "distinct-pages")
     keep = rows.filter(F.col("length") >= smallest).groupBy("content").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("n"))
     hot = hot_keys(keep, ["content"])  # such as the empty payload
@@ -315,7 +315,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     once = known.filter("n_rows = 1").select("p.page_id", "p.url", "p.html", "r.n_rows", "r.grouped", "r.refers_to", "r.lead")
     again = known.filter("n_rows > 1").groupBy("p.content", "p.page_id", "p.url").agg(*(F.first(c).alias(c.split(".")[1]) for c in ("p.html", "r.n_rows", "r.grouped", "r.refers_to", "r.lead"))).select("page_id", "url", "html", "n_rows", "grouped", "refers_to", "lead")
     rows = once.unionByName(again) if plan.filter("n_rows > 1").head(1) else once
-    runs = staged(rows.mapInArrow(_write_archive(root), "run string, n long, sample array<string>"), "runs").collect()  # a row for each task
+    runs = staged(rows.transform(arrow_map, _write_archive(root), "run string, n long, sample array<string>"), "runs").collect()  # a row for each task
     total = sum(r.n for r in runs)
     pool = sorted(tuple(json.loads(x)) for r in runs for x in r["sample"])
     parts = max(1, min(len(pool), -(-total // ENTRIES_A_TASK), 4096) if total > ENTRIES_A_TASK else min(len(pool), 8))
@@ -394,8 +394,8 @@ def read_archives(index: DataFrame, root: str, with_payload: bool = False) -> Da
     their own order; sort by (part, row) for histories.
     """
     n = max(1, index.count())
-    entries = index.repartition(n, "part").mapInArrow(_read_index, "part int, row long, url_key string, date string, archive string, stretch long, place long, length long")
-    return entries.repartition("archive", "stretch").sortWithinPartitions("archive", "place").mapInArrow(_read_records(root, with_payload), _CAPTURE)
+    entries = index.repartition(n, "part").transform(arrow_map, _read_index, "part int, row long, url_key string, date string, archive string, stretch long, place long, length long")
+    return entries.repartition("archive", "stretch").sortWithinPartitions("archive", "place").transform(arrow_map, _read_records(root, with_payload), _CAPTURE)
 
 
 def archived(pages: DataFrame, root: str | None = None, smallest: int = 0) -> DataFrame:
