@@ -78,6 +78,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.suffix_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"), width=200)
+
+
 # What SQL can say of the operators whose whole result it can't express.
 
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -132,6 +132,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, n+1 offsets from 0) of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def slices(batches, column: str, most: int = 4 << 20):
     """Batches cut so that ``column`` holds about ``most`` bytes in each; a
     longer single text is a slice of its own."""
