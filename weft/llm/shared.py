@@ -74,10 +74,10 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return n <= rows and (total or 0) <= BROADCAST_BYTES
 
 
-def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame | None:
-    """The keys that most rows share, at most HOT_KEYS whatever the data, of a
-    table of keys and their rows; None if there is none."""
-    rows = counts.filter(F.col(n) > HOT_ROWS).select(*on, n).orderBy(F.col(n).desc()).limit(HOT_KEYS).collect()
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n", least: int = HOT_ROWS) -> DataFrame | None:
+    """The keys that most rows share, more than ``least`` and at most HOT_KEYS
+    whatever the data, of a table of keys and their rows; None if there is none."""
+    rows = counts.filter(F.col(n) > least).select(*on, n).orderBy(F.col(n).desc()).limit(HOT_KEYS).collect()
     return counts.sparkSession.createDataFrame([r[:-1] for r in rows], counts.select(*on).schema) if rows else None
 
 

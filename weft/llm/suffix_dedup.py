@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import BROADCAST_BYTES, arrow_map, binary_bytes, clear_scratch, fits_broadcast, hot_keys, keyed_join, remove, slices, staged, staged_so_far
+from weft.llm.shared import arrow_map, binary_bytes, clear_scratch, fits_broadcast, hot_keys, keyed_join, remove, slices, staged, staged_so_far
 
 #: Bytes of a string that counts as repeated.
 WIDTH = 200
@@ -37,8 +37,8 @@ ANCHORS = (0.16, 0.56, 0.84, 1.0)
 PIECES_AN_ANCHOR, SORT_BYTES = 512, 1 << 20
 #: Bytes of text that are cut at once; a longer text is cut in segments of that many starts.
 CUT_BYTES, SEGMENT = 1 << 20, 4 << 20
-#: A list of wanted texts of up to so many rows is broadcast, if it has few bytes too.
-BROADCAST_ROWS = 250_000
+#: An anchor is hot from so many texts on, and a list of so many hot anchors is broadcast, if it has few bytes too.
+HOT_ANCHOR, BROADCAST_ROWS = 256, 250_000
 _PLACE_BITS = np.uint64(24)
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -352,7 +352,7 @@ def _repeats(cut: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int
     since = staged_so_far(cut.sparkSession)
     pieces = cut.filter("anchor is not null").select("row", "place", "anchor", "digest", "n")
     common = staged(pieces.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows")).filter("total > 1"), "anchors")
-    met = staged(keyed_join(pieces, common.select("anchor"), ["anchor"], hot_keys(common, ["anchor"], "n_rows")), "met-pieces")
+    met = staged(keyed_join(pieces, common.select("anchor"), ["anchor"], hot_keys(common, ["anchor"], "n_rows", HOT_ANCHOR)), "met-pieces")
     # first() of both comes from one row
     different = met.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.first("row").alias("row"), F.first("place").alias("place"))
     different = staged(different, "different")
@@ -438,10 +438,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def with_text(wanted: DataFrame) -> DataFrame:
         """(sha, wanted, text) for a table of (sha, wanted) with a row a text."""
-        wanted = staged(wanted, "wanted")
-        n, items = wanted.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
-        if n <= BROADCAST_ROWS and 64 * n + 40 * (items or 0) <= BROADCAST_BYTES:
-            return text.join(F.broadcast(wanted), "sha").select("sha", "wanted", "text")
         return keyed_join(text, wanted, ["sha"], hot).select("sha", "wanted", "text")
 
     def fetch(wanted: DataFrame) -> DataFrame:
