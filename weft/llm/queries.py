@@ -84,6 +84,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents"), width=200)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can say of the operators whose whole result it can't express.
 
 
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -201,4 +208,40 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x)
         SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept
         FROM c""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, lang, crc32x % 7 = 0 AS hit, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, n_chars,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                   coalesce(strlen(text) || ':' || text, '-') AS z
+            FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                    lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384::UBIGINT) ELSE u // 2 END)), 4294967295::UBIGINT) AS crc32x
+                  FROM documents)),
+        d AS (
+            SELECT doc_id, lang, i, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+                   CASE WHEN hit THEN sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || z) END AS changed
+            FROM f),
+        t(lang, lvl, l) AS (
+            SELECT lang, 0, list(leaf ORDER BY i) FROM d GROUP BY lang
+            UNION ALL
+            SELECT lang, lvl + 1, list_transform(range(0, (len(l) + 1) // 2), lambda k: sha256(l[2 * k + 1] || coalesce(l[2 * k + 2], ''))) FROM t WHERE len(l) > 1),
+        g AS (SELECT lang, l[1] AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS gi FROM t WHERE len(l) = 1),
+        u(lvl, l) AS (
+            SELECT 0, list(subroot ORDER BY gi) FROM g
+            UNION ALL
+            SELECT lvl + 1, list_transform(range(0, (len(l) + 1) // 2), lambda k: sha256(l[2 * k + 1] || coalesce(l[2 * k + 2], ''))) FROM u WHERE len(l) > 1),
+        s AS (  -- the sibling of each step up, if any, and whether the node is on the right
+            SELECT d.doc_id, t.lvl AS step, t.l[xor(d.i >> t.lvl, 1) + 1] AS sib, (d.i >> t.lvl) % 2 = 1 AS at_right
+            FROM d JOIN t ON t.lang IS NOT DISTINCT FROM d.lang WHERE len(t.l) > 1
+            UNION ALL
+            SELECT d.doc_id, g.height + u.lvl, u.l[xor(g.gi >> u.lvl, 1) + 1], (g.gi >> u.lvl) % 2 = 1
+            FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang, u WHERE len(u.l) > 1),
+        p AS (SELECT doc_id, sha256(coalesce(string_agg(sib, '' ORDER BY step), '')) AS proof_sha256 FROM s GROUP BY doc_id),
+        w(doc_id, step, h) AS (
+            SELECT doc_id, 0, coalesce(changed, leaf) FROM d
+            UNION ALL
+            SELECT w.doc_id, w.step + 1, sha256(CASE WHEN at_right THEN sib || h ELSE h || coalesce(sib, '') END) FROM w JOIN s ON s.doc_id = w.doc_id AND s.step = w.step),
+        e AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM w GROUP BY doc_id),
+        r AS (SELECT l[1] AS root FROM u WHERE len(l) = 1)
+        SELECT d.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang JOIN e ON e.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id, r""",
 }
