@@ -90,6 +90,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.ranked_search import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 # What SQL can say of the operators whose whole result it can't express.
 
 
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -244,4 +251,21 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT l[1] AS root FROM u WHERE len(l) = 1)
         SELECT d.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
         FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang JOIN e ON e.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id, r""",
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+        l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+        c AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM l),
+        w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, nn),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL),
+        s AS (
+            SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+            FROM q JOIN p ON p.term = q.term JOIN w ON w.term = p.term JOIN l ON l.doc_id = p.doc_id, c
+            GROUP BY item_id, p.doc_id HAVING score > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
