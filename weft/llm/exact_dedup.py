@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import arrow_map, hot_keys, keyed_join, lowered, salts, slices, staged, text_bytes
+from weft.llm.shared import arrow_map, hot_keys, keyed_join, lowered, own_names, salts, slices, staged, text_bytes
 
 #: Primes below 2**31, so that products of two residues fit 64 bits, and a base for each.
 MODULI = ((2147483647, 1103515245), (2147483629, 905432189))
@@ -166,12 +166,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows are chosen by id; of rows that share id and text one stays.
     """
-    out = exact_dedup(docs, id_col, text_col)
-    keep = out.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), 256)
-    return docs.withColumn("_sha", sha).join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha") if _repeats(docs, id_col) else docs.join(keep.select("_keep_id"), F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    out = exact_dedup(docs, id_col, text_col).filter("kept")
+    keep_id, keep_sha, sha = own_names("id", "keep_sha", "sha")
+    keep = out.select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    same_id = F.col(id_col).eqNullSafe(F.col(keep_id))
+    if not _repeats(docs, id_col):
+        return docs.join(keep.select(keep_id), same_id, "left_semi")
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    return docs.withColumn(sha, F.sha2(text, 256)).join(keep, same_id & (F.col(sha) == F.col(keep_sha)), "left_semi").dropDuplicates([id_col, sha]).drop(sha)
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
     """Whether some id stands in more than one row."""
-    return bool(docs.groupBy(id_col).count().filter("count > 1").head(1))
+    return bool(docs.select(F.col(id_col).alias("id")).groupBy("id").count().filter("count > 1").head(1))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import staged
+from weft.llm.shared import own_names, staged
 
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -182,5 +182,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Rows that share an id come as often as the one of them that is taken most;
     rows with a null id are one such group.  An empty table stays empty.
     """
-    counts = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(counts.filter("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed_id, copies, copy = own_names("id", "copies", "copy")
+    counts = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias(mixed_id)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    taken = docs.join(counts, F.col(id_col).eqNullSafe(F.col(mixed_id)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import word_hashes, word_spans
 from weft.llm.components import components
-from weft.llm.shared import arrow_map, clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, salts, slices, staged, staged_so_far, text_bytes
+from weft.llm.shared import arrow_map, clear_scratch, fits_broadcast, hot_keys, keyed_join, lowered, own_names, salts, slices, staged, staged_so_far, text_bytes
 
 HASHES, BITS = 128, 4
 WORDS = HASHES * BITS // 64
@@ -395,10 +395,11 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sig, named = _components(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), words, percent)
+    rep_id, rep_key, worded, key = own_names("id", "rep_key", "worded", "key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
-    reps = named.groupBy("component").agg(least).select(F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_rep_key"), F.lit(True).alias("_worded"))
-    alone = sig.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_rep_key"), F.lit(False).alias("_worded")).distinct()
-    found = docs.withColumn("_key", F.xxhash64(text)).join(reps.union(alone), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rep_key")))
+    reps = named.groupBy("component").agg(least).select(F.col("rep.doc_id").alias(rep_id), F.col("rep.text_key").alias(rep_key), F.lit(True).alias(worded))
+    alone = sig.filter("n_shingles = 0").select(F.col("doc_id").alias(rep_id), F.col("text_key").alias(rep_key), F.lit(False).alias(worded)).distinct()
+    found = docs.withColumn(key, F.xxhash64(text)).join(reps.union(alone), F.col(id_col).eqNullSafe(F.col(rep_id)) & (F.col(key) == F.col(rep_key)))
     if sig.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").head(1):
-        found = found.filter("_worded").dropDuplicates([id_col, "_key"]).union(found.filter("not _worded"))
-    return found.select(*(found[c] for c in docs.columns))
+        found = found.filter(F.col(worded)).dropDuplicates([id_col, key]).union(found.filter(~F.col(worded)))
+    return found.select(*docs.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.shared import staged
+from weft.llm.shared import own_names, staged
 
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
@@ -196,7 +196,18 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as one Parquet folder for each shard, all columns kept,
-    with ``shard`` and ``slot``.  Ids must be unique here."""
-    placed = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(placed, id_col).repartition("shard", F.floor(F.col("slot") / 65536)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one Parquet folder for each shard, all rows and columns
+    kept, with ``shard`` and ``slot``; where ``docs`` has columns of these
+    names, they stay and the new ones get a trailing underscore.  Rows are told
+    apart by a key of their own, so ids may be null or shared."""
+    key, placed_key = own_names("row", "placed")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "sharded-rows")
+    names = {}
+    for name in ("shard", "slot"):
+        names[name] = name
+        while names[name].lower() in {c.lower() for c in docs.columns}:
+            names[name] += "_"
+    by_row = docs.sparkSession.read.parquet(rows.staged_at).select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    placed = shard(by_row, shards).select(F.col("doc_id").alias(placed_key), *(F.col(c).alias(n) for c, n in names.items()))
+    out = rows.join(placed, F.col(key) == F.col(placed_key)).drop(key, placed_key)
+    out.repartition(names["shard"], F.floor(F.col(names["slot"]) / 65536)).sortWithinPartitions(*names.values()).write.partitionBy(names["shard"]).parquet(path)

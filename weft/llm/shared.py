@@ -98,6 +98,12 @@ def salts(n):
     return F.ceil(n / F.greatest(F.lit(float(MEMBERS_A_SALT)), F.sqrt(n))).cast("int")
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names that no caller's table has."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"weft_{name}_{mark}" for name in names]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared space."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
