@@ -96,6 +96,28 @@ def test_language(docs, messy):
             assert r.held_out == (zlib.crc32(str(doc_id).encode()) % 3 == 1)
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+def test_texts_that_repeat_themselves(monkeypatch, block):
+    """Parses of pieces that never agree: as a plain parse, and in time that grows with the text."""
+    import time
+
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    sample = language_id.Sample(("a", "b"), ("-----ab ab abc" + "ab" * 20 + "x" * 37, "the cat, " * 5 + "  ---"), "".join(sorted(set("-abc xthe,"))))
+    rng = random.Random(block)
+    probes = ["-" * 5000, "ab" * 3000 + "c" + "ab" * 100, " " * 2500, "x" * 4100 + "the cat", "".join(rng.choice("abx-") for _ in range(3000)), "xxxxx" * 900 + "ab", "a", ""]
+    probes += ["".join(rng.choice(["ab", "x" * rng.randint(1, 90), "--"]) for _ in range(300)) for _ in range(3)]
+    got = language_id.phrases(sample, probes)
+    known = [{t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)} for t in sample.texts]
+    assert got.tolist() == [[plain_phrases(t, k) for k in known] for t in probes]
+    if block == 2048:
+        took = []
+        for n in (200_000, 800_000):
+            began = time.perf_counter()
+            language_id.phrases(sample, ["x" * n])
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 1
+
+
 def test_phrases_are_longest_matches():
     texts = ("abracadabra", "the cat sat on the mat")
     sample = language_id.Sample(("a", "b"), texts, "abcdehmnorst ")

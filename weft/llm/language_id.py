@@ -32,6 +32,8 @@ SAMPLE_CHARS = 30_000
 MAX_LANGUAGES = 256
 #: Characters that are parsed in one piece.
 BLOCK = 2048
+#: How often all pieces are parsed again at once before what is left is put right from the front.
+GUESSES = 2
 #: Bytes of text that are parsed at once.
 SLICE = 2 << 20
 UNKNOWN = "und"
@@ -152,7 +154,7 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
 
     Long texts are parsed in pieces, all of them in step.  A piece is first
     parsed as if a phrase began with it, and then again from the state in which
-    the piece before it really ended, until both parses agree.
+    the piece before it really ended, up to where both parses agree.
     """
     cells, first_state, _, known = _tables(sample)
     joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -186,13 +188,10 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
     back = np.argsort(order)
     state, count = state[:, back], count[:, back]
     entry = np.full(state.shape, dead, np.int64)  # the state that a piece was parsed from
-    while True:
-        k, p = np.nonzero((number[1:] > 0) & (entry[:, 1:] != state[:, :-1]))
-        if not len(k):
-            break
-        p += 1
-        was, now = entry[k, p], state[k, p - 1]
-        entry[k, p] = now
+
+    def parsed_again(k: np.ndarray, p: np.ndarray, now: np.ndarray) -> None:
+        """Parse pieces from other states, in step with their last parse, up to where both agree."""
+        was, entry[k, p] = entry[k, p], now
         open_ = np.ones(len(k), bool)
         for step in range(BLOCK):
             here = np.flatnonzero(open_)
@@ -206,22 +205,71 @@ def phrases(sample: Sample, texts: list[str]) -> np.ndarray:
             last = here[ended]
             state[k[last], p[last]] = now[last]
             open_[here] = ~ended & (was[here] != now[here])
+
+    for _ in range(GUESSES):  # in prose nearly all parses agree soon
+        k, p = np.nonzero((number[1:] > 0) & (entry[:, 1:] != state[:, :-1]))
+        if not len(k):
+            break
+        parsed_again(k, p + 1, state[k, p])
+    _walked(number, symbol, begin, size, entry, state, count, parsed_again)
     for k in range(len(first_state)):
         out[:, k] = np.bincount(doc, count[k], len(texts))
     return out
 
 
+def _walked(number: np.ndarray, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, state: np.ndarray, count: np.ndarray, parsed_again) -> None:
+    """Put right what is left after the guesses, text by text from the front.
+
+    In texts that repeat themselves parses may never agree, but pieces with the
+    same characters, parsed from the same state, end alike: each such parse is
+    done once, so the work grows with the text however long it goes on.
+    """
+    known: dict[tuple, tuple[int, int]] = {}
+    content: dict[bytes, int] = {}
+    ids: dict[int, int] = {}
+    k, p = np.nonzero((number[1:] > 0) & (entry[:, 1:] != state[:, :-1]))
+    ends = np.append(np.flatnonzero(number == 0)[1:], len(number))  # of each text's pieces
+    walks = {(lang, int(ends[np.searchsorted(ends, piece + 1, "right")])): None for lang, piece in zip(k.tolist(), p.tolist())}
+    for lang, piece in zip(k.tolist()[::-1], p.tolist()[::-1]):
+        walks[(lang, int(ends[np.searchsorted(ends, piece + 1, "right")]))] = piece + 1
+    while walks:
+        waiting: dict[tuple, tuple[int, int]] = {}
+        for (lang, end), piece in list(walks.items()):
+            while piece < end:
+                now = int(state[lang, piece - 1])
+                if entry[lang, piece] != now:
+                    if piece not in ids:
+                        ids[piece] = content.setdefault(symbol[begin[piece] : begin[piece] + size[piece]].tobytes(), len(content))
+                    key = (lang, ids[piece], now)
+                    if key not in known:
+                        waiting.setdefault(key, (piece, now))
+                        break
+                    entry[lang, piece] = now
+                    state[lang, piece], count[lang, piece] = known[key]
+                piece += 1
+            if piece < end:
+                walks[(lang, end)] = piece
+            else:
+                del walks[(lang, end)]
+        if waiting:
+            langs = np.array([key[0] for key in waiting])
+            pieces, now = (np.array(x) for x in zip(*waiting.values()))
+            parsed_again(langs, pieces, now.copy())
+            for key, piece in zip(waiting, pieces.tolist()):
+                known[key] = (int(state[key[0], piece]), int(count[key[0], piece]))
+
+
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS) -> Sample:
     """Learn from a bounded, hash-drawn sample of the rows that have a label and text.
 
-    Documents are drawn by hash of their id, ties by text; each gives at most
+    Documents are drawn by hash of their id and text; each gives at most
     ``4 * sample_chars / sample_documents`` characters of the sample, from a
     place anywhere in it that a hash of its id and text draws.
     """
     each = max(1, 4 * sample_chars // sample_documents)
     text = F.col(text_col).cast("string")
     place = F.pmod(F.xxhash64(F.lit("place"), F.col(order_col), text), F.greatest(F.lit(1), F.length(text) - each + 1)).cast("int") + 1
-    known = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(order_col)).alias("draw"), F.substring(text, place, F.lit(each)).alias("piece"))
+    known = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("language"), F.col(order_col), text).alias("draw"), F.substring(text, place, F.lit(each)).alias("piece"))
     # of one language, the smallest draws: found by threshold from its count, so that no task orders a language
     totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
