@@ -16,7 +16,8 @@ from weft.plans.terms import Goal, TypeDecl
 log = logging.getLogger(__name__)
 
 DEFAULT_TYPE, NULL, OOV = "__THING__", "__NULL__", "__OOV__"
-BINARY, UNARY = "src string, dst string, w double", "id string, w double"
+BINARY, UNARY, VECTORS = "src string, dst string, w double", "id string, w double", "id string, k int, w double"
+COLUMNS = {2: ["src", "dst", "w"], 1: ["id", "w"], 0: ["id", "k", "w"]}
 
 
 class UnknownSymbol(KeyError):
@@ -52,6 +53,19 @@ class Database:
         self._facts[key] = (self.relations[key], rows)
         return self
 
+    def add_vectors(self, name: str, vectors: DataFrame) -> Database:
+        """A vector for each symbol, from columns (id, v), v an array, or (id,
+        k, w) with a row a component.  It is stored as ``(name, 0)``: not a
+        relation that rules can use, but a parameter that plugins and losses
+        may have.  Components that are null are dropped, repeated ones add up."""
+        if (name, 0) in self.relations:
+            raise ValueError(f"{name}/0 is loaded already")
+        if "v" in vectors.columns:
+            vectors = vectors.select("id", F.posexplode("v").alias("k", "w"))
+        rows = vectors.select(F.col("id").cast("string").alias("id"), F.col("k").cast("int").alias("k"), F.col("w").cast("double").alias("w")).dropna()
+        self.relations[(name, 0)] = rows.groupBy("id", "k").agg(F.sum("w").alias("w"))
+        return self
+
     def declare(self, functor: str, *types: str) -> None:
         key = (functor, len(types))
         if self.types.get(key, types) != types:
@@ -172,8 +186,7 @@ class Database:
         return self.relations[(functor, arity)]
 
     def set_parameter(self, functor: str, arity: int, value: DataFrame) -> None:
-        cols = ["src", "dst", "w"] if arity == 2 else ["id", "w"]
-        self.relations[(functor, arity)] = value.select(*cols)
+        self.relations[(functor, arity)] = value.select(*COLUMNS[arity])
 
     def is_initialised(self, functor: str, arity: int) -> bool:
         return (functor, arity) in self.relations
@@ -213,6 +226,8 @@ class Database:
 
     def fact_text(self, functor: str, arity: int) -> DataFrame:
         """(value): a relation as lines of a fact file."""
+        if not arity:
+            raise ValueError(f"{functor}/0 holds vectors, which fact files can't")
         cols = ["src", "dst"] if arity == 2 else ["id"]
         return self.relations[(functor, arity)].select(F.concat_ws("\t", F.lit(functor), *cols, shortest_number("w")).alias("value"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weft.catalog import Database, row_symbols
 from weft.learn import ranked
 from weft.operators.lower import Evaluation, normalised
+from weft.operators.plugins import Differentiable, Function
 from weft.plans.features import FeatureRules, feature_weights, plain_only, rule_weights
 from weft.plans.nodes import explain, in_order
 from weft.plans.parse import parse_rule_files, parse_rules
@@ -51,7 +52,7 @@ class Engine:
         self.source_rules = rules
         self.features = FeatureRules(rules, db) if rule_features else None
         plain = self.features.rules if self.features else plain_only(rules)
-        self.plugin_calls: dict[str, Callable[..., DataFrame]] = {}
+        self.plugin_calls: dict[str, Differentiable] = {}
         self.plugin_types: dict[str, Callable] = {}
         self.program = Program(plain, self._known, self.plugin_calls, settings.max_depth, self._types)
         if self.features and initial_weights:
@@ -74,10 +75,12 @@ class Engine:
     def set_depth(self, depth: int) -> None:
         self.program = Program(self.program.rules, self._known, self.plugin_calls, depth, self._types)
 
-    def plugin(self, predicate: str, call: Callable[..., DataFrame], types: tuple[str, ...] | None = None) -> None:
+    def plugin(self, predicate: str, call: Callable[..., DataFrame] | Differentiable, types: tuple[str, ...] | None = None, backward: Callable | None = None, parameters: Iterable[tuple[str, int]] = ()) -> None:
         """A predicate computed by a function: ``f/2`` gets a message and gives
-        one; ``f/1`` gets nothing and gives (id, w)."""
-        self.plugin_calls[predicate] = call
+        one; ``f/1`` gets nothing and gives (id, w).  ``backward``, and the
+        ``parameters`` it has gradients of, let training pass through it; see
+        :mod:`weft.operators.plugins`, whose plugins have both."""
+        self.plugin_calls[predicate] = call if hasattr(call, "value") else Function(call, backward, set(parameters))
         if types:
             self.plugin_types[predicate] = types
 

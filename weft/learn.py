@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.adjoint import gradients
+from weft.operators.adjoint import KEYS, gradients
 from weft.operators.lower import Evaluation, softmax
 from weft.plans.terms import Mode
 from weft.scratch import written
@@ -91,8 +91,7 @@ class Gradients:
     def added(self, other: Gradients) -> Gradients:
         out = dict(self.by_parameter)
         for key, g in other.by_parameter.items():
-            by = ["src", "dst"] if key[1] == 2 else ["id"]
-            out[key] = out[key].unionByName(g).groupBy(*by).agg(F.sum("w").alias("w")) if key in out else g
+            out[key] = out[key].unionByName(g).groupBy(*KEYS[key[1]]).agg(F.sum("w").alias("w")) if key in out else g
         counters = dict(self.counters)
         for k, v in other.counters.items():
             kind = k.split("-")[0]
@@ -104,14 +103,16 @@ class Gradients:
 
 
 def updated(parameter: DataFrame, gradient: DataFrame, rate: float, n: int, clip: float | None = CLIP) -> DataFrame:
-    """Up the mean gradient by ``rate``, kept at zero or above."""
-    cols = [c for c in ("src", "dst", "id") if c in parameter.columns]
+    """Up the mean gradient by ``rate``; weights are kept at zero or above,
+    components of vectors may be anything."""
+    cols = [c for c in ("src", "dst", "id", "k") if c in parameter.columns]
     mean = F.col("w") / max(1, n)
     if clip is not None:
         mean = F.greatest(F.lit(-clip), F.least(F.lit(clip), mean))
     moved = parameter.withColumnRenamed("w", "old").join(gradient.select(*cols, (mean * rate).alias("move")), cols, "full")
     new = F.coalesce("old", F.lit(0.0)) + F.coalesce("move", F.lit(0.0))
-    return moved.select(*cols, F.greatest(F.lit(0.0), F.least(F.lit(LARGEST), new)).alias("w"))
+    least = -LARGEST if "k" in cols else 0.0
+    return moved.select(*cols, F.greatest(F.lit(least), F.least(F.lit(LARGEST), new)).alias("w"))
 
 
 def updated_free(parameter: DataFrame, gradient: DataFrame, rate: float, n: int, clip: float | None = CLIP) -> DataFrame:
@@ -147,6 +148,72 @@ class L2Regulariser(NoRegulariser):
         return float(relation.agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0) * self.c
 
 
+@dataclass
+class SoftmaxLikelihood:
+    """The log-likelihood of the labels under the softmax of the scores."""
+
+    def check(self, engine) -> None:
+        if engine.normalise != "softmax":
+            raise ValueError("gradients need softmax")
+
+    def ascent(self, scores: DataFrame, y: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict[tuple[str, int], DataFrame], int]:
+        """((qid, id, w): derivative by each score; gradients of the loss's own
+        parameters; how many examples to take means over)."""
+        p = softmax(scores, queries)
+        delta = y.select("qid", "id", "w").unionByName(p.select("qid", "id", (-F.col("w")).alias("w"))).groupBy("qid", "id").agg(F.sum("w").alias("w")).filter("w <> 0")
+        return delta, {}, queries.count()
+
+    def predicted(self, engine, mode: str | Mode, x: DataFrame) -> DataFrame:
+        return engine.inference_batch(mode, x)
+
+
+@dataclass
+class SigmoidLikelihood:
+    """Each score is a yes or no of its own: the log-likelihood of the labels
+    under ``sigmoid(slope * score + bias)``, so a query may have any number of
+    labels.  Slope and bias are trained with the rest: the symbols ``slope`` and
+    ``bias`` of the vectors ``(parameter, 0)``.  Means go over all pairs that
+    have a score or a label; a label without a score has score 0."""
+
+    db: object
+    parameter: str = "logistic"
+
+    def __post_init__(self) -> None:
+        if (self.parameter, 0) not in self.db.relations:
+            self.db.add_vectors(self.parameter, self.db.spark.createDataFrame([("slope", 0, 1.0), ("bias", 0, 0.0)], "id string, k int, w double"))
+        self.db.mark_parameter(self.parameter, 0)
+
+    def scalars(self) -> tuple[float, float]:
+        """(slope, bias) now: two rows."""
+        got = {r.id: r.w for r in self.db.relations[(self.parameter, 0)].filter("id in ('slope', 'bias')").collect()}
+        return got["slope"], got["bias"]
+
+    def check(self, engine) -> None:
+        """Any normalisation will do: scores are taken before it."""
+
+    def _pairs(self, scores: DataFrame, y: DataFrame) -> DataFrame:
+        """(qid, id, s, label) of all pairs with a score or a label."""
+        labels = y.filter("w > 0").select("qid", "id", F.lit(1.0).alias("label"))
+        return scores.select("qid", "id", F.col("w").alias("s")).join(labels, ["qid", "id"], "full").select("qid", "id", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("label", F.lit(0.0)).alias("label"))
+
+    def ascent(self, scores: DataFrame, y: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict[tuple[str, int], DataFrame], int]:
+        slope, bias = self.scalars()
+        up = F.col("label") - 1 / (1 + F.exp(-(slope * F.col("s") + bias)))
+        pairs = written(self._pairs(scores, y).withColumn("up", up), "pairs")
+        own = pairs.agg(F.sum(F.col("up") * F.col("s")).alias("slope"), F.sum("up").alias("bias"), F.count(F.lit(1)).alias("n"))
+        rows = own.select(F.explode(F.array(F.struct(F.lit("slope").alias("id"), F.col("slope").alias("w")), F.struct(F.lit("bias").alias("id"), F.col("bias").alias("w")))).alias("e"))
+        return pairs.select("qid", "id", (slope * F.col("up")).alias("w")), {(self.parameter, 0): rows.select("e.id", F.lit(0).alias("k"), "e.w").filter("w is not null")}, own.first().n
+
+    def cost(self, scores: DataFrame, y: DataFrame) -> DataFrame:
+        """(loss): the mean negative log-likelihood over the pairs."""
+        slope, bias = self.scalars()
+        t = slope * F.col("s") + bias
+        return self._pairs(scores, y).agg(F.avg(F.greatest(t, F.lit(0.0)) - t * F.col("label") + F.log1p(F.exp(-F.abs(t)))).alias("loss"))
+
+    def predicted(self, engine, mode: str | Mode, x: DataFrame) -> DataFrame:
+        return sigmoid(engine.proof_count_batch(mode, x), *self.scalars())
+
+
 Tracer = Callable[[dict], None]
 
 
@@ -217,9 +284,11 @@ class Learner:
     clip: float | None = CLIP
     #: whether weights are trained as softplus of free ones, so that they stay positive without being cut at zero
     positive: bool = False
+    #: what is maximised
+    loss: SoftmaxLikelihood | SigmoidLikelihood = field(default_factory=SoftmaxLikelihood)
 
     def predict(self, mode: str | Mode, x: DataFrame) -> DataFrame:
-        return self.engine.inference_batch(mode, x)
+        return self.loss.predicted(self.engine, mode, x)
 
     def dataset_predict(self, data: Dataset) -> DataFrame:
         """(mode, qid, id, w) for all modes of a dataset."""
@@ -243,25 +312,22 @@ class Learner:
         return sum(r.cross_entropy for r in rows if r.n)
 
     def gradient(self, mode: str | Mode, x: DataFrame, y: DataFrame, seen: list | None = None) -> Gradients:
-        """Sums over the examples of the ascent direction of the log-likelihood;
+        """Sums over the examples of the ascent direction of the likelihood;
         ``seen`` takes the deltas by node."""
         engine = self.engine
-        if engine.normalise != "softmax":
-            raise ValueError("gradients need softmax")
+        self.loss.check(engine)
         root = engine.program.plan(mode)
         ev = Evaluation(engine.db, x, engine.plugin_calls)
-        p = softmax(ev.scores(root), ev.queries)
-        cols = ["qid", "id", "w"]
-        delta = y.select(*cols).unionByName(p.select("qid", "id", (-F.col("w")).alias("w"))).groupBy("qid", "id").agg(F.sum("w").alias("w")).filter("w <> 0")
+        delta, own, n = self.loss.ascent(ev.scores(root), y, ev.queries)
         found = gradients(ev, root, written(delta, "delta"), engine.db.parameters, self.densify, seen)
-        return Gradients(found, ev.queries.count())
+        return Gradients(found | own, n)
 
     def apply(self, grads: Gradients, n: int | None = None, rate: float | None = None) -> None:
         """Decay, move, and write every parameter that has a gradient."""
         db = self.engine.db
         for key, g in grads.by_parameter.items():
             old = self.regulariser.applied(db.relations[key])
-            move = updated_free if self.positive else updated
+            move = updated_free if self.positive and key[1] else updated
             new = move(old, g, rate or self.rate, n or grads.n, self.clip)
             db.relations[key] = written(new, "parameter")
 
@@ -342,7 +408,7 @@ class AdaGrad(WholeDatasetGD):
         for epoch in range(self.epochs):
             total = self.whole(data)
             for key, g in total.by_parameter.items():
-                cols = ["src", "dst"] if key[1] == 2 else ["id"]
+                cols = KEYS[key[1]]
                 mean = g.withColumn("w", F.col("w") / max(1, total.n))
                 square = mean.withColumn("w", F.col("w") * F.col("w"))
                 squares[key] = written(square if key not in squares else squares[key].unionByName(square).groupBy(*cols).agg(F.sum("w").alias("w")), "squares")

@@ -16,10 +16,11 @@ from weft.builder import Builder
 from weft.catalog import Database, row_symbols
 from weft.engine import Engine, Session, Settings
 from weft.functions import messages, mining
-from weft.learn import AdaGrad, Experiment, FixedRateGD, FixedRateSGD, Gradients, OneModeGD, RecordingTracer, WholeDatasetGD, l1_cost, rescaled, sigmoid, sigmoid_cross_entropy
+from weft.learn import AdaGrad, Experiment, FixedRateGD, FixedRateSGD, Gradients, OneModeGD, RecordingTracer, SigmoidLikelihood, WholeDatasetGD, l1_cost, rescaled, sigmoid, sigmoid_cross_entropy
+from weft.operators.plugins import EmbeddedEdges
 from weft.plans.parse import parse_goal, parse_rules
 from weft.queries import SOFTMAX, _inputs, _quality_pairs, _triples, database, register, with_relations
-from weft.scratch import shared_folder
+from weft.scratch import shared_folder, written
 from weft.sources import store
 from weft.sources.examples import Dataset, example_text, from_pairs, from_relation, load_examples
 from weft.sources.facts import FactBuffer, load_files, load_lines
@@ -449,6 +450,89 @@ learner_query("learn_adagrad", lambda e: AdaGrad(e, epochs=1, rate=0.5), _STEP +
 learner_query("learn_softplus", lambda e: FixedRateGD(e, epochs=1, rate=0.5, positive=True), _STEP + ", v AS (SELECT src, dst, CASE WHEN w > 30 THEN w ELSE ln(greatest(exp(w) - 1, 1e-12)) END + 0.5 * g * (1 - exp(-w)) AS v FROM g) SELECT src AS x, dst AS y, round(CASE WHEN v > 30 THEN v ELSE ln(1 + exp(v)) END, 8) AS w FROM v")
 
 
+# -- embedded edges and other losses ------------------------------------------------
+
+_SPOTS = """, vec AS (SELECT concat('p', p_partkey) AS id, 0 AS k, p_size / 50.0::DOUBLE AS v FROM part UNION ALL SELECT concat('p', p_partkey), 1, p_retailprice::DOUBLE / 2000 FROM part
+  UNION ALL SELECT concat('s', s_suppkey), 0, s_acctbal::DOUBLE / 10000 FROM supplier UNION ALL SELECT concat('s', s_suppkey), 1, s_nationkey / 25.0::DOUBLE FROM supplier),
+u AS (SELECT id, sum(v) AS u FROM vec GROUP BY id),
+e AS (SELECT s.src, s.dst, s.w AS stored, a.u - b.u AS d, s.w * (greatest(a.u - b.u, 0) + ln(1 + exp(-abs(a.u - b.u)))) AS w FROM supplied s JOIN u a ON a.id = s.src JOIN u b ON b.id = s.dst),
+s AS (SELECT e.src AS x, n.dst AS y, sum(e.w * n.w) AS w FROM e JOIN s_nation n ON n.src = e.dst GROUP BY ALL),
+best AS (SELECT src AS x, arg_max(dst, (w, dst)) AS y FROM (SELECT a.src, n.dst, sum(a.w * n.w) AS w FROM supplied a JOIN s_nation n ON n.src = a.dst GROUP BY ALL) GROUP BY src), q AS (SELECT DISTINCT src AS x FROM supplied)"""
+#: From delta(x, y, g) over n examples to one step of the vectors.
+_SPOTS_MOVED = """, ge AS (SELECT e.src, e.dst, sum(delta.g * n.w) * any_value(e.stored) / (1 + exp(-any_value(e.d))) AS g FROM e JOIN s_nation n ON n.src = e.dst JOIN delta ON delta.x = e.src AND delta.y = n.dst GROUP BY e.src, e.dst),
+gi AS (SELECT id, sum(g) AS g FROM (SELECT src AS id, g FROM ge UNION ALL SELECT dst, -g FROM ge) GROUP BY id)
+SELECT vec.id, vec.k, round(v + {rate} * greatest(-100, least(100, g / (SELECT n FROM examples))), 8) AS v FROM vec JOIN gi ON gi.id = vec.id"""
+
+
+def _spots(spark: SparkSession, sf_dir: str) -> tuple[Engine, Dataset]:
+    """Parts to nations over suppliers whose distance from a part their vectors tell."""
+    db = database(spark, sf_dir, ["supplied", "s_nation"])
+    part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
+    vectors = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice").cast("double") / 2000).alias("v"))
+    db.add_vectors("spot", vectors.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.array(F.col("s_acctbal").cast("double") / 10000, F.col("s_nationkey") / 25.0).alias("v"))))
+    db.mark_parameter("spot", 0)
+    engine = Engine(db, "r(P,N) :- near(P,S), s_nation(S,N).", initial_weights=False)
+    engine.plugin("near/2", EmbeddedEdges(db, "supplied", "spot"))
+    to = db.binary("supplied").withColumnRenamed("dst", "mid").join(db.binary("s_nation").select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("nw")), "mid")
+    best = to.groupBy("src", "to").agg(F.sum(F.col("w") * F.col("nw")).alias("w")).groupBy("src").agg(F.max(F.struct("w", "to")).alias("b"))
+    return engine, from_pairs(best.select(F.lit("r/io").alias("mode"), F.substring("src", 2, 20).cast("long").alias("qid"), F.col("src").alias("x"), F.col("b.to").alias("y")))
+
+
+def _moved_spots(engine: Engine) -> DataFrame:
+    return engine.db.parameter("spot", 0).select("id", "k", F.round("w", 8).alias("v"))
+
+
+@register(
+    "learn_embedded_edges",
+    with_relations(
+        ["supplied", "s_nation"],
+        _SPOTS
+        + """, m AS (SELECT x, y, w FROM s UNION ALL SELECT x, NULL, -10.0::DOUBLE FROM q), x AS (SELECT x, y, exp(w - max(w) OVER (PARTITION BY x)) AS w FROM m),
+p AS (SELECT x, y, w / sum(w) OVER (PARTITION BY x) AS p FROM x), delta AS (SELECT p.x, p.y, (CASE WHEN best.y = p.y THEN 1.0 ELSE 0.0 END) - p.p AS g FROM p JOIN best ON best.x = p.x WHERE p.y IS NOT NULL), examples AS (SELECT count(*) AS n FROM q)"""
+        + _SPOTS_MOVED.format(rate=5.0),
+    ),
+)
+def learn_embedded_edges(spark, sf_dir):
+    """One step of the vectors behind a plugin's edges, through a relation that comes after it."""
+    engine, data = _spots(spark, sf_dir)
+    FixedRateGD(engine, epochs=1, rate=5.0).train(data)
+    return _moved_spots(engine)
+
+
+_LOGISTIC = _SPOTS + """, l AS (SELECT s.x, s.y, s.w, CASE WHEN best.y = s.y THEN 1.0 ELSE 0.0 END AS label, 0.5 * s.w - 1 AS t FROM s JOIN best ON best.x = s.x), examples AS (SELECT count(*) AS n FROM l)"""
+
+
+@register("learn_sigmoid", with_relations(["supplied", "s_nation"], _LOGISTIC + ", delta AS (SELECT x, y, 0.5 * (label - 1 / (1 + exp(-t))) AS g FROM l)" + _SPOTS_MOVED.format(rate=50.0)))
+def learn_sigmoid(spark, sf_dir):
+    """The same step up the likelihood of a yes or no for every pair."""
+    engine, loss = _logistic(spark, sf_dir)[:2]
+    return _moved_spots(engine)
+
+
+@register(
+    "learn_slope_and_bias",
+    with_relations(
+        ["supplied", "s_nation"],
+        _LOGISTIC
+        + """ SELECT round(avg(greatest(t, 0) - t * label + ln(1 + exp(-abs(t)))), 8) AS loss, round(0.5 + 50 * greatest(-100, least(100, avg((label - 1 / (1 + exp(-t))) * w))), 8) AS slope, round(-1 + 50 * greatest(-100, least(100, avg(label - 1 / (1 + exp(-t))))), 8) AS bias FROM l""",
+    ),
+)
+def learn_slope_and_bias(spark, sf_dir):
+    """The loss before that step, and slope and bias after it."""
+    _, loss, before = _logistic(spark, sf_dir)
+    slope, bias = loss.scalars()
+    return before.select(F.round("loss", 8).alias("loss"), F.round(F.lit(slope), 8).alias("slope"), F.round(F.lit(bias), 8).alias("bias"))
+
+
+def _logistic(spark: SparkSession, sf_dir: str) -> tuple[Engine, SigmoidLikelihood, DataFrame]:
+    engine, data = _spots(spark, sf_dir)
+    loss = SigmoidLikelihood(engine.db)
+    engine.db.set_parameter("logistic", 0, spark.createDataFrame([("slope", 0, 0.5), ("bias", 0, -1.0)], "id string, k int, w double"))
+    before = written(loss.cost(engine.proof_count_batch("r/io", data.queries("r/io")), data.labels("r/io")), "loss")
+    FixedRateGD(engine, epochs=1, rate=50.0, loss=loss).train(data)
+    return engine, loss, before
+
+
 @register("gradients_merged", with_relations(["did"], _STEP + " SELECT src AS x, dst AS y, round(2 * g * (SELECT count(*) FROM q), 6) + 0.0 AS w FROM g"))
 def gradients_merged(spark, sf_dir):
     """Gradients of two halves of a batch, twice each, added up."""

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.lower import Evaluation, added, keys_of, product, step, totals
+from weft.operators.plugins import NoAdjoint
 from weft.plans.nodes import Node, in_order
 
-
-class NoAdjoint(ValueError):
-    """Gradients don't pass through this operator."""
+#: What tells the rows of a parameter apart, by its arity; 0 is that of vectors, one row a component.
+KEYS = {2: ["src", "dst"], 1: ["id"], 0: ["id", "k"]}
 
 
 def _fold(delta: DataFrame, like: Node) -> DataFrame:
@@ -51,7 +51,7 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
     order = list(in_order(root))
     deltas: dict[int, list[DataFrame]] = {id(root): [delta]}
     found: dict[tuple[str, int], list[DataFrame]] = {}
-    useful = _reaching(order, parameters)
+    useful = _reaching(order, parameters, ev.plugins)
 
     def send(to: Node, what: DataFrame) -> None:
         if id(to) in useful:
@@ -99,22 +99,31 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
                     at = _fold(d, node).select(F.col("id").alias(near), "w")
                     found.setdefault((node.detail[0], 2), []).append(r.binary(node.detail[0]).select("src", "dst").join(at, near).select("src", "dst", "w"))
             case "plugin":
-                raise NoAdjoint(f"plugin {node.detail[0]}")
+                functor, pattern = node.detail
+                try:
+                    back, own = ev.plugins[f"{functor}/{len(pattern)}"].back(ev.of(node.inputs[0]) if node.inputs else None, d, pattern)
+                except NoAdjoint as e:
+                    raise NoAdjoint(f"{e}: {functor}/{len(pattern)}") from None
+                for key, g in own.items():
+                    if key in parameters:
+                        found.setdefault(key, []).append(g)
+                if node.inputs and back is not None:
+                    send(node.inputs[0], back)
     out = {}
     for key, parts in found.items():
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        by = ["src", "dst"] if key[1] == 2 else ["id"]
-        out[key] = df.groupBy(*by).agg(F.sum("w").alias("w"))
+        out[key] = df.groupBy(*KEYS[key[1]]).agg(F.sum("w").alias("w"))
     return out
 
 
-def _reaching(order: list[Node], parameters: set[tuple[str, int]]) -> set[int]:
+def _reaching(order: list[Node], parameters: set[tuple[str, int]], plugins: dict) -> set[int]:
     """Nodes below which a parameter is used."""
     out: set[int] = set()
     for n in order:
         own = n.kind in ("step", "preimage") and (n.detail[0], 2) in parameters or n.kind == "unary" and (n.detail[0], 1) in parameters
+        own = own or n.kind == "plugin" and bool(plugins[f"{n.detail[0]}/{len(n.detail[1])}"].parameters & parameters)
         if own or any(id(i) in out for i in n.inputs):
             out.add(id(n))
     return out

@@ -10,7 +10,6 @@ so that no level recomputes the ones below it.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +26,12 @@ CUT = 5
 NULL = "__NULL__"
 #: Score of the entity that stands for no answer.
 NULL_SCORE = -10.0
-#: Plugins get and give messages: callable(message) -> message; without input: callable() -> (id, w).
-Plugin = Callable[..., DataFrame]
+
+
+class Plugin(Protocol):
+    """A predicate computed by a function; see :mod:`weft.operators.plugins`."""
+
+    def value(self, message: DataFrame | None, pattern: str) -> DataFrame: ...
 
 
 class Relations(Protocol):
@@ -295,7 +298,8 @@ class Evaluation:
             case "sum":
                 return added(got, self.queries)
             case "plugin":
-                return self.plugins[f"{node.detail[0]}/{len(node.detail[1])}"](*got)
+                functor, pattern = node.detail
+                return self.plugins[f"{functor}/{len(pattern)}"].value(got[0] if got else None, pattern)
             case "call":
                 return self._called(node, got[0])
             case "empty":

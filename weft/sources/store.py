@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.catalog import BINARY, UNARY, Database
+from weft.catalog import BINARY, UNARY, VECTORS, Database
 from weft.plans.parse import parse_rules
 from weft.plans.terms import RuleSet
 from weft.scratch import paths_of
@@ -45,7 +45,7 @@ def stored_relations(spark: SparkSession, path: str, only: Iterable[tuple[str, i
     wanted = there if only is None else set(only)
     if wanted - there:
         raise KeyError(f"{path} has no {sorted(wanted - there)}")
-    return {(f, n): spark.read.schema(BINARY if n == 2 else UNARY).parquet(posixpath.join(path, "relations", f"{f.encode().hex()}-{n}")) for f, n in sorted(wanted)}
+    return {(f, n): spark.read.schema((VECTORS, UNARY, BINARY)[n]).parquet(posixpath.join(path, "relations", f"{f.encode().hex()}-{n}")) for f, n in sorted(wanted)}
 
 
 def load_database(spark: SparkSession, path: str, into: Database | None = None, only: Iterable[tuple[str, int]] | None = None) -> Database:
