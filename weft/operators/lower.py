@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.nodes import Node, in_order
-from weft.plans.order import TABLE_GAIN, Size, Tree, best_order, joined, shown
-from weft.plans.planner import Program
+from weft.plans.order import DOUBLED_FROM, TABLE_GAIN, Size, Tree, best_order, doubled_cost, joined, shown, unrolled_cost
+from weft.plans.planner import Linear, Program
 from weft.plans.terms import Mode
 from weft.scratch import written
 
@@ -64,6 +64,31 @@ def composed(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "dst").groupBy("src", "to").agg(F.sum(F.col("w") * F.col("bw")).alias("w")).withColumnRenamed("to", "dst")
 
 
+def doubled(message: DataFrame, relation: DataFrame, terms: int) -> DataFrame:
+    """The sum of ``message . relation**k`` over k below ``terms``.
+
+    With S(n) for the sum of n levels, ``S(2n) = S(n) + S(n) . A**n`` and
+    ``S(2n+1) = S(2n) + A**2n``: twice as many levels with each bit of
+    ``terms``.  Powers and sums are written, as each is used more than once.
+    """
+
+    def plus(a: DataFrame, b: DataFrame) -> DataFrame:
+        return written(a.unionByName(b).groupBy(*keys_of(a)).agg(F.sum("w").alias("w")), "levels")
+
+    bits, total, power = f"{terms:b}"[1:], message, relation
+    for i, bit in enumerate(bits):
+        total = plus(total, step(total, power, True))
+        last = i == len(bits) - 1
+        if bit == "1" and last:  # the message alone goes on
+            total = plus(total, step(step(message, power, True), power, True))
+        elif not last:
+            power = written(composed(power, power).select("src", "dst", "w"), "power")
+            if bit == "1":
+                total = plus(total, step(message, power, True))
+                power = written(composed(power, relation).select("src", "dst", "w"), "power")
+    return total
+
+
 def product(left: DataFrame, right: DataFrame) -> DataFrame:
     """Weights multiplied where symbols, and queries if both have them, agree."""
     on = [c for c in keys_of(left) if c in right.columns]
@@ -232,8 +257,20 @@ class Evaluation:
         return built(tree)
 
     def _called(self, node: Node, message: DataFrame) -> DataFrame:
-        """A call: from a table of all its inputs, where the message has many more rows than there are inputs."""
+        """A call: by doubling, where it is a deep linear recursion; from a table
+        of all its inputs, where the message has many more rows than there are
+        inputs; or else by its rules."""
         mode, depth = node.detail
+        linear = self.program.linear(mode) if node.per_query else None
+        terms = self.program.max_depth - depth + 1
+        if linear and terms >= DOUBLED_FROM:
+            by, size = self._step_relation(linear)
+            now = self.size(node.inputs[0])
+            one, two = unrolled_cost(now, size, terms), doubled_cost(now, size, terms)
+            if two < one:
+                self.choices.append(f"{mode}, {terms} levels by doubling: about {two:.3g} rows, one by one {one:.3g}")
+                return self._doubled(linear, message, by, terms)
+            self.choices.append(f"{mode}, {terms} levels one by one: about {one:.3g} rows, by doubling {two:.3g}")
         domain = self.program.domain(mode) if node.per_query else None
         if domain:
             self._known({(f, n) for f, n, _ in domain})
@@ -246,6 +283,28 @@ class Evaluation:
                 return step(message, self.tables[(mode, depth)], True)
         return self.of(self.program.expanded(mode, depth, node.inputs[0]))
 
+    def _step_relation(self, linear: Linear) -> tuple[DataFrame, Size]:
+        """The relation from one level of a recursion to the next, and its size."""
+        if linear.single:
+            functor, direction = linear.single
+            self._known({(functor, 2)})
+            r, s = self.relations.binary(functor), self._sizes[(functor, 2)]
+            return (r, s) if direction == "forward" else (r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), Size(s.rows, s.far, s.near))
+        mode = Mode("_step", "io")
+        ev = Evaluation(self.relations, self.batch, self.plugins, program=linear.parts)
+        domain = linear.parts.domain(mode)
+        table = ev._table(mode, 0, domain)
+        got = table.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src").alias("near"), F.approx_count_distinct("dst").alias("far")).first()
+        return table, Size(float(got.n), float(got.near), float(got.far))
+
+    def _doubled(self, linear: Linear, message: DataFrame, by: DataFrame, terms: int) -> DataFrame:
+        def base(batch: DataFrame) -> DataFrame:
+            ev = Evaluation(self.relations, batch.select("qid", "id", "w"), self.plugins, program=linear.parts)
+            return ev.scores(linear.parts.plan("_base/io", calls=True))
+
+        start = message.select("qid", "id", "w")
+        return base(doubled(start, by, terms)) if linear.front else doubled(written(base(start), "levels"), by, terms)
+
     def _table(self, mode: Mode, depth: int, domain: set[tuple[str, int, str]]) -> DataFrame:
         """A called predicate as a relation: every input is a query."""
         ends = [(self.relations.unary(f) if n == 1 else self.relations.binary(f)).select(F.col(c).alias("id")) for f, n, c in sorted(domain)]

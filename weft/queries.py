@@ -143,6 +143,30 @@ rule_query("feature_weights", "quality has_word", "r(D,L) :- quality(D,L) {wt(F)
 rule_query("community_vote", "co brand contains", "near(A,B) :- co(A,B). near(A,B) :- co(A,Z), near(Z,B). r(O,B) :- contains(O,P), brand(P,A), near(A,B).", "r/io", "contains", ", n AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM co UNION ALL SELECT a.src, b.dst, a.w * b.w FROM co a JOIN co b ON a.dst = b.src) GROUP BY ALL), ob AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM contains a JOIN brand b ON a.dst = b.src GROUP BY ALL) SELECT ob.src AS x, n.dst AS y, sum(ob.w * n.w) AS w FROM ob JOIN n ON ob.dst = n.src GROUP BY ALL", depth=2)
 
 
+#: ``co`` with weights that sum to nine tenths for each brand, so that sums over any depth stay finite.
+_LIKELY = ", likely AS (SELECT src, dst, w * 0.9 / sum(w) OVER (PARTITION BY src) AS w FROM co)"
+
+
+def _deep(name: str, rules: str, mode: str, depth: int, sql: str) -> None:
+    """Register a linear recursion of a given depth."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = database(spark, sf_dir, ["co"])
+        co = db.binary("co")
+        db.add("likely", co.join(co.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") * 0.9 / F.col("all")).alias("w")))
+        db.relations[("likely", 2)] = written(db.binary("likely"), "likely")
+        engine = Engine(db, rules, Settings(max_depth=depth, normalise="none"))
+        return engine.inference(mode, _inputs(db, "co")).select("x", "y", F.round("w", 8).alias("w"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = with_relations(["co"], sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+for _d in (16, 64, 99):
+    _deep(f"recursion_d{_d}", "reach(A,B) :- likely(A,B). reach(A,B) :- likely(A,Z), reach(Z,B).", "reach/io", _d, _LIKELY + f", l(k, x, y, w) AS (SELECT 0, src, dst, w FROM likely UNION ALL SELECT l.k + 1, l.x, c.dst, sum(l.w * c.w) FROM l JOIN likely c ON l.y = c.src WHERE l.k < {_d} GROUP BY l.k + 1, l.x, c.dst) SELECT x, y, round(sum(w), 8) AS w FROM l GROUP BY ALL")
+_deep("recursion_backward", "reach(A,B) :- likely(A,B). reach(A,B) :- reach(A,Z), likely(Z,B).", "reach/oi", 40, _LIKELY + ", l(k, x, y, w) AS (SELECT 0, dst, src, w FROM likely UNION ALL SELECT l.k + 1, l.x, c.src, sum(l.w * c.w) FROM l JOIN likely c ON l.y = c.dst WHERE l.k < 40 GROUP BY l.k + 1, l.x, c.src) SELECT x, y, round(sum(w), 8) AS w FROM l GROUP BY ALL")
+
+
 def register(name: str, sql: str | None):
     def add(run):
         QUERIES[name] = run
