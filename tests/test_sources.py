@@ -127,3 +127,19 @@ def test_streamed_queries(spark, library, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [("north", "quay", 1.0), ("quay", "south", 1.0)]
+
+
+def test_batches_are_read_alone(spark, tmp_path, monkeypatch):
+    """An epoch's batches hold every example once, and each reads its own folder only."""
+    from weft.sources import examples
+
+    pairs = spark.createDataFrame([(m, i, f"x{i}", f"y{i % 3}") for m, n in (("r/io", 23), ("p/oi", 5)) for i in range(n)], "mode string, qid long, x string, y string")
+    data = examples.from_pairs(pairs)
+    for folders in (10_000, 2):
+        monkeypatch.setattr(examples, "FOLDERS", folders)
+        parts = list(data.batches(5, seed=1))
+        assert sorted(p.x.count() for _, p in parts) == [3, 5, 5, 5, 5, 5]
+        assert sorted((m, r.id) for m, p in parts for r in p.x.collect()) == sorted((r["mode"], r.x) for r in pairs.collect())
+        assert all(p.x.select("qid").exceptAll(p.y.select("qid")).count() == 0 and {r["mode"] for r in p.x.collect()} == {m} for m, p in parts)
+        plan = parts[0][1].x._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(of_mode" in plan

@@ -444,7 +444,21 @@ def learner_query(name: str, make, sql: str = _MOVED) -> None:
 
 learner_query("learn_fixed_rate", lambda e: FixedRateGD(e, epochs=1, rate=0.5))
 learner_query("learn_one_mode", lambda e: OneModeGD(e, epochs=1, rate=0.5))
-learner_query("learn_minibatch", lambda e: FixedRateSGD(e, epochs=1, rate=0.5, batch=1 << 30))
+
+
+@register(
+    "learn_minibatch",
+    with_relations(["did"], _STEP + ", c AS (SELECT CASE WHEN count(*) % 3 = 0 THEN count(*) // 3 WHEN count(*) % 2 = 0 THEN count(*) // 2 ELSE count(*) END AS size, count(*) AS n FROM q) SELECT src AS x, dst AS y, round(greatest(0.0, w + 0.5 * g * (SELECT n FROM c) / (SELECT size FROM c)), 8) AS w FROM g"),
+)
+def learn_minibatch(spark, sf_dir):
+    """Three batches, or two, whichever come out full, each a step of its own:
+    a user's facts move with the batch that the user is in, by its mean."""
+    engine, data = _best_event(spark, sf_dir)
+    n = data.size()
+    FixedRateSGD(engine, epochs=1, rate=0.5, batch=next(n // k for k in (3, 2, 1) if n % k == 0)).train(data)
+    return _as(engine.db.binary("did"), x="src", y="dst", w="w").withColumn("w", F.round("w", 8))
+
+
 learner_query("learn_whole_dataset", lambda e: WholeDatasetGD(e, epochs=1, rate=0.5))
 learner_query("learn_adagrad", lambda e: AdaGrad(e, epochs=1, rate=0.5), _STEP + " SELECT src AS x, dst AS y, round(greatest(0.0, w + 0.5 * g / sqrt(g * g + 0.1)), 8) AS w FROM g")
 learner_query("learn_softplus", lambda e: FixedRateGD(e, epochs=1, rate=0.5, positive=True), _STEP + ", v AS (SELECT src, dst, CASE WHEN w > 30 THEN w ELSE ln(greatest(exp(w) - 1, 1e-12)) END + 0.5 * g * (1 - exp(-w)) AS v FROM g) SELECT src AS x, dst AS y, round(CASE WHEN v > 30 THEN v ELSE ln(1 + exp(v)) END, 8) AS w FROM v")

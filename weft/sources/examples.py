@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from weft.catalog import OOV, Database
 from weft.functions.messages import numbered
 from weft.plans.terms import Mode
+from weft.scratch import written
 
 
 class BadExample(ValueError):
     """A line that is no example."""
 
 
+#: Folders that shuffled examples are written to, at most about so many.
+FOLDERS = 10_000
+
+
 @dataclass
 class Dataset:
     """x: (mode, qid, id, w), one entry a query; y: (mode, qid, id, w), the
@@ -54,16 +59,30 @@ class Dataset:
 
     def batches(self, size: int = 100, seed: int = 0) -> Iterator[tuple[str, Dataset]]:
         """Every example once, in batches of one mode each, in random order;
-        a mode's last batch may be short."""
+        a mode's last batch may be short.
+
+        The shuffled examples are written once, with a folder for each batch
+        (or for several, where there would be over FOLDERS), and a batch is read
+        from its folder alone.
+        """
         import random
 
         mixed = self.shuffled(seed)
         counts = {r["mode"]: r["n"] for r in mixed.x.groupBy("mode").agg(F.countDistinct("qid").alias("n")).collect()}
         parts = [(m, i) for m, n in sorted(counts.items()) for i in range(-(-n // size))]
+        shelf = max(1, -(-len(parts) // FOLDERS))
+        of_mode = {m: k for k, m in enumerate(sorted(counts))}
+        number = F.coalesce(*(F.when(F.col("mode") == m, F.lit(k)) for m, k in of_mode.items())) if of_mode else F.lit(0)
+
+        def shelved(df: DataFrame) -> DataFrame:
+            df = df.withColumn("of_mode", number).withColumn("folder", F.floor(F.col("qid") / (size * shelf)).cast("long"))
+            return written(df.repartition("of_mode", "folder"), "batches", by=["of_mode", "folder"])
+
+        x, y = shelved(mixed.x), shelved(mixed.y)
         random.Random(seed).shuffle(parts)
         for mode, i in parts:
-            here = (F.col("mode") == mode) & (F.col("qid") >= i * size) & (F.col("qid") < (i + 1) * size)
-            yield mode, Dataset(mixed.x.filter(here), mixed.y.filter(here))
+            here = (F.col("of_mode") == of_mode[mode]) & (F.col("folder") == i // shelf) & (F.col("qid") >= i * size) & (F.col("qid") < (i + 1) * size)
+            yield mode, Dataset(x.filter(here).drop("of_mode", "folder"), y.filter(here).drop("of_mode", "folder"))
 
 
 def normalise_labels(y: DataFrame) -> DataFrame:
