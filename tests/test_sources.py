@@ -143,3 +143,10 @@ def test_batches_are_read_alone(spark, tmp_path, monkeypatch):
         assert all(p.x.select("qid").exceptAll(p.y.select("qid")).count() == 0 and {r["mode"] for r in p.x.collect()} == {m} for m, p in parts)
         plan = parts[0][1].x._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(of_mode" in plan
+
+
+def test_typed_binary_facts_without_weights(spark):
+    """The third field of a fact may be a symbol where types are declared."""
+    db = load_lines(spark, ["# :- did(user,event)", "# :- old(user)", "did\tu1\tsignup", "did\tu2\tclick\t2", "old\tu1\t0.5"])
+    assert {tuple(r) for r in db.binary("did").collect()} == {("u1", "signup", 1.0), ("u2", "click", 2.0)}
+    assert [tuple(r) for r in db.unary("old").collect()] == [("u1", 0.5)]

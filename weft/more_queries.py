@@ -65,11 +65,15 @@ def load_facts(spark, sf_dir):
     return _as(db.binary("c_nation"), a="src", b="dst", w="w").union(db.unary("urgent").select("id", F.lit(None).cast("string"), "w"))
 
 
-@register("load_facts_lines", "SELECT * FROM (VALUES ('p', 'a', 'b', 2.0::DOUBLE), ('p', 'a', 'c', 0.5::DOUBLE), ('u', 'a', NULL, 1.0::DOUBLE), ('u', 'b', NULL, 3.0::DOUBLE)) v(functor, a, b, w)")
+@register("load_facts_lines", "SELECT 'lies_in' AS functor, concat('n', n_nationkey) AS a, concat('r', n_regionkey) AS b, 2.0::DOUBLE AS w FROM nation UNION ALL SELECT 'code', concat('n', n_nationkey), NULL, n_nationkey / 4 + 0.5 FROM nation")
 def load_facts_lines(spark, sf_dir):
-    db = load_lines(spark, ["p\ta\tb", "# a comment", "p\ta\tb", "", "p\ta\tc\t0.5", "u\ta", "u\tb\t3"])
-    unary = db.unary("u").select(F.lit("u").alias("functor"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "w")
-    return db.binary("p").select(F.lit("p").alias("functor"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(unary)
+    """Lines held in memory: each nation's region twice, its code with a weight, comments and blank lines between."""
+    lines = []
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").toLocalIterator():
+        lines += [f"lies_in\tn{r.n_nationkey}\tr{r.n_regionkey}", "# a comment", f"lies_in\tn{r.n_nationkey}\tr{r.n_regionkey}", "", f"code\tn{r.n_nationkey}\t{r.n_nationkey / 4 + 0.5}"]
+    db = load_lines(spark, lines)
+    unary = db.unary("code").select(F.lit("code").alias("functor"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "w")
+    return db.binary("lies_in").select(F.lit("lies_in").alias("functor"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(unary)
 
 
 @register("load_facts_incremental", with_relations(["c_nation", "s_nation"], "SELECT src AS x, dst AS y, w FROM c_nation UNION ALL SELECT src, dst, w FROM s_nation"))
@@ -82,11 +86,18 @@ def load_facts_incremental(spark, sf_dir):
     return _as(buffer.flush().binary("lives"), x="src", y="dst", w="w")
 
 
-@register("declared_types", "SELECT * FROM (VALUES ('in', 'age,year', true, 'in/io'), ('year', 'year', false, '')) v(functor, types, trainable, asks)")
+@register(
+    "declared_types",
+    with_relations(["did", "urgent"], "SELECT 'did' AS functor, 'user,event' AS types, true AS trainable, 'did/io' AS asks, count(*) AS facts, sum(w) AS total FROM did UNION ALL SELECT 'urgent', 'order', false, '', count(*), sum(w) FROM urgent"),
+)
 def declared_types(spark, sf_dir):
-    db = load_lines(spark, ["# :- in(age,year)", "# :- year(year)", "# :- trainable(in,2)", "year\t1900\t0.3", "in\t20\t1900", "lost\ta\tb"])
-    rows = [(f, ",".join(t), (f, n) in db.parameters, ",".join(op for op in db.possible_ops("age") if op.startswith(f"{f}/"))) for (f, n), t in db.types.items()]
-    return spark.createDataFrame(rows, "functor string, types string, trainable boolean, asks string")
+    """A file of facts that begins with what they are and what is trained."""
+    facts = spark.read.text(_facts(spark, sf_dir, "did", "urgent"))
+    said = spark.createDataFrame([("# :- did(user,event)",), ("# :- urgent(order)",), ("# :- trainable(did,2)",)], "value string")
+    db = load_files(spark, _text(said.union(facts), ".cfacts"))
+    told = [(f, ",".join(t), (f, n) in db.parameters, ",".join(op for op in db.possible_ops("user") if op.startswith(f"{f}/"))) for (f, n), t in db.types.items()]
+    sums = [rel.agg(F.count(F.lit(1)).alias("facts"), F.sum("w").alias("total")).select(F.lit(f).alias("functor"), "facts", "total") for (f, _), rel in sorted(db.relations.items())]
+    return spark.createDataFrame(told, "functor string, types string, trainable boolean, asks string").join(sums[0].union(sums[1]), "functor")
 
 
 @register("save_restore", with_relations(["did", "urgent"], "SELECT 'did' AS functor, src AS a, dst AS b, w FROM did UNION ALL SELECT 'urgent', id, NULL, w FROM urgent"))
@@ -213,9 +224,15 @@ def rows_as_symbols(spark, sf_dir):
     return spark.createDataFrame([(("n0", "n7")[q], y, w) for q, row in got.items() for y, w in row.items()], "x string, y string, w double")
 
 
-@register("rule_ids", "SELECT unnest(['b1', 't1']) AS rule_id")
+def _rules_of_brands(spark: SparkSession, sf_dir: str) -> str:
+    """A rule with a weight of its own for each brand, whose name needs quotes."""
+    brands = sorted(r.dst for r in database(spark, sf_dir, ["brand"]).binary("brand").select("dst").distinct().collect())
+    return "\n".join(f"r(P,Y) :- brand(P,Y), assign(Y,'{b}') {{b{b.split('#')[1]}}}." for b in brands)
+
+
+@register("rule_ids", "SELECT DISTINCT 'b' || substr(p_brand, 7) AS rule_id FROM part")
 def rule_ids(spark, sf_dir):
-    engine = Engine(Database(spark), "r(P,Y) :- brand(P,Y) {b1}. r(P,Y) :- ptype(P,Y) {t1}.", initial_weights=False)
+    engine = Engine(Database(spark), _rules_of_brands(spark, sf_dir), initial_weights=False)
     return spark.createDataFrame([(r,) for r in engine.features.rule_ids], "rule_id string")
 
 
@@ -324,11 +341,11 @@ def built_rules(spark, sf_dir):
     return engine.proof_count("r/io", _inputs(engine.db, "placed"))
 
 
-@register("rule_printing", "SELECT unnest(['p(X,Y) :- q(X,Z), r(Z,Y) {w(F) : has(X,F)}.', 'p(X,Y) <= q(X,Z) & r(Z,Y) // w(F) | has(X,F)', 'q(a,X)', '__NULL__']) AS text")
+@register("rule_printing", "WITH b AS (SELECT DISTINCT p_brand AS b, substr(p_brand, 7) AS n FROM part) SELECT 'r(P,Y) :- brand(P,Y), assign(Y,''' || b || ''') {b' || n || '}.' AS text FROM b UNION ALL SELECT 'r(P,Y) <= brand(P,Y) & assign(Y,''' || b || ''') // b' || n FROM b")
 def rule_printing(spark, sf_dir):
-    rules = parse_rules("p(X,Y):-q(X,Z),r(Z,Y){w(F):has(X,F)}.")
-    lines = [rules.to_text("classic"), rules.to_text("pythonic"), str(parse_goal("q(a,X)")), "__NULL__"]
-    return spark.createDataFrame([(x.strip(),) for x in lines], "text string")
+    """Rules of both syntaxes as text; names that need quotes keep them."""
+    rules = parse_rules(_rules_of_brands(spark, sf_dir))
+    return spark.createDataFrame([(line.strip(),) for how in ("classic", "pythonic") for line in rules.to_text(how).splitlines() if line.strip()], "text string")
 
 
 @register("typed_weights", with_relations(["did"], "SELECT DISTINCT dst AS id, 0.5::DOUBLE AS w FROM did UNION ALL SELECT unnest(['__NULL__', '__OOV__']), 0.5"))

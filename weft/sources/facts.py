@@ -53,11 +53,11 @@ def parsed(lines: DataFrame, db: Database, weighted_tuples: bool = True) -> Data
         one = sorted(k for k, n in db.types if n == 1)
         two = sorted(k for k, n in db.types if n == 2)
         only_one, only_two = [k for k in one if k not in two], [k for k in two if k not in one]
-        unary3 = F.col("functor").isin(only_one) | ~F.col("functor").isin(only_two) & number & (F.col("x").cast("double") > 0)
+        unary3 = F.col("functor").isin(only_one) | ~F.col("functor").isin(only_two) & number & (F.col("x").try_cast("double") > 0)
     else:
         unary3 = number if weighted_tuples else F.lit(False)
     unary = (F.col("n") == 2) | (F.col("n") == 3) & unary3
-    weight = F.when(F.col("n") == 4, F.col("y").cast("double")).when((F.col("n") == 3) & unary, F.col("x").cast("double")).otherwise(1.0)
+    weight = F.when(F.col("n") == 4, F.col("y").try_cast("double")).when((F.col("n") == 3) & unary, F.col("x").try_cast("double")).otherwise(1.0)
     rows = f.select("functor", F.when(unary, 1).otherwise(2).alias("arity"), "a", F.when(~unary, F.col("x")).alias("b"), weight.alias("w"), "n")
     bad = rows.filter(~F.col("n").isin(2, 3, 4) | F.col("w").isNull() | (F.col("w") < 0) & ((F.col("n") == 4) | F.lit(db.typed))).head(1)
     if bad:
