@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.messages import numbered
+from weft.operators.hubs import HUB_ROWS, Rows, hubs_at
 from weft.plans.order import Size
 from weft.plans.terms import Goal, TypeDecl
 
@@ -33,9 +34,12 @@ class Database:
     types: dict[tuple[str, int], tuple[str, ...]] = field(default_factory=dict)
     parameters: set[tuple[str, int]] = field(default_factory=set)
     typed: bool = False
+    #: facts of one symbol from which on joins split it
+    hub_rows: int = HUB_ROWS
     #: facts as they were added, before equal ones are summed; sizes are counted on these
     _facts: dict[tuple[str, int], tuple[DataFrame, DataFrame]] = field(default_factory=dict, repr=False)
     _counted: dict[tuple[str, int], tuple[DataFrame, Size]] = field(default_factory=dict, repr=False)
+    _hubs: dict[str, dict[str, Rows]] = field(default_factory=dict, repr=False)
 
     # -- filling ------------------------------------------------------------
 
@@ -148,6 +152,14 @@ class Database:
                 self._counted[key] = (rel, out[key])
         return out
 
+    def hubs(self, functor: str) -> dict[str, Rows]:
+        """By end, the symbols with very many facts of a binary relation.  They
+        are counted once: other weights, as training gives, leave them as they
+        are, and hubs that are out of date change no result."""
+        if functor not in self._hubs:
+            self._hubs[functor] = hubs_at(self.binary(functor), ["src", "dst"], self.hub_rows)
+        return self._hubs[functor]
+
     # -- constructors of messages -------------------------------------------
 
     def onehot(self, symbols: list[str] | str, type_name: str | None = None, strict: bool = True, unknown_as_oov: bool = False) -> DataFrame:
@@ -193,7 +205,7 @@ class Database:
 
     def partner(self) -> Database:
         """A database with the same schema and relations of its own."""
-        return replace(self, relations=dict(self.relations), types=dict(self.types), parameters=set(self.parameters), _facts=dict(self._facts), _counted=dict(self._counted))
+        return replace(self, relations=dict(self.relations), types=dict(self.types), parameters=set(self.parameters), _facts=dict(self._facts), _counted=dict(self._counted), _hubs=dict(self._hubs))
 
     # -- listing ------------------------------------------------------------
 

@@ -97,24 +97,25 @@ class Engine:
     def evaluation(self, inputs: DataFrame | Iterable[str]) -> Evaluation:
         return Evaluation(self.db, self.batch(inputs), self.plugin_calls)
 
-    def proof_count_batch(self, mode: str | Mode, batch: DataFrame) -> DataFrame:
-        """(qid, id, w): sums over proofs of products of weights."""
-        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program)
+    def proof_count_batch(self, mode: str | Mode, batch: DataFrame, own_ids: bool = False) -> DataFrame:
+        """(qid, id, w): sums over proofs of products of weights.  With
+        ``own_ids`` no symbol is asked by very many queries."""
+        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program, own_ids=own_ids)
         return ev.scores(self.program.plan(mode, calls=True))
 
-    def inference_batch(self, mode: str | Mode, batch: DataFrame) -> DataFrame:
+    def inference_batch(self, mode: str | Mode, batch: DataFrame, own_ids: bool = False) -> DataFrame:
         """(qid, id, w), normalised as set."""
-        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program)
+        ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program, own_ids=own_ids)
         return normalised(ev.scores(self.program.plan(mode, calls=True)), ev.queries, self.normalise)
 
     def _answers(self, mode, inputs, ask) -> DataFrame:
         if isinstance(inputs, DataFrame) and "qid" not in inputs.columns:
             # one query a symbol: the symbol itself is the query's key
             batch = inputs.filter("x is not null").select(F.col("x").alias("qid"), F.col("x").alias("id"), F.lit(1.0).alias("w")).distinct()
-            return ask(mode, batch).select(F.col("qid").alias("x"), F.col("id").alias("y"), "w")
+            return ask(mode, batch, True).select(F.col("qid").alias("x"), F.col("id").alias("y"), "w")
         batch = self.batch(inputs, strict=not isinstance(inputs, DataFrame))
         names = batch.select("qid", F.col("id").alias("x"))
-        return ask(mode, batch).join(names, "qid").select("x", F.col("id").alias("y"), "w")
+        return ask(mode, batch, not isinstance(inputs, DataFrame)).join(names, "qid").select("x", F.col("id").alias("y"), "w")
 
     def proof_count(self, mode: str | Mode, inputs: DataFrame | Iterable[str]) -> DataFrame:
         """(x, y, w) for each input symbol; a DataFrame has a column x."""
@@ -126,7 +127,7 @@ class Engine:
 
     def eval(self, mode: str | Mode, symbols: str | list[str], strict: bool = True) -> dict[int, dict[str, float]]:
         """Answers of a few symbols as dictionaries."""
-        return row_symbols(self.inference_batch(mode, self.db.onehot(symbols, strict=strict)))
+        return row_symbols(self.inference_batch(mode, self.db.onehot(symbols, strict=strict), own_ids=True))
 
     def loss(self, mode: str | Mode, x: DataFrame, y: DataFrame) -> DataFrame:
         """(cross_entropy, n) of a batch."""
@@ -228,7 +229,7 @@ class Session:
 
     def eval(self, mode: str, symbol: str) -> dict[str, float]:
         batch = self.engine.db.onehot(symbol)
-        p = self.engine.inference_batch(mode, batch)
+        p = self.engine.inference_batch(mode, batch, own_ids=True)
         for r in ranked(p, self.top).sort("rank").collect() if self.top else ():
             print(f"{r['rank']}\t{r.w:g}\t{r.id}")
         return row_symbols(p).get(0, {})

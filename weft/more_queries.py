@@ -617,3 +617,13 @@ def eval_softmax(spark, sf_dir):
     engine = Engine(database(spark, sf_dir, ["in_region"]), "r(N,R) :- in_region(N,R).")
     rows = row_symbols(engine.inference_batch("r/io", engine.db.onehot(["n1", "n2"])))
     return spark.createDataFrame([(("n1", "n2")[q], y, round(w, 6)) for q, row in rows.items() for y, w in row.items()], "x string, y string, w double")
+
+
+@register("hub_steps", with_relations(["c_nation", "in_region", "s_nation"], """ SELECT c.src AS x, s.src AS y, sum(c.w * r.w * b.w * s.w) AS w FROM c_nation c JOIN in_region r ON r.src = c.dst
+JOIN in_region b ON b.dst = r.dst JOIN s_nation s ON s.dst = b.src GROUP BY ALL"""))
+def hub_steps(spark, sf_dir):
+    """Customers to all suppliers of their region: nations and regions are hubs, split from 100 facts on."""
+    db = database(spark, sf_dir, ["c_nation", "in_region", "s_nation"])
+    db.hub_rows = 100
+    engine = Engine(db, "r(C,S) :- c_nation(C,N), in_region(N,R), in_region(M,R), s_nation(S,M).", Settings(normalise="none"))
+    return engine.proof_count("r/io", _inputs(db, "c_nation.src"))

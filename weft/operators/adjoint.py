@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.lower import Evaluation, added, keys_of, product, step, totals
+from weft.operators.hubs import met
+from weft.operators.lower import NONE, Evaluation, Split, added, keys_of, product, step, totals
 from weft.operators.plugins import NoAdjoint
 from weft.plans.nodes import Node, in_order
 
@@ -29,7 +30,7 @@ def _spread(message: DataFrame, ev: Evaluation) -> DataFrame:
     return message if "qid" in message.columns else ev.queries.crossJoin(message).select("qid", "id", "w")
 
 
-def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bool, densify: bool) -> DataFrame:
+def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bool, densify: bool, split: Split = NONE) -> DataFrame:
     """(src, dst, w): sum over queries of message at the near end times delta at the far end."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     on = [c for c in ("qid",) if c in message.columns and c in delta.columns]
@@ -38,7 +39,7 @@ def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bo
     if densify:
         both = m.join(d, on) if on else m.crossJoin(d)
     else:
-        both = m.join(relation.select("src", "dst"), near).join(d, [*on, far])
+        both = met(m, relation.select("src", "dst"), near, split.left, split.right, split.rows).join(d, [*on, far])
     return both.groupBy("src", "dst").agg(F.sum(F.col("mw") * F.col("dw")).alias("w"))
 
 
@@ -68,9 +69,10 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
             case "step":
                 functor, forward = node.detail[0], node.detail[1] == "forward"
                 if (functor, 2) in parameters:
-                    found.setdefault((functor, 2), []).append(outer(ev.of(node.inputs[0]), d, r.binary(functor), forward, densify))
+                    found.setdefault((functor, 2), []).append(outer(ev.of(node.inputs[0]), d, r.binary(functor), forward, densify, ev.split(node.inputs[0], *node.detail)))
                 if id(node.inputs[0]) in useful:
-                    send(node.inputs[0], step(d, r.binary(functor), not forward))
+                    back = "backward" if forward else "forward"
+                    send(node.inputs[0], step(d, r.binary(functor), not forward, ev.split(None, functor, back)))
             case "product":
                 a, b = node.inputs
                 send(a, product(d, ev.of(b)))

@@ -10,11 +10,13 @@ so that no level recomputes the ones below it.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.hubs import HUB_ROWS, Rows, hubs_at, met
 from weft.plans.nodes import Node, in_order
 from weft.plans.order import DOUBLED_FROM, TABLE_GAIN, Size, Tree, best_order, doubled_cost, joined, shown, unrolled_cost
 from weft.plans.planner import Linear, Program
@@ -36,6 +38,7 @@ class Plugin(Protocol):
 
 class Relations(Protocol):
     spark: SparkSession
+    hub_rows: int
 
     def binary(self, functor: str) -> DataFrame: ...
 
@@ -45,31 +48,48 @@ class Relations(Protocol):
 
     def statistics(self, names: set[tuple[str, int]], batch: DataFrame | None) -> dict[tuple[str, int], Size]: ...
 
+    def hubs(self, functor: str) -> dict[str, Rows]: ...
+
 
 def keys_of(df: DataFrame) -> list[str]:
     return [c for c in ("qid", "id") if c in df.columns]
 
 
-def step(message: DataFrame, relation: DataFrame, forward: bool) -> DataFrame:
+@dataclass(frozen=True)
+class Split:
+    """Hubs of the two sides of a join."""
+
+    left: Rows
+    right: Rows
+    rows: int  #: of a part
+
+
+NONE = Split({}, {}, HUB_ROWS)
+
+
+def step(message: DataFrame, relation: DataFrame, forward: bool, split: Split = NONE) -> DataFrame:
     """Join on the near end, multiply, sum by the far end."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     rel = relation.select(F.col(near).alias("id"), F.col(far).alias("to"), F.col("w").alias("rw"))
     by = [c for c in keys_of(message) if c != "id"]
-    return message.join(rel, "id").groupBy(*by, "to").agg(F.sum(F.col("w") * F.col("rw")).alias("w")).withColumnRenamed("to", "id").select(*by, "id", "w")
+    both = met(message, rel, "id", split.left, split.right, split.rows)
+    return both.groupBy(*by, "to").agg(F.sum(F.col("w") * F.col("rw")).alias("w")).withColumnRenamed("to", "id").select(*by, "id", "w")
 
 
-def composed(a: DataFrame, b: DataFrame) -> DataFrame:
+def composed(a: DataFrame, b: DataFrame, split: Split = NONE) -> DataFrame:
     """Two relations as one: joined where a ends and b begins, summed by the outer ends."""
     b = b.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("bw"))
-    return a.join(b, "dst").groupBy("src", "to").agg(F.sum(F.col("w") * F.col("bw")).alias("w")).withColumnRenamed("to", "dst")
+    both = met(a.select("src", "dst", "w"), b, "dst", split.left, split.right, split.rows)
+    return both.groupBy("src", "to").agg(F.sum(F.col("w") * F.col("bw")).alias("w")).withColumnRenamed("to", "dst")
 
 
-def doubled(message: DataFrame, relation: DataFrame, terms: int) -> DataFrame:
+def doubled(message: DataFrame, relation: DataFrame, terms: int, split: Split = NONE) -> DataFrame:
     """The sum of ``message . relation**k`` over k below ``terms``.
 
     With S(n) for the sum of n levels, ``S(2n) = S(n) + S(n) . A**n`` and
     ``S(2n+1) = S(2n) + A**2n``: twice as many levels with each bit of
     ``terms``.  Powers and sums are written, as each is used more than once.
+    The relation's hubs are taken for those of its powers and of the sums.
     """
 
     def plus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -77,22 +97,25 @@ def doubled(message: DataFrame, relation: DataFrame, terms: int) -> DataFrame:
 
     bits, total, power = f"{terms:b}"[1:], message, relation
     for i, bit in enumerate(bits):
-        total = plus(total, step(total, power, True))
+        total = plus(total, step(total, power, True, split))
         last = i == len(bits) - 1
         if bit == "1" and last:  # the message alone goes on
-            total = plus(total, step(step(message, power, True), power, True))
+            total = plus(total, step(step(message, power, True, split), power, True, split))
         elif not last:
-            power = written(composed(power, power).select("src", "dst", "w"), "power")
+            power = written(composed(power, power, split).select("src", "dst", "w"), "power")
             if bit == "1":
-                total = plus(total, step(message, power, True))
-                power = written(composed(power, relation).select("src", "dst", "w"), "power")
+                total = plus(total, step(message, power, True, split))
+                power = written(composed(power, relation, split).select("src", "dst", "w"), "power")
     return total
 
 
-def product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Weights multiplied where symbols, and queries if both have them, agree."""
+def product(left: DataFrame, right: DataFrame, heavy: Split = NONE) -> DataFrame:
+    """Weights multiplied where symbols, and queries if both have them, agree.
+    Where one side has no query, symbols that very many queries of the other
+    hold are split."""
     on = [c for c in keys_of(left) if c in right.columns]
-    joined = left.join(right.withColumnRenamed("w", "rw"), on)
+    right = right.withColumnRenamed("w", "rw")
+    joined = met(left, right, "id", heavy.left, heavy.right, heavy.rows) if on == ["id"] else left.join(right, on)
     by = ["qid", "id"] if "qid" in joined.columns else ["id"]
     return joined.select(*by, (F.col("w") * F.col("rw")).alias("w"))
 
@@ -157,16 +180,18 @@ class Evaluation:
 
     ``batch`` is (qid, id, w), unique on (qid, id).  With a ``program``, plans
     may hold calls, and runs of steps are bracketed by estimated size; without,
-    every node of a plan has its message.
+    every node of a plan has its message.  ``own_ids`` says that no symbol is
+    asked by very many queries, so that the batch isn't looked through for hubs.
     """
 
-    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False, program: Program | None = None):
+    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False, program: Program | None = None, own_ids: bool = False):
         self.relations, self.batch, self.plugins, self.keep, self.program = relations, batch, plugins or {}, keep, program
         self.queries = batch.select("qid").distinct()
         self.made: dict[int, DataFrame] = {}
-        self.tables: dict[tuple[Mode, int], DataFrame] = {}
+        self.tables: dict[tuple[Mode, int], tuple[DataFrame, Rows]] = {}
         self.choices: list[str] = []
         self._sizes: dict[tuple[str, int], Size] = {}
+        self._batch_hubs: Rows | None = {} if own_ids else None
 
     def of(self, root: Node) -> DataFrame:
         order = list(in_order(root))
@@ -228,6 +253,38 @@ class Evaluation:
         s = self._sizes[(node.detail[0], 2)]
         return s if node.detail[1] == "forward" else Size(s.rows, s.far, s.near)
 
+    def heavy(self, node: Node) -> Rows:
+        """Symbols that very many queries may hold in a message, with about how
+        many: those of the batch, and hubs at the far end of the last step.
+        Rows that meet at a symbol only by way of hubs further back aren't told."""
+        if not node.per_query:
+            return {}
+        match node.kind:
+            case "input":
+                if self._batch_hubs is None:
+                    self._batch_hubs = hubs_at(self.batch, ["id"], self.relations.hub_rows)["id"]
+                return self._batch_hubs
+            case "step":
+                functor, direction = node.detail
+                found = self.relations.hubs(functor)["dst" if direction == "forward" else "src"]
+                if not found:
+                    return {}
+                before = self.size(node.inputs[0])
+                each = before.rows / max(before.far, 1.0)  # queries that hold one symbol
+                return {h: min(n * each, before.near) if node.inputs[0].per_query else 1.0 for h, n in found.items()}
+            case "product" | "sum" | "scale":
+                out: Rows = {}
+                for i in node.inputs:
+                    for h, n in self.heavy(i).items():
+                        out[h] = max(n, out.get(h, 0.0))
+                return out
+        return {}
+
+    def split(self, message: Node | None, functor: str, direction: str) -> Split:
+        """Hubs of a step along a relation; without a message's node, the relation's alone."""
+        near = self.relations.hubs(functor)["src" if direction == "forward" else "dst"]
+        return Split(self.heavy(message) if message else {}, near, self.relations.hub_rows)
+
     def _run_of_steps(self, last: Node, inner: set[int]) -> DataFrame:
         """A run of steps in the order that makes fewest rows."""
         run = [last]
@@ -245,14 +302,22 @@ class Evaluation:
             r = self.relations.binary(run[k - 1].detail[0])
             return r if run[k - 1].detail[1] == "forward" else r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
 
+        def outermost(tree: Tree, side: int) -> int:
+            while not isinstance(tree, int):
+                tree = tree[side]
+            return tree
+
         def built(tree: Tree) -> DataFrame:
             if isinstance(tree, int):
                 return message if tree == 0 else relation(tree)
             left, right = tree
-            first = left
-            while not isinstance(first, int):
-                first = first[0]
-            return step(built(left), built(right), True) if first == 0 else composed(built(left), built(right))
+            end, begin = outermost(left, 1), run[outermost(right, 0) - 1]
+            split = self.split(run[end].inputs[0] if end == 0 else run[end - 1], *begin.detail)
+            if outermost(left, 0) == 0:
+                return step(built(left), built(right), True, split)
+            functor, direction = run[end - 1].detail
+            left_hubs = self.relations.hubs(functor)["dst" if direction == "forward" else "src"]
+            return composed(built(left), built(right), Split(left_hubs, split.right, split.rows))
 
         return built(tree)
 
@@ -279,8 +344,10 @@ class Evaluation:
             if rows > TABLE_GAIN * inputs:
                 if (mode, depth) not in self.tables:
                     self.choices.append(f"{mode} from a table: about {inputs:.3g} inputs for {rows:.3g} rows")
-                    self.tables[(mode, depth)] = self._table(mode, depth, domain)
-                return step(message, self.tables[(mode, depth)], True)
+                    table = self._table(mode, depth, domain)
+                    self.tables[(mode, depth)] = table, hubs_at(table, ["src"], self.relations.hub_rows)["src"]
+                table, heads = self.tables[(mode, depth)]
+                return step(message, table, True, Split(self.heavy(node.inputs[0]), heads, self.relations.hub_rows))
         return self.of(self.program.expanded(mode, depth, node.inputs[0]))
 
     def _step_relation(self, linear: Linear) -> tuple[DataFrame, Size]:
@@ -303,7 +370,9 @@ class Evaluation:
             return ev.scores(linear.parts.plan("_base/io", calls=True))
 
         start = message.select("qid", "id", "w")
-        return base(doubled(start, by, terms)) if linear.front else doubled(written(base(start), "levels"), by, terms)
+        hubs = hubs_at(by, ["src", "dst"], self.relations.hub_rows)
+        split = Split(hubs["dst"], hubs["src"], self.relations.hub_rows)
+        return base(doubled(start, by, terms, split)) if linear.front else doubled(written(base(start), "levels"), by, terms, split)
 
     def _table(self, mode: Mode, depth: int, domain: set[tuple[str, int, str]]) -> DataFrame:
         """A called predicate as a relation: every input is a query."""
@@ -311,7 +380,7 @@ class Evaluation:
         ids = ends[0]
         for e in ends[1:]:
             ids = ids.union(e)
-        ev = Evaluation(self.relations, ids.distinct().select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("w")), self.plugins, program=self.program)
+        ev = Evaluation(self.relations, ids.distinct().select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("w")), self.plugins, program=self.program, own_ids=True)
         ev.tables, ev.choices = self.tables, self.choices
         ev._sizes = {k: s for k, s in self._sizes.items() if k[1]}
         answers = ev.scores(self.program.expanded(mode, depth))
@@ -349,9 +418,10 @@ class Evaluation:
                 near = "src" if node.detail[1] == "forward" else "dst"
                 return r.binary(node.detail[0]).groupBy(F.col(near).alias("id")).agg(F.sum("w").alias("w"))
             case "step":
-                return step(got[0], r.binary(node.detail[0]), node.detail[1] == "forward")
+                return step(got[0], r.binary(node.detail[0]), node.detail[1] == "forward", self.split(node.inputs[0], *node.detail))
             case "product":
-                return product(*got)
+                left, right = (self.heavy(i) if i.per_query != j.per_query else {} for i, j in (node.inputs, node.inputs[::-1]))
+                return product(*got, Split(left, right, r.hub_rows))
             case "scale":
                 return scale(*got)
             case "sum":
