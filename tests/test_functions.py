@@ -26,12 +26,13 @@ def test_mining(triples):
     assert "p(X,Y):-q(X,Y) {if_p_q}.\t#score -0.693" in text and "t(X,Y):-p(X,Z),s(Z,Y) {chain_t_p_s}.\t#score 0.000" in text
 
 
-def test_chains_equal_all_paths(spark):
-    """Over many-to-many relations with hubs, some of them closing chains of others."""
+@pytest.mark.parametrize("hub_rows", [1_000_000, 5])
+def test_chains_equal_all_paths(spark, hub_rows):
+    """Over many-to-many relations with hubs and loops, some of them closing chains of others; hubs whole and split."""
     rng = random.Random(3)
     rows = {(f"a{rng.randint(0, 9) ** 2 // 9}", "p", f"b{rng.randint(0, 5)}") for _ in range(60)} | {(f"b{rng.randint(0, 5)}", "q", f"c{rng.randint(0, 9)}") for _ in range(40)}
     rows |= {(f"a{rng.randint(0, 9)}", "s", f"c{rng.randint(0, 9)}") for _ in range(50)} | {(f"c{rng.randint(0, 9)}", "t", f"c{rng.randint(0, 9)}") for _ in range(30)}
-    rows |= {(t, "back", h) for h, r, t in rows if r == "p"}
+    rows |= {(t, "back", h) for h, r, t in rows if r == "p"} | {("c1", "t", "c1"), ("c2", "t", "c2"), ("a1", "s", "a1"), ("a1", "p", "a1"), ("b1", "q", "b1")}
     paths, pairs = Counter(), defaultdict(set)
     for (x, q, z), (z2, r, y) in itertools.product(rows, rows):
         if z == z2:
@@ -43,10 +44,26 @@ def test_chains_equal_all_paths(spark):
             n = sum((x, p, y) in rows for x, y in found)
             if n:
                 want[(p, q, r)] = (n, round(math.log(n / paths[(q, r)]), 9))
-    got = mining.chains(spark.createDataFrame(sorted(rows), "head string, relation string, tail string")).collect()
+    given = [*sorted(rows), (None, "p", "b1"), ("a1", None, "b1"), ("a1", "p", None)]
+    got = mining.chains(spark.createDataFrame(given, "head string, relation string, tail string"), hub_rows).collect()
     assert {(r.p, r.q, r.r): (r.n, round(r.score, 9)) for r in got} == want and len(want) >= 5
 
 
+def test_chains_through_hubs_make_few_rows(spark):
+    """Two hubs, each a relation's only head or tail: paths through them grow with the square, wedges don't."""
+    n = 400
+    rows = [("X", "p", f"y{i}") for i in range(n)] + [("X", "q", f"z{i}") for i in range(n)] + [(f"z{i}", "r", "Y") for i in range(n)] + [(f"w{i}", "p", "Y") for i in range(n)]
+    rows += [(f"w{i}", "q", f"z{i}") for i in range(n)] + [(f"z{i}", "r", f"y{i}") for i in range(n)]
+    triples = spark.createDataFrame(rows, "head string, relation string, tail string")
+    edges = mining.oriented(mining._named_edges(triples))
+    assert edges.count() == 6 * n and mining.wedges(edges).count() <= 8 * n
+    assert {(r.p, r.q, r.r): r.n for r in mining.chains(triples).collect()} == {("p", "q", "r"): 2 * n}
+
+
+def test_chains_of_nothing(spark):
+    assert mining.chains(spark.createDataFrame([], "head string, relation string, tail string")).collect() == []
+
+
 def test_numbers_without_gaps(spark):
     rows = spark.range(500).selectExpr("id % 3 AS mode", "id")
     got = messages.numbered(rows, "n", "id", within=("mode",), seed=2).collect()
