@@ -1,5 +1,6 @@
 """Joins that split hubs: the same answers and gradients, and even tasks without adaptive execution."""
 
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from weft.learn import Learner
 from weft.operators import lower
 from weft.operators.hubs import hubs_at, met
 from weft.operators.lower import Split
+from weft.scratch import intermediates, written
 
 EDGE = "src string, dst string, w double"
 
@@ -111,3 +113,24 @@ def test_tasks_are_even_without_adaptive_execution(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_messages_are_counted_in_one_job(both, spark):
+    db = both[0].partner()
+    db.set_parameter("to", 2, db.binary("to").withColumn("w", F.when(F.col("dst") == "hub", F.lit(float("nan"))).otherwise(F.col("w"))))
+    engine = Engine(db, "p(X,Y) :- to(X,Z), back(Z,Y).")
+    counts = {r.node: r for r in engine.message_counts("p/io", ["a1", "a2"]).collect()}
+    assert counts["input"].rows == 2 and counts["input"].not_a_number == 0 and counts["input"].total == 2
+    assert counts["step(to, forward)"].not_a_number == 2
+    assert engine.check_numbers("p/io", ["a1", "a2"]) == sum(r.not_a_number for r in counts.values())
+
+
+def test_intermediates_are_deleted(spark):
+    frame = spark.range(3).toDF("x")
+    with intermediates(spark) as outer:
+        kept = written(frame, "outer")
+        with intermediates(spark) as inner:
+            assert written(frame, "inner").count() == 3
+        assert len(inner) == 1 and len(outer) == 2 and kept.count() == 3
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in outer)
+    assert written(frame, "after").count() == 3 and len(outer) == 2

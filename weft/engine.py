@@ -18,6 +18,7 @@ from weft.plans.nodes import explain, in_order
 from weft.plans.parse import parse_rule_files, parse_rules
 from weft.plans.planner import Program
 from weft.plans.terms import Mode, RuleSet
+from weft.scratch import written
 
 log = logging.getLogger(__name__)
 
@@ -176,12 +177,25 @@ class Engine:
             out.append(f"#{node.number} {node.label()}: " + "; ".join(" ".join(map(str, r)) for r in delta.select(*cols).sort(F.abs("w").desc(), "id").limit(rows).collect()))
         return "\n".join(out)
 
-    def check_numbers(self, mode: str | Mode, inputs: DataFrame | Iterable[str]) -> int:
-        """How many weights of any message are not a number; for debugging."""
-        ev = self.evaluation(inputs)
+    def message_counts(self, mode: str | Mode, inputs: DataFrame | Iterable[str]) -> DataFrame:
+        """(number, node, rows, not_a_number, least, largest, total) of each
+        message of the plan, the last three over weights that are numbers; for
+        debugging.  All are counted in one job, in which steps and sums are kept."""
+        ev = Evaluation(self.db, self.batch(inputs), self.plugin_calls, keep=True)
         root = self.program.plan(mode)
         ev.of(root)
-        return sum(df.filter(F.isnan("w")).count() for df in ev.made.values())
+        number, odd, out = F.when(~F.isnan("w"), F.col("w")), F.when(F.isnan("w"), 1), None
+        for node in in_order(root):
+            one = ev.made[id(node)].agg(F.count(F.lit(1)).alias("rows"), F.count(odd).alias("not_a_number"), F.min(number).alias("least"), F.max(number).alias("largest"), F.sum(number).alias("total"))
+            one = one.select(F.lit(node.number).cast("long").alias("number"), F.lit(node.label()).alias("node"), *one.columns)
+            out = one if out is None else out.unionByName(one)
+        out = written(out.coalesce(1), "counts")
+        ev.release()
+        return out
+
+    def check_numbers(self, mode: str | Mode, inputs: DataFrame | Iterable[str]) -> int:
+        """How many weights of any message are not a number."""
+        return self.message_counts(mode, inputs).agg(F.sum("not_a_number")).first()[0]
 
     def possible_ops(self, type_name: str | None = None) -> list[str]:
         stored = self.db.possible_ops(type_name)

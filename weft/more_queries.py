@@ -19,7 +19,7 @@ from weft.functions import messages, mining
 from weft.learn import AdaGrad, Experiment, FixedRateGD, FixedRateSGD, Gradients, OneModeGD, RecordingTracer, SigmoidLikelihood, WholeDatasetGD, l1_cost, rescaled, sigmoid, sigmoid_cross_entropy
 from weft.operators.plugins import EmbeddedEdges
 from weft.plans.parse import parse_goal, parse_rules
-from weft.queries import SOFTMAX, _inputs, _quality_pairs, _triples, database, register, with_relations
+from weft.queries import _MINED, _TRIPLES, SOFTMAX, _inputs, _quality_pairs, _triples, database, register, with_relations
 from weft.scratch import shared_folder, written
 from weft.sources import store
 from weft.sources.examples import Dataset, example_text, from_pairs, from_relation, load_examples
@@ -374,10 +374,16 @@ def composed_answers(spark, sf_dir):
     return both.groupBy("x", "y").agg(F.sum("w").alias("w"))
 
 
-@register("numbers_checked", "SELECT 0 AS not_a_number")
+@register("numbers_checked", with_relations(["placed", "contains"], """, m AS (SELECT src AS x, dst AS y, w, CAST(substr(dst, 2) AS BIGINT) % 7 = 0 AS bad FROM placed),
+n AS (SELECT m.x, c.dst AS y, sum(m.w * c.w) AS w, bool_or(bad) AS bad FROM m JOIN contains c ON c.src = m.y GROUP BY ALL), b AS (SELECT 'placed' AS step, w, bad FROM m UNION ALL SELECT 'contains', w, bad FROM n)
+SELECT 'step(' || step || ', forward)' AS node, count(*) AS rows, count_if(bad) AS not_a_number, min(w) FILTER (NOT bad) AS least, max(w) FILTER (NOT bad) AS largest, sum(w) FILTER (NOT bad) AS total FROM b GROUP BY step"""))
 def numbers_checked(spark, sf_dir):
-    engine = Engine(database(spark, sf_dir, ["placed", "contains"]), "r(C,P) :- placed(C,O), contains(O,P).")
-    return spark.createDataFrame([(engine.check_numbers("r/io", _inputs(engine.db, "placed")),)], "not_a_number int")
+    """Messages counted where a seventh of all orders have a weight that is no number."""
+    db = database(spark, sf_dir, ["placed", "contains"])
+    bad = F.expr("CAST(substr(dst, 2) AS BIGINT) % 7 = 0")
+    db.set_parameter("placed", 2, db.binary("placed").withColumn("w", F.when(bad, F.lit(float("nan"))).otherwise(F.col("w"))))
+    engine = Engine(db, "r(C,P) :- placed(C,O), contains(O,P).")
+    return engine.message_counts("r/io", _inputs(engine.db, "placed.src")).filter("node LIKE 'step%'").drop("number")
 
 
 @register("session_listing", "SELECT unnest(['rules', 'facts', 'plan', 'answers', 'help']) AS shown")
@@ -607,9 +613,16 @@ def partner_database(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
-@register("mined_rules", with_relations(["brand"], ", n AS (SELECT count(*) AS n FROM brand) SELECT unnest(['label(X,Y):-brand(X,Y) {if_label_brand}.' || chr(9) || '#score 0.000', 'brand(X,Y):-label(X,Y) {if_brand_label}.' || chr(9) || '#score 0.000']) AS value FROM n"))
+@register("mined_rules", with_relations(_MINED, _TRIPLES + """, e AS (SELECT a.r AS p, b.r AS q, count(*) AS n FROM t a JOIN t b ON a.h = b.h AND a.t = b.t AND a.r <> b.r GROUP BY ALL),
+i AS (SELECT a.r AS p, b.r AS q, count(*) AS n FROM t a JOIN t b ON a.h = b.t AND a.t = b.h GROUP BY ALL),
+j AS (SELECT a.r AS q, b.r AS r, a.h AS x, b.t AS y, count(*) AS k FROM t a JOIN t b ON a.t = b.h GROUP BY ALL),
+n AS (SELECT p.r AS p, j.q, j.r, count(*) AS n FROM j JOIN (SELECT DISTINCT h, r, t FROM t) p ON p.h = j.x AND p.t = j.y GROUP BY ALL),
+o AS (SELECT q, r, sum(k) AS o FROM j GROUP BY ALL)
+SELECT printf('%s(X,Y):-%s(X,Y) {if_%s_%s}.' || chr(9) || '#score %.3f', p, q, p, q, ln(n / c.c)) AS value FROM e JOIN c ON c.r = q
+UNION ALL SELECT printf('%s(X,Y):-%s(Y,X) {ifInv_%s_%s}.' || chr(9) || '#score %.3f', p, q, p, q, ln(n / c.c)) FROM i JOIN c ON c.r = q
+UNION ALL SELECT printf('%s(X,Y):-%s(X,Z),%s(Z,Y) {chain_%s_%s_%s}.' || chr(9) || '#score %.3f', n.p, n.q, n.r, n.p, n.q, n.r, ln(n.n / o.o)) FROM n JOIN o ON o.q = n.q AND o.r = n.r"""))
 def mined_rules(spark, sf_dir):
-    return mining.rule_text(_triples(spark, sf_dir)).filter("value LIKE '%if\\_%label%' AND value NOT LIKE '%region%'")
+    return mining.rule_text(_triples(spark, sf_dir))
 
 
 @register("eval_softmax", with_relations(["in_region"], ", s AS (SELECT src AS x, dst AS y, w FROM in_region WHERE src IN ('n1', 'n2')), q AS (SELECT DISTINCT x FROM s)" + SOFTMAX))

@@ -323,10 +323,13 @@ def fact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return database(spark, sf_dir, ["supplied"]).fact_text("supplied", 2)
 
 
-@register("possible_ops", "SELECT unnest(['brand/io', 'brand/oi', 'supplied/io', 'supplied/oi']) AS op")
+@register("possible_ops", with_relations(["supplied", "brand"], """ SELECT 'brand/io' AS op, count(DISTINCT src) AS inputs FROM brand UNION ALL SELECT 'brand/oi', count(DISTINCT dst) FROM brand
+UNION ALL SELECT 'supplied/io', count(DISTINCT src) FROM supplied UNION ALL SELECT 'supplied/oi', count(DISTINCT dst) FROM supplied"""))
 def possible_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes that stored relations answer, with the symbols that each has an answer for."""
     db = database(spark, sf_dir, ["supplied", "brand"])
-    return spark.createDataFrame([(o,) for o in db.possible_ops()], "op string")
+    ops = [(op, *op.split("/")) for op in db.possible_ops()]
+    return reduce(DataFrame.union, (db.binary(f).agg(F.countDistinct("src" if pattern == "io" else "dst").alias("inputs")).select(F.lit(op).alias("op"), "inputs") for op, f, pattern in ops))
 
 
 #: Relations that triples are made of, some of them inverses or compositions of others.

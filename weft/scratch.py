@@ -8,16 +8,21 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, on the file system that it names or else the
-    session's own; a local folder only where it is unset."""
+    session's own.  Where it is unset, a local folder serves a local session;
+    on a cluster, whose machines wouldn't share it, that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = made.get() if made.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), f"weft-{getpass.getuser()}")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" in root:
@@ -32,10 +37,36 @@ def paths_of(spec: str) -> list[str]:
     return re.split(r":(?!//)(?!\d+/)(?<!\bfile:)(?<!\bdbfs:)", spec)
 
 
+#: Paths of tables written within each of the open blocks of :func:`intermediates`.
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that the engine writes within the block are deleted at its end;
+    what is to outlive it must be stored elsewhere by then::
+
+        with intermediates(spark):
+            engine.inference("offers/io", branches).write.parquet(path)
+    """
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield paths
+    finally:
+        _owners[:] = [o for o in _owners if o is not paths]
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written to a folder of its own, in parts by some columns if
     wanted, and read back."""
     path = posixpath.join(shared_folder(df.sparkSession), f"weft-{name}-{uuid.uuid4().hex[:12]}")
+    for owner in _owners:
+        owner.append(path)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
