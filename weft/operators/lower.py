@@ -25,6 +25,8 @@ from weft.scratch import written
 
 #: Steps of a recursive plan that stay lazy.
 CUT = 5
+#: A table holds only the inputs that are asked for where all are so many times as many.
+DEMAND_GAIN = 2.0
 NULL = "__NULL__"
 #: Score of the entity that stands for no answer.
 NULL_SCORE = -10.0
@@ -189,6 +191,8 @@ class Evaluation:
         self.queries = batch.select("qid").distinct()
         self.made: dict[int, DataFrame] = {}
         self.tables: dict[tuple[Mode, int], tuple[DataFrame, Rows]] = {}
+        #: of tables that don't hold all inputs, the inputs that they hold
+        self.asked: dict[tuple[Mode, int], DataFrame] = {}
         self.choices: list[str] = []
         self._sizes: dict[tuple[str, int], Size] = {}
         self._batch_hubs: Rows | None = {} if own_ids else None
@@ -322,9 +326,10 @@ class Evaluation:
         return built(tree)
 
     def _called(self, node: Node, message: DataFrame) -> DataFrame:
-        """A call: by doubling, where it is a deep linear recursion; from a table
-        of all its inputs, where the message has many more rows than there are
-        inputs; or else by its rules."""
+        """A call: by doubling, where it is a deep linear recursion; from a table,
+        where the message has many more rows than different symbols; or else
+        by its rules.  The table is of all inputs, or of the symbols asked for
+        where those are fewer; what other calls ask is added to it."""
         mode, depth = node.detail
         linear = self.program.linear(mode) if node.per_query else None
         terms = self.program.max_depth - depth + 1
@@ -340,13 +345,18 @@ class Evaluation:
         if domain:
             self._known({(f, n) for f, n, _ in domain})
             inputs = sum(self._sizes[(f, n)].far if c == "dst" else self._sizes[(f, n)].near for f, n, c in domain)
-            rows = self.size(node.inputs[0]).rows
-            if rows > TABLE_GAIN * inputs:
-                if (mode, depth) not in self.tables:
-                    self.choices.append(f"{mode} from a table: about {inputs:.3g} inputs for {rows:.3g} rows")
-                    table = self._table(mode, depth, domain)
-                    self.tables[(mode, depth)] = table, hubs_at(table, ["src"], self.relations.hub_rows)["src"]
-                table, heads = self.tables[(mode, depth)]
+            size, key = self.size(node.inputs[0]), (mode, depth)
+            asked = min(size.far, inputs)
+            if size.rows > TABLE_GAIN * asked:
+                if DEMAND_GAIN * asked < inputs and (key not in self.tables or key in self.asked):
+                    self.choices.append(f"{mode} from a table of what is asked: about {asked:.3g} of {inputs:.3g} inputs for {size.rows:.3g} rows")
+                    message = written(message, "message")
+                    self._extend(mode, depth, message.select("id").distinct())
+                elif key not in self.tables or key in self.asked:
+                    self.choices.append(f"{mode} from a table: about {inputs:.3g} inputs for {size.rows:.3g} rows")
+                    self.asked.pop(key, None)
+                    self._keep(key, self._table(mode, depth, self.inputs(domain)))
+                table, heads = self.tables[key]
                 return step(message, table, True, Split(self.heavy(node.inputs[0]), heads, self.relations.hub_rows))
         return self.of(self.program.expanded(mode, depth, node.inputs[0]))
 
@@ -360,7 +370,7 @@ class Evaluation:
         mode = Mode("_step", "io")
         ev = Evaluation(self.relations, self.batch, self.plugins, program=linear.parts)
         domain = linear.parts.domain(mode)
-        table = ev._table(mode, 0, domain)
+        table = ev._table(mode, 0, ev.inputs(domain))
         got = table.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("src").alias("near"), F.approx_count_distinct("dst").alias("far")).first()
         return table, Size(float(got.n), float(got.near), float(got.far))
 
@@ -374,14 +384,30 @@ class Evaluation:
         split = Split(hubs["dst"], hubs["src"], self.relations.hub_rows)
         return base(doubled(start, by, terms, split)) if linear.front else doubled(written(base(start), "levels"), by, terms, split)
 
-    def _table(self, mode: Mode, depth: int, domain: set[tuple[str, int, str]]) -> DataFrame:
-        """A called predicate as a relation: every input is a query."""
+    def inputs(self, domain: set[tuple[str, int, str]]) -> DataFrame:
+        """(id): every symbol at the ends of relations named."""
         ends = [(self.relations.unary(f) if n == 1 else self.relations.binary(f)).select(F.col(c).alias("id")) for f, n, c in sorted(domain)]
         ids = ends[0]
         for e in ends[1:]:
             ids = ids.union(e)
-        ev = Evaluation(self.relations, ids.distinct().select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("w")), self.plugins, program=self.program, own_ids=True)
-        ev.tables, ev.choices = self.tables, self.choices
+        return ids.distinct()
+
+    def _keep(self, key: tuple[Mode, int], table: DataFrame) -> None:
+        self.tables[key] = table, hubs_at(table, ["src"], self.relations.hub_rows)["src"]
+
+    def _extend(self, mode: Mode, depth: int, ids: DataFrame) -> None:
+        """Adds inputs to a table that holds what was asked so far."""
+        key = (mode, depth)
+        before = self.asked.get(key)
+        ids = written(ids if before is None else ids.join(before, "id", "left_anti"), "asked")
+        part = self._table(mode, depth, ids)
+        self.asked[key] = ids if before is None else before.union(ids)
+        self._keep(key, part if before is None else self.tables[key][0].union(part))
+
+    def _table(self, mode: Mode, depth: int, ids: DataFrame) -> DataFrame:
+        """A called predicate as a relation: every one of ``ids`` (id) is a query."""
+        ev = Evaluation(self.relations, ids.select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("w")), self.plugins, program=self.program, own_ids=True)
+        ev.tables, ev.asked, ev.choices = self.tables, self.asked, self.choices
         ev._sizes = {k: s for k, s in self._sizes.items() if k[1]}
         answers = ev.scores(self.program.expanded(mode, depth))
         return written(answers.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "w"), "table")

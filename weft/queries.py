@@ -34,6 +34,7 @@ RELATIONS: dict[str, tuple[str, str, str | None, str]] = {
     "quality": ("labels", "concat('d', doc_id)", "concat('q', quality)", "true"),
     "urgent": ("orders", "concat('o', o_orderkey)", None, "o_orderpriority = '1-URGENT'"),
     "building": ("customer", "concat('c', c_custkey)", None, "c_mktsegment = 'BUILDING'"),
+    "eastern": ("supplier", "concat('s', s_suppkey)", None, "s_nationkey IN (8, 18)"),
     "big": ("part", "concat('p', p_partkey)", None, "p_size > 25"),
 }
 _WORDS = "SELECT concat('d', doc_id) AS src, word AS dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY ALL"
@@ -142,6 +143,8 @@ rule_query("rule_weights", "brand ptype", "r(P,Y) :- brand(P,Y) {b1}. r(P,Y) :-
 rule_query("feature_weights", "quality has_word", "r(D,L) :- quality(D,L) {wt(F) : has_word(D,F)}.", "r/io", "quality", ", wt AS (SELECT dst AS f, least(1.0, sum(w)) AS w FROM has_word GROUP BY dst) SELECT q.src AS x, q.dst AS y, q.w * sum(h.w * t.w) AS w FROM quality q JOIN has_word h ON q.src = h.src JOIN wt t ON h.dst = t.f GROUP BY q.src, q.dst, q.w")
 rule_query("community_vote", "co brand contains", "near(A,B) :- co(A,B). near(A,B) :- co(A,Z), near(Z,B). r(O,B) :- contains(O,P), brand(P,A), near(A,B).", "r/io", "contains", ", n AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM co UNION ALL SELECT a.src, b.dst, a.w * b.w FROM co a JOIN co b ON a.dst = b.src) GROUP BY ALL), ob AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM contains a JOIN brand b ON a.dst = b.src GROUP BY ALL) SELECT ob.src AS x, n.dst AS y, sum(ob.w * n.w) AS w FROM ob JOIN n ON ob.dst = n.src GROUP BY ALL", depth=2)
 
+rule_query("demanded_table", "supplied eastern brand", "makes(S,B) :- supplied(P,S), brand(P,B). r(P,B) :- supplied(P,S), eastern(S), makes(S,B).", "r/io", "supplied", ", m AS (SELECT a.dst AS src, b.dst, sum(a.w * b.w) AS w FROM supplied a JOIN brand b ON a.src = b.src GROUP BY ALL) SELECT a.src AS x, m.dst AS y, sum(a.w * e.w * m.w) AS w FROM supplied a JOIN eastern e ON a.dst = e.id JOIN m ON m.src = a.dst GROUP BY ALL")
+
 
 #: ``co`` with weights that sum to nine tenths for each brand, so that sums over any depth stay finite.
 _LIKELY = ", likely AS (SELECT src, dst, w * 0.9 / sum(w) OVER (PARTITION BY src) AS w FROM co)"
