@@ -18,6 +18,7 @@ from weft.plans.nodes import explain, in_order
 from weft.plans.parse import parse_rule_files, parse_rules
 from weft.plans.planner import Program
 from weft.plans.terms import Mode, RuleSet
+from weft.prepared import Prepared
 from weft.scratch import written
 
 log = logging.getLogger(__name__)
@@ -126,6 +127,10 @@ class Engine:
         """(x, y, w), normalised as set."""
         return self._answers(mode, inputs, self.inference_batch)
 
+    def prepare(self, *modes: str | Mode, **options) -> Prepared:
+        """Answers of all inputs of some modes, stored for batches to look up."""
+        return Prepared(self, modes, **options)
+
     def eval(self, mode: str | Mode, symbols: str | list[str], strict: bool = True) -> dict[int, dict[str, float]]:
         """Answers of a few symbols as dictionaries."""
         return row_symbols(self.inference_batch(mode, self.db.onehot(symbols, strict=strict), own_ids=True))
