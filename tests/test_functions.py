@@ -72,6 +72,25 @@ def test_numbers_without_gaps(spark):
         assert [n for n, _ in own] == list(range(len(own))) and [i for _, i in own] != sorted(i for _, i in own)
 
 
+def test_steps_in_cells(spark):
+    """Exact where cells are wide, and never less where they are narrow and hashes fall together."""
+    facts = [(f"a{i}", f"b{(i * k) % 11}", 1.0 + k) for i in range(12) for k in range(1, 4)]
+    rel = spark.createDataFrame(facts, "src string, dst string, w double")
+    m = spark.createDataFrame([(q, f"a{i}", 1.0 + i) for q in range(3) for i in range(q, 12, 3)], "qid int, id string, w double")
+    names = spark.createDataFrame([(f"b{i}",) for i in range(12)], "id string")
+    want: dict = {}
+    for q in range(3):
+        for a, b, w in facts:
+            if int(a[1:]) % 3 == q:
+                want[(q, b)] = want.get((q, b), 0.0) + (1.0 + int(a[1:])) * w
+    for columns in (1 << 30, 40, 4):
+        moved = vectors.step_cells(vectors.embed(m, columns), rel, columns)
+        got = {(r.qid, r.id): r.w for r in vectors.unembed(moved, names, columns).collect()}
+        assert all(got[k] >= w - 1e-9 for k, w in want.items())
+        if columns == 1 << 30:
+            assert got == pytest.approx(want)
+
+
 def test_embeddings_never_lose(spark):
     m = spark.createDataFrame([(0, f"s{i}", float(i + 1)) for i in range(5)], "qid long, id string, w double")
     symbols = spark.createDataFrame([(f"s{i}",) for i in range(40)], "id string")

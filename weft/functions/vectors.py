@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def cells(symbol: str, columns: int, hashes: int, seed: int = 0):
     """The distinct cells that a symbol sets: ``hashes`` hashed columns."""
-    return F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(symbol)), F.lit(columns)).cast("int") for k in range(hashes)]))
+    return F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(symbol)), F.lit(columns)).cast("int" if columns <= 1 << 31 else "long") for k in range(hashes)]))
 
 
 def embed(message: DataFrame, columns: int = 64, hashes: int = 3, seed: int = 0) -> DataFrame:
@@ -24,6 +24,22 @@ def embed_relation(relation: DataFrame, columns: int = 64, hashes: int = 3, seed
     return halfway.select("src_cell", F.explode(cells("dst", columns, hashes, seed)).alias("dst_cell"), "w").groupBy("src_cell", "dst_cell").agg(F.sum("w").alias("w"))
 
 
+def step_cells(embedded: DataFrame, relation: DataFrame, columns: int = 64, hashes: int = 3, seed: int = 0) -> DataFrame:
+    """(qid, cell, w): a step taken in cells, of :func:`embed` along
+    :func:`embed_relation` of ``relation``.
+
+    A symbol's weight is in each of its cells, so a fact is met once for every
+    cell of its near end: each fact is shared among them, by their number.
+    What other symbols have in a shared cell adds to it, so with weights that
+    aren't negative each cell is an upper bound of the step's own.
+    """
+    by = [c for c in ("qid",) if c in embedded.columns]
+    n = F.size(cells("src", columns, hashes, seed))
+    facts = embed_relation(relation.select("src", "dst", (F.col("w") / n).alias("w")), columns, hashes, seed)
+    both = embedded.join(facts.select(F.col("src_cell").alias("cell"), "dst_cell", F.col("w").alias("rw")), "cell")
+    return both.groupBy(*by, F.col("dst_cell").alias("cell")).agg(F.sum(F.col("w") * F.col("rw")).alias("w"))
+
+
 def unembed(embedded: DataFrame, symbols: DataFrame, columns: int = 64, hashes: int = 3, seed: int = 0) -> DataFrame:
     """(qid, id, w): for each symbol the least of its cells, an upper bound of
     its weight; symbols with an empty cell are certainly absent."""

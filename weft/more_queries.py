@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weft.builder import Builder
 from weft.catalog import Database, row_symbols
 from weft.engine import Engine, Session, Settings
-from weft.functions import messages, mining
+from weft.functions import messages, mining, vectors
 from weft.learn import AdaGrad, Experiment, FixedRateGD, FixedRateSGD, Gradients, OneModeGD, RecordingTracer, SigmoidLikelihood, WholeDatasetGD, l1_cost, rescaled, sigmoid, sigmoid_cross_entropy
 from weft.operators.plugins import EmbeddedEdges
 from weft.plans.parse import parse_goal, parse_rules
@@ -640,3 +640,50 @@ def hub_steps(spark, sf_dir):
     db.hub_rows = 100
     engine = Engine(db, "r(C,S) :- c_nation(C,N), in_region(N,R), in_region(M,R), s_nation(S,M).", Settings(normalise="none"))
     return engine.proof_count("r/io", _inputs(db, "c_nation.src"))
+
+
+def _prepared(spark: SparkSession, sf_dir: str, names: list[str], rules: str, modes: list[str], inputs: list[str], how: str) -> DataFrame:
+    """Answers looked up in a prepared question, of all symbols of some ends."""
+    db = database(spark, sf_dir, names)
+    ready = Engine(db, rules, Settings(normalise=how)).prepare(*modes)
+    asked = _inputs(db, inputs[0])
+    for end in inputs[1:]:
+        asked = asked.union(_inputs(db, end))
+    return ready.ask(asked)
+
+
+@register("prepared_answers", with_relations(["supplied", "brand"], """, m AS (SELECT a.dst AS s, b.dst AS b, sum(a.w * b.w) AS w FROM supplied a JOIN brand b ON a.src = b.src GROUP BY ALL)
+SELECT 'makes/io' AS mode, s AS x, b AS y, w FROM m UNION ALL SELECT 'makes/oi', b, s, w FROM m"""))
+def prepared_answers(spark, sf_dir):
+    """Suppliers' brands and brands' suppliers, prepared together and asked in one batch."""
+    return _prepared(spark, sf_dir, ["supplied", "brand"], "makes(S,B) :- supplied(P,S), brand(P,B).", ["makes/io", "makes/oi"], ["supplied.dst", "brand.dst"], "none")
+
+
+@register("prepared_softmax", with_relations(["supplied", "eastern", "brand"], ", s AS (SELECT a.src AS x, a.dst AS y, a.w * e.w AS w FROM supplied a JOIN eastern e ON a.dst = e.id), q AS (SELECT src AS x FROM supplied UNION SELECT dst FROM brand)" + SOFTMAX.replace("SELECT x, y, round", "SELECT 'r/io' AS mode, x, y, round")))
+def prepared_softmax(spark, sf_dir):
+    """Parts' eastern suppliers; parts without any, and brands, which are no inputs of it, have the null entity alone."""
+    out = _prepared(spark, sf_dir, ["supplied", "eastern", "brand"], "r(P,S) :- supplied(P,S), eastern(S).", ["r/io"], ["supplied", "brand.dst"], "softmax")
+    return out.select("mode", "x", "y", F.round("w", 6).alias("w"))
+
+
+#: Columns of sketches that are wide enough for a symbol's cells to be its own, at any size of the tables.
+_WIDE = 1 << 62
+
+
+@register("cells_product", with_relations(["placed", "priority"], "SELECT a.src AS x, b.dst AS y, sum(a.w * b.w) AS w FROM placed a JOIN priority b ON a.dst = b.src GROUP BY ALL"))
+def cells_product(spark, sf_dir):
+    """Customers' priorities by a step taken in hashed cells and read back."""
+    db = database(spark, sf_dir, ["placed", "priority"])
+    message = db.binary("placed").select(F.col("src").alias("qid"), F.col("dst").alias("id"), "w")
+    moved = vectors.step_cells(vectors.embed(message, _WIDE), db.binary("priority"), _WIDE)
+    back = vectors.unembed(moved, db.binary("priority").select(F.col("dst").alias("id")).distinct(), _WIDE)
+    return back.select(F.col("qid").alias("x"), F.col("id").alias("y"), F.round("w", 6).alias("w"))
+
+
+@register("cells_contain", with_relations(["contains"], "SELECT dst AS x, count(*) AS orders FROM contains WHERE w >= 1 GROUP BY ALL"))
+def cells_contain(spark, sf_dir):
+    """In how many orders' sketches each part is found."""
+    rel = database(spark, sf_dir, ["contains"]).binary("contains")
+    message = rel.select(F.col("src").alias("qid"), F.col("dst").alias("id"), "w")
+    found = vectors.contains(vectors.embed(message, _WIDE), rel.select(F.col("dst").alias("id")).distinct(), columns=_WIDE)
+    return found.groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("orders"))
