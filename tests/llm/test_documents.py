@@ -38,6 +38,17 @@ def test_exact_dedup(docs, messy, bits):
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter(by_sha.keys())
 
 
+def test_one_id_in_many_groups(spark):
+    """Each row's own text is compared: an id with many repeated texts marks no
+    fingerprint as differing, and no text meets another's candidates."""
+    rows = [(i % 2, f"Text {i // 4}") for i in range(400)] + [(7, "alone"), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    prints = exact_dedup.fingerprints(docs)
+    assert exact_dedup.differing(docs, prints).count() == 0
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == 402 and Counter(r.group_size for r in got) == {4: 400, 1: 2} and sum(r.kept for r in got) == 102
+
+
 def test_fingerprints_combine():
     data = np.random.default_rng(1).integers(0, 256, 10_000, dtype=np.uint8)
     for prime, base in exact_dedup.MODULI:

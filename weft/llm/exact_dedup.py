@@ -86,7 +86,10 @@ class _Hasher:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 65536, moduli_bits: int | None = None) -> DataFrame:
-    """(doc_id, fp1, fp2, n_bytes, text_sha256) of each row; null text as empty.
+    """(doc_id, text_key, fp1, fp2, n_bytes, text_sha256) of each row; null text as empty.
+
+    ``text_key`` is a hash of the text as it stands, by which a row's text is
+    found again where ids repeat.
 
     ``moduli_bits`` keeps only that many low bits of each fingerprint; tests
     use it to force collisions.
@@ -95,17 +98,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         hasher = _Hasher(chunk_bytes)
         for part in slices(batches, "text"):
-            raw, offsets = text_bytes(part.column(1))
+            raw, offsets = text_bytes(part.column(2))
             raw = lowered(raw)
             prints = hasher(raw, offsets)
             if moduli_bits is not None:
                 prints = [f & ((1 << moduli_bits) - 1) for f in prints]
             view = memoryview(raw)
             sha = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(offsets)), pa.array(sha, pa.string())], ["doc_id", "fp1", "fp2", "n_bytes", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(offsets)), pa.array(sha, pa.string())], ["doc_id", "text_key", "fp1", "fp2", "n_bytes", "text_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(arrow_map, run, f"doc_id {kind}, fp1 long, fp2 long, n_bytes long, text_sha256 string")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).transform(arrow_map, run, f"doc_id {kind}, text_key long, fp1 long, fp2 long, n_bytes long, text_sha256 string")
 
 
 def differing(docs: DataFrame, prints: DataFrame, hot: DataFrame | None = None, chunk_bytes: int = 65536) -> DataFrame:
@@ -118,16 +122,16 @@ def differing(docs: DataFrame, prints: DataFrame, hot: DataFrame | None = None,
     the fingerprints that very many rows share.
     """
     key = ["fp1", "fp2", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("rep"), F.count("doc_id").alias("known")).filter("n > 1 and n_bytes > 0")
+    groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "text_key")).alias("rep"), F.count("doc_id").alias("known")).filter("n > 1 and n_bytes > 0")
     unknown = groups.filter("known < n").select(*key)
     groups = groups.filter("known = n").withColumn("salts", salts(F.col("n")))
-    member = keyed_join(prints, groups, key, hot).select(*key, "doc_id", F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("salt"), F.lit(1).alias("role"))
-    rep = groups.select(*key, F.col("rep").alias("doc_id"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
-    wanted = member.dropDuplicates([*key, "doc_id"]).unionByName(rep)
-    text = docs.select("doc_id", F.translate(F.col("text").cast("string"), UPPER, LOWER).cast("binary").alias("text"))
+    member = keyed_join(prints, groups, key, hot).select(*key, "doc_id", "text_key", F.array(F.pmod(F.xxhash64("doc_id", "text_key"), F.col("salts")).cast("int")).alias("salt"), F.lit(1).alias("role"))
+    rep = groups.select(*key, F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
+    wanted = member.dropDuplicates([*key, "doc_id", "text_key"]).unionByName(rep)
+    text = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.translate(F.col("text").cast("string"), UPPER, LOWER).cast("binary").alias("text"))
     n_chunks = F.ceil(F.octet_length("text") / chunk_bytes).cast("int")
     chunks = (
-        text.join(wanted, "doc_id")
+        text.join(wanted, ["doc_id", "text_key"])
         .filter(F.octet_length("text") > 0)
         .withColumn("salt", F.explode("salt"))
         .select(*key, "salt", "role", "text", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
