@@ -159,6 +159,22 @@ def test_adjoints_of_functions(spark):
     assert e and results[1] == pytest.approx({k: want[k] for k in results[1]}, abs=1e-5) and results[0] != pytest.approx(results[1])
 
 
+def test_deltas_keep_to_the_messages_rows(spark):
+    """Many symbols share a far end; a query's delta has none of those that it doesn't reach."""
+    db = Database(spark)
+    rows = [(f"x{q}", f"m{q}", 1.0) for q in range(20)]
+    db.add("first", spark.createDataFrame(rows, "src string, dst string, w double"))
+    db.add("last", spark.createDataFrame([(f"m{q}", "all", 1.0 + q) for q in range(20)], "src string, dst string, w double"))
+    db.mark_parameter("first", 2)
+    engine, seen = Engine(db, "r(X,Y) :- first(X,Z), last(Z,Y).", initial_weights=False), []
+    x = spark.createDataFrame([(q, f"x{q}", 1.0) for q in range(20)], "qid long, id string, w double")
+    found = Learner(engine).gradient("r/io", x, x.select("qid", F.lit("all").alias("id"), "w"), seen).by_parameter[("first", 2)]
+    (delta,) = [d for node, d in seen if node.label() == "step(first, forward)"]
+    assert {(r.qid, r.id) for r in delta.collect()} == {(q, f"m{q}") for q in range(20)}
+    p = [1 / (1 + math.exp(-10 - (1 + q))) for q in range(20)]
+    assert {(r.src, r.dst): r.w for r in found.collect()} == pytest.approx({(f"x{q}", f"m{q}"): (1 - p[q]) * (1 + q) for q in range(20)}, abs=1e-12)
+
+
 def test_sigmoid_likelihood(spark):
     """Labels of any number, one of them without a score; slope and bias are trained too."""
     db, plugin = make(spark)

@@ -504,6 +504,7 @@ SELECT vec.id, vec.k, round(v + {rate} * greatest(-100, least(100, g / (SELECT n
 def _spots(spark: SparkSession, sf_dir: str) -> tuple[Engine, Dataset]:
     """Parts to nations over suppliers whose distance from a part their vectors tell."""
     db = database(spark, sf_dir, ["supplied", "s_nation"])
+    db.set_parameter("supplied", 2, written(db.binary("supplied"), "supplied"))  # used many times below
     part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
     vectors = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice").cast("double") / 2000).alias("v"))
     db.add_vectors("spot", vectors.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.array(F.col("s_acctbal").cast("double") / 10000, F.col("s_nationkey") / 25.0).alias("v"))))

@@ -2,7 +2,8 @@
 
 The plan is walked backwards once.  Deltas of a node that feeds several others
 are added up, and every adjoint is exact.  A parameter's gradient keeps to the
-facts there are; ``densify`` gives every pair that the outer product reaches.
+facts there are, and so a delta to the rows of its node's message; ``densify``
+gives every pair that the outer product reaches.
 """
 
 from __future__ import annotations
@@ -43,6 +44,22 @@ def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bo
     return both.groupBy("src", "dst").agg(F.sum(F.col("mw") * F.col("dw")).alias("w"))
 
 
+def stepped_back(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bool, split: Split = NONE) -> DataFrame:
+    """The delta of a step's message, where that has rows.
+
+    The message goes along the relation, as in the step itself, and each fact
+    that it meets takes the delta at its far end.  So no more rows are made than
+    the step makes; the delta alone, stepped back, would reach every symbol
+    with a fact at that end, for each query.
+    """
+    near, far = ("src", "dst") if forward else ("dst", "src")
+    on = [c for c in ("qid",) if c in message.columns and c in delta.columns]
+    rel = relation.select(F.col(near).alias("id"), F.col(far).alias("to"), F.col("w").alias("rw"))
+    d = delta.select(*on, F.col("id").alias("to"), F.col("w").alias("dw"))
+    both = met(message.select(*on, "id"), rel, "id", split.left, split.right, split.rows).join(d, [*on, "to"])
+    return both.groupBy(*on, "id").agg(F.sum(F.col("dw") * F.col("rw")).alias("w"))
+
+
 def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tuple[str, int]], densify: bool = False, seen: list[tuple[Node, DataFrame]] | None = None) -> dict[tuple[str, int], DataFrame]:
     """For each parameter that the plan uses, the sum of its gradients over all queries.
 
@@ -70,9 +87,11 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
                 functor, forward = node.detail[0], node.detail[1] == "forward"
                 if (functor, 2) in parameters:
                     found.setdefault((functor, 2), []).append(outer(ev.of(node.inputs[0]), d, r.binary(functor), forward, densify, ev.split(node.inputs[0], *node.detail)))
-                if id(node.inputs[0]) in useful:
+                if id(node.inputs[0]) in useful and densify:  # facts that aren't there have gradients too
                     back = "backward" if forward else "forward"
                     send(node.inputs[0], step(d, r.binary(functor), not forward, ev.split(None, functor, back)))
+                elif id(node.inputs[0]) in useful:
+                    send(node.inputs[0], stepped_back(ev.of(node.inputs[0]), d, r.binary(functor), forward, ev.split(node.inputs[0], *node.detail)))
             case "product":
                 a, b = node.inputs
                 send(a, product(d, ev.of(b)))

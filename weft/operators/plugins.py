@@ -26,7 +26,8 @@ class NoAdjoint(ValueError):
 
 
 class Differentiable(Protocol):
-    """A plugin with an adjoint; ``pattern`` is ``io`` or ``oi``, or ``i`` of a unary one."""
+    """A plugin with an adjoint; ``pattern`` is ``io`` or ``oi``, or ``i`` of a
+    unary one.  A delta may lack rows that the value doesn't have."""
 
     parameters: set[Key]
 
