@@ -6,6 +6,7 @@ import random
 import pytest
 from library import FACTS, Prover
 
+from weft.catalog import Database
 from weft.engine import Engine, Settings
 from weft.learn import AdaGrad, EveryEpochs, Experiment, FixedRateGD, FixedRateSGD, L2Regulariser, Learner, RecordingTracer, TestTracer, WholeDatasetGD, accuracy, cheap_tracer, cross_entropy, sigmoid, softplus, softplus_inverse, updated, updated_free
 from weft.sources.examples import from_pairs
@@ -136,3 +137,16 @@ def test_learners(text_task, make):
     assert learner.dataset_accuracy(data) == 1.0 and learner.dataset_cross_entropy(data) < before
     if isinstance(learner, FixedRateGD):
         assert [r["epoch"] for r in learner.tracer.records] == [0]
+
+
+def test_labels_predicted_at_zero_cost_the_most(spark):
+    """Scores 2,000 apart: the softmax of the lesser is too small for a double."""
+    db = Database(spark)
+    db.add("has", spark.createDataFrame([("a", "x", 2000.0), ("a", "y", 1.0), ("b", "x", 2000.0), ("b", "y", 1.0)], "src string, dst string, w double"))
+    engine = Engine(db, "r(A,B) :- has(A,B).")
+    x = spark.createDataFrame([(0, "a", 1.0), (1, "b", 1.0)], "qid long, id string, w double")
+    y = spark.createDataFrame([(0, "x", 1.0), (1, "y", 1.0)], "qid long, id string, w double")
+    assert engine.loss("r/io", x, y).first().cross_entropy == math.inf
+    assert {(r.qid, r.id) for r in engine.inference_batch("r/io", x).collect()} == {(0, "x"), (1, "x")}  # answers have no such rows
+    right = spark.createDataFrame([(0, "x", 1.0), (1, "x", 1.0)], "qid long, id string, w double")
+    assert engine.loss("r/io", x, right).first().cross_entropy == pytest.approx(0.0)

@@ -105,10 +105,11 @@ class Engine:
         ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program, own_ids=own_ids)
         return ev.scores(self.program.plan(mode, calls=True))
 
-    def inference_batch(self, mode: str | Mode, batch: DataFrame, own_ids: bool = False) -> DataFrame:
-        """(qid, id, w), normalised as set."""
+    def inference_batch(self, mode: str | Mode, batch: DataFrame, own_ids: bool = False, underflown: bool = False) -> DataFrame:
+        """(qid, id, w), normalised as set; with ``underflown`` also the answers
+        whose weight is too small for a double, at zero."""
         ev = Evaluation(self.db, batch, self.plugin_calls, program=self.program, own_ids=own_ids)
-        return normalised(ev.scores(self.program.plan(mode, calls=True)), ev.queries, self.normalise)
+        return normalised(ev.scores(self.program.plan(mode, calls=True)), ev.queries, self.normalise, underflown)
 
     def _answers(self, mode, inputs, ask) -> DataFrame:
         if isinstance(inputs, DataFrame) and "qid" not in inputs.columns:
@@ -139,7 +140,7 @@ class Engine:
         """(cross_entropy, n) of a batch."""
         from weft.learn import cross_entropy
 
-        return cross_entropy(y, self.inference_batch(mode, x), x.select("qid").distinct())
+        return cross_entropy(y, self.inference_batch(mode, x, underflown=True), x.select("qid").distinct())
 
     def loss_gradient(self, mode: str | Mode, x: DataFrame, y: DataFrame, densify: bool = False) -> dict[tuple[str, int], DataFrame]:
         """Gradients of the log-likelihood by parameter, summed over the batch."""

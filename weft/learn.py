@@ -42,9 +42,10 @@ def accuracy(y: DataFrame, p: DataFrame, queries: DataFrame | None = None) -> Da
 
 def cross_entropy(y: DataFrame, p: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(cross_entropy, n): mean over queries of -sum y log p, over the answers
-    that were predicted at all."""
+    that were predicted at all; infinite where a label is predicted at zero."""
     queries = queries if queries is not None else y.select("qid").distinct()
-    cost = y.join(p.withColumnRenamed("w", "p"), ["qid", "id"]).groupBy("qid").agg(F.sum(-F.col("w") * F.log("p")).alias("cost"))
+    each = F.when(F.col("p") > 0, -F.col("w") * F.log("p")).when(F.col("w") > 0, float("inf")).otherwise(0.0)
+    cost = y.join(p.withColumnRenamed("w", "p"), ["qid", "id"]).groupBy("qid").agg(F.sum(each).alias("cost"))
     return queries.join(cost, "qid", "left").agg(F.avg(F.coalesce("cost", F.lit(0.0))).alias("cross_entropy"), F.count(F.lit(1)).alias("n"))
 
 
@@ -163,8 +164,8 @@ class SoftmaxLikelihood:
         delta = y.select("qid", "id", "w").unionByName(p.select("qid", "id", (-F.col("w")).alias("w"))).groupBy("qid", "id").agg(F.sum("w").alias("w")).filter("w <> 0")
         return delta, {}, queries.count()
 
-    def predicted(self, engine, mode: str | Mode, x: DataFrame) -> DataFrame:
-        return engine.inference_batch(mode, x)
+    def predicted(self, engine, mode: str | Mode, x: DataFrame, underflown: bool = False) -> DataFrame:
+        return engine.inference_batch(mode, x, underflown=underflown)
 
 
 @dataclass
@@ -210,7 +211,7 @@ class SigmoidLikelihood:
         t = slope * F.col("s") + bias
         return self._pairs(scores, y).agg(F.avg(F.greatest(t, F.lit(0.0)) - t * F.col("label") + F.log1p(F.exp(-F.abs(t)))).alias("loss"))
 
-    def predicted(self, engine, mode: str | Mode, x: DataFrame) -> DataFrame:
+    def predicted(self, engine, mode: str | Mode, x: DataFrame, underflown: bool = False) -> DataFrame:
         return sigmoid(engine.proof_count_batch(mode, x), *self.scalars())
 
 
@@ -251,7 +252,7 @@ class TestTracer(RecordingTracer):
     data: Dataset | None = None
 
     def __call__(self, record: dict) -> None:
-        p = written(self.learner.dataset_predict(self.data), "prediction")
+        p = written(self.learner.dataset_predict(self.data, underflown=True), "prediction")
         super().__call__(record | {"test_accuracy": self.learner.dataset_accuracy(self.data, p), "test_cross_entropy": self.learner.dataset_cross_entropy(self.data, p)})
 
 
@@ -287,14 +288,15 @@ class Learner:
     #: what is maximised
     loss: SoftmaxLikelihood | SigmoidLikelihood = field(default_factory=SoftmaxLikelihood)
 
-    def predict(self, mode: str | Mode, x: DataFrame) -> DataFrame:
-        return self.loss.predicted(self.engine, mode, x)
+    def predict(self, mode: str | Mode, x: DataFrame, underflown: bool = False) -> DataFrame:
+        return self.loss.predicted(self.engine, mode, x, underflown)
 
-    def dataset_predict(self, data: Dataset) -> DataFrame:
-        """(mode, qid, id, w) for all modes of a dataset."""
+    def dataset_predict(self, data: Dataset, underflown: bool = False) -> DataFrame:
+        """(mode, qid, id, w) for all modes of a dataset.  A cross-entropy needs
+        the ``underflown`` answers too: a label among them costs the most."""
         out = None
         for m in data.modes():
-            p = self.predict(m, data.queries(m)).select(F.lit(m).alias("mode"), "qid", "id", "w")
+            p = self.predict(m, data.queries(m), underflown).select(F.lit(m).alias("mode"), "qid", "id", "w")
             out = p if out is None else out.unionByName(p)
         return out
 
@@ -307,7 +309,7 @@ class Learner:
 
     def dataset_cross_entropy(self, data: Dataset, p: DataFrame | None = None) -> float:
         """Sum over modes of each mode's mean."""
-        p = p if p is not None else self.dataset_predict(data)
+        p = p if p is not None else self.dataset_predict(data, underflown=True)
         rows = [cross_entropy(data.labels(m), p.filter(F.col("mode") == m).select("qid", "id", "w"), data.queries(m).select("qid").distinct()).first() for m in data.modes()]
         return sum(r.cross_entropy for r in rows if r.n)
 
@@ -334,7 +336,7 @@ class Learner:
     def _trace(self, data: Dataset, epoch: int, began: float) -> None:
         record = {"epoch": epoch, "seconds": time.time() - began}
         if self.tracer not in (silent, cheap_tracer):
-            p = written(self.dataset_predict(data), "prediction")
+            p = written(self.dataset_predict(data, underflown=True), "prediction")
             record |= {"cross_entropy": self.dataset_cross_entropy(data, p), "accuracy": self.dataset_accuracy(data, p)}
             record["regularised"] = record["cross_entropy"] + sum(self.regulariser.cost(self.engine.db.relations[k]) for k in self.engine.db.parameters if k in self.engine.db.relations)
         self.tracer(record)
@@ -437,7 +439,7 @@ class Experiment:
                 self.learner.train(self.train)
                 out["seconds"] = time.time() - began
             for name, data in (("train", self.train), ("test", self.test)):
-                p = written(self.learner.dataset_predict(data), "prediction")
+                p = written(self.learner.dataset_predict(data, underflown=True), "prediction")
                 out[f"{name}_accuracy_{when}"] = self.learner.dataset_accuracy(data, p)
                 out[f"{name}_cross_entropy_{when}"] = self.learner.dataset_cross_entropy(data, p)
         if self.save_model:
@@ -446,7 +448,7 @@ class Experiment:
             save_database(self.learner.engine.db, self.save_model)
         for m in self.test.modes():
             if self.save_predictions:
-                ranked_answers(m, self.test.queries(m), p.filter(F.col("mode") == m)).write.mode("append").text(self.save_predictions)
+                ranked_answers(m, self.test.queries(m), p.filter((F.col("mode") == m) & (F.col("w") > 0))).write.mode("append").text(self.save_predictions)
             if self.save_examples:
                 from weft.sources.examples import example_text
 

@@ -153,28 +153,30 @@ def added(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
     return out if len(parts) == 1 else out.groupBy(*keys_of(out)).agg(F.sum("w").alias("w"))
 
 
-def softmax(scores: DataFrame, queries: DataFrame) -> DataFrame:
+def softmax(scores: DataFrame, queries: DataFrame, underflown: bool = False) -> DataFrame:
     """Softmax by query over the scores that aren't zero and the null entity,
     whose score is lowered by ten.  A query without answers gets the null
-    entity alone; answers whose weight underflows to zero are dropped."""
+    entity alone; answers whose weight underflows to zero are dropped, unless
+    ``underflown`` ones are asked for."""
     nulls = queries.select("qid", F.lit(NULL).alias("id"), F.lit(NULL_SCORE).alias("w"))
     s = scores.unionByName(nulls).groupBy("qid", "id").agg(F.sum("w").alias("w")).filter("w <> 0")
     top = s.groupBy("qid").agg(F.max("w").alias("top"))
     e = s.join(top, "qid").select("qid", "id", F.exp(F.col("w") - F.col("top")).alias("w"))
-    return e.join(totals(e), "qid").select("qid", "id", (F.col("w") / F.col("total")).alias("w")).filter("w > 0")
+    p = e.join(totals(e), "qid").select("qid", "id", (F.col("w") / F.col("total")).alias("w"))
+    return p if underflown else p.filter("w > 0")
 
 
 def log1p(scores: DataFrame) -> DataFrame:
     return scores.withColumn("w", F.log1p("w"))
 
 
-def normalised(scores: DataFrame, queries: DataFrame, how: str) -> DataFrame:
+def normalised(scores: DataFrame, queries: DataFrame, how: str, underflown: bool = False) -> DataFrame:
     """``softmax``, ``log+softmax`` or ``none``."""
     if how == "none":
         return scores
     if how not in ("softmax", "log+softmax"):
         raise ValueError(f"no such normalisation: {how}")
-    return softmax(log1p(scores) if how == "log+softmax" else scores, queries)
+    return softmax(log1p(scores) if how == "log+softmax" else scores, queries, underflown)
 
 
 class Evaluation:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weft.catalog import Database
 from weft.engine import Engine, Settings
 from weft.functions import mining, vectors
-from weft.learn import Gradients, L2Regulariser, Learner, accuracy, cross_entropy, ranked, ranked_answers, updated
+from weft.learn import Gradients, L2Regulariser, Learner, accuracy, ranked, ranked_answers, updated
 from weft.scratch import written
 from weft.sources.examples import Dataset, from_pairs
 
@@ -246,8 +246,7 @@ def accuracy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cross_entropy", with_relations(["has_word", "quality"], _TEXT + _P + " SELECT round(sum(-ln(p.w)) / (SELECT count(*) FROM q JOIN (SELECT DISTINCT src FROM has_word) h ON h.src = q.x), 6) AS cross_entropy, (SELECT count(*) FROM q JOIN (SELECT DISTINCT src FROM has_word) h ON h.src = q.x) AS n FROM quality l JOIN p ON p.x = l.src AND p.y = l.dst"))
 def cross_entropy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, data = text_task(spark, sf_dir)
-    x = data.queries("predict/io")
-    return cross_entropy(data.labels("predict/io"), engine.inference_batch("predict/io", x), x.select("qid")).select(F.round("cross_entropy", 6).alias("cross_entropy"), "n")
+    return engine.loss("predict/io", data.queries("predict/io"), data.labels("predict/io")).select(F.round("cross_entropy", 6).alias("cross_entropy"), "n")
 
 
 _DELTA = _P + ", d AS (SELECT x, y, sum(w) AS w FROM (SELECT src AS x, dst AS y, 1.0 AS w FROM quality WHERE src IN (SELECT src FROM has_word) UNION ALL SELECT x, y, -w FROM p) GROUP BY ALL)"
