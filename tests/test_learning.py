@@ -150,3 +150,16 @@ def test_labels_predicted_at_zero_cost_the_most(spark):
     assert {(r.qid, r.id) for r in engine.inference_batch("r/io", x).collect()} == {(0, "x"), (1, "x")}  # answers have no such rows
     right = spark.createDataFrame([(0, "x", 1.0), (1, "x", 1.0)], "qid long, id string, w double")
     assert engine.loss("r/io", x, right).first().cross_entropy == pytest.approx(0.0)
+
+
+def test_all_batches_at_once(spark):
+    """The batches of one pass as a table; its plan doesn't grow with them."""
+    rows = [(m, q, f"x{q}", f"y{q % 3}") for m, n in (("p/io", 23), ("r/io", 9)) for q in range(n)]
+    data = from_pairs(spark.createDataFrame(rows, "mode string, qid long, x string, y string"))
+    one_by_one = sorted(sorted((m, r.qid, r.id) for r in part.x.collect()) for m, part in data.batches(5, seed=2))
+    both = data.in_batches(5, seed=2)
+    together: dict = {}
+    for r in both.x.collect():
+        together.setdefault((r["mode"], r.batch), []).append((r["mode"], r.qid, r.id))
+    assert sorted(map(sorted, together.values())) == one_by_one and len(one_by_one) == 7
+    assert both.x.join(both.y, ["mode", "batch", "qid"]).count() == len(rows)
