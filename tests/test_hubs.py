@@ -12,7 +12,7 @@ from weft.learn import Learner
 from weft.operators import lower
 from weft.operators.hubs import hubs_at, met
 from weft.operators.lower import Split
-from weft.scratch import intermediates, written
+from weft.scratch import FIRST_PARTS, TASK_BYTES, intermediates, written
 
 EDGE = "src string, dst string, w double"
 
@@ -134,3 +134,15 @@ def test_intermediates_are_deleted(spark):
         assert len(inner) == 1 and len(outer) == 2 and kept.count() == 3
     assert not any(os.path.exists(p.removeprefix("file://")) for p in outer)
     assert written(frame, "after").count() == 3 and len(outer) == 2
+
+
+def test_tasks_are_fine(spark):
+    """A database lowers what a task gets, and leaves finer settings alone."""
+    size, first = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(size), spark.conf.unset(first)
+    Database(spark)
+    assert (spark.conf.get(size), spark.conf.get(first)) == (str(TASK_BYTES), str(FIRST_PARTS))
+    spark.conf.set(size, "1m"), spark.conf.set(first, "5000")
+    Database(spark)
+    assert (spark.conf.get(size), spark.conf.get(first)) == ("1m", "5000")
+    spark.conf.unset(size), spark.conf.unset(first)
