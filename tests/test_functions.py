@@ -119,3 +119,16 @@ def test_messages(spark):
     assert {(r.qid, r.id): r.w for r in messages.altered(m, lambda w, row: w / F.sum(w).over(row)).collect()} == {(0, "a"): 1 / 3, (0, "b"): 2 / 3, (1, "a"): 1.0}
     assert {r.id: (r.entries, r.total, r.largest) for r in messages.columns(m).collect()} == {"a": (2, 4.0, 3.0), "b": (1, 2.0, 2.0)}
     assert messages.map_weights(m, lambda w: w * 2).agg({"w": "sum"}).first()[0] == 12
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbols_are_told_without_sums(spark):
+    """The symbols of facts take one aggregation over one scan, whatever the sums of equal facts take."""
+    from weft.catalog import Database
+
+    db = Database(spark).add("has", spark.range(12).selectExpr("concat('a', id % 3) AS src", "concat('b', id % 2) AS dst"))
+    assert {r.id for r in db.symbols().collect()} == {"a0", "a1", "a2", "b0", "b1", "__NULL__", "__OOV__"}
+    assert _plan(db.symbols()).count("Aggregate") == 1 and _plan(db.symbols()).count("Range") == 1

@@ -108,9 +108,10 @@ class Database:
         out = self.spark.createDataFrame([(NULL,), (OOV,)], "id string")
         for (functor, arity), rel in self.relations.items():
             types = self.argument_types(functor, arity) or (DEFAULT_TYPE,) * arity
-            for col, t in zip(["id"] if arity == 1 else ["src", "dst"], types):
-                if type_name is None or t == type_name:
-                    out = out.union(rel.select(F.col(col).alias("id")))
+            added, facts = self._facts.get((functor, arity), (rel, rel))
+            cols = [F.col(c) for c, t in zip(["id"] if arity == 1 else ["src", "dst"], types) if type_name is None or t == type_name]
+            if cols:  # of facts as they were added: equal ones needn't be summed for it
+                out = out.union((facts if added is rel else rel).select(F.explode(F.array(*cols)).alias("id")))
         return out.distinct()
 
     def numbers(self, type_name: str | None = None) -> DataFrame:
