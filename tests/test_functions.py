@@ -132,3 +132,8 @@ def test_symbols_are_told_without_sums(spark):
     db = Database(spark).add("has", spark.range(12).selectExpr("concat('a', id % 3) AS src", "concat('b', id % 2) AS dst"))
     assert {r.id for r in db.symbols().collect()} == {"a0", "a1", "a2", "b0", "b1", "__NULL__", "__OOV__"}
     assert _plan(db.symbols()).count("Aggregate") == 1 and _plan(db.symbols()).count("Range") == 1
+
+
+def test_tfidf_makes_its_rows_once(spark):
+    plan = _plan(vectors.tfidf(spark.range(12).selectExpr("concat('a', id % 3) AS src", "concat('b', id) AS dst", "1.0D AS w").groupBy("src", "dst").agg(F.sum("w").alias("w"))))
+    assert plan.count("Join") == 2 and "Range" not in plan

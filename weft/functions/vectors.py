@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.scratch import written
+
 
 def cells(symbol: str, columns: int, hashes: int, seed: int = 0):
     """The distinct cells that a symbol sets: ``hashes`` hashed columns."""
@@ -56,8 +58,9 @@ def contains(embedded: DataFrame, symbols: DataFrame, threshold: float = 1.0, **
 
 def tfidf(relation: DataFrame) -> DataFrame:
     """(src, dst, w): ln(tf+1) ln(N/df), each source's row of length one; N counts sources."""
+    relation = written(relation, "tf")  # used three times
     df = relation.groupBy("dst").agg(F.count(F.lit(1)).alias("df"))
     n = relation.agg(F.countDistinct("src").alias("n"))
     raw = relation.join(df, "dst").crossJoin(F.broadcast(n)).select("src", "dst", (F.log1p("w") * F.log(F.col("n") / F.col("df"))).alias("w"))
-    norm = raw.groupBy("src").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "src").select("src", "dst", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
+    raw = raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("src"))))
+    return raw.select("src", "dst", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
