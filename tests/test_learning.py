@@ -163,3 +163,32 @@ def test_all_batches_at_once(spark):
         together.setdefault((r["mode"], r.batch), []).append((r["mode"], r.qid, r.id))
     assert sorted(map(sorted, together.values())) == one_by_one and len(one_by_one) == 7
     assert both.x.join(both.y, ["mode", "batch", "qid"]).count() == len(rows)
+
+
+def test_gradients_beside_the_answers(spark, library):
+    """Words' weights behind a constant answer: each label's share of the facts, summed over queries before words are met."""
+    db = library.partner()
+    db.parameters = {("old", 1)}
+    engine = Engine(db, "r(B,V) :- assign(V,yes), lends(B,K), old(K).", Settings(normalise="softmax"), initial_weights=False)
+    x = spark.createDataFrame([(i, b, 1.0) for i, b in enumerate(("north", "quay", "south"))], "qid long, id string, w double")
+    y = spark.createDataFrame([(i, "yes", 1.0) for i in range(3)], "qid long, id string, w double")
+    found = engine.loss_gradient("r/io", x, y)[("old", 1)]
+    want, old = {}, {a: w for (a,), w in FACTS["old"].items()}
+    for b in ("north", "quay", "south"):
+        score = sum(w * old[k] for (a, k), w in FACTS["lends"].items() if a == b and k in old)
+        for (a, k), w in FACTS["lends"].items():
+            if a == b and k in old:
+                want[k] = want.get(k, 0.0) + w * (1 - 1 / (1 + math.exp(-10 - score)))
+    assert {r.id: r.w for r in found.collect()} == pytest.approx(want)
+
+
+def test_words_are_counted_where_their_texts_are(spark, tmp_path):
+    """One shuffle, of the texts; no fact of has_word is shuffled to be summed."""
+    from weft.queries import counted_words, database
+
+    rows = [(1, "A b a  c"), (2, None), (3, ""), (4, "b b"), (None, "lost"), (1, "c C")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counted = counted_words(spark, str(tmp_path))
+    assert {tuple(r) for r in counted.collect()} == {("d1", "a", 2.0), ("d1", "b", 1.0), ("d1", "c", 3.0), ("d4", "b", 2.0)} == {tuple(r) for r in database(spark, str(tmp_path), ["has_word"]).binary("has_word").collect()}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION" in plan

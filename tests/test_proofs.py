@@ -7,6 +7,7 @@ from library import FACTS, Prover
 
 from weft.catalog import NULL, UnknownSymbol, row_symbols
 from weft.engine import Engine, Settings
+from weft.plans.nodes import in_order
 from weft.plans.order import Size, best_order, joined
 from weft.plans.planner import UnsupportedRule
 from weft.plans.terms import Mode
@@ -175,3 +176,20 @@ def test_orders_and_tables_follow_sizes(spark):
     for mode in ("r/io", "s/io"):
         want = Prover(rules, plain, 3).relation(mode[0])
         assert {(r.x, r.y): r.w for r in e.proof_count(mode, everyone).collect()} == pytest.approx(want)
+
+
+def test_what_only_counts_is_summed_without_queries(engine):
+    """No row is made for each query and word where words only add to a total."""
+    program = engine("p(B,V) :- assign(V,yes), lends(B,K), old(K). q(B,V) :- assign(V,yes), lends(B,K), cites(K,L), old(L).").program
+    for mode in ("p/io", "q/io"):
+        steps = [n for n in in_order(program.plan(mode)) if n.kind == "step"]
+        assert steps and not any(n.per_query for n in steps)
+
+
+def test_large_batches_take_whole_relations(spark, engine, monkeypatch):
+    """A step beside the answers is the same cut to the batch's symbols and whole."""
+    rules, asked = "r(B,V) :- assign(V,yes), lends(B,K), cites(K,L), old(L).", ["north", "quay", "nobody"]
+    x = spark.createDataFrame([(b,) for b in asked], "x string")
+    small = {tuple(r) for r in engine(rules).proof_count("r/io", x).collect()}
+    monkeypatch.setattr("weft.operators.lower.SMALL_BATCH", 0)
+    assert small == {tuple(r) for r in engine(rules).proof_count("r/io", x).collect()} and {r[0] for r in small} == {"north", "quay"}
