@@ -192,3 +192,15 @@ def test_words_are_counted_where_their_texts_are(spark, tmp_path):
     assert {tuple(r) for r in counted.collect()} == {("d1", "a", 2.0), ("d1", "b", 1.0), ("d1", "c", 3.0), ("d4", "b", 2.0)} == {tuple(r) for r in database(spark, str(tmp_path), ["has_word"]).binary("has_word").collect()}
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION" in plan
+
+
+def test_rules_of_words_store_them_once(spark, tmp_path, monkeypatch):
+    """feature_weights meets has_word in its weights and in its rule: it is counted and written once."""
+    from weft import queries
+
+    spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stored, was = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name, *more: stored.append(name) or was(df, name, *more))
+    out = queries.QUERIES["feature_weights"](spark, str(tmp_path))
+    assert stored == ["has-word"] and {tuple(r) for r in out.collect()} == {("d1", "q0", 3.0), ("d2", "q1", 1.0)}

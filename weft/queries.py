@@ -108,7 +108,7 @@ def rule_query(name: str, relations: str, rules: str, mode: str, inputs: str, sq
     names = relations.split()
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(database(spark, sf_dir, names), rules, Settings(max_depth=depth, normalise=how), **options)
+        engine = Engine(database(spark, sf_dir, names, store_words="has_word" in names), rules, Settings(max_depth=depth, normalise=how), **options)
         out = engine.inference(mode, _inputs(engine.db, inputs))
         return out if how == "none" else out.select("x", "y", F.round("w", 6).alias("w"))
 
