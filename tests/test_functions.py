@@ -137,3 +137,28 @@ def test_symbols_are_told_without_sums(spark):
 def test_tfidf_makes_its_rows_once(spark):
     plan = _plan(vectors.tfidf(spark.range(12).selectExpr("concat('a', id % 3) AS src", "concat('b', id) AS dst", "1.0D AS w").groupBy("src", "dst").agg(F.sum("w").alias("w"))))
     assert plan.count("Join") == 2 and "Range" not in plan
+
+
+def test_ends_and_hubs_are_told_without_sums(spark, monkeypatch):
+    """Symbols of an end and hubs come from facts as they were added; a relation dealt by an end is shuffled once."""
+    from weft import catalog
+    from weft.catalog import Database
+    from weft.functions.vectors import embed
+
+    facts = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "x"), (None, "z"), ("c", None)]
+    db = Database(spark, hub_rows=10).add("f", spark.createDataFrame(facts, "src string, dst string"))
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert {r.id for r in db.ends("f", "src").collect()} == {"a", "b"} and {r.id for r in db.ends("f", "dst").collect()} == {"x", "y"}
+    assert shuffles(db.ends("f", "src")) == 1
+    dealt = db.dealt("f", "src")
+    assert {tuple(r) for r in dealt.collect()} == {("a", "x", 2.0), ("a", "y", 1.0), ("b", "x", 1.0)}
+    assert shuffles(embed(dealt.select(F.col("src").alias("qid"), F.col("dst").alias("id"), "w"), 1 << 62)) == 1
+    seen, was = [], catalog.hubs_at
+    monkeypatch.setattr(catalog, "hubs_at", lambda rows, *more: seen.append(shuffles(rows)) or was(rows, *more))
+    db.hubs("f")
+    assert seen == [0]
+    db.set_parameter("f", 2, db.binary("f").filter("src = 'a'"))  # a replaced relation's own facts
+    assert {r.id for r in db.ends("f", "src").collect()} == {"a"} and {tuple(r) for r in db.dealt("f", "src").collect()} == {("a", "x", 2.0), ("a", "y", 1.0)}
+    db = Database(spark, hub_rows=1).add("f", spark.createDataFrame(facts, "src string, dst string"))
+    monkeypatch.undo()
+    assert db.dealt("f", "src").count() == 3
