@@ -684,7 +684,8 @@ def cells_product(spark, sf_dir):
 @register("cells_contain", with_relations(["contains"], "SELECT dst AS x, count(*) AS orders FROM contains WHERE w >= 1 GROUP BY ALL"))
 def cells_contain(spark, sf_dir):
     """In how many orders' sketches each part is found."""
-    rel = database(spark, sf_dir, ["contains"]).binary("contains")
+    db = database(spark, sf_dir, ["contains"])
+    rel = db.dealt("contains", "src")
     message = rel.select(F.col("src").alias("qid"), F.col("dst").alias("id"), "w")
-    found = vectors.contains(vectors.embed(message, _WIDE), rel.select(F.col("dst").alias("id")).distinct(), columns=_WIDE)
+    found = vectors.contains(vectors.embed(message, _WIDE), db.ends("contains", "dst"), columns=_WIDE)
     return found.groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("orders"))
