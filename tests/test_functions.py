@@ -162,3 +162,20 @@ def test_ends_and_hubs_are_told_without_sums(spark, monkeypatch):
     db = Database(spark, hub_rows=1).add("f", spark.createDataFrame(facts, "src string, dst string"))
     monkeypatch.undo()
     assert db.dealt("f", "src").count() == 3
+
+
+def test_links_count_repeated_triples_and_loops(spark):
+    """Against all pairs of rows; a pair's triples are told once, by its list of relations."""
+    rng = random.Random(5)
+    rows = [(f"e{rng.randint(0, 4)}", rng.choice("pqr"), f"e{rng.randint(0, 4)}") for _ in range(60)] + [("e1", "p", "e1")] * 3 + [(None, "p", "e1"), ("e1", "q", None)]
+    of = Counter(r for _, r, _ in rows)
+    same, back = Counter(), Counter()
+    for (h, p, t), (h2, q, t2) in itertools.product(rows, rows):
+        if None not in (h, t, h2, t2):
+            same[(p, q)] += (h, t) == (h2, t2) and p != q
+            back[(p, q)] += (h, t) == (t2, h2)
+    triples = spark.createDataFrame(rows, "head string, relation string, tail string")
+    for found, want in ((mining.entailments(triples), same), (mining.inversions(triples), back)):
+        assert {(r.p, r.q): (r.n, round(r.score, 9)) for r in found.collect()} == {k: (n, round(math.log(n / of[k[1]]), 9)) for k, n in want.items() if n}
+    alike = spark.createDataFrame([(f"a{i}", r, f"b{i}") for i in range(50) for r in "pq"] + [(f"a{i}", "r", f"c{i}") for i in range(50)], triples.schema)
+    assert [(r.loop, len(r.links), r.pairs) for r in mining.links(alike).collect()] == [(False, 2, 50)]

@@ -15,20 +15,36 @@ def _score(n: str, of: str):
     return F.log(F.col(n) / F.col(of))
 
 
-def entailments(triples: DataFrame) -> DataFrame:
+def links(triples: DataFrame) -> DataFrame:
+    """(loop, links, pairs): how many pairs of entities have the same triples
+    between them.  ``links`` has (up, relation, k): k triples of a relation, up
+    from the entity first by name to the other; loops are one entity's own.
+    Its length is twice the number of relations at most.  Triples move once, to
+    their pair, and are counted there; then only different lists are shuffled."""
+    t = triples.filter("head is not null AND tail is not null")
+    rows = t.select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"), (F.col("head") <= F.col("tail")).alias("up"), "relation")
+    k = rows.repartition("a", "b").groupBy("a", "b", "up", "relation").agg(F.count(F.lit(1)).alias("k"))
+    lists = k.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("up", "relation", "k"))).alias("links"))
+    several = F.col("loop") | (F.size("links") > 1)  # a link alone, but for a loop's, has nothing to meet
+    return lists.select((F.col("a") == F.col("b")).alias("loop"), "links").filter(several).groupBy("loop", "links").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _meetings(found: DataFrame, when: str) -> DataFrame:
+    """(p, q, n): how many triples of p meet ones of q, over the two links of a pair."""
+    both = found.select("loop", "pairs", F.explode("links").alias("a"), "links").select("loop", "pairs", "a", F.explode("links").alias("b")).filter(when)
+    return both.groupBy(F.col("a.relation").alias("p"), F.col("b.relation").alias("q")).agg(F.sum(F.col("pairs") * F.col("a.k") * F.col("b.k")).alias("n"))
+
+
+def entailments(triples: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(p, q, n, score): pairs of relations between the same two entities,
-    counted, against the number of q's triples."""
-    a = triples.select("head", "tail", F.col("relation").alias("p"))
-    b = triples.select("head", "tail", F.col("relation").alias("q"))
-    n = a.join(b, ["head", "tail"]).filter("p <> q").groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
-    return _scored(n, triples)
+    counted, against the number of q's triples.  ``found`` are the triples'
+    :func:`links`, where they are stored."""
+    return _scored(_meetings(links(triples) if found is None else found, "a.up = b.up AND a.relation <> b.relation"), triples)
 
 
-def inversions(triples: DataFrame) -> DataFrame:
+def inversions(triples: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(p, q, n, score): p from head to tail where q runs back; p may be q."""
-    a = triples.select("head", "tail", F.col("relation").alias("p"))
-    b = triples.select(F.col("tail").alias("head"), F.col("head").alias("tail"), F.col("relation").alias("q"))
-    return _scored(a.join(b, ["head", "tail"]).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")), triples)
+    return _scored(_meetings(links(triples) if found is None else found, "loop OR a.up <> b.up"), triples)
 
 
 def _scored(n: DataFrame, triples: DataFrame) -> DataFrame:
@@ -102,9 +118,13 @@ def chains(triples: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     linked pairs that makes m * sqrt(2m) rows at most, whatever the hubs.
     Relations that no chain can hold, by common heads and tails, are left out.
     """
-    triples = written(triples.select("head", "relation", "tail").dropna(), "triples")
-    heads = triples.groupBy("head", "relation").agg(F.count(F.lit(1)).alias("k"))
-    tails = triples.groupBy("tail", "relation").agg(F.count(F.lit(1)).alias("k"))
+    return _chains(written(triples.select("head", "relation", "tail").dropna(), "triples"), hub_rows)
+
+
+def _chains(triples: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """The same, of stored triples without nulls."""
+    heads = written(triples.groupBy("head", "relation").agg(F.count(F.lit(1)).alias("k")), "heads")
+    tails = written(triples.groupBy("tail", "relation").agg(F.count(F.lit(1)).alias("k")), "tails")
 
     def meeting(a: DataFrame, b: DataFrame, on: str, to: str, first: str, second: str) -> DataFrame:
         """(first, second, n): relations that meet, and how many rows do."""
@@ -127,7 +147,8 @@ def chains(triples: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
 def rule_text(triples: DataFrame) -> DataFrame:
     """(value): rules of all three kinds, each with its score as a comment."""
     triples = written(triples.select("head", "relation", "tail"), "triples")
-    e = entailments(triples).select(F.format_string("%s(X,Y):-%s(X,Y) {if_%s_%s}.\t#score %.3f", "p", "q", "p", "q", "score").alias("value"))
-    i = inversions(triples).select(F.format_string("%s(X,Y):-%s(Y,X) {ifInv_%s_%s}.\t#score %.3f", "p", "q", "p", "q", "score").alias("value"))
-    c = chains(triples).select(F.format_string("%s(X,Y):-%s(X,Z),%s(Z,Y) {chain_%s_%s_%s}.\t#score %.3f", "p", "q", "r", "p", "q", "r", "score").alias("value"))
+    found = written(links(triples), "links")
+    e = entailments(triples, found).select(F.format_string("%s(X,Y):-%s(X,Y) {if_%s_%s}.\t#score %.3f", "p", "q", "p", "q", "score").alias("value"))
+    i = inversions(triples, found).select(F.format_string("%s(X,Y):-%s(Y,X) {ifInv_%s_%s}.\t#score %.3f", "p", "q", "p", "q", "score").alias("value"))
+    c = _chains(triples.dropna()).select(F.format_string("%s(X,Y):-%s(X,Z),%s(Z,Y) {chain_%s_%s_%s}.\t#score %.3f", "p", "q", "r", "p", "q", "r", "score").alias("value"))
     return e.union(i).union(c)
