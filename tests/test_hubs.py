@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weft.catalog import Database
 from weft.engine import Engine, Settings
 from weft.learn import Learner
-from weft.operators import lower
+from weft.operators import hubs, lower
 from weft.operators.hubs import hubs_at, met
 from weft.operators.lower import Split
 from weft.scratch import FIRST_PARTS, TASK_BYTES, intermediates, written
@@ -146,3 +146,22 @@ def test_tasks_are_fine(spark):
     Database(spark)
     assert (spark.conf.get(size), spark.conf.get(first)) == ("1m", "5000")
     spark.conf.unset(size), spark.conf.unset(first)
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 1 << 16])
+def test_only_full_buckets_are_counted_by_symbol(spark, monkeypatch, buckets):
+    """Hubs are the same however symbols share buckets; where no bucket is full nothing else is counted."""
+    monkeypatch.setattr(hubs, "BUCKETS", buckets)
+    rows = facts(spark, 7).binary("to")
+    many = {c: {r.h: float(r.n) for r in rows.groupBy(F.xxhash64(c).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 7").collect()} for c in ("src", "dst")}
+    assert hubs_at(rows, ["src", "dst"], 7) == many and all(many.values())
+    assert hubs.full_buckets(rows, ["src", "dst"], 200) == {"src": [], "dst": []}
+    assert all(0 <= b < buckets for found in hubs.full_buckets(rows, ["src", "dst"], 7).values() for b in found)
+
+
+def test_only_messages_that_others_use_are_kept(both, monkeypatch):
+    frame = type(both[0].binary("to"))
+    kept, persist = [], frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *a: kept.append(df) or persist(df, *a))
+    counts = Engine(both[0], "p(X,Y) :- to(X,Z), back(Z,Y).").message_counts("p/io", ["a1", "a2"]).collect()
+    assert len(kept) == 1 and sum(r.node.startswith("step") for r in counts) == 2

@@ -25,6 +25,8 @@ HUB_ROWS = 1_000_000
 HUBS = 10_000
 #: A fact takes up at least so many bytes; a relation whose plan promises less than a hub's bytes isn't looked at.
 FACT_BYTES = 4
+#: Buckets of hashes that a column's rows are counted in first: a hub's bucket has at least the hub's rows.
+BUCKETS = 1 << 16
 
 #: Rows by hash of a symbol.
 Rows = dict[int, float]
@@ -40,16 +42,39 @@ def may_have_hubs(rows: DataFrame, hub_rows: int) -> bool:
     return promised_bytes(rows) >= FACT_BYTES * hub_rows
 
 
+def _bucket(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
+def full_buckets(rows: DataFrame, columns: list[str], hub_rows: int) -> dict[str, list[int]]:
+    """For each column the buckets with over ``hub_rows`` rows."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), _bucket(c).alias("b")) for i, c in enumerate(columns)))).alias("e")
+    counted = rows.select(each).groupBy("e.c", "e.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_rows)
+    out: dict[str, list[int]] = {c: [] for c in columns}
+    for r in counted.collect():
+        out[columns[r.c]].append(r.b)
+    return out
+
+
 def hubs_at(rows: DataFrame, columns: list[str], hub_rows: int) -> dict[str, Rows]:
     """For each column the symbols with over ``hub_rows`` rows, and over one in
-    HUBS of all; one job, of which at most HUBS numbers a column come back, and
-    a count of all where there are any."""
+    HUBS of all.  Rows are first counted in buckets, in one job that reads them
+    once and shuffles at most BUCKETS numbers a task and column; only rows of
+    buckets with over ``hub_rows`` of them are counted by symbol, of which at
+    most HUBS numbers a column come back, and a count of all where there are any."""
     out: dict[str, Rows] = {c: {} for c in columns}
     if not may_have_hubs(rows, hub_rows):
         return out
+    full = full_buckets(rows, columns, hub_rows)
+    if not any(full.values()):
+        return out
     many = None
     for c in columns:
-        n = rows.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_rows)
+        if not full[c]:
+            continue
+        buckets = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in full[c]], "hub_bucket int"))
+        looked = rows.withColumn("hub_bucket", _bucket(c)).join(buckets, "hub_bucket", "left_semi")
+        n = looked.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_rows)
         n = n.select(F.lit(c).alias("c"), F.xxhash64("id").alias("h"), "n").orderBy(F.col("n").desc()).limit(HUBS)
         many = n if many is None else many.union(n)
     found = many.collect()

@@ -199,17 +199,19 @@ class Evaluation:
         self.asked: dict[tuple[Mode, int], DataFrame] = {}
         self.choices: list[str] = []
         self._sizes: dict[tuple[str, int], Size] = {}
+        self._users: Counter[int] = Counter()
         self._batch_hubs: Rows | None = {} if own_ids else None
 
     def of(self, root: Node) -> DataFrame:
         order = list(in_order(root))
         inner = self._inner_steps(order) if self.program else set()
+        self._users |= Counter(id(i) for n in order for i in n.inputs)
         for node in order:
             if id(node) not in self.made and id(node) not in inner:
                 out = self._run_of_steps(node, inner) if node.kind == "step" and inner else self._one(node)
                 if node.kind in ("sum", "step") and node.steps >= CUT and node.steps % CUT == 0 and self._deep(root):
                     out = written(out, "level")
-                self.made[id(node)] = out.persist() if self.keep and node.kind in ("step", "sum") else out
+                self.made[id(node)] = out.persist() if self.keep and node.kind in ("step", "sum") and self._users[id(node)] else out
         return self.made[id(root)]
 
     # -- choosing by size -----------------------------------------------------
