@@ -165,3 +165,10 @@ def test_only_messages_that_others_use_are_kept(both, monkeypatch):
     monkeypatch.setattr(frame, "persist", lambda df, *a: kept.append(df) or persist(df, *a))
     counts = Engine(both[0], "p(X,Y) :- to(X,Z), back(Z,Y).").message_counts("p/io", ["a1", "a2"]).collect()
     assert len(kept) == 1 and sum(r.node.startswith("step") for r in counts) == 2
+
+
+def test_steps_are_cut_to_few_filtered_symbols(both):
+    """Facts that a unary relation drops are dropped before they meet the message."""
+    engine = Engine(both[0], RULES["filter"], Settings(normalise="none"))
+    x = both[0].symbols().select(F.col("id").alias("x"))
+    assert "LeftSemi" in engine.proof_count("p/io", x)._jdf.queryExecution().optimizedPlan().toString()

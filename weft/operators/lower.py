@@ -27,6 +27,8 @@ from weft.scratch import written
 CUT = 5
 #: Estimated bytes of a batch up to which relations are cut to its symbols first.
 SMALL_BATCH = 1 << 20
+#: Symbols of a unary relation up to which facts are cut to those that end at them, before a step that only it filters.
+FEW_SYMBOLS = 200_000
 #: A table holds only the inputs that are asked for where all are so many times as many.
 DEMAND_GAIN = 2.0
 NULL = "__NULL__"
@@ -434,6 +436,21 @@ class Evaluation:
                 df.unpersist()
         self.made.clear()
 
+    def _for_product(self, node: Node, other: Node) -> DataFrame:
+        """A node's message for a product with another: a step that meets a
+        unary relation with few symbols takes only the facts that end at them,
+        so that what is dropped is neither summed nor joined."""
+        alone = node.kind == "step" and node.per_query and node.steps < CUT and self._users[id(node)] == 1
+        if self.program and alone and other.kind == "unary" and id(node.inputs[0]) in self.made:
+            self._known({(other.detail[0], 1)})
+            if self._sizes[(other.detail[0], 1)].rows <= FEW_SYMBOLS:
+                functor, direction = node.detail
+                far = "dst" if direction == "forward" else "src"
+                few = F.broadcast(self.relations.unary(other.detail[0]).select(F.col("id").alias(far)))
+                facts = self.relations.binary(functor).join(few, far, "left_semi")
+                return step(self.made[id(node.inputs[0])], facts, direction == "forward", self.split(node.inputs[0], functor, direction))
+        return self._for_batch(node, other)
+
     def _for_batch(self, node: Node, other: Node) -> DataFrame:
         """A node's message for a product with another: a step without queries
         that meets a small batch takes only the facts that end at its symbols."""
@@ -463,7 +480,7 @@ class Evaluation:
                 return step(got[0], r.binary(node.detail[0]), node.detail[1] == "forward", self.split(node.inputs[0], *node.detail))
             case "product":
                 left, right = (self.heavy(i) if i.per_query != j.per_query else {} for i, j in (node.inputs, node.inputs[::-1]))
-                return product(*(self._for_batch(i, j) for i, j in (node.inputs, node.inputs[::-1])), Split(left, right, r.hub_rows))
+                return product(*(self._for_product(i, j) for i, j in (node.inputs, node.inputs[::-1])), Split(left, right, r.hub_rows))
             case "scale":
                 return scale(*got)
             case "sum":
