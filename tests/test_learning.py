@@ -204,3 +204,26 @@ def test_rules_of_words_store_them_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "written", lambda df, name, *more: stored.append(name) or was(df, name, *more))
     out = queries.QUERIES["feature_weights"](spark, str(tmp_path))
     assert stored == ["has-word"] and {tuple(r) for r in out.collect()} == {("d1", "q0", 3.0), ("d2", "q1", 1.0)}
+
+
+def test_experiments_make_their_examples_once(spark):
+    """Examples and first parameters are read from tables; a dataset that is train and test is predicted once before and once after."""
+    db = Database(spark).add("to", spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), ("d", "c", 1.0)], "src string, dst string, w double"))
+    db.mark_parameter("to", 2)
+    seen, predicted = [], []
+
+    class Watched(FixedRateGD):
+        def train(self, data):
+            seen.extend([data, self.engine.db.binary("to")])
+            super().train(data)
+
+        def dataset_predict(self, data, underflown=False):
+            predicted.append(data)
+            return super().dataset_predict(data, underflown)
+
+    data = from_pairs(spark.createDataFrame([("r/io", 0, "a", "b"), ("r/io", 1, "d", "c")], "mode string, qid long, x string, y string"))
+    out = Experiment(Watched(Engine(db, "r(X,Y) :- to(X,Y).", initial_weights=False), epochs=1, rate=1.0), data, data).run()
+    assert out["test_accuracy_after"] == out["train_accuracy_after"] and out["test_cross_entropy_after"] < out["test_cross_entropy_before"]
+    assert len(predicted) == 2
+    assert all("weft-examples" in f for d in (seen[0].x, seen[0].y) for f in d.inputFiles()) and all("weft-parameter" in f for f in seen[1].inputFiles())
+    assert seen[0].x.inputFiles() and seen[0].y.inputFiles() and seen[1].inputFiles()

@@ -422,7 +422,10 @@ class AdaGrad(WholeDatasetGD):
 
 @dataclass
 class Experiment:
-    """Evaluate, train, evaluate; save what was learned and predicted."""
+    """Evaluate, train, evaluate; save what was learned and predicted.
+
+    Examples and first parameters are stored before, as each epoch and each
+    prediction reads them; a dataset that is both is predicted once."""
 
     learner: Learner
     train: Dataset
@@ -432,27 +435,32 @@ class Experiment:
     save_examples: str | None = None
 
     def run(self) -> dict[str, float]:
-        out = {}
+        out, db = {}, self.learner.engine.db
+        for key in sorted(db.parameters & set(db.relations)):
+            db.relations[key] = written(db.relations[key], "parameter")
+        train = self.train.stored()
+        test = train if self.test is self.train else self.test.stored()
         for when in ("before", "after"):
             if when == "after":
                 began = time.time()
-                self.learner.train(self.train)
+                self.learner.train(train)
                 out["seconds"] = time.time() - began
-            for name, data in (("train", self.train), ("test", self.test)):
-                p = written(self.learner.dataset_predict(data, underflown=True), "prediction")
-                out[f"{name}_accuracy_{when}"] = self.learner.dataset_accuracy(data, p)
-                out[f"{name}_cross_entropy_{when}"] = self.learner.dataset_cross_entropy(data, p)
+            for name, data in (("train", train), ("test", test)):
+                if name == "train" or data is not train:
+                    p = written(self.learner.dataset_predict(data, underflown=True), "prediction")
+                    right, cost = self.learner.dataset_accuracy(data, p), self.learner.dataset_cross_entropy(data, p)
+                out[f"{name}_accuracy_{when}"], out[f"{name}_cross_entropy_{when}"] = right, cost
         if self.save_model:
             from weft.sources.store import save_database
 
             save_database(self.learner.engine.db, self.save_model)
-        for m in self.test.modes():
+        for m in test.modes():
             if self.save_predictions:
-                ranked_answers(m, self.test.queries(m), p.filter((F.col("mode") == m) & (F.col("w") > 0))).write.mode("append").text(self.save_predictions)
+                ranked_answers(m, test.queries(m), p.filter((F.col("mode") == m) & (F.col("w") > 0))).write.mode("append").text(self.save_predictions)
             if self.save_examples:
                 from weft.sources.examples import example_text
 
-                example_text(self.test, m).write.mode("append").text(self.save_examples)
+                example_text(test, m).write.mode("append").text(self.save_examples)
         return out
 
 

@@ -45,6 +45,10 @@ class Dataset:
     def labels(self, mode: str) -> DataFrame:
         return self.y.filter(F.col("mode") == str(mode)).select("qid", "id", "w")
 
+    def stored(self) -> Dataset:
+        """The same examples, written, so that they are made once for all that read them."""
+        return Dataset(written(self.x, "examples"), written(self.y, "examples"))
+
     def size(self) -> int:
         return self.x.select("mode", "qid").distinct().count()
 
