@@ -172,3 +172,26 @@ def test_steps_are_cut_to_few_filtered_symbols(both):
     engine = Engine(both[0], RULES["filter"], Settings(normalise="none"))
     x = both[0].symbols().select(F.col("id").alias("x"))
     assert "LeftSemi" in engine.proof_count("p/io", x)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("hub_rows", [1_000_000, 7])
+def test_large_steps_sum_only_queries_with_several_symbols(spark, monkeypatch, hub_rows):
+    """The same answers; those of queries with one symbol aren't shuffled to be summed, and repeated facts still are."""
+    def answers():
+        db = facts(spark, hub_rows)
+        found = [asked(db, RULES[r], "p/io") for r in ("through the hub", "run of three")]
+        engine, x = Engine(db, RULES["run of three"], Settings(normalise="none")), db.symbols().select(F.col("id").alias("x"))
+        return found, engine.explain("p/io", x)
+
+    whole, told = answers()
+    assert "unsummed" not in told
+    monkeypatch.setattr(lower, "LARGE_STEP", 1.0)
+    monkeypatch.setattr(lower, "LARGE_GAIN", 0.1)
+    monkeypatch.setattr(lower, "ROWS_A_TASK", 100.0)
+    cut, told = answers()
+    assert "unsummed" in told and all(a and a == pytest.approx(b) for a, b in zip(cut, whole))
+    db = facts(spark, hub_rows)
+    db.set_parameter("to", 2, db.binary("to").union(db.binary("to")))
+    assert db.is_summed("back") and not db.is_summed("to")
+    doubled = asked(db, RULES["through the hub"], "p/io")
+    assert doubled == pytest.approx({k: 4 * w for k, w in whole[0].items()})
