@@ -195,3 +195,26 @@ def test_large_steps_sum_only_queries_with_several_symbols(spark, monkeypatch, h
     assert db.is_summed("back") and not db.is_summed("to")
     doubled = asked(db, RULES["through the hub"], "p/io")
     assert doubled == pytest.approx({k: 4 * w for k, w in whole[0].items()})
+
+
+def test_parts_of_two_hubs_repeat_few_rows():
+    """A million queries of a symbol with 72,000 facts: parts that meet make two million rows, and neither side is repeated more than the other."""
+    a, b = lower.even_parts(1_080_000, 72_000, 2e6)
+    assert 1_080_000 / a * 72_000 / b <= 2e6 and 1_080_000 * b + 72_000 * a < 1.2e8
+    assert lower.even_parts(3, 10_000_000, 2e6) == (1, 15) and lower.even_parts(10, 10, 2e6) == (1, 1) and lower.even_parts(5, 1e9, 1.0) == (5, 1_000_000_000)
+
+
+@pytest.mark.parametrize("small_facts", [500_000, 0])
+def test_large_steps_repeat_no_more_than_they_must(spark, monkeypatch, small_facts):
+    """The same rows whether the relation goes to every task or hubs are cut; where each query has one symbol nothing is left to be summed."""
+    db = Database(spark, hub_rows=5)
+    db.add("of", spark.createDataFrame([(f"c{i}", f"n{i % 3}") for i in range(60)], "src string, dst string"))
+    db.add("has", spark.createDataFrame([(f"n{i % 3}", f"s{i}") for i in range(45)], "src string, dst string"))
+    monkeypatch.setattr(lower, "LARGE_STEP", 1.0)
+    monkeypatch.setattr(lower, "LARGE_GAIN", 0.1)
+    monkeypatch.setattr(lower, "ROWS_A_TASK", 20.0)
+    monkeypatch.setattr(lower, "SMALL_FACTS", small_facts)
+    out = Engine(db, "p(X,Y) :- of(X,Z), has(Z,Y).", Settings(normalise="none")).proof_count("p/io", db.binary("of").select(F.col("src").alias("x")))
+    assert sorted((r.x, r.y, r.w) for r in out.collect()) == sorted((f"c{i}", f"s{k}", 1.0) for i in range(60) for k in range(45) if i % 3 == k % 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and ("hub_place" in plan) == (not small_facts)
