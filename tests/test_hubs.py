@@ -218,3 +218,30 @@ def test_large_steps_repeat_no_more_than_they_must(spark, monkeypatch, small_fac
     assert sorted((r.x, r.y, r.w) for r in out.collect()) == sorted((f"c{i}", f"s{k}", 1.0) for i in range(60) for k in range(45) if i % 3 == k % 3)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and ("hub_place" in plan) == (not small_facts)
+
+
+def test_small_tables_go_where_the_queries_are(spark, monkeypatch):
+    """The same answers; what the table makes of a query's rows is summed where they are, and facts are summed with them, repeated ones too."""
+    db = Database(spark)
+    db.add("of", spark.createDataFrame([(f"c{i}", f"p{i * k % 90}") for i in range(80) for k in (1, 2, 3, 3)], "src string, dst string"))
+    db.add("kind", spark.createDataFrame([(f"p{i}", f"k{i % 4}") for i in range(90)], "src string, dst string"))
+    db.add("co", spark.createDataFrame([(f"k{i}", f"k{j}") for i in range(4) for j in range(4) if i != j], "src string, dst string"))
+    rules = "near(A,B) :- co(A,B). near(A,B) :- co(A,Z), near(Z,B). r(C,B) :- of(C,P), kind(P,A), near(A,B)."
+    x = db.symbols().select(F.col("id").alias("x"))
+
+    def answers():
+        engine = Engine(db, rules, Settings(normalise="none", max_depth=2))
+        out = engine.proof_count("r/io", x)
+        return {(r.x, r.y): r.w for r in out.collect()}, out._jdf.queryExecution().optimizedPlan().toString()
+
+    monkeypatch.setattr(lower, "SPARSE", 1e9)
+    whole, plan = answers()
+    assert whole and "RepartitionByExpression [qid" not in plan
+    monkeypatch.setattr(lower, "SPARSE", 1.0)
+    monkeypatch.setattr(lower, "MANY_QUERIES", 1)
+    there, plan = answers()
+    assert there == whole and "RepartitionByExpression [qid" in plan
+    monkeypatch.setattr(db, "hub_rows", 2)
+    db._hubs.clear()
+    cut, plan = answers()
+    assert cut == whole and "RepartitionByExpression [qid" not in plan

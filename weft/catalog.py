@@ -163,10 +163,10 @@ class Database:
         are, and hubs that are out of date change no result.  Facts are counted
         as they were added: equal ones needn't be summed for it."""
         if functor not in self._hubs:
-            self._hubs[functor] = hubs_at(self._as_added(functor), ["src", "dst"], self.hub_rows)
+            self._hubs[functor] = hubs_at(self.as_added(functor), ["src", "dst"], self.hub_rows)
         return self._hubs[functor]
 
-    def _as_added(self, functor: str) -> DataFrame:
+    def as_added(self, functor: str) -> DataFrame:
         """A binary relation's facts before equal ones are summed, or the
         relation itself where it has been replaced."""
         rel = self.binary(functor)
@@ -179,13 +179,13 @@ class Database:
 
     def ends(self, functor: str, end: str) -> DataFrame:
         """(id): the distinct symbols at an end of a binary relation."""
-        return self._as_added(functor).select(F.col(end).alias("id")).distinct()
+        return self.as_added(functor).select(F.col(end).alias("id")).distinct()
 
     def dealt(self, functor: str, end: str) -> DataFrame:
         """A binary relation with all facts of a symbol at one end in one task,
         so that what is summed within that symbol needs no shuffle of its own.
         Where the end has hubs it comes as it is."""
-        facts = self._as_added(functor)
+        facts = self.as_added(functor)
         if hubs_at(facts, [end], self.hub_rows)[end]:
             return self.binary(functor)
         return facts.repartition(end).groupBy("src", "dst").agg(F.sum("w").alias("w"))

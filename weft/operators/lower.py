@@ -36,6 +36,12 @@ LARGE_STEP, LARGE_GAIN = 1e7, 8.0
 ROWS_A_TASK, MOST_TASKS = 2e6, 10_000
 #: Facts by estimate up to which such a step's relation goes to every task, so that the message alone is dealt out.
 SMALL_FACTS = 500_000
+#: Estimated bytes of a table up to which it goes to every task, and the share of a step's rows that its sum leaves from which on it isn't worth a shuffle of its own.
+SMALL_TABLE, FEW_SUMMED = 1 << 20, 0.5
+#: Queries from which on parts by query are even, where none has very many rows.
+MANY_QUERIES = 10_000
+#: A relation's possible pairs for each fact from which on few facts can be repeated: they are summed after a step, not before it.
+SPARSE = 16.0
 #: A table holds only the inputs that are asked for where all are so many times as many.
 DEMAND_GAIN = 2.0
 NULL = "__NULL__"
@@ -63,6 +69,8 @@ class Relations(Protocol):
 
     def hubs(self, functor: str) -> dict[str, Rows]: ...
 
+    def as_added(self, functor: str) -> DataFrame: ...
+
     def is_summed(self, functor: str) -> bool: ...
 
 
@@ -82,13 +90,29 @@ class Split:
 NONE = Split({}, {}, HUB_ROWS)
 
 
-def step(message: DataFrame, relation: DataFrame, forward: bool, split: Split = NONE) -> DataFrame:
-    """Join on the near end, multiply, sum by the far end."""
+def multiplied(message: DataFrame, relation: DataFrame, forward: bool, split: Split = NONE) -> DataFrame:
+    """A step's rows before they are summed: joined on the near end."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     rel = relation.select(F.col(near).alias("id"), F.col(far).alias("to"), F.col("w").alias("rw"))
     by = [c for c in keys_of(message) if c != "id"]
-    both = met(message, rel, "id", split.left, split.right, split.rows)
-    return both.groupBy(*by, "to").agg(F.sum(F.col("w") * F.col("rw")).alias("w")).withColumnRenamed("to", "id").select(*by, "id", "w")
+    return met(message, rel, "id", split.left, split.right, split.rows).select(*by, F.col("to").alias("id"), (F.col("w") * F.col("rw")).alias("w"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    by = keys_of(rows)
+    return rows.groupBy(*by).agg(F.sum("w").alias("w")).select(*by, "w")
+
+
+def step(message: DataFrame, relation: DataFrame, forward: bool, split: Split = NONE) -> DataFrame:
+    """Join on the near end, multiply, sum by the far end."""
+    return summed(multiplied(message, relation, forward, split))
+
+
+def small_step(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """A step along a small table.  Rows, which needn't be summed yet, are dealt
+    out by query; the table goes to every task, so that sums by query and far
+    end are taken where the rows are, however many the table makes of them."""
+    return step(summed(rows.repartition("qid")), F.broadcast(table), True)
 
 
 def even_parts(left: float, right: float, rows: float) -> tuple[int, int]:
@@ -234,6 +258,8 @@ class Evaluation:
         #: of tables that don't hold all inputs, the inputs that they hold
         self.asked: dict[tuple[Mode, int], DataFrame] = {}
         self.choices: list[str] = []
+        #: rows of steps before they are summed, where the sum leaves most of them
+        self.unsummed: dict[int, DataFrame] = {}
         self._sizes: dict[tuple[str, int], Size] = {}
         self._users: Counter[int] = Counter()
         self._batch_hubs: Rows | None = {} if own_ids else None
@@ -326,6 +352,10 @@ class Evaluation:
                 return out
         return {}
 
+    def _many_rows(self, node: Node) -> bool:
+        """Whether some query may have very many rows: a symbol on its way has very many facts."""
+        return any(self.relations.hubs(n.detail[0])["src" if n.detail[1] == "forward" else "dst"] for n in in_order(node) if n.kind == "step")
+
     def split(self, message: Node | None, functor: str, direction: str) -> Split:
         """Hubs of a step along a relation; without a message's node, the relation's alone."""
         near = self.relations.hubs(functor)["src" if direction == "forward" else "dst"]
@@ -344,8 +374,9 @@ class Evaluation:
         cost, tree, _ = best_order(sizes)
         self.choices.append(f"{shown(tree, ['queries', *(n.detail[0] for n in run)])}: about {cost:.3g} rows")
 
-        def relation(k: int) -> DataFrame:
-            r = self.relations.binary(run[k - 1].detail[0])
+        def relation(k: int, whole: bool = False) -> DataFrame:
+            functor, size = run[k - 1].detail[0], sizes[k]
+            r = self.relations.binary(functor) if whole or size.near * size.far < SPARSE * size.rows else self.relations.as_added(functor)
             return r if run[k - 1].detail[1] == "forward" else r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
 
         def outermost(tree: Tree, side: int) -> int:
@@ -363,26 +394,31 @@ class Evaluation:
             many = summed and "qid" in message.columns and made >= max(LARGE_STEP, LARGE_GAIN * sized(left).rows)
             return int(min(made / ROWS_A_TASK, MOST_TASKS - 1)) + 1 if many else 0
 
-        def built(tree: Tree) -> DataFrame:
-            if isinstance(tree, int):
-                return message if tree == 0 else relation(tree)
-            left, right = tree
+        def built(part: Tree) -> DataFrame:
+            if isinstance(part, int):
+                return message if part == 0 else relation(part)
+            left, right = part
             end, begin = outermost(left, 1), run[outermost(right, 0) - 1]
             split = self.split(run[end].inputs[0] if end == 0 else run[end - 1], *begin.detail)
             tasks = large(left, right) if outermost(left, 0) == 0 else 0
             if tasks:
                 self.choices.append("unsummed where a query has one symbol")
                 stored, by = written(built(left), "message"), sized(right)
+                facts = relation(right, whole=True) if isinstance(right, int) else built(right)
                 if by.rows <= SMALL_FACTS:
-                    return unsummed_step(stored, built(right), True, split, tasks, small=True)
+                    return unsummed_step(stored, facts, True, split, tasks, small=True)
                 # what a task makes counts here: the message's rows of a symbol, as they are, times the facts that each meets
                 each = by.rows / max(by.near, 1.0)
                 found = hubs_at(stored, ["id"], max(1, int(ROWS_A_TASK / each)))["id"]
                 parts = {h: even_parts(found.get(h, 1.0), split.right.get(h, each), ROWS_A_TASK) for h in {*found, *split.right}}
                 cut = Split({h: float(n) for h, (n, _) in parts.items()}, {h: float(n) for h, (_, n) in parts.items()}, 1)
-                return unsummed_step(stored, built(right), True, cut, tasks)
+                return unsummed_step(stored, facts, True, cut, tasks)
             if outermost(left, 0) == 0:
-                return step(built(left), built(right), True, split)
+                rows = multiplied(built(left), built(right), True, split)
+                made, after = joined(sized(left), sized(right))
+                if part is tree and "qid" in message.columns and after.rows > FEW_SUMMED * made:
+                    self.unsummed[id(last)] = rows
+                return summed(rows)
             functor, direction = run[end - 1].detail
             left_hubs = self.relations.hubs(functor)["dst" if direction == "forward" else "src"]
             return composed(built(left), built(right), Split(left_hubs, split.right, split.rows))
@@ -421,6 +457,9 @@ class Evaluation:
                     self.asked.pop(key, None)
                     self._keep(key, self._table(mode, depth, self.inputs(domain)))
                 table, heads = self.tables[key]
+                if size.near >= MANY_QUERIES and promised_bytes(table) <= SMALL_TABLE and not self._many_rows(node.inputs[0]):
+                    self.choices.append(f"{mode} where its queries are")
+                    return small_step(message if key in self.asked else self.unsummed.get(id(node.inputs[0]), message), table)
                 return step(message, table, True, Split(self.heavy(node.inputs[0]), heads, self.relations.hub_rows))
         return self.of(self.program.expanded(mode, depth, node.inputs[0]))
 

@@ -103,13 +103,15 @@ def _inputs(db: Database, of: str) -> DataFrame:
     return db.binary(name).select(F.col(col or "src").alias("x")).distinct()
 
 
-def rule_query(name: str, relations: str, rules: str, mode: str, inputs: str, sql: str, how: str = "none", depth: int = 10, **options) -> None:
-    """Register a rule's proof counts, or its normalised answers."""
+def rule_query(name: str, relations: str, rules: str, mode: str, inputs: str, sql: str, how: str = "none", depth: int = 10, store_inputs: bool = False, **options) -> None:
+    """Register a rule's proof counts, or its normalised answers; ``store_inputs``
+    where their size is asked for before they are answered."""
     names = relations.split()
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(database(spark, sf_dir, names, store_words="has_word" in names), rules, Settings(max_depth=depth, normalise=how), **options)
-        out = engine.inference(mode, _inputs(engine.db, inputs))
+        asked = _inputs(engine.db, inputs)
+        out = engine.inference(mode, written(asked, "inputs") if store_inputs else asked)
         return out if how == "none" else out.select("x", "y", F.round("w", 6).alias("w"))
 
     QUERIES[name] = run
@@ -157,7 +159,7 @@ rule_query("log_softmax", "did", "r(U,E) :- did(U,E).", "r/io", "did", ", s AS (
 rule_query("unnormalised", "did", "r(U,E) :- did(U,E).", "r/io", "did", "SELECT src AS x, dst AS y, w FROM did")
 rule_query("rule_weights", "brand ptype", "r(P,Y) :- brand(P,Y) {b1}. r(P,Y) :- ptype(P,Y) {t1}.", "r/io", "brand", "SELECT x, y, sum(w) AS w FROM (SELECT src AS x, dst AS y, w * 0.5 AS w FROM brand UNION ALL SELECT src, dst, w * 0.5 FROM ptype) GROUP BY ALL", epsilon=0.5)
 rule_query("feature_weights", "quality has_word", "r(D,L) :- quality(D,L) {wt(F) : has_word(D,F)}.", "r/io", "quality", ", wt AS (SELECT dst AS f, least(1.0, sum(w)) AS w FROM has_word GROUP BY dst) SELECT q.src AS x, q.dst AS y, q.w * sum(h.w * t.w) AS w FROM quality q JOIN has_word h ON q.src = h.src JOIN wt t ON h.dst = t.f GROUP BY q.src, q.dst, q.w")
-rule_query("community_vote", "co brand contains", "near(A,B) :- co(A,B). near(A,B) :- co(A,Z), near(Z,B). r(O,B) :- contains(O,P), brand(P,A), near(A,B).", "r/io", "contains", ", n AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM co UNION ALL SELECT a.src, b.dst, a.w * b.w FROM co a JOIN co b ON a.dst = b.src) GROUP BY ALL), ob AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM contains a JOIN brand b ON a.dst = b.src GROUP BY ALL) SELECT ob.src AS x, n.dst AS y, sum(ob.w * n.w) AS w FROM ob JOIN n ON ob.dst = n.src GROUP BY ALL", depth=2)
+rule_query("community_vote", "co brand contains", "near(A,B) :- co(A,B). near(A,B) :- co(A,Z), near(Z,B). r(O,B) :- contains(O,P), brand(P,A), near(A,B).", "r/io", "contains", ", n AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM co UNION ALL SELECT a.src, b.dst, a.w * b.w FROM co a JOIN co b ON a.dst = b.src) GROUP BY ALL), ob AS (SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM contains a JOIN brand b ON a.dst = b.src GROUP BY ALL) SELECT ob.src AS x, n.dst AS y, sum(ob.w * n.w) AS w FROM ob JOIN n ON ob.dst = n.src GROUP BY ALL", depth=2, store_inputs=True)
 
 rule_query("demanded_table", "supplied eastern brand", "makes(S,B) :- supplied(P,S), brand(P,B). r(P,B) :- supplied(P,S), eastern(S), makes(S,B).", "r/io", "supplied", ", m AS (SELECT a.dst AS src, b.dst, sum(a.w * b.w) AS w FROM supplied a JOIN brand b ON a.src = b.src GROUP BY ALL) SELECT a.src AS x, m.dst AS y, sum(a.w * e.w * m.w) AS w FROM supplied a JOIN eastern e ON a.dst = e.id JOIN m ON m.src = a.dst GROUP BY ALL")
 
