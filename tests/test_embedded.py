@@ -214,3 +214,25 @@ def test_links_agree_with_the_library(spark):
 
     got = {r.id: r.w for r in free.select("id", LINKS["softplus"][0](F.col("w")).alias("w")).collect()}
     assert got == pytest.approx({r.id: r.w for r in softplus(free).collect()})
+
+
+def test_queries_named_by_their_symbol(spark):
+    """The same gradients as under numbers; facts stored by an end aren't shuffled to be summed there."""
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    db, plugin = make(spark)
+    db.set_parameter("road", 2, db.binary("road"))
+    db.add("twice", db.binary("road").union(db.binary("road")))
+    db.store_dealt("twice", "src")
+    assert {(r.src, r.dst): r.w for r in db.binary("twice").collect()} == {k: 2 * w for k, w in ROAD.items()}
+    assert "Exchange" not in db.binary("twice").groupBy("src", "dst").agg(F.sum("w"))._jdf.queryExecution().executedPlan().toString()
+    engine = Engine(db, "r(X,Y) :- near(X,Z), road(Z,Y).", Settings(), initial_weights=False)
+    engine.plugin("near/2", plugin)
+    rows = [("r/io", q, x, y) for q, (x, y) in GOAL.items()]
+    found = []
+    for kind, pairs in (("long", rows), ("string", [(m, x, x, y) for m, _, x, y in rows])):
+        data = from_pairs(spark.createDataFrame(pairs, f"mode string, qid {kind}, x string, y string"))
+        by = Learner(engine).gradient("r/io", data.queries("r/io"), data.labels("r/io")).by_parameter[("spot", 0)]
+        found.append({(r.id, r.k): r.w for r in by.collect()})
+    assert found[0] and found[1] == pytest.approx(found[0], abs=1e-12)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")

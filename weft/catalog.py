@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.messages import numbered
-from weft.operators.hubs import HUB_ROWS, Rows, hubs_at
+from weft.operators.hubs import HUB_ROWS, Rows, hubs_at, promised_bytes
 from weft.plans.order import Size
 from weft.plans.terms import Goal, TypeDecl
-from weft.scratch import fine_tasks
+from weft.scratch import bucketed, buckets_for, fine_tasks, written
 
 log = logging.getLogger(__name__)
 
@@ -181,6 +181,17 @@ class Database:
         """(id): the distinct symbols at an end of a binary relation."""
         return self.as_added(functor).select(F.col(end).alias("id")).distinct()
 
+    def store_dealt(self, functor: str, end: str) -> None:
+        """A binary relation stored in buckets by one end: what meets it there,
+        or is summed within a symbol, doesn't move it.  Where the end has hubs
+        it is stored as it is."""
+        facts = self.as_added(functor)
+        if hubs_at(facts, [end], self.hub_rows)[end]:
+            self.set_parameter(functor, 2, written(self.binary(functor), functor))
+            return
+        parts = buckets_for(promised_bytes(facts))
+        self.set_parameter(functor, 2, bucketed(facts.repartition(parts, end).groupBy("src", "dst").agg(F.sum("w").alias("w")), functor, end, parts))
+
     def dealt(self, functor: str, end: str) -> DataFrame:
         """A binary relation with all facts of a symbol at one end in one task,
         so that what is summed within that symbol needs no shuffle of its own.

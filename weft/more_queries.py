@@ -504,7 +504,7 @@ SELECT vec.id, vec.k, round(v + {rate} * greatest(-100, least(100, g / (SELECT n
 def _spots(spark: SparkSession, sf_dir: str) -> tuple[Engine, Dataset]:
     """Parts to nations over suppliers whose distance from a part their vectors tell."""
     db = database(spark, sf_dir, ["supplied", "s_nation"])
-    db.set_parameter("supplied", 2, written(db.binary("supplied"), "supplied"))  # used many times below
+    db.store_dealt("supplied", "src")  # used many times below, by part
     part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
     vectors = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice").cast("double") / 2000).alias("v"))
     db.add_vectors("spot", vectors.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.array(F.col("s_acctbal").cast("double") / 10000, F.col("s_nationkey") / 25.0).alias("v"))))
@@ -513,7 +513,8 @@ def _spots(spark: SparkSession, sf_dir: str) -> tuple[Engine, Dataset]:
     engine.plugin("near/2", EmbeddedEdges(db, "supplied", "spot"))
     to = db.binary("supplied").withColumnRenamed("dst", "mid").join(db.binary("s_nation").select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("nw")), "mid")
     best = to.groupBy("src", "to").agg(F.sum(F.col("w") * F.col("nw")).alias("w")).groupBy("src").agg(F.max(F.struct("w", "to")).alias("b"))
-    return engine, from_pairs(best.select(F.lit("r/io").alias("mode"), F.substring("src", 2, 20).cast("long").alias("qid"), F.col("src").alias("x"), F.col("b.to").alias("y")))
+    # a part is its own query's name, so that its rows stay with its facts
+    return engine, from_pairs(best.select(F.lit("r/io").alias("mode"), F.col("src").alias("qid"), F.col("src").alias("x"), F.col("b.to").alias("y"))).stored()
 
 
 def _moved_spots(engine: Engine) -> DataFrame:

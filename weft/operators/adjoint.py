@@ -31,6 +31,15 @@ def _spread(message: DataFrame, ev: Evaluation) -> DataFrame:
     return message if "qid" in message.columns else ev.queries.crossJoin(message).select("qid", "id", "w")
 
 
+def _holding(node: Node, ev: Evaluation) -> DataFrame:
+    """Rows that a node's message keeps to, and perhaps others, where these come
+    without making it: those of the batch that it is multiplied with.  A row
+    that the message lacks meets no fact further back.  Plugins are to get no such rows."""
+    if node.kind == "product" and any(i.kind == "input" for i in node.inputs) and all(n.kind != "plugin" for n in in_order(node)):
+        return ev.batch
+    return ev.of(node)
+
+
 def outer(message: DataFrame, delta: DataFrame, relation: DataFrame, forward: bool, densify: bool, split: Split = NONE) -> DataFrame:
     """(src, dst, w): sum over queries of message at the near end times delta at the far end."""
     near, far = ("src", "dst") if forward else ("dst", "src")
@@ -89,8 +98,8 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
                     found.setdefault((functor, 2), []).append(outer(ev.of(node.inputs[0]), d, r.binary(functor), forward, densify, ev.split(node.inputs[0], *node.detail)))
                 if id(node.inputs[0]) in useful and (densify or not node.per_query):  # with densify, facts that aren't there have gradients too
                     back = step(d, r.binary(functor), not forward, ev.split(None, functor, "backward" if forward else "forward"))
-                    # without queries at most as many rows as facts: summed before they meet the message's
-                    send(node.inputs[0], back if densify else back.join(ev.of(node.inputs[0]).select("id"), "id", "left_semi"))
+                    # without queries at most as many rows as facts: summed before they meet the message's, which are unique; a semi-join would be taken before the sum
+                    send(node.inputs[0], back if densify else back.join(ev.of(node.inputs[0]).select("id"), "id"))
                 elif id(node.inputs[0]) in useful:
                     send(node.inputs[0], stepped_back(ev.of(node.inputs[0]), d, r.binary(functor), forward, ev.split(node.inputs[0], *node.detail)))
             case "product":
@@ -105,7 +114,8 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
                 send(value, scaled.select(*keys_of(d), (F.col("w") * F.col("total")).alias("w")))
                 if id(by) in useful:
                     both = totals(product(d, ev.of(value)))
-                    members = ev.of(by).select(*keys_of(ev.of(by)))
+                    held = ev.of(by) if densify or seen is not None else _holding(by, ev)
+                    members = held.select(*keys_of(held))
                     joined = members.join(both, "qid") if "qid" in members.columns and "qid" in both.columns else members.crossJoin(both)
                     cols = [c for c in ("qid", "id") if c in joined.columns]
                     send(by, joined.select(*cols, F.col("total").alias("w")))
@@ -123,13 +133,13 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
             case "plugin":
                 functor, pattern = node.detail
                 try:
-                    back, own = ev.plugins[f"{functor}/{len(pattern)}"].back(ev.of(node.inputs[0]) if node.inputs else None, d, pattern)
+                    back, own = ev.plugins[f"{functor}/{len(pattern)}"].back(ev.plugin_message(node), d, pattern)
                 except NoAdjoint as e:
                     raise NoAdjoint(f"{e}: {functor}/{len(pattern)}") from None
                 for key, g in own.items():
                     if key in parameters:
                         found.setdefault(key, []).append(g)
-                if node.inputs and back is not None:
+                if node.inputs and back is not None and id(node.inputs[0]) in useful:
                     send(node.inputs[0], back)
     out = {}
     for key, parts in found.items():

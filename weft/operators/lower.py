@@ -247,11 +247,13 @@ class Evaluation:
     ``batch`` is (qid, id, w), unique on (qid, id).  With a ``program``, plans
     may hold calls, and runs of steps are bracketed by estimated size; without,
     every node of a plan has its message.  ``own_ids`` says that no symbol is
-    asked by very many queries, so that the batch isn't looked through for hubs.
+    asked by very many queries, so that the batch isn't looked through for hubs;
+    ``named``, that each query's name is its symbol.
     """
 
-    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False, program: Program | None = None, own_ids: bool = False):
+    def __init__(self, relations: Relations, batch: DataFrame, plugins: dict[str, Plugin] | None = None, keep: bool = False, program: Program | None = None, own_ids: bool = False, named: bool = False):
         self.relations, self.batch, self.plugins, self.keep, self.program = relations, batch, plugins or {}, keep, program
+        self.named = named
         self.queries = batch.select("qid").distinct()
         self.made: dict[int, DataFrame] = {}
         self.tables: dict[tuple[Mode, int], tuple[DataFrame, Rows]] = {}
@@ -531,6 +533,14 @@ class Evaluation:
                 df.unpersist()
         self.made.clear()
 
+    def plugin_message(self, node: Node) -> DataFrame | None:
+        """What a plugin gets; the batch comes without symbols where these are
+        the queries' names and the plugin ``takes_names``."""
+        if not node.inputs:
+            return None
+        message, plugin = self.of(node.inputs[0]), self.plugins[f"{node.detail[0]}/{len(node.detail[1])}"]
+        return message.select("qid", "w") if self.named and node.inputs[0].kind == "input" and getattr(plugin, "takes_names", False) else message
+
     def _for_product(self, node: Node, other: Node) -> DataFrame:
         """A node's message for a product with another: a step that meets a
         unary relation with few symbols takes only the facts that end at them,
@@ -582,7 +592,7 @@ class Evaluation:
                 return added(got, self.queries)
             case "plugin":
                 functor, pattern = node.detail
-                return self.plugins[f"{functor}/{len(pattern)}"].value(got[0] if got else None, pattern)
+                return self.plugins[f"{functor}/{len(pattern)}"].value(self.plugin_message(node), pattern)
             case "call":
                 return self._called(node, got[0])
             case "empty":

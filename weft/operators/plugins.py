@@ -14,7 +14,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.lower import keys_of, step
+from weft.operators.lower import SMALL_FACTS, keys_of, step
+from weft.scratch import written
 
 Key = tuple[str, int]
 #: What a plugin's adjoint gives: the delta of its message (None for a unary plugin), and gradients by parameter.
@@ -81,6 +82,20 @@ class EmbeddedEdges:
     relation: str
     vectors: str
     link: str = "softplus"
+    #: gets a batch as (qid, w) where each query's name is its symbol: its rows then stay with the facts of that symbol
+    takes_names = True
+    #: the relation that ends were counted of; by end its symbols, where they are few
+    _counted: tuple = (None, {})
+
+    def _few(self, end: str) -> DataFrame | None:
+        """(end): the symbols at an end of the relation, if they are few enough for every task."""
+        rel = self.db.binary(self.relation)
+        if self._counted[0] is not rel:
+            self._counted = (rel, {})
+        if end not in self._counted[1]:
+            ids = written(self.db.ends(self.relation, end).withColumnRenamed("id", end), "ends")
+            self._counted[1][end] = ids if ids.count() <= SMALL_FACTS else None
+        return self._counted[1][end]
 
     @property
     def parameters(self) -> set[Key]:
@@ -90,6 +105,9 @@ class EmbeddedEdges:
         """(src, dst, stored, d): each fact with the difference of its ends."""
         level = self.db.relations[(self.vectors, 0)].groupBy("id").agg(F.sum("w").alias("u"))
         near, far = level.select(F.col("id").alias("src"), F.col("u").alias("a")), level.select(F.col("id").alias("dst"), F.col("u").alias("b"))
+        few = self._few("dst")
+        if few is not None:
+            far = F.broadcast(far.join(F.broadcast(few), "dst", "left_semi"))
         return self.db.binary(self.relation).withColumnRenamed("w", "stored").join(near, "src").join(far, "dst").select("src", "dst", "stored", (F.col("a") - F.col("b")).alias("d"))
 
     def weights(self) -> DataFrame:
@@ -97,15 +115,23 @@ class EmbeddedEdges:
         return self._edges().select("src", "dst", (F.col("stored") * LINKS[self.link][0](F.col("d"))).alias("w"))
 
     def value(self, message: DataFrame | None, pattern: str) -> DataFrame:
+        if "id" not in message.columns:
+            near, far = ("src", "dst") if pattern == "io" else ("dst", "src")
+            by_name = self.weights().select(F.col(near).alias("qid"), F.col(far).alias("id"), F.col("w").alias("rw"))
+            return message.join(by_name, "qid").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("rw")).alias("w"))
         return step(message, self.weights(), pattern == "io")
 
     def back(self, message: DataFrame | None, delta: DataFrame, pattern: str) -> Back:
         near, far = ("src", "dst") if pattern == "io" else ("dst", "src")
         on = ["qid"] if "qid" in message.columns and "qid" in delta.columns else []
-        m = message.select(*on, F.col("id").alias(near), F.col("w").alias("mw"))
+        named = "id" not in message.columns
+        m = message.select(*on, F.col("w").alias("mw")) if named else message.select(*on, F.col("id").alias(near), F.col("w").alias("mw"))
         d = delta.select(*on, F.col("id").alias(far), F.col("w").alias("dw"))
         weight, slope = LINKS[self.link]
-        met = m.join(self._edges(), near).join(d, [*on, far])
+        if named:
+            met = m.join(self._edges().withColumnRenamed(near, "qid"), "qid").join(d, ["qid", far]).withColumnRenamed("qid", near)
+        else:
+            met = m.join(self._edges(), near).join(d, [*on, far])
         by_edge = met.groupBy("src", "dst").agg(F.sum(F.col("mw") * F.col("dw")).alias("g"), F.first("stored").alias("stored"), F.first("d").alias("d"))
         pull = F.col("g") * F.col("stored") * slope(F.col("d"))
         ends = F.explode(F.array(F.struct(F.col("src").alias("id"), pull.alias("g")), F.struct(F.col("dst").alias("id"), (-pull).alias("g")))).alias("e")

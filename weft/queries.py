@@ -16,7 +16,8 @@ from weft.catalog import Database
 from weft.engine import Engine, Settings
 from weft.functions import mining, vectors
 from weft.learn import Gradients, L2Regulariser, Learner, accuracy, ranked, ranked_answers, updated
-from weft.scratch import fine_tasks, written
+from weft.operators.hubs import promised_bytes
+from weft.scratch import bucketed, buckets_for, fine_tasks, written
 from weft.sources.examples import Dataset, from_pairs
 
 #: name: (table, left symbol, right symbol or None, condition), in SQL that both engines read.
@@ -54,11 +55,12 @@ def _words(texts: DataFrame) -> DataFrame:
     return texts.select("src", F.explode(F.split(F.lower("text"), " ", -1)).alias("dst")).filter("dst <> ''")
 
 
-def counted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``has_word`` by way of texts that are dealt out by document, so that
-    words are counted where they are and none is shuffled."""
+def counted_words(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """``has_word`` by way of texts that are dealt out by document, into ``parts``
+    if told, so that words are counted where they are and none is shuffled."""
     fine_tasks(spark)
-    return _words(_texts(spark, sf_dir).dropna(subset=["src"]).repartition("src")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    texts = _texts(spark, sf_dir).dropna(subset=["src"])
+    return _words(texts.repartition(parts, "src") if parts else texts.repartition("src")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 def database(spark: SparkSession, sf_dir: str, names: list[str], store_words: bool = False) -> Database:
@@ -76,8 +78,9 @@ def database(spark: SparkSession, sf_dir: str, names: list[str], store_words: bo
             rel = _table(spark, sf_dir, table).filter(where)
             rel = rel.selectExpr(f"{left} src", f"{right} dst") if right else rel.selectExpr(f"{left} id")
         db.add(name, rel)
-    if store_words:
-        db.set_parameter("has_word", 2, written(counted_words(spark, sf_dir), "has-word"))
+    if store_words:  # by document, as gradients and counts by label meet it there
+        parts = buckets_for(promised_bytes(_texts(spark, sf_dir)))
+        db.set_parameter("has_word", 2, bucketed(counted_words(spark, sf_dir, parts), "has_word", "src", parts))
     return db
 
 

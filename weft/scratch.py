@@ -81,6 +81,23 @@ def intermediates(spark: SparkSession) -> Iterator[list[str]]:
             at.getFileSystem(conf).delete(at, True)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` written as a table in buckets by a column, so that joins and sums
+    by it don't move its rows.  A bucket is one file where ``df`` was dealt out
+    by that column into so many parts."""
+    table = f"weft_{name}_{uuid.uuid4().hex[:12]}"
+    path = posixpath.join(shared_folder(df.sparkSession), table)
+    for owner in _owners:
+        owner.append(path)
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def buckets_for(size: int) -> int:
+    """Buckets for facts made from so many bytes."""
+    return max(8, min(2 * FIRST_PARTS, size // TASK_BYTES))
+
+
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written to a folder of its own, in parts by some columns if
     wanted, and read back."""
