@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from library import FACTS, Prover
 
 from weft.catalog import Database
@@ -227,3 +228,22 @@ def test_experiments_make_their_examples_once(spark):
     assert len(predicted) == 2
     assert all("weft-examples" in f for d in (seen[0].x, seen[0].y) for f in d.inputFiles()) and all("weft-parameter" in f for f in seen[1].inputFiles())
     assert seen[0].x.inputFiles() and seen[0].y.inputFiles() and seen[1].inputFiles()
+
+
+def test_totals_send_deltas_without_their_messages(spark):
+    """A total's delta goes to the batch's rows; what they hold isn't joined with the words again, and documents without words move nothing."""
+    db = Database(spark)
+    db.add("word", spark.createDataFrame([("d0", "a", 1.0), ("d0", "b", 2.0), ("d1", "b", 1.0), ("d2", "z", 1.0)], "src string, dst string, w double"))
+    engine = Engine(db, "predict(D,L) :- assign(L,pos) {pw(F) : word(D,F)}. predict(D,L) :- assign(L,neg) {nw(F) : word(D,F)}.", initial_weights=False)
+    for name in ("pw", "nw"):
+        db.set_parameter(name, 1, spark.createDataFrame([("a", 0.5), ("b", 0.25)], "id string, w double"))
+    x = spark.createDataFrame([(q, f"d{q}", 1.0) for q in range(4)], "qid long, id string, w double")
+    y = x.select("qid", F.lit("pos").alias("id"), "w")
+    learner, seen = Learner(engine), []
+    told, lean = learner.gradient("predict/io", x, y, seen).by_parameter[("pw", 1)], learner.gradient("predict/io", x, y).by_parameter[("pw", 1)]
+    assert {r.id: r.w for r in lean.collect()} == pytest.approx({r.id: r.w for r in told.collect()}, abs=1e-12) and lean.count() == 2
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins(lean) < joins(told)

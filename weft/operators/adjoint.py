@@ -15,6 +15,7 @@ from weft.operators.hubs import met
 from weft.operators.lower import NONE, Evaluation, Split, added, keys_of, product, step, totals
 from weft.operators.plugins import NoAdjoint
 from weft.plans.nodes import Node, in_order
+from weft.scratch import written
 
 #: What tells the rows of a parameter apart, by its arity; 0 is that of vectors, one row a component.
 KEYS = {2: ["src", "dst"], 1: ["id"], 0: ["id", "k"]}
@@ -82,7 +83,9 @@ def gradients(ev: Evaluation, root: Node, delta: DataFrame, parameters: set[tupl
 
     def send(to: Node, what: DataFrame) -> None:
         if id(to) in useful:
-            deltas.setdefault(id(to), []).append(_fold(what, to))
+            folded = _fold(what, to)
+            # at most a row a symbol: stored, it is what moves to the facts, which stay where they are
+            deltas.setdefault(id(to), []).append(folded if folded is what or to.kind != "step" else written(folded, "folded"))
 
     for node in reversed(order):
         if id(node) not in deltas or id(node) not in useful:
